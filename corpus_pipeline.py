@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common, quality_classifier, toxicity
+from loomgraph.llm import common, ngram_join, packing, quality_classifier, toxicity
 
 #: no stage can be said in SQL: tests hold the stages against brute force instead
 ORACLE_SQL = None
@@ -13,8 +13,8 @@ ORACLE_SQL = None
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
     """Rows of docs whose doc_id the verdicts keep.  Verdicts come one a row, equal ids decided together."""
-    kept = verdicts.groupBy("doc_id").agg(F.max(keep).alias("keep")).where("keep").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = verdicts.groupBy("doc_id").agg(F.max(keep).alias("keep")).where("keep").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,28 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return keep_rows(docs, verdicts, "clean")
 
 
-STAGES = [("quality_classifier", quality_stage), ("toxicity", toxicity_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id (once, if its row repeats)."""
+    found = ngram_join.near_duplicates(docs, ngram_join.Rule(5, 80))
+    first = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    stay = keep_rows(docs, found.select("doc_id", first.alias("first")), "first")
+    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = stay.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return stay.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left; one row per piece."""
+    packed = packing.pack(docs)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

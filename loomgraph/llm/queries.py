@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import quality_classifier, quality_rules, toxicity, url_filters
+from loomgraph.llm import ngram_join, packing, quality_classifier, quality_rules, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op6_packing": packing.op6_packing,
     "op8_url_filters": url_filters.op8_url_filters,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
