@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import html_extraction, neighbours, ngram_join, packing, quality_classifier, quality_rules, toxicity, url_filters
+from loomgraph.llm import (
+    html_extraction,
+    license_scan,
+    neighbours,
+    ngram_join,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_codec,
+    toxicity,
+    url_filters,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_packing": packing.op6_packing,
+    "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
