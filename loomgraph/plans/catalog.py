@@ -6,21 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import named
+from loomgraph.plans import named, nominate, validate
 from loomgraph.plans.oracle import on_graph
 from loomgraph.sources.projection import project
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+GROUPS = (named, validate, nominate)
+
+
+def entries() -> dict:
+    return {name: pair for group in GROUPS for name, pair in group.ENTRIES.items()}
+
+
 def _graph_query(plan) -> Query:
     return lambda spark, sf_dir: plan(project(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    found = {name: _graph_query(plan) for name, (plan, _) in named.ENTRIES.items()}
+    found = {name: _graph_query(plan) for name, (plan, _) in entries().items()}
     return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: on_graph(sql) for name, (_, sql) in named.ENTRIES.items()}
+    return {name: on_graph(sql) for name, (_, sql) in entries().items() if sql}

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import paths as P
-from loomgraph.sources.projection import Graph, active, primary
-
-Plan = Callable[[Graph], DataFrame]
-ENTRIES: dict[str, tuple[Plan, str]] = {}
-
-
-def entry(name: str, sql: str):
-    def keep(plan: Plan) -> Plan:
-        ENTRIES[name] = (plan, sql)
-        return plan
-
-    return keep
+from loomgraph.plans.registry import Registry
+from loomgraph.sources.projection import Graph, active
 
+ENTRIES = Registry()
+entry = ENTRIES.entry
 
 CLOSED_SQL = """
 , closed AS (
@@ -35,12 +25,12 @@ CLOSED_SQL = """
   WHERE NOT coalesce(s.archived, false) AND NOT coalesce(m.archived, false) AND NOT coalesce(d.archived, false)
 )"""
 CLAIM_SQL = CLOSED_SQL + """
-SELECT source, malady, disease, count(*) AS num_converging_paths, round(sum(CAST(round(score * 1000000) AS bigint))::double / count(*) / 1000000, 6) AS avg_path_confidence,
+SELECT source, malady, disease, count(*) AS num_converging_paths, sum(CAST(round(score * 1000000) AS bigint))::double / count(*) / 1000000 AS avg_path_confidence,
   string_agg(compound || '|' || target || '|' || CAST(round(score * 1000000) AS bigint), ';' ORDER BY compound || '|' || target || '|' || CAST(round(score * 1000000) AS bigint)) AS evidence_paths
 FROM closed {where} GROUP BY source, malady, disease"""
 
 
-#: the mean is taken over millionths, so that it doesn't hang on the order of the sum
+# the mean is taken over whole millionths, so that it doesn't hang on the order of the sum
 def validate_claims(g: Graph, source: str | None = None) -> DataFrame:
     """Closed evidence loops per (source, malady, disease), with their count, mean score and evidence."""
     found = P.closed_paths(g)
@@ -50,7 +40,7 @@ def validate_claims(g: Graph, source: str | None = None) -> DataFrame:
     found = P.with_target(g, P.with_compound(g, found)).withColumn("score", score)
     text = F.concat_ws("|", "compound", "target", P.micro(F.col("score")).cast("string"))
     return found.groupBy("source", "malady", "disease").agg(
-        F.count("*").alias("num_converging_paths"), F.round(F.sum(P.micro(F.col("score"))) / F.count("*") / 1_000_000, 6).alias("avg_path_confidence"),
+        F.count("*").alias("num_converging_paths"), (F.sum(P.micro(F.col("score"))) / F.count("*") / 1_000_000).alias("avg_path_confidence"),
         F.array_join(F.array_sort(F.collect_list(text)), ";").alias("evidence_paths"))
 
 
@@ -160,9 +150,6 @@ def resumable(df: DataFrame, status: str, retry: tuple[str, ...] | None, force:
     return df.where(F.col(status).isNull() | F.col(status).isin(*(retry or ("",))))
 
 
-RESUME = {"default": (None, False), "retry": (("error",), False), "force": (None, True)}
-
-
 def _resume_entries() -> None:
     plans = {
         "gq07_linkable_sources": ("source", "linker_status", ("error",), "canonical_source IS NOT NULL", ["name", "canonical_name", "canonical_source", "canonical_type", "canonical_part"]),
