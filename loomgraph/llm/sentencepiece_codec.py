@@ -3,6 +3,7 @@
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,22 +18,22 @@ from loomgraph.llm import common
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 13, 4
+FULL = (1 << 64) - 1
+NEVER = float("inf")
+#: parts up to this length are merged the short way
+SHORT = 62
+#: parts a task keeps; as many again of the generation before
+CACHED = 300_000
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
-def _draw(key: int, left: int, end: int) -> int:
-    """64 pseudo-random bits for the candidate merge of characters left to end."""
-    x = ((key ^ (left << 32 | end)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-    return ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-
-
 class MergeCodec:
     """Merges by score with an agenda; decoding joins pieces and bytes back to the text.
 
     In this kind of model no piece has a space mark after another character, so a text falls apart before each run
     of space marks and the parts are encoded alone.  A candidate merge is skipped, once and for all, if the keyed
-    hash of (seed, variant, part, left end, right end) falls below `dropout`.  The variant of a part is a keyed hash of
-    the document's key and the part's number, so equal words come out in up to `variants` ways, which are cached.
+    hash of (seed, variant, part, left end, right end) falls below `dropout`.  Parts take variants in turn, from a start
+    that is a keyed hash of the document's key, so equal words come out in up to `variants` ways, which are cached.
     A space mark in the text itself is written as bytes, so that decoding gives it back; but for that, encoding
     without dropout is that of the library.
     """
@@ -45,9 +46,17 @@ class MergeCodec:
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.id = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in self.byte_of}
         self.score = {p: model.get_score(i) for p, i in self.id.items()}
+        self.cost = {p: -c for p, c in self.score.items()}
         self.dropout, self.seed, self.variants = dropout, seed, variants if dropout else 1
         self.floor = int(dropout * 2**64)
-        self.known: dict[tuple[str, int], list[int]] = {}
+        # odd multipliers by (left, right) ends: multiplicative hashing of a part's key
+        self.odd = (common.mix(np.arange(4096, dtype=np.uint64) * common.ODD + np.uint64(seed)) | np.uint64(1)).tolist()
+        # per variant: parts seen lately, and those of the generation before
+        self.young: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+        space = [p.replace(SPACE, " ") for p in self.pieces]
+        self.shown = ["" if i in self.special else p for i, p in enumerate(space)]
+        self.is_byte = np.array([i in self.byte_of for i in range(len(space))], bool)
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         """Ids of the whole text; empty for the empty text."""
@@ -58,20 +67,25 @@ class MergeCodec:
         for piece in literal[1:]:
             parts.append("")
             parts.extend(PART.findall(piece.replace(" ", SPACE)))
-        if len(self.known) > common.CACHE_LIMIT:
-            self.known.clear()
-        known, out = self.known, []
-        if self.dropout:
-            mixed = common.mix(np.arange(1, len(parts) + 1, dtype=np.uint64) * common.ODD + np.uint64(self._key(str(key))))
-            variants = (mixed % np.uint64(self.variants)).tolist()
-        else:
-            variants = [0] * len(parts)
-        for both in zip(parts, variants, strict=True):
-            ids = known.get(both)
-            if ids is None:
-                ids = known[both] = self._merge(*both)
-            out.extend(ids)
-        return out
+        n = self.variants
+        start = self._key(str(key)) % n if self.dropout else 0
+        found: list = [None] * len(parts)
+        for i in range(n):
+            mine = parts[i::n]
+            found[i::n] = map(self._known((start + i) % n, set(mine)).__getitem__, mine)
+        return list(chain.from_iterable(found))
+
+    def _known(self, variant: int, parts: set[str]) -> dict[str, list[int]]:
+        """The cache of a variant, with all these parts in it."""
+        young = self.young[variant]
+        if len(young) > CACHED // self.variants:
+            self.old[variant], young = young, {}
+            self.young[variant] = young
+        old = self.old[variant]
+        for part in parts.difference(young):
+            ids = old.get(part)
+            young[part] = self._merge(part, variant) if ids is None else ids
+        return young
 
     def _key(self, text: str) -> int:
         return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
@@ -79,17 +93,49 @@ class MergeCodec:
     def _merge(self, part: str, variant: int) -> list[int]:
         if not part:  # a literal space mark of the text, kept apart from a space
             return [self.byte[b] for b in SPACE.encode()]
+        key = self._key(f"{variant}\0{part}") if self.dropout else 0
+        if len(part) <= SHORT:
+            return self._ids(self._merge_short(part, key))
+        return self._ids(self._merge_long(part, key))
+
+    def _merge_short(self, part: str, key: int) -> list[str]:
+        """The agenda as a plain list, one cost for each pair of neighbours: fastest for words."""
+        get, floor, odd, dropping = self.cost.get, self.floor, self.odd, bool(self.dropout)
+        symbols, at = list(part), list(range(len(part)))
+        agenda = [get(part[i : i + 2], NEVER) for i in at[:-1]]
+        if dropping:
+            for i, c in enumerate(agenda):
+                if c is not NEVER and key * odd[i << 6 | i + 2] & FULL < floor:
+                    agenda[i] = NEVER
+        while agenda:
+            best = min(agenda)
+            if best is NEVER:
+                break
+            i = agenda.index(best)
+            merged = symbols[i] + symbols[i + 1]
+            symbols[i] = merged
+            del symbols[i + 1], at[i + 1], agenda[i]
+            if i < len(agenda):
+                wider = merged + symbols[i + 1]
+                c = get(wider, NEVER)
+                agenda[i] = NEVER if c is NEVER or dropping and key * odd[at[i] << 6 | at[i] + len(wider)] & FULL < floor else c
+            if i:
+                wider = symbols[i - 1] + merged
+                c = get(wider, NEVER)
+                agenda[i - 1] = NEVER if c is NEVER or dropping and key * odd[at[i - 1] << 6 | at[i - 1] + len(wider)] & FULL < floor else c
+        return symbols
+
+    def _merge_long(self, part: str, key: int) -> list[str]:
+        """The agenda as a heap, for parts of any length; the same merges as the short way."""
         symbols: list[str | None] = list(part)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         score, agenda = self.score, []
-        key = self._key(f"{variant}\0{part}") if self.dropout else 0
-
-        get, push, floor, dropping = score.get, heapq.heappush, self.floor, bool(self.dropout)
+        get, push, floor, dropping, odd = score.get, heapq.heappush, self.floor, bool(self.dropout), self.odd
         for i in range(n - 1):
             merged = part[i : i + 2]
             s = get(merged)
-            if s is not None and not (dropping and _draw(key, i, i + 2) < floor):
+            if s is not None and not (dropping and key * odd[(i << 6 | i + 2) & 4095] & FULL < floor):
                 agenda.append((-s, i, i + 1, merged))
         heapq.heapify(agenda)
         while agenda:
@@ -103,31 +149,33 @@ class MergeCodec:
                 before[beyond] = left
                 wider = merged + symbols[beyond]
                 s = get(wider)
-                if s is not None and not (dropping and _draw(key, left, left + len(wider)) < floor):
+                if s is not None and not (dropping and key * odd[(left << 6 | left + len(wider)) & 4095] & FULL < floor):
                     push(agenda, (-s, left, beyond, wider))
             ahead = before[left]
             if ahead >= 0:
                 wider = symbols[ahead] + merged
                 s = get(wider)
-                if s is not None and not (dropping and _draw(key, ahead, end) < floor):
+                if s is not None and not (dropping and key * odd[(ahead << 6 | end) & 4095] & FULL < floor):
                     push(agenda, (-s, ahead, left, wider))
+        return [s for s in symbols if s is not None]
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         for s in symbols:
-            if s is not None:
-                i = self.id.get(s)
-                if i is not None:
-                    out.append(i)
-                else:
-                    out.extend(self.byte[b] for b in s.encode("utf-8", "surrogatepass"))
+            i = self.id.get(s)
+            if i is not None:
+                out.append(i)
+            else:
+                out.extend(self.byte[b] for b in s.encode("utf-8", "surrogatepass"))
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text: space marks of pieces become spaces, bytes are joined, and the space put in front is taken off."""
-        byte_of, pieces, special = self.byte_of, self.pieces, self.special
-        if byte_of.keys().isdisjoint(ids):
-            return "".join([pieces[i] for i in ids if i not in special]).replace(SPACE, " ").removeprefix(" ")
-        raw = b"".join(
-            bytes([byte_of[i]]) if i in byte_of else pieces[i].replace(SPACE, " ").encode() for i in ids if i not in special)
+        at = np.asarray(ids, np.int64)
+        if not self.is_byte[at].any():
+            return "".join(map(self.shown.__getitem__, at.tolist())).removeprefix(" ")
+        byte_of, shown = self.byte_of, self.shown
+        raw = b"".join(bytes([byte_of[i]]) if i in byte_of else shown[i].encode() for i in at.tolist())
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
@@ -160,7 +208,7 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
         for ids in parts:
             if "codec" not in made:
                 made["codec"] = MergeCodec(path)
-            yield pd.Series([None if x is None else made["codec"].decode(x.tolist()) for x in ids])
+            yield pd.Series([None if x is None else made["codec"].decode(x) for x in ids])
 
     made: dict[str, MergeCodec] = {}
     return encoded.withColumn("text", decoded("ids"))
