@@ -14,7 +14,7 @@ ORACLE_SQL = None
 def keep_rows(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
     """Rows of docs whose doc_id the verdicts keep.  Verdicts come one a row, equal ids decided together."""
     kept = verdicts.groupBy("doc_id").agg(F.max(keep).alias("keep")).where("keep").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -194,7 +194,8 @@ def extract(
                 hosts.extend([host] * len(own))
                 hashes.extend(own)
                 sigs.extend([sig] * len(own))
-            yield pd.DataFrame({"host": hosts, "subtree": np.array(hashes, np.int64), "sig": np.array(sigs, np.int64)})
+            if hosts:
+                yield pd.DataFrame({"host": hosts, "subtree": np.array(hashes, np.int64), "sig": np.array(sigs, np.int64)})
 
     seen = rows.select("host", "html").mapInPandas(subtrees, "host string, subtree long, sig long").distinct()
     counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)

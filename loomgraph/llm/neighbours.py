@@ -177,7 +177,8 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, fit_rows: int =
                 for lo in range(0, len(ids), 128):
                     part = slice(lo, lo + 128)
                     found = made[r.block].search(ids[part], q[part], code[part], codes.radius, k)
-                    yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                    if found:
+                        yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     near = common.materialize(met.mapInPandas(probe, "query_id long, vec_id long, score double"), "near")
