@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import named, nominate, validate
+from loomgraph.plans import named, nominate, tables, validate
 from loomgraph.plans.oracle import on_graph
 from loomgraph.sources.projection import project
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-GROUPS = (named, validate, nominate)
+GROUPS = (named, validate, nominate, tables)
 
 
 def entries() -> dict:
@@ -26,8 +26,9 @@ def _graph_query(plan) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {name: _graph_query(plan) for name, (plan, _) in entries().items()}
-    return found
+    return found | {name: query for name, (query, _) in tables.TABLES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: on_graph(sql) for name, (_, sql) in entries().items() if sql}
+    found = {name: on_graph(sql) for name, (_, sql) in entries().items() if sql}
+    return found | {name: sql for name, (_, sql) in tables.TABLES.items() if sql}
