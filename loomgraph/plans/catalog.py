@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import named, nominate, tables, validate
+from loomgraph.plans import named, nominate, reports, tables, validate
 from loomgraph.plans.oracle import on_graph
 from loomgraph.sources.projection import project
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-GROUPS = (named, validate, nominate, tables)
+GROUPS = (named, validate, nominate, reports, tables)
 
 
 def entries() -> dict:
