@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 def text_folder(spark: SparkSession, path: str) -> DataFrame:
     """(text, source_document, file_path) of every *.txt of a folder; the document is the file's stem."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
     name = F.col("_metadata.file_name")
     return rows.select(F.col("value").alias("text"), F.regexp_replace(name, r"\.txt$", "").alias("source_document"), F.col("_metadata.file_path").alias("file_path"))
 
@@ -38,7 +38,7 @@ def json_document(spark: SparkSession, path: str, field: str, element: str) -> D
 
 def headed_names(spark: SparkSession, path: str, first: int | None = None, head: str = "### SOURCE:") -> DataFrame:
     """(position, name) of the lines of a text file that start with a heading, in file order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("position", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("position", "line"))
     found = lines.where(F.startswith("line", F.lit(head))).select("position", F.trim(F.substring("line", len(head) + 1, 1_000_000)).alias("name"))
     return found.orderBy("position").limit(first) if first is not None else found
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A parquet folder as a stream; its schema is read once from the files."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def unique_events(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
