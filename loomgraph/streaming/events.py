@@ -20,9 +20,9 @@ def unique_events(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return events.dropDuplicates(["event_id"])
 
 
-def window_counts(events: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Events and the sum of values (in hundredths) a window and type."""
-    rows = events.withWatermark("ts", lateness) if events.isStreaming else events
+def window_counts(events: DataFrame, width: str = "1 day", lateness: str | None = None) -> DataFrame:
+    """Events and the sum of values (in hundredths) a window and type; lateness sets a watermark where none is set."""
+    rows = events.withWatermark("ts", lateness) if lateness and events.isStreaming else events
     cents = F.round(F.col("value") * 100).cast("long")
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(
         F.count("*").alias("n_events"), F.sum(cents).alias("cents")).select(

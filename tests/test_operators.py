@@ -147,9 +147,11 @@ def test_files_round_trip(spark, tmp_path):
 def test_event_stream_equals_batch(spark, tmp_path):
     path = str(tmp_path / "events")
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(path)
-    stream = E.window_counts(E.unique_events(E.read_events(spark, path), "4000 days"), lateness="4000 days")
-    query = stream.writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    mine = sorted(map(tuple, spark.table("counted").collect()))
+    def run(stream, name, mode):
+        stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    mine = sorted(map(tuple, run(E.window_counts(E.read_events(spark, path)), "counted", "complete").collect()))
+    assert run(E.unique_events(E.read_events(spark, path), "4000 days"), "once", "append").count() == spark.read.parquet(path).count()
     batch = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     assert mine == sorted(map(tuple, E.window_counts(E.unique_events(batch)).collect()))
