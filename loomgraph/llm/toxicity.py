@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import common
 
 BITS = 18
-FIT_ROWS, FIT_CHARS = 12_000, 20_000_000
+FIT_ROWS, FIT_CHARS = 12_000, 12_000_000
 TOKEN = re.compile(r"[^\W_]+|[.!?\n]+")
 ENDS = ".!?\n"
 
@@ -61,41 +61,41 @@ def sigmoid(z):
 
 
 def fit_noisy_or(
-    words: list[list[str]], sentences: list[np.ndarray], y: np.ndarray, bits: int = BITS, steps: int = 150,
-    ridge: float = 1e-5, min_documents: int = 3,
+    vocabulary: list[str], token: np.ndarray, document: np.ndarray, sentence: np.ndarray, y: np.ndarray,
+    bits: int = BITS, steps: int = 150, ridge: float = 1e-5, min_documents: int = 3,
 ) -> SentenceModel:
     """Full-batch Adam on the document log loss, where P(document) = 1 - prod over sentences of (1 - P(sentence)).
 
-    words and sentences hold, per document, its words in order and their sentence numbers from 0.  Features in
-    fewer than min_documents texts keep weight 0.  Weights are held at 0 or more: a word is evidence or nothing, so
-    a long sentence of ordinary words cannot outweigh an offending one.  Without both classes the model calls nothing toxic.
+    token, document and sentence hold, for each word in order, its number in the vocabulary, its document and its
+    sentence in that document.  Features in fewer than min_documents texts keep weight 0.  Weights are held at 0 or
+    more: a word is evidence or nothing, so a long sentence of ordinary words cannot outweigh an offending one.
+    Without both classes the model calls nothing toxic.
     """
     w = np.zeros(1 << bits)
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return SentenceModel(w, -8.0)
-    vocabulary = {t: i for i, t in enumerate(dict.fromkeys(t for d in words for t in d))}
     made = [word_features(t, bits) for t in vocabulary]
-    of_word = np.repeat(np.arange(len(made)), [len(f) for f in made])
-    feature = np.array([f for fs in made for f in fs], np.int64)
-    counts = [int(s[-1]) + 1 if len(s) else 0 for s in sentences]
-    start = np.concatenate([[0], np.cumsum(counts)])
-    doc_of = np.repeat(np.arange(len(y)), counts)
-    token = np.concatenate([np.fromiter(map(vocabulary.__getitem__, d), np.int64, len(d)) for d in words])
-    sent = np.concatenate([s + b for s, b in zip(sentences, start, strict=False)]).astype(np.int64)
-    in_docs = np.bincount(np.unique(token * len(y) + doc_of[sent]) // len(y), minlength=len(made))
+    of_word = np.repeat(np.arange(len(made), dtype=np.int32), [len(f) for f in made])
+    feature = np.fromiter((f for fs in made for f in fs), np.int32, len(of_word))
+    del made
+    both, sent = np.unique(document.astype(np.int64) << 32 | sentence, return_inverse=True)
+    sent = sent.astype(np.int32)
+    doc_of = (both >> 32).astype(np.int32)
+    n_words, n_sentences = len(vocabulary), len(both)
+    in_docs = np.bincount(np.unique(token.astype(np.int64) * len(y) + document) // len(y), minlength=n_words)
     often = np.bincount(feature, in_docs[of_word], 1 << bits) >= min_documents
     of_word, feature = of_word[often[feature]], feature[often[feature]]
     used, col = np.unique(feature, return_inverse=True)
     u, bias = np.zeros(len(used)), -6.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, steps + 1):
-        score = np.bincount(of_word, u[col], len(made))
-        z = bias + np.bincount(sent, score[token], start[-1])
+        score = np.bincount(of_word, u[col], n_words)
+        z = bias + np.bincount(sent, score[token], n_sentences)
         total = np.bincount(doc_of, softplus(z), len(y))
         pull = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
         dz = pull[doc_of] * sigmoid(z) / len(y)
-        per_word = np.bincount(token, dz[sent], len(made))
+        per_word = np.bincount(token, dz[sent], n_words)
         g = np.append(np.bincount(col, per_word[of_word], len(used)) + ridge * u, dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
@@ -127,8 +127,16 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
 
     got = rows.select("doc_id", "text", "toxic").mapInPandas(
         features, "doc_id long, y int, words array<string>, sents array<int>"
-    ).toPandas().sort_values("doc_id")
-    return fit_noisy_or(got.words.tolist(), [np.asarray(x, np.int64) for x in got.sents], got.y.to_numpy(float))
+    ).toArrow()
+    got = got.sort_by("doc_id").combine_chunks()
+    if not len(got):
+        return fit_noisy_or([], np.empty(0, int), np.empty(0, int), np.empty(0, int), np.empty(0))
+    words, sents = got["words"].combine_chunks(), got["sents"].combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    size = words.value_lengths().to_numpy(zero_copy_only=False)
+    return fit_noisy_or(
+        coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False),
+        np.repeat(np.arange(len(got), dtype=np.int32), size), sents.flatten().to_numpy(zero_copy_only=False), got["y"].to_numpy())
 
 
 def offending(text: str, scorer: Scorer, at_least: float) -> list[tuple[int, int, float]]:
