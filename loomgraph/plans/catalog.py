@@ -6,29 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import named, nominate, reports, tables, validate
+from loomgraph.plans import linkers, named, nominate, reports, tables, validate
 from loomgraph.plans.oracle import on_graph
 from loomgraph.sources.projection import project
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-GROUPS = (named, validate, nominate, reports, tables)
+GROUPS = (named, validate, nominate, reports, tables, linkers)
 
 
 def entries() -> dict:
     return {name: pair for group in GROUPS for name, pair in group.ENTRIES.items()}
 
 
+def single_tables() -> dict:
+    return tables.TABLES | linkers.TABLES
+
+
 def _graph_query(plan) -> Query:
     return lambda spark, sf_dir: plan(project(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
     found = {name: _graph_query(plan) for name, (plan, _) in entries().items()}
-    return found | {name: query for name, (query, _) in tables.TABLES.items()}
+    return found | {name: query for name, (query, _) in single_tables().items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: on_graph(sql) for name, (_, sql) in entries().items() if sql}
-    return found | {name: sql for name, (_, sql) in tables.TABLES.items() if sql}
+    return found | {name: sql for name, (_, sql) in single_tables().items() if sql}
