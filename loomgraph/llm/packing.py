@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_right
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,10 @@ from loomgraph.llm import common
 
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
+#: chunks a task keeps (about 200 bytes each)
+CACHED = 1_000_000
+#: closing marks and the end of the Latin blocks, for words put together from cached parts
+MARKS, LATIN = ".,;:!?", "\u0250"
 
 
 class ChunkTokenizer:
@@ -35,28 +41,62 @@ class ChunkTokenizer:
         self.index: dict[bytes, int] = {}
         self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
+    def _learn(self, new: set[bytes]) -> None:
+        """Put the ids of these chunks into the cache.
+
+        A Latin word with capitals or closing marks is put together from the lower-case word and the marks, which
+        the pre-tokenizer parts as well; everything else goes through the tokenizer as it is.
+        """
+        parted, plain = [], set()
+        for w in new:
+            text = w.decode("utf-8", "surrogatepass")
+            low = text.lower()
+            core = low.rstrip(MARKS)
+            if core != text and core.isalpha() and max(text) < LATIN and "\u0130" not in text:
+                parted.append((w, core.encode(), low[len(core) :].encode()))
+            else:
+                plain.add(w)
+        need = plain.union(c for _, c, _ in parted).union(m for *_, m in parted if m).difference(self.index)
+        if need:
+            words = list(need)
+            texts = [w.decode("utf-8", "surrogatepass").encode("utf-8", "replace").decode() for w in words]
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            self._add(words, size, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum())))
+        parted = [p for p in parted if p[0] not in self.index]
+        if parted:
+            empty = len(self.index)
+            self.start, self.size = np.append(self.start, 0), np.append(self.size, 0)  # for words without marks
+            core = np.fromiter((self.index[c] for _, c, _ in parted), np.int64, len(parted))
+            mark = np.fromiter((self.index[m] if m else empty for *_, m in parted), np.int64, len(parted))
+            at = np.stack([core, mark], axis=1).ravel()
+            self.start, self.size, flat, size = self.start[:-1], self.size[:-1], self._gather(at), self.size[core] + self.size[mark]
+            self._add([w for w, *_ in parted], size, flat)
+
+    def _add(self, words: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of these cache entries, one after the other."""
+        size = self.size[at]
+        before = np.cumsum(size) - size
+        return self.flat[np.repeat(self.start[at] - before, size) + np.arange(int(size.sum()))]
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [common.words_of(t) for t in texts]
-        if len(self.index) > common.CACHE_LIMIT:
+        if len(self.index) > CACHED:
             self.clear()
-        new = list(set().union(*map(set, chunks)).difference(self.index)) if chunks else []
-        if new:
-            words = [w.decode("utf-8", "surrogatepass").encode("utf-8", "replace").decode() for w in new]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            base = len(self.flat)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.start = np.concatenate([self.start, base + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for m in made for i in m), np.uint32, int(size.sum()))])
-        out = []
-        for words in chunks:
-            at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            size = self.size[at]
-            total = int(size.sum())
-            first = np.repeat(self.start[at] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(at) else at, size)
-            out.append(self.flat[first + np.arange(total)])
-        return out
+        self._learn(set().union(*map(set, chunks)).difference(self.index))
+        return [self._gather(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))) for words in chunks]
+
+
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> ChunkTokenizer:
+    """One tokenizer a worker process, so that its tasks share the cache."""
+    return ChunkTokenizer(path)
 
 
 def cut(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -64,7 +104,7 @@ def cut(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end
     where they were made: task, row in the task, rank among the task's earlier pieces of the same length."""
 
     def make(batches):
-        tokenizer, task = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        tokenizer, task = tokenizer_of(tokenizer_path), TaskContext.get().partitionId()
         row, seen = 0, np.zeros(capacity + 1, np.int64)
         for b in batches:
             for lo in range(0, len(b), 200):
