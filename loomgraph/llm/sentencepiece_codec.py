@@ -3,6 +3,7 @@
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,6 +19,7 @@ from loomgraph.llm import common
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 13, 4
+CYCLE = 16
 FULL = (1 << 64) - 1
 NEVER = float("inf")
 #: parts up to this length are merged the short way
@@ -32,8 +34,9 @@ class MergeCodec:
 
     In this kind of model no piece has a space mark after another character, so a text falls apart before each run
     of space marks and the parts are encoded alone.  A candidate merge is skipped, once and for all, if the keyed
-    hash of (seed, variant, part, left end, right end) falls below `dropout`.  Parts take variants in turn, from a start
-    that is a keyed hash of the document's key, so equal words come out in up to `variants` ways, which are cached.
+    hash of (seed, variant, part, left end, right end) falls below `dropout`.  A part's variant is a keyed hash of
+    the document's key and the part's number modulo CYCLE, so equal words come out in up to `variants` ways, which are
+    cached, and a text in up to variants ** CYCLE.
     A space mark in the text itself is written as bytes, so that decoding gives it back; but for that, encoding
     without dropout is that of the library.
     """
@@ -67,12 +70,13 @@ class MergeCodec:
         for piece in literal[1:]:
             parts.append("")
             parts.extend(PART.findall(piece.replace(" ", SPACE)))
-        n = self.variants
-        start = self._key(str(key)) % n if self.dropout else 0
+        n = CYCLE if self.dropout else 1
+        draw = self._key(str(key))
         found: list = [None] * len(parts)
         for i in range(n):
             mine = parts[i::n]
-            found[i::n] = map(self._known((start + i) % n, set(mine)).__getitem__, mine)
+            variant = common.mix(np.uint64([draw + i & FULL]))[0] % np.uint64(self.variants) if self.dropout else 0
+            found[i::n] = map(self._known(int(variant), set(mine)).__getitem__, mine)
         return list(chain.from_iterable(found))
 
     def _known(self, variant: int, parts: set[str]) -> dict[str, list[int]]:
@@ -179,6 +183,12 @@ class MergeCodec:
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str, dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS) -> MergeCodec:
+    """One codec a worker process, so that its tasks share the cache."""
+    return MergeCodec(path, dropout, seed, variants)
+
+
 def encode_documents(
     documents: DataFrame, model_path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS
 ) -> DataFrame:
@@ -191,7 +201,7 @@ def encode_documents(
     path = model_path or public_tokenizers.path(MODEL)
 
     def run(batches):
-        codec = MergeCodec(path, dropout, seed, variants)
+        codec = codec_of(path, dropout, seed, variants)
         for b in batches:
             keys = [-1 if pd.isna(k) else int(k) for k in b.doc_id]
             yield pd.DataFrame({"doc_id": b.doc_id, "ids": [np.array(codec.encode(common.as_text(t), k), np.int32) for t, k in zip(b.text, keys, strict=True)]})
@@ -205,12 +215,10 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
 
     @F.pandas_udf("string")
     def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codec = codec_of(path)
         for ids in parts:
-            if "codec" not in made:
-                made["codec"] = MergeCodec(path)
-            yield pd.Series([None if x is None else made["codec"].decode(x) for x in ids])
+            yield pd.Series([None if x is None else codec.decode(x) for x in ids])
 
-    made: dict[str, MergeCodec] = {}
     return encoded.withColumn("text", decoded("ids"))
 
 
