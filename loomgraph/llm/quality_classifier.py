@@ -67,17 +67,20 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.theta[None, :], -40, 40)))
 
 
-def fit_ordinal(ids: list, values: list, grade: np.ndarray, grades: int, bits: int = BITS, steps: int = 250, ridge: float = 1e-6) -> OrdinalModel:
-    """Adam on the mean negative log likelihood of the cumulative link; gaps of theta stay positive by exp()."""
+def fit_ordinal(
+    row: np.ndarray, ids: np.ndarray, val: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, steps: int = 250, ridge: float = 1e-6
+) -> OrdinalModel:
+    """Adam on the mean negative log likelihood of the cumulative link; gaps of theta stay positive by exp().
+
+    row, ids and val are the features as (document number, hashed id, value) triples.
+    """
     w = np.zeros(1 << bits)
     raw = np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(max(grades - 1, 0))
     raw[1:] = np.log(np.maximum(np.diff(raw), 1e-3)) if len(raw) > 1 else raw[1:]
     if not len(grade):
         return OrdinalModel(w, _theta(raw))
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    row = np.repeat(np.arange(len(ids)), size)
-    col, val = np.concatenate(ids), np.concatenate(values)
-    used, col = np.unique(col, return_inverse=True)
+    used, col = np.unique(ids, return_inverse=True)
+    col = col.astype(np.int32)
     u = np.zeros(len(used))
     m, v = np.zeros(len(used) + len(raw)), np.zeros(len(used) + len(raw))
     n = len(grade)
@@ -129,10 +132,13 @@ def fit_grades(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
 
     got = rows.select("doc_id", "text", "grade").mapInPandas(
         features, "doc_id long, grade int, ids array<int>, vals array<float>"
-    ).toPandas().sort_values("doc_id")
-    return fit_ordinal(
-        [np.asarray(x, np.int64) for x in got.ids], [np.asarray(x, float) for x in got.vals], got.grade.to_numpy(np.int64), 3
-    )
+    ).toArrow()
+    got = got.sort_by("doc_id").combine_chunks()
+    if not len(got):
+        return fit_ordinal(np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, int), 3)
+    ids, vals = got["ids"].combine_chunks(), got["vals"].combine_chunks()
+    row = np.repeat(np.arange(len(got), dtype=np.int32), ids.value_lengths().to_numpy(zero_copy_only=False))
+    return fit_ordinal(row, ids.flatten().to_numpy(), vals.flatten().to_numpy(), got["grade"].to_numpy().astype(np.int64), 3)
 
 
 def classify(documents: DataFrame, model: OrdinalModel, keep_grade: int = 1, keep_at: float = 0.5) -> DataFrame:

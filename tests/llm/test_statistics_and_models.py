@@ -164,7 +164,7 @@ def test_ordinal_thresholds_rise():
     rng = np.random.default_rng(2)
     x = rng.standard_normal(2000)
     grade = np.digitize(x + 0.2 * rng.standard_normal(2000), [-0.5, 0.8])
-    model = quality_classifier.fit_ordinal([np.array([3])] * 2000, [np.array([v]) for v in x], grade, 3, bits=4)
+    model = quality_classifier.fit_ordinal(np.arange(2000), np.full(2000, 3), x, grade, 3, bits=4)
     assert np.all(np.diff(model.theta) > 0)
     tails = model.tails(model.weights[3] * x)
     assert (np.diff(tails, axis=1) <= 0).all()
