@@ -12,15 +12,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common
 from loomgraph.llm.components import components
 
-#: counters of the frequency sketch: a fixed 4 MB however large the corpus
-SKETCH_BITS = 20
+#: counters of the frequency sketch: a fixed 1 MB however large the corpus
+SKETCH_BITS = 18
+#: counters in a row of the table that the driver reads
+SKETCH_ROW = 8192
 MOST_MATCHES = 4
+#: a posting list whose sketch count (never too low) is at most this is handled in one group
+SMALL_LIST = 4096
+#: ids or pairs up to which a table is broadcast after it was counted (16 bytes each at most); beyond, it is shuffled
+BROADCAST_ROWS = 1_000_000
 #: cost of one verification in scanned postings
 VERIFY_COST = 50.0
 
@@ -56,11 +62,17 @@ def frequency_sketch(documents: DataFrame, rule: Rule, bits: int = SKETCH_BITS)
             part = hit[lo : lo + 200_000]
             yield pd.DataFrame({"slot": part.astype(np.int32), "n": total[part]})
 
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(SKETCH_ROW, "<i4")
+        part[rows.slot.to_numpy() % SKETCH_ROW] = np.minimum(rows.n.to_numpy(), 2**31 - 1)
+        return pd.DataFrame({"at": [int(rows.slot.iloc[0]) // SKETCH_ROW], "counts": [part.tobytes()]})
+
     slots = documents.select("text").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = slots.toPandas()
-    sketch = np.zeros(1 << bits, np.int64)
-    sketch[got.slot.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
-    return np.minimum(sketch, 2**31 - 1).astype(np.int32)
+    folded = slots.groupBy(F.floor(F.col("slot") / SKETCH_ROW)).applyInPandas(fold, "at int, counts binary")
+    sketch = np.zeros(1 << bits, np.int32)
+    for r in folded.collect():
+        sketch[r["at"] * SKETCH_ROW : (r["at"] + 1) * SKETCH_ROW] = np.frombuffer(r["counts"], "<i4")
+    return sketch
 
 
 def choose_matches(df: np.ndarray, n: int, need: int) -> int:
@@ -79,10 +91,11 @@ def choose_matches(df: np.ndarray, n: int, need: int) -> int:
 
 
 def signatures(documents: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, matches, and the prefix in global order."""
+    """doc_id, n_shingles, digest of the whole set, matches, the prefix in global order, and how many of its shingles
+    (the first ones) have posting lists that are surely small."""
     bits = int(np.log2(len(sketch)))
     shift, usual = np.uint64(64 - bits), int(np.median(sketch))
-    shared = documents.sparkSession.sparkContext.broadcast(sketch)  # 4 MB, fixed by SKETCH_BITS
+    shared = documents.sparkSession.sparkContext.broadcast(sketch)  # 1 MB, fixed by SKETCH_BITS
 
     def sign(batches):
         hasher, counts = common.WordHash(), shared.value
@@ -91,24 +104,26 @@ def signatures(documents: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFram
             for s in sets_of(b.text, rule.k, hasher):
                 n = len(s)
                 if not n:
-                    out.append((0, None, None, 0, []))
+                    out.append((0, None, None, 0, 0, []))
                     continue
-                df = np.maximum(counts[(s >> shift).astype(np.int64)] - usual, 0)
+                raw = counts[(s >> shift).astype(np.int64)]
+                df = np.maximum(raw - usual, 0)
                 need = rule.need(n)
                 reach = min(n, n - need + MOST_MATCHES)
                 key = df.astype(np.int64)
                 first = np.lexsort((s, key))[:reach] if n < 200 else _least(s, key, reach)
                 matches = choose_matches(df[first], n, need)
                 prefix = s[first[: n - need + matches]].view(np.int64)
+                small = int((raw[first[: n - need + matches]] <= SMALL_LIST).sum())
                 both = common.mix(s)
                 with np.errstate(over="ignore"):
                     a, c = int(s.sum().view(np.int64)), int(both.sum().view(np.int64))
-                out.append((n, a, c, matches, prefix))
-            yield pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "matches", "prefix"]).assign(doc_id=b.doc_id.to_numpy())[
-                ["doc_id", "n_shingles", "d1", "d2", "matches", "prefix"]]
+                out.append((n, a, c, matches, small, prefix))
+            yield pd.DataFrame(out, columns=["n_shingles", "d1", "d2", "matches", "small", "prefix"]).assign(doc_id=b.doc_id.to_numpy())[
+                ["doc_id", "n_shingles", "d1", "d2", "matches", "small", "prefix"]]
 
     return documents.select("doc_id", "text").mapInPandas(
-        sign, "doc_id long, n_shingles long, d1 long, d2 long, matches int, prefix array<long>"
+        sign, "doc_id long, n_shingles long, d1 long, d2 long, matches int, small int, prefix array<long>"
     )
 
 
@@ -119,9 +134,15 @@ def _least(s: np.ndarray, key: np.ndarray, reach: int) -> np.ndarray:
     return near[np.lexsort((s[near], key[near]))[:reach]]
 
 
+def if_small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows, which are counted, are few enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def verify(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose whole sets meet the rule.  Only documents in a pair are shingled again."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = if_small(ids)
 
     def again(batches):
         hasher = common.WordHash()
@@ -139,7 +160,7 @@ def verify(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
                 ok[i] = 100 * both >= rule.percent * (len(x) + len(y) - both)
             yield b.loc[ok, ["a", "b"]]
 
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
+    met = if_small(pairs).join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     met = met.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
     return met.mapInPandas(check, "a long, b long")
 
@@ -173,20 +194,24 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     member = common.materialize(
         filled.select("doc_id", "d1", "d2", "n_shingles").join(first, ["d1", "d2", "n_shingles"]).select("doc_id", "rep").distinct(),
         "members")
-    reps = filled.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+    copies = member.where("doc_id <> rep").select("doc_id").distinct()
+    reps = filled.join(if_small(copies), "doc_id", "left_anti")
     postings = reps.select(
-        "doc_id", F.col("n_shingles").cast("int").alias("n"), "matches", F.posexplode("prefix").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(
-        F.count("*").alias("size"), F.min(F.struct("pos", "doc_id", "n")).alias("hub")).where("size > 1")
+        "doc_id", F.col("n_shingles").cast("int").alias("n"), "matches", "small", F.posexplode("prefix").alias("pos", "token"))
+    columns = ["token", "doc_id", "n", "matches", "pos"]
+    hub = F.min(F.struct("pos", "doc_id", "n"))
+    # small lists: one shuffle, and a window of bounded size; others: lists first, then a join that can split them
+    alone = Window.partitionBy("token")
+    few = postings.where("pos < small").select(*columns).withColumn("size", F.count("*").over(alone)).withColumn("hub", hub.over(alone))
+    many = postings.where("pos >= small").select(*columns)
+    lists = many.groupBy("token").agg(F.count("*").alias("size"), hub.alias("hub"))
+    both = few.unionByName(many.join(lists, "token")).where("size > 1")
     shared = common.materialize(
-        postings.join(lists.select("token", "hub"), "token").select(
-            "token", "doc_id", "n", "matches", "pos", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"),
-            F.col("hub.pos").alias("hub_pos")),
-        "postings")
+        both.select(*columns, F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "postings")
     toward = shared.where("doc_id <> hub").where(possible(rule, "n", "pos", "hub_n", "hub_pos"))
     toward = toward.groupBy("doc_id", "hub").agg(F.count("*").alias("times"))
     best = toward.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("hub")).alias("least"))).alias("best"))
-    linked = verify(best.select(F.col("doc_id").alias("a"), (-F.col("best.least")).alias("b")), documents, rule)
+    linked = verify(common.materialize(best.select(F.col("doc_id").alias("a"), (-F.col("best.least")).alias("b")), "hub-pairs"), documents, rule)
     hubs = common.materialize(linked, "hub-links")
     classes = components(hubs)
     left = shared.select("token", "doc_id", "n", "matches", "pos").join(
@@ -206,7 +231,7 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     counted = unsure.join(prefixes.select(F.col("doc_id").alias("a"), F.col("prefix").alias("p")), "a").join(
         prefixes.select(F.col("doc_id").alias("b"), F.col("prefix").alias("q")), "b").where(
         F.size(F.array_intersect("p", "q")) >= F.col("ask"))
-    rest = common.materialize(verify(sure.select("a", "b").union(counted.select("a", "b")).distinct(), documents, rule), "links")
+    rest = common.materialize(verify(common.materialize(sure.select("a", "b").union(counted.select("a", "b")).distinct(), "open-pairs"), documents, rule), "links")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
     bound = member.join(several.where("n > 1").select("doc_id"), "doc_id", "left_semi")
     final = components(hubs.union(rest).union(bound.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
