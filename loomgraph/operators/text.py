@@ -61,10 +61,11 @@ def contained_spans(documents: DataFrame, spans: DataFrame, broadcast_rows: int
     asked = spans.select("item_id", collapse(F.col("text")).alias("span")).where("span <> ''")
     words = F.split("span", " ")
     asked = asked.withColumn("anchor", F.when(F.size(words) >= 7, F.xxhash64(F.slice(words, 2, 5))))
-    all_words = F.split("norm", " ")
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_words) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(all_words, i, 5)))
+    # the words are a column of their own, so that they are split once and not once a window
+    parted = texts.withColumn("parts", F.split("norm", " "))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("parts") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("parts", i, 5)))
     long = asked.where("anchor IS NOT NULL")
-    met = texts.select("doc_id", "norm", F.explode(F.array_distinct(windows)).alias("anchor")).join(long, "anchor")
+    met = parted.select("doc_id", "norm", F.explode(F.array_distinct(windows)).alias("anchor")).join(long, "anchor")
     found = met.where(F.contains("norm", "span")).select("item_id", "doc_id")
     short = asked.where("anchor IS NULL").drop("anchor")
     n = short.count()
