@@ -91,8 +91,8 @@ def choose_matches(df: np.ndarray, n: int, need: int) -> int:
 
 
 def signatures(documents: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, digest of the whole set, matches, the prefix in global order, and how many of its shingles
-    (the first ones) have posting lists that are surely small."""
+    """doc_id, n_shingles, digest of the whole set, matches, the prefix in global order, and for each of its shingles
+    whether its posting list is surely small: by the shingle's own count, so that all documents say the same of it."""
     bits = int(np.log2(len(sketch)))
     shift, usual = np.uint64(64 - bits), int(np.median(sketch))
     shared = documents.sparkSession.sparkContext.broadcast(sketch)  # 1 MB, fixed by SKETCH_BITS
@@ -104,7 +104,7 @@ def signatures(documents: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFram
             for s in sets_of(b.text, rule.k, hasher):
                 n = len(s)
                 if not n:
-                    out.append((0, None, None, 0, 0, []))
+                    out.append((0, None, None, 0, [], []))
                     continue
                 raw = counts[(s >> shift).astype(np.int64)]
                 df = np.maximum(raw - usual, 0)
@@ -114,7 +114,7 @@ def signatures(documents: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFram
                 first = np.lexsort((s, key))[:reach] if n < 200 else _least(s, key, reach)
                 matches = choose_matches(df[first], n, need)
                 prefix = s[first[: n - need + matches]].view(np.int64)
-                small = int((raw[first[: n - need + matches]] <= SMALL_LIST).sum())
+                small = raw[first[: n - need + matches]] <= SMALL_LIST
                 both = common.mix(s)
                 with np.errstate(over="ignore"):
                     a, c = int(s.sum().view(np.int64)), int(both.sum().view(np.int64))
@@ -123,7 +123,7 @@ def signatures(documents: DataFrame, rule: Rule, sketch: np.ndarray) -> DataFram
                 ["doc_id", "n_shingles", "d1", "d2", "matches", "small", "prefix"]]
 
     return documents.select("doc_id", "text").mapInPandas(
-        sign, "doc_id long, n_shingles long, d1 long, d2 long, matches int, small int, prefix array<long>"
+        sign, "doc_id long, n_shingles long, d1 long, d2 long, matches int, small array<boolean>, prefix array<long>"
     )
 
 
@@ -197,13 +197,14 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     copies = member.where("doc_id <> rep").select("doc_id").distinct()
     reps = filled.join(if_small(copies), "doc_id", "left_anti")
     postings = reps.select(
-        "doc_id", F.col("n_shingles").cast("int").alias("n"), "matches", "small", F.posexplode("prefix").alias("pos", "token"))
+        "doc_id", F.col("n_shingles").cast("int").alias("n"), "matches", F.posexplode(F.arrays_zip("prefix", "small")).alias("pos", "entry"))
+    postings = postings.select("doc_id", "n", "matches", "pos", F.col("entry.prefix").alias("token"), F.col("entry.small").alias("small"))
     columns = ["token", "doc_id", "n", "matches", "pos"]
     hub = F.min(F.struct("pos", "doc_id", "n"))
     # small lists: one shuffle, and a window of bounded size; others: lists first, then a join that can split them
     alone = Window.partitionBy("token")
-    few = postings.where("pos < small").select(*columns).withColumn("size", F.count("*").over(alone)).withColumn("hub", hub.over(alone))
-    many = postings.where("pos >= small").select(*columns)
+    few = postings.where("small").select(*columns).withColumn("size", F.count("*").over(alone)).withColumn("hub", hub.over(alone))
+    many = postings.where("NOT small").select(*columns)
     lists = many.groupBy("token").agg(F.count("*").alias("size"), hub.alias("hub"))
     both = few.unionByName(many.join(lists, "token")).where("size > 1")
     shared = common.materialize(

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm import ngram_join, packing
+from loomgraph.llm import common, ngram_join, packing
 from loomgraph.llm.components import components
 from loomgraph.llm.ngram_join import Rule
 
@@ -60,6 +60,22 @@ def test_components_match_brute_force(spark, seed, rule):
     assert got == brute_components(rows, rule)
 
 
+def test_a_posting_list_is_never_split(spark, monkeypatch):
+    # x's prefix is [V, T] and y's is [T, U]: T alone is of a small list, and all tie in the global order
+    rule = ngram_join.Rule(1, 50)
+    words = [f"w{i}" for i in range(200)]
+    order = sorted(words, key=lambda w: int(next(ngram_join.sets_of([w], 1, common.WordHash()))[0]))
+    v, t, u, rest = order[0], order[1], order[2], order[3:5]
+    sketch = np.full(1 << ngram_join.SKETCH_BITS, 5000, np.int32)
+    slot = next(ngram_join.sets_of([t], 1, common.WordHash()))[0] >> np.uint64(64 - ngram_join.SKETCH_BITS)
+    sketch[int(slot)] = 100
+    monkeypatch.setattr(ngram_join, "frequency_sketch", lambda *a: sketch)
+    monkeypatch.setattr(ngram_join, "choose_matches", lambda *a: 1)
+    docs = spark.createDataFrame([(1, " ".join([v, t, rest[0]])), (2, " ".join([t, u, rest[0]]))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs, rule).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_null_ids_repeats_and_empty_input(spark):
     rows = [(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (7, "A B C D E"), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
