@@ -31,12 +31,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id (once, if its row repeats)."""
+    """One document of each group of near copies stays, the one with the smallest doc_id: once, if its row
+    repeats, and with each of its texts, if they differ."""
     found = ngram_join.near_duplicates(docs, ngram_join.Rule(5, 80))
     first = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     stay = keep_rows(docs, found.select("doc_id", first.alias("first")), "first")
     twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = stay.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    again = stay.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return stay.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again)
 
 

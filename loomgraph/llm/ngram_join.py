@@ -157,7 +157,7 @@ def verify(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
             ok = np.zeros(len(b), bool)
             for i, (x, y) in enumerate(zip(b.x, b.y, strict=True)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[i] = 100 * both >= rule.percent * (len(x) + len(y) - both)
+                ok[i] = both > 0 and 100 * both >= rule.percent * (len(x) + len(y) - both)
             yield b.loc[ok, ["a", "b"]]
 
     met = if_small(pairs).join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
@@ -191,11 +191,11 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     signed = common.materialize(signatures(documents, rule, frequency_sketch(documents, rule)), "signatures")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     first = filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # one row per document and set: an id that repeats with other texts is a copy in some of its sets only
     member = common.materialize(
-        filled.select("doc_id", "d1", "d2", "n_shingles").join(first, ["d1", "d2", "n_shingles"]).select("doc_id", "rep").distinct(),
-        "members")
-    copies = member.where("doc_id <> rep").select("doc_id").distinct()
-    reps = filled.join(if_small(copies), "doc_id", "left_anti")
+        filled.select("doc_id", "d1", "d2", "n_shingles").join(first, ["d1", "d2", "n_shingles"]).distinct(), "members")
+    copies = member.where("doc_id <> rep").select("doc_id", "d1", "d2", "n_shingles")
+    reps = filled.join(if_small(copies), ["doc_id", "d1", "d2", "n_shingles"], "left_anti")
     postings = reps.select(
         "doc_id", F.col("n_shingles").cast("int").alias("n"), "matches", F.posexplode(F.arrays_zip("prefix", "small")).alias("pos", "entry"))
     postings = postings.select("doc_id", "n", "matches", "pos", F.col("entry.prefix").alias("token"), F.col("entry.small").alias("small"))
@@ -233,8 +233,8 @@ def near_duplicates(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
         prefixes.select(F.col("doc_id").alias("b"), F.col("prefix").alias("q")), "b").where(
         F.size(F.array_intersect("p", "q")) >= F.col("ask"))
     rest = common.materialize(verify(common.materialize(sure.select("a", "b").union(counted.select("a", "b")).distinct(), "open-pairs"), documents, rule), "links")
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
-    bound = member.join(several.where("n > 1").select("doc_id"), "doc_id", "left_semi")
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.countDistinct("rep").alias("n"))
+    bound = member.select("doc_id", "rep").distinct().join(several.where("n > 1").select("doc_id"), "doc_id", "left_semi")
     final = components(hubs.union(rest).union(bound.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     out = signed.select("doc_id", "n_shingles").join(several.select("doc_id", "rep"), "doc_id", "left")
     out = out.join(final.withColumnRenamed("vertex", "rep"), "rep", "left")

@@ -84,6 +84,14 @@ def test_null_ids_repeats_and_empty_input(spark):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_an_id_with_several_texts_keeps_each(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, ""), (7, b), (9, b + " end"), (11, "other words"), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 11: 11}
+
+
 def test_more_matches_lose_no_link():
     rng = random.Random(4)
     rule = Rule(1, 70)

@@ -54,3 +54,10 @@ def test_repeated_and_null_ids_in_the_duplicate_stage(spark):
     docs = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, kept_id string")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()), key=str)
     assert got == [(1, "a b c d e f g"), (3, None), (None, "a b c d e f g")]
+
+
+def test_a_repeated_id_keeps_its_different_texts(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (1, "h i j k l m n"), (2, "h i j k l m n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert got == [(1, "a b c d e f g"), (1, "h i j k l m n")]
