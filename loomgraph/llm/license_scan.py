@@ -27,7 +27,8 @@ class Matcher:
     """TF-IDF cosine of lines and of whole texts to the templates, over the templates' own terms.
 
     A term of a template weighs log((1 + N) / (1 + df)) + 1, with df counted over all N files; each other word of a
-    line counts as a term of its own that no file holds, so a notice inside a long line of prose scores low.
+    line counts as a term of its own with the root mean square weight of the templates' terms, so a notice inside a
+    long line of prose scores low, and a verdict hangs on the terms' shares of the files and not on their number.
     """
 
     def __init__(self, templates: list[tuple[str, str]], df: dict[str, int], files: int) -> None:
@@ -35,7 +36,8 @@ class Matcher:
         split = [[t for t in TOKEN.findall(text.lower()) if t != "\n"] for _, text in templates]
         self.terms = {t: i for i, t in enumerate(sorted({t for s in split for t in s}))}
         weight = [np.log((1 + files) / (1 + df.get(t, 0))) + 1 for t in self.terms]
-        self.idf, self.other = np.array(weight, float), float(np.log(1 + files) + 1)
+        self.idf = np.array(weight, float)
+        self.other = float(np.sqrt(np.mean(self.idf**2))) if weight else 1.0
         m = np.zeros((len(self.terms), len(split)))
         for j, s in enumerate(split):
             for t in s:

@@ -190,3 +190,16 @@ def test_cosine_equals_a_dictionary_version():
     lines = ["Released under the MIT License.", "the the mit of things", "All rights are reserved to the public license"]
     got = matcher.lines(matcher.codes("\n".join(lines)))
     assert np.allclose(got, [[cosine(x, t) for _, t in templates] for x in lines])
+
+
+def test_verdicts_do_not_hang_on_the_number_of_files():
+    lines = [
+        "This file is licensed under the Apache License, Version 2.0.", "(c) All rights reserved.", "Released under the MIT License.",
+        "this long line of prose only mentions the MIT License once among many other words",
+    ]
+    share = {"the": 0.8, "is": 0.6, "this": 0.5, "under": 0.2, "all": 0.3, "work": 0.2, "by": 0.5, "version": 0.05, "public": 0.1}
+    for files in (10**3, 10**5, 10**7):
+        matcher = license_scan.Matcher(license_scan.TEMPLATES, {t: int(files * share.get(t, 0.02)) for t in license_scan.Matcher(license_scan.TEMPLATES, {}, 1).terms}, files)
+        found = matcher.lines(matcher.codes("\n".join(lines)))
+        said = [matcher.names[r.argmax()] if r.max() >= license_scan.MATCH_AT else None for r in found]
+        assert said == ["Apache-2.0", "all-rights-reserved", "MIT", None]
