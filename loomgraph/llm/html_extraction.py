@@ -38,6 +38,8 @@ NOT_ARTICLE = re.compile(
 )
 #: a subtree is template if it stands on so many pages of its host with different main text, and on such a share of them
 MIN_PAGES, MIN_SHARE = 5, 0.01
+#: so many pages with different main text are enough whatever their share, so that a large host loses its templates too
+ENOUGH_PAGES = 100
 #: (host, subtree) pairs up to which the template table is broadcast (8 bytes each); beyond, it is joined by shuffle
 BROADCAST_SUBTREES = 1_000_000
 
@@ -172,14 +174,15 @@ def _dropped(node: Node, template) -> bool:
 
 
 def extract(
-    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_subtrees: int = BROADCAST_SUBTREES
+    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_subtrees: int = BROADCAST_SUBTREES,
+    enough_pages: int = ENOUGH_PAGES,
 ) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     A null or empty html gives the empty text; a null url counts to the host ''.  Pages that repeat the same article
-    count once, so copies of a page do not make a template.  Repeated rows are extracted one by one; other
-    columns are not read.  A host has at most (subtrees a page) / min_share template subtrees, so its row is small;
-    the table of all hosts is broadcast only after it was counted, else joined by shuffle.
+    count once, on both sides of the share, so copies of a page neither make a template nor hide one.  Repeated rows are
+    extracted one by one; other columns are not read.  The table of all template subtrees is broadcast to the workers
+    only after it was counted; else the subtrees of each page meet it by shuffle, and a page carries its own ones only.
     """
     common.small_batches(pages.sparkSession, 500)
     rows = with_host_and_path(pages.select("page_id", "url", "html")).drop("path")
@@ -191,40 +194,69 @@ def extract(
                 root = parse(common.as_text(html))
                 own = {h for h, _ in hash_subtrees(root)}
                 sig = main_hash(root)
-                hosts.extend([host] * len(own))
-                hashes.extend(own)
-                sigs.extend([sig] * len(own))
+                hosts.extend([host] * (len(own) + 1))
+                hashes.extend([None, *own])  # null stands for the page itself
+                sigs.extend([sig] * (len(own) + 1))
             if hosts:
-                yield pd.DataFrame({"host": hosts, "subtree": np.array(hashes, np.int64), "sig": np.array(sigs, np.int64)})
+                yield pd.DataFrame({"host": hosts, "subtree": pd.array(hashes, "Int64"), "sig": np.array(sigs, np.int64)})
 
     seen = rows.select("host", "html").mapInPandas(subtrees, "host string, subtree long, sig long").distinct()
-    counted = seen.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    different = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
-    often = counted.join(different, "host").where(F.col("pages") >= min_share * F.col("host_pages"))
-    template = common.materialize(often.groupBy("host").agg(F.collect_set("subtree").alias("template")), "templates")
-    size = template.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0]
-    joined = rows.join(F.broadcast(template) if size <= broadcast_subtrees else template, "host", "left")
+    counted = common.materialize(
+        seen.groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("subtree").isNull() | (F.col("pages") >= min_pages)), "subtrees")
+    different = counted.where("subtree IS NULL").select("host", F.col("pages").alias("articles"))
+    often = counted.where("subtree IS NOT NULL").join(different, "host").where(
+        (F.col("pages") >= min_share * F.col("articles")) | (F.col("pages") >= enough_pages))
+    template = common.materialize(often.select("host", "subtree"), "templates")
+    if template.count() <= broadcast_subtrees:
+        table: dict[str, np.ndarray] = {}
+        found = template.toArrow().to_pandas()
+        for host, own in found.groupby("host", dropna=False)["subtree"]:
+            table[host] = own.to_numpy(np.int64)
+        shared = pages.sparkSession.sparkContext.broadcast(table)  # 8 bytes a subtree and an entry a host, counted above
+        joined = rows
+    else:
+        shared = None
+        # equal pages of a host have equal subtrees, so they share a key
+        rows = rows.withColumn("key", F.xxhash64("html"))
+
+        def keyed(batches):
+            for b in batches:
+                hosts, keys, hashes = [], [], []
+                for host, key, html in zip(b.host, b.key, b.html, strict=True):
+                    own = {h for h, _ in hash_subtrees(parse(common.as_text(html)))}
+                    hosts.extend([host] * len(own))
+                    keys.extend([key] * len(own))
+                    hashes.extend(own)
+                if hosts:
+                    yield pd.DataFrame({"host": hosts, "key": np.array(keys, np.int64), "subtree": np.array(hashes, np.int64)})
+
+        own = rows.select("host", "key", "html").mapInPandas(keyed, "host string, key long, subtree long")
+        own = own.join(template, ["host", "subtree"], "left_semi").groupBy("host", "key").agg(F.collect_set("subtree").alias("template"))
+        joined = rows.join(own, ["host", "key"], "left").select("page_id", "url", "html", "host", "template")
 
     def texts(batches):
-        known: dict[str, tuple[int, frozenset]] = {}
+        known: dict[str, frozenset] = {}
+
+        def of_host(host):
+            if host not in known:
+                if len(known) > 1000:
+                    known.clear()
+                known[host] = frozenset(shared.value[host].tolist()) if host in shared.value else frozenset()
+            return known[host]
 
         def one(b):
             out = []
-            for host, html, own in zip(b.host, b.html, b.template, strict=True):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = frozenset() if own is None else frozenset(map(int, own))
+            given = [of_host(h) for h in b.host] if shared else [frozenset() if t is None else frozenset(map(int, t)) for t in b.template]
+            for html, template in zip(b.html, given, strict=True):
                 root = parse(common.as_text(html))
                 hash_subtrees(root)
-                out.append(text_of(root, known[host]))
+                out.append(text_of(root, template))
             return pd.DataFrame({"page_id": b.page_id, "url": b.url, "text": out, "n_chars": [len(t) for t in out]})
 
         return common.frames(batches, one)
 
-    return joined.select("page_id", "url", "html", "host", "template").mapInPandas(
-        texts, "page_id long, url string, text string, n_chars long"
-    )
+    columns = ["page_id", "url", "html", "host"] + ([] if shared else ["template"])
+    return joined.select(*columns).mapInPandas(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,16 @@ def test_site_template_goes_and_quoted_passages_stay(spark):
     assert texts(spark, rows, broadcast_subtrees=0) == got
 
 
+def test_copies_and_size_of_a_host_hide_no_template(spark):
+    notice = "<div><p>Site wide words</p></div>"
+    rows = [(i, f"http://copies.site/{i}", page(f"{notice}<div><p>Own text {i % 6}</p></div>")) for i in range(660)]
+    rows += [(1000 + i, f"http://large.site/{i}", page(f"{notice if i < 8 else ''}<div><p>Own text {i}</p></div>")) for i in range(850)]
+    for broadcast in (1000, 0):
+        got = texts(spark, rows, broadcast_subtrees=broadcast, enough_pages=8)
+        assert all(got[i] == f"Own text {i % 6}" for i in range(660) if i % 6)
+        assert all(got[1000 + i] == f"Own text {i}" for i in range(850))
+
+
 def test_no_pages(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
