@@ -18,14 +18,16 @@ from loomgraph.llm import common
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 13, 4
-CYCLE = 16
-FULL = (1 << 64) - 1
+DROPOUT, SEED = 0.1, 13
 NEVER = float("inf")
 #: parts up to this length are merged the short way
 SHORT = 62
-#: parts a task keeps; as many again of the generation before
+#: merged parts a task keeps; as many again of the generation before
 CACHED = 300_000
+#: candidates of parts that a task keeps before it starts anew
+CANDIDATES = 2_000_000
+#: candidates that fit a mask; a part with more is drawn and merged alone
+MASKED = 62
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -33,15 +35,15 @@ class MergeCodec:
     """Merges by score with an agenda; decoding joins pieces and bytes back to the text.
 
     In this kind of model no piece has a space mark after another character, so a text falls apart before each run
-    of space marks and the parts are encoded alone.  A candidate merge is skipped, once and for all, if the keyed
-    hash of (seed, variant, part, left end, right end) falls below `dropout`.  A part's variant is a keyed hash of
-    the document's key and the part's number modulo CYCLE, so equal words come out in up to `variants` ways, which are
-    cached, and a text in up to variants ** CYCLE.
+    of space marks and the parts are encoded alone.  A candidate merge (a piece within the part, by its ends) is
+    skipped, once and for all, if the keyed hash of (seed, document key, the part's number, candidate) falls below
+    `dropout`: each occurrence draws its own.  A part and the skips drawn for it determine the ids, so these are cached
+    by both.
     A space mark in the text itself is written as bytes, so that decoding gives it back; but for that, encoding
     without dropout is that of the library.
     """
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS) -> None:
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = 0) -> None:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.special = {i for i in range(len(self.pieces)) if model.is_control(i) or model.is_unknown(i)}
@@ -50,13 +52,17 @@ class MergeCodec:
         self.id = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in self.byte_of}
         self.score = {p: model.get_score(i) for p, i in self.id.items()}
         self.cost = {p: -c for p, c in self.score.items()}
-        self.dropout, self.seed, self.variants = dropout, seed, variants if dropout else 1
-        self.floor = int(dropout * 2**64)
-        # odd multipliers by (left, right) ends: multiplicative hashing of a part's key
-        self.odd = (common.mix(np.arange(4096, dtype=np.uint64) * common.ODD + np.uint64(seed)) | np.uint64(1)).tolist()
-        # per variant: parts seen lately, and those of the generation before
-        self.young: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+        self.dropout, self.seed = dropout, seed
+        self.floor = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
+        self.widest = max(map(len, self.score))
+        # candidates of the parts seen lately: the part's row, counts by row, and left end * (widest + 1) + length
+        self.rows: dict[str, int] = {}
+        self.codes: list[list[int]] = []
+        self.held = 0
+        self.counts = np.zeros(1024, np.int64)
+        # ids by part and mask seen lately, and those of the generation before
+        self.young: dict[tuple[str, int], list[int]] = {}
+        self.old: dict[tuple[str, int], list[int]] = {}
         space = [p.replace(SPACE, " ") for p in self.pieces]
         self.shown = ["" if i in self.special else p for i, p in enumerate(space)]
         self.is_byte = np.array([i in self.byte_of for i in range(len(space))], bool)
@@ -70,47 +76,76 @@ class MergeCodec:
         for piece in literal[1:]:
             parts.append("")
             parts.extend(PART.findall(piece.replace(" ", SPACE)))
-        n = CYCLE if self.dropout else 1
-        draw = self._key(str(key))
-        found: list = [None] * len(parts)
-        for i in range(n):
-            mine = parts[i::n]
-            variant = common.mix(np.uint64([draw + i & FULL]))[0] % np.uint64(self.variants) if self.dropout else 0
-            found[i::n] = map(self._known(int(variant), set(mine)).__getitem__, mine)
-        return list(chain.from_iterable(found))
-
-    def _known(self, variant: int, parts: set[str]) -> dict[str, list[int]]:
-        """The cache of a variant, with all these parts in it."""
-        young = self.young[variant]
-        if len(young) > CACHED // self.variants:
-            self.old[variant], young = young, {}
-            self.young[variant] = young
-        old = self.old[variant]
-        for part in parts.difference(young):
-            ids = old.get(part)
-            young[part] = self._merge(part, variant) if ids is None else ids
-        return young
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        masks = self._draw(parts, self._key(str(key))) if self.dropout else [0] * len(parts)
+        young, old, out = self.young, self.old, []
+        for both in zip(parts, masks, strict=True):
+            ids = young.get(both)
+            if ids is None:
+                part, mask = both
+                if isinstance(mask, frozenset):
+                    ids = self._merge(part, mask)
+                else:
+                    ids = old.get(both)
+                    if ids is None:
+                        codes = self.codes[self.rows[part]] if mask else ()
+                        ids = self._merge(part, frozenset(c for i, c in enumerate(codes) if mask >> i & 1))
+                    young[both] = ids
+            out.extend(ids)
+        return out
+
+    def _draw(self, parts: list[str], key: int) -> list:
+        """For each occurrence the skipped candidates: bits of a mask, or a set of codes where they do not fit one."""
+        if self.held > CANDIDATES:
+            self.rows, self.codes, self.held = {}, [], 0
+        rows = self.rows
+        for part in set(parts).difference(rows):
+            at = rows[part] = len(self.codes)
+            self.codes.append(self._candidates(part))
+            if at >= len(self.counts):
+                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+            self.counts[at] = len(self.codes[at])
+            self.held += 1 + len(self.codes[at])
+        row = np.fromiter(map(rows.__getitem__, parts), np.int64, len(parts))
+        count, step = self.counts[row], np.uint64(common.ODD)
+        own = common.mix(np.arange(1, len(parts) + 1, dtype=np.uint64) * step + np.uint64(key))
+        masks = np.zeros(len(parts), np.int64)
+        fits = np.flatnonzero((count > 0) & (count <= MASKED))
+        if len(fits):
+            n = count[fits]
+            start = np.cumsum(n) - n
+            i = np.arange(n.sum()) - np.repeat(start, n)
+            skip = common.mix(np.repeat(own[fits], n) + (i + 1).astype(np.uint64) * step) < self.floor
+            masks[fits] = np.add.reduceat(skip.astype(np.int64) << i, start)
+        found: list = masks.tolist()
+        for at in np.flatnonzero(count > MASKED).tolist():
+            codes = self.codes[row[at]]
+            skip = common.mix(own[at] + np.arange(1, len(codes) + 1, dtype=np.uint64) * step) < self.floor
+            found[at] = frozenset(codes[i] for i in np.flatnonzero(skip).tolist())
+        return found
+
+    def _candidates(self, part: str) -> list[int]:
+        """Codes of all pieces within the part that a merge can make."""
+        known, width, n = self.score, self.widest + 1, len(part)
+        return [i * width + k for i in range(n - 1) for k in range(2, min(self.widest, n - i) + 1) if part[i : i + k] in known]
 
     def _key(self, text: str) -> int:
         return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
 
-    def _merge(self, part: str, variant: int) -> list[int]:
+    def _merge(self, part: str, skip: frozenset[int]) -> list[int]:
         if not part:  # a literal space mark of the text, kept apart from a space
             return [self.byte[b] for b in SPACE.encode()]
-        key = self._key(f"{variant}\0{part}") if self.dropout else 0
-        if len(part) <= SHORT:
-            return self._ids(self._merge_short(part, key))
-        return self._ids(self._merge_long(part, key))
+        return self._ids(self._merge_short(part, skip) if len(part) <= SHORT else self._merge_long(part, skip))
 
-    def _merge_short(self, part: str, key: int) -> list[str]:
+    def _merge_short(self, part: str, skip: frozenset[int]) -> list[str]:
         """The agenda as a plain list, one cost for each pair of neighbours: fastest for words."""
-        get, floor, odd, dropping = self.cost.get, self.floor, self.odd, bool(self.dropout)
+        get, width = self.cost.get, self.widest + 1
         symbols, at = list(part), list(range(len(part)))
         agenda = [get(part[i : i + 2], NEVER) for i in at[:-1]]
-        if dropping:
-            for i, c in enumerate(agenda):
-                if c is not NEVER and key * odd[i << 6 | i + 2] & FULL < floor:
-                    agenda[i] = NEVER
+        for i in at[:-1] if skip else ():
+            if i * width + 2 in skip:
+                agenda[i] = NEVER
         while agenda:
             best = min(agenda)
             if best is NEVER:
@@ -122,24 +157,24 @@ class MergeCodec:
             if i < len(agenda):
                 wider = merged + symbols[i + 1]
                 c = get(wider, NEVER)
-                agenda[i] = NEVER if c is NEVER or dropping and key * odd[at[i] << 6 | at[i] + len(wider)] & FULL < floor else c
+                agenda[i] = NEVER if skip and at[i] * width + len(wider) in skip else c
             if i:
                 wider = symbols[i - 1] + merged
                 c = get(wider, NEVER)
-                agenda[i - 1] = NEVER if c is NEVER or dropping and key * odd[at[i - 1] << 6 | at[i - 1] + len(wider)] & FULL < floor else c
+                agenda[i - 1] = NEVER if skip and at[i - 1] * width + len(wider) in skip else c
         return symbols
 
-    def _merge_long(self, part: str, key: int) -> list[str]:
+    def _merge_long(self, part: str, skip: frozenset[int]) -> list[str]:
         """The agenda as a heap, for parts of any length; the same merges as the short way."""
         symbols: list[str | None] = list(part)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         score, agenda = self.score, []
-        get, push, floor, dropping, odd = score.get, heapq.heappush, self.floor, bool(self.dropout), self.odd
+        get, push, width = score.get, heapq.heappush, self.widest + 1
         for i in range(n - 1):
             merged = part[i : i + 2]
             s = get(merged)
-            if s is not None and not (dropping and key * odd[(i << 6 | i + 2) & 4095] & FULL < floor):
+            if s is not None and i * width + 2 not in skip:
                 agenda.append((-s, i, i + 1, merged))
         heapq.heapify(agenda)
         while agenda:
@@ -148,18 +183,17 @@ class MergeCodec:
                 continue
             symbols[left], symbols[right] = merged, None
             beyond = after[left] = after[right]
-            end = left + len(merged)
             if beyond >= 0:
                 before[beyond] = left
                 wider = merged + symbols[beyond]
                 s = get(wider)
-                if s is not None and not (dropping and key * odd[(left << 6 | left + len(wider)) & 4095] & FULL < floor):
+                if s is not None and left * width + len(wider) not in skip:
                     push(agenda, (-s, left, beyond, wider))
             ahead = before[left]
             if ahead >= 0:
                 wider = symbols[ahead] + merged
                 s = get(wider)
-                if s is not None and not (dropping and key * odd[(ahead << 6 | end) & 4095] & FULL < floor):
+                if s is not None and ahead * width + len(wider) not in skip:
                     push(agenda, (-s, ahead, left, wider))
         return [s for s in symbols if s is not None]
 
@@ -184,13 +218,13 @@ class MergeCodec:
 
 
 @lru_cache(maxsize=2)
-def codec_of(path: str, dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS) -> MergeCodec:
+def codec_of(path: str, dropout: float = 0.0, seed: int = 0) -> MergeCodec:
     """One codec a worker process, so that its tasks share the cache."""
-    return MergeCodec(path, dropout, seed, variants)
+    return MergeCodec(path, dropout, seed)
 
 
 def encode_documents(
-    documents: DataFrame, model_path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS
+    documents: DataFrame, model_path: str | None = None, dropout: float = DROPOUT, seed: int = SEED
 ) -> DataFrame:
     """doc_id and ids (array of int) of each row of documents (doc_id, text).
 
@@ -201,7 +235,7 @@ def encode_documents(
     path = model_path or public_tokenizers.path(MODEL)
 
     def run(batches):
-        codec = codec_of(path, dropout, seed, variants)
+        codec = codec_of(path, dropout, seed)
         for b in batches:
             keys = [-1 if pd.isna(k) else int(k) for k in b.doc_id]
             yield pd.DataFrame({"doc_id": b.doc_id, "ids": [np.array(codec.encode(common.as_text(t), k), np.int32) for t, k in zip(b.text, keys, strict=True)]})

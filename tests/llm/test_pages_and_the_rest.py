@@ -158,6 +158,33 @@ def test_dropout_varies_by_key_and_not_by_run(codecs):
     assert len(dropping.encode(text, 1)) > len(plain.encode(text))
 
 
+def test_every_occurrence_draws_its_own_dropout(codecs):
+    codec = sentencepiece_codec.MergeCodec(public_tokenizers.path(sentencepiece_codec.MODEL), 0.1, 13)
+    for part in ("▁measurements", "x" * 200):
+        masks = codec._draw([part] * 4000, codec._key("1"))
+        assert len(set(masks)) > 20 and masks[:16] != masks[16:32]
+    ids = codec.encode("measurements " * 4000, 1)
+    ways, now = set(), []
+    for i in ids:
+        if codec.pieces[i].startswith(sentencepiece_codec.SPACE) and now:
+            ways.add(tuple(now))
+            now = []
+        now.append(i)
+    assert len(ways) > 8
+    skips = codec._draw(["▁measurements"] * 20_000, 5)
+    n = len(codec.codes[codec.rows["▁measurements"]])
+    assert abs(sum(m.bit_count() for m in skips) / (n * 20_000) - 0.1) < 0.01
+
+
+def test_short_and_long_merges_agree_under_skips(codecs):
+    rng = random.Random(3)
+    for word in ("▁extraordinary", "▁organisation", "▁measurements"):
+        codes = codecs[1]._candidates(word)
+        for _ in range(50):
+            skip = frozenset(c for c in codes if rng.random() < 0.2)
+            assert codecs[1]._merge_short(word, skip) == codecs[1]._merge_long(word, skip)
+
+
 def test_codec_edge_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a ▁ b"), (3, "x" * 50_000), (3, "x" * 50_000)], "doc_id long, text string").withColumn("ids", F.lit("clash"))
     got = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(docs)).collect()
