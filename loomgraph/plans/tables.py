@@ -191,7 +191,7 @@ def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on_tables("tx03_mention_windows", None)
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.mention_windows(read(spark, sf_dir, "documents"), F.lit("license"), 2)
+    return text.mention_windows(read(spark, sf_dir, "documents"), F.lit("license"), 15)
 
 
 @on_tables("tx01_chunks", None)

@@ -39,3 +39,11 @@ def test_rows_match(spark, other, name):
     assert sorted(names) == columns
     theirs = sorted((tuple(plain(v) for _, v in sorted(zip(names, row, strict=True))) for row in found.fetchall()), key=repr)
     assert mine == theirs
+
+
+def test_mention_windows_take_fifteen_lines(spark, tmp_path):
+    lines = ["x"] * 100
+    lines[20] = lines[45] = lines[90] = "a License"
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.start, r.end) for r in catalog.queries()["tx03_mention_windows"](spark, str(tmp_path)).collect())
+    assert got == [(5, 61), (75, 100)]
