@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: entries a task keeps in a word cache before it starts a new one
 CACHE_LIMIT = 400_000
+#: rows up to which a table of a few numbers a row is broadcast after it was counted; beyond, it is shuffled
+BROADCAST_ROWS = 200_000
+#: keys that a skewed join may treat alone, and rows under which a key is never skewed
+HOT_KEYS, HOT_LEAST = 10_000, 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again: what was made from them must be written by now."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if its rows, which are counted, are few enough."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """left joined to right (a written table with one row a key), where a few keys may hold most rows of left.
+
+    `weight` is the column of right that counts left's rows of the key.  Keys that hold more than one row in HOT_KEYS
+    of left are HOT_KEYS at most, so their rows of right are broadcast, whatever the size of the tables, and left's
+    rows of them stay where they are; all others join as Spark chooses.
+    """
+    bare = right.drop(weight)
+    found = right.agg(F.sum(weight).alias("total"), F.max(weight).alias("most")).first()
+    bar = max(HOT_LEAST, (found["total"] or 0) // HOT_KEYS)
+    if (found["most"] or 0) <= bar:
+        return left.join(bare, keys, how)
+    hot = F.broadcast(right.where(F.col(weight) > bar).drop(weight))
+    cold = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(weight) <= bar).drop(weight), keys, how)
+    return left.join(hot, keys).unionByName(cold)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

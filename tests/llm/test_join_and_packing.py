@@ -86,10 +86,10 @@ def test_null_ids_repeats_and_empty_input(spark):
 
 def test_an_id_with_several_texts_keeps_each(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
-    rows = [(1, a), (5, a), (5, b), (5, ""), (7, b), (9, b + " end"), (11, "other words"), (11, "")]
+    rows = [(1, a), (5, a), (5, b), (5, ""), (7, b), (9, b + " end"), (11, "other words"), (11, ""), (13, a), (13, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
-    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 11: 11}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 11: 11, 13: 1}
 
 
 def test_more_matches_lose_no_link():
@@ -190,3 +190,29 @@ def test_query_digest(spark, tmp_path):
     row = packing.op6_packing(spark, str(tmp_path)).first()
     ids = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)).encode("hello there", add_special_tokens=False).ids
     assert row.ids_crc32 == zlib.crc32(np.array([*ids, 1], "<u4").tobytes())
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for rule in (Rule(4, 85), Rule(4, 60)):
+        for _ in range(400):
+            x = np.unique(rng.integers(0, 2**63, rng.integers(1, 1200)).astype(np.uint64))
+            y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.93], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            differ = ngram_join.differing_bits(ngram_join.parity_bitmap(x), ngram_join.parity_bitmap(y))
+            assert differ <= len(x) + len(y) - 2 * both
+            if len(y) and rule.met(len(x), len(y), both):
+                assert differ <= ngram_join.unlike_bits_allowed(rule, np.int64(len(x)), np.int64(len(y)))
+
+
+def test_long_lists_and_large_hubs_are_dealt_out(spark, monkeypatch):
+    rows = near_copies(6)
+    plain = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(ngram_join, "HUB_GROUP", 2)
+    monkeypatch.setattr(ngram_join, "PAIR_GROUP", 3)
+    monkeypatch.setattr(ngram_join, "SMALL_LIST", 2)
+    monkeypatch.setattr(common, "HOT_LEAST", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    dealt = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert dealt == plain == {i: c for i, (_, c) in brute_components(rows, Rule()).items()}
