@@ -4,10 +4,11 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import sentencepiece
 import xxhash
@@ -19,26 +20,92 @@ from loomgraph.llm import common
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED = 0.1, 13
-NEVER = float("inf")
-#: parts up to this length are merged the short way
-SHORT = 62
-#: merged parts a task keeps; as many again of the generation before
-CACHED = 300_000
-#: candidates of parts that a task keeps before it starts anew
-CANDIDATES = 2_000_000
-#: candidates that fit a mask; a part with more is drawn and merged alone
-MASKED = 62
+NEVER = np.iinfo(np.int32).max
+#: parts up to this length are merged side by side; longer ones, and such with characters that have no piece, alone
+SHORT = 48
+#: parts a worker remembers (about 400 bytes each) before it starts anew
+PARTS = 250_000
+#: parts that are merged side by side at once
+SIDE_BY_SIDE = 20_000
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+class PairTable:
+    """The piece that two neighbouring pieces merge to, by open addressing over (left id, right id)."""
+
+    EMPTY = -1
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        found = {}
+        for piece, merged in ids.items():
+            for i in range(1, len(piece)):
+                left, right = ids.get(piece[:i]), ids.get(piece[i:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = merged
+        self.bits = max(4, (4 * len(found)).bit_length())
+        self.keys = np.full((1 << self.bits) + 64, self.EMPTY, np.int64)
+        self.values = np.full((1 << self.bits) + 64, -1, np.int32)
+        slots = self._slot(np.array(list(found), np.int64)).tolist()
+        for slot, (key, merged) in zip(slots, found.items(), strict=True):
+            while self.keys[slot] != self.EMPTY:
+                slot += 1
+            self.keys[slot], self.values[slot] = key, merged
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * common.ODD >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merged ids; -1 where the two do not merge."""
+        key = left.astype(np.int64) << 32 | right
+        slot = self._slot(key)
+        there = self.keys[slot]
+        out = self.values[slot]
+        other = np.flatnonzero((there != key) & (there != self.EMPTY))
+        out[there != key] = -1
+        while len(other):
+            slot[other] += 1
+            there = self.keys[slot[other]]
+            hit = there == key[other]
+            out[other[hit]] = self.values[slot[other[hit]]]
+            other = other[~hit & (there != self.EMPTY)]
+        return out
+
+
+class Ragged:
+    """Rows of numbers of different lengths that grow at the end."""
+
+    def __init__(self, dtype) -> None:
+        self.flat, self.used = np.empty(1024, dtype), 0
+        self.start, self.size, self.rows = np.empty(1024, np.int64), np.empty(1024, np.int64), 0
+
+    def add(self, values: np.ndarray, size: np.ndarray) -> None:
+        for name, new, at in (("flat", values, self.used), ("start", self.used + np.cumsum(size) - size, self.rows), ("size", size, self.rows)):
+            old = getattr(self, name)
+            if at + len(new) > len(old):
+                old = np.concatenate([old, np.empty(len(old) + len(new), old.dtype)])
+                setattr(self, name, old)
+            old[at : at + len(new)] = new
+        self.used, self.rows = self.used + len(values), self.rows + len(size)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of these rows one after the other, and the rows' sizes."""
+        size = self.size[rows]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        return self.flat[np.repeat(self.start[rows] - (end - size), size) + np.arange(total)], size
+
+
 class MergeCodec:
     """Merges by score with an agenda; decoding joins pieces and bytes back to the text.
 
     In this kind of model no piece has a space mark after another character, so a text falls apart before each run
-    of space marks and the parts are encoded alone.  A candidate merge (a piece within the part, by its ends) is
-    skipped, once and for all, if the keyed hash of (seed, document key, the part's number, candidate) falls below
-    `dropout`: each occurrence draws its own.  A part and the skips drawn for it determine the ids, so these are cached
-    by both.
+    of space marks and the parts are encoded alone.  When a candidate merge (a piece within the part, by its left end
+    and its length) comes to the top of the agenda, it is skipped, once and for all, if the keyed hash of (seed,
+    document key, the part's number, left end, length) falls below `dropout`: each occurrence draws its own.
+
+    Agendas are worked off side by side, a row of an array for each part.  What a part gives without skips, and the
+    candidates that come to the top meanwhile, is remembered; an occurrence for which none of these is skipped takes
+    that, any other works off its own agenda.  Remembering decides nothing.
     A space mark in the text itself is written as bytes, so that decoding gives it back; but for that, encoding
     without dropout is that of the library.
     """
@@ -50,25 +117,79 @@ class MergeCodec:
         self.byte = {int(self.pieces[i][3:5], 16): i for i in range(len(self.pieces)) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte.items()}
         self.id = {p: i for i, p in enumerate(self.pieces) if i not in self.special and i not in self.byte_of}
-        self.score = {p: model.get_score(i) for p, i in self.id.items()}
-        self.cost = {p: -c for p, c in self.score.items()}
+        costs = sorted({-model.get_score(i) for i in self.id.values()})
+        place = {c: k for k, c in enumerate(costs)}
+        self.cost = {p: place[-model.get_score(i)] for p, i in self.id.items()}
+        # by id; the last entry is for a pair that does not merge (id -1)
+        self.rank = np.full(len(self.pieces) + 1, NEVER, np.int32)
+        for p, i in self.id.items():
+            self.rank[i] = self.cost[p]
+        self.merged = PairTable(self.id)
+        self.letter = np.full(0x110000, -1, np.int32)  # id of a single character
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.letter[ord(p)] = i
         self.dropout, self.seed = dropout, seed
         self.floor = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
-        self.widest = max(map(len, self.score))
-        # candidates of the parts seen lately: the part's row, counts by row, and left end * (widest + 1) + length
-        self.rows: dict[str, int] = {}
-        self.codes: list[list[int]] = []
-        self.held = 0
-        self.counts = np.zeros(1024, np.int64)
-        # ids by part and mask seen lately, and those of the generation before
-        self.young: dict[tuple[str, int], list[int]] = {}
-        self.old: dict[tuple[str, int], list[int]] = {}
+        self.stride = max(map(len, self.id)) + 1  # a candidate's code is left end * stride + length
         space = [p.replace(SPACE, " ") for p in self.pieces]
-        self.shown = ["" if i in self.special else p for i, p in enumerate(space)]
+        self.shown = pa.array(["" if i in self.special else p for i, p in enumerate(space)])
         self.is_byte = np.array([i in self.byte_of for i in range(len(space))], bool)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.rows: dict[str, int] = {}  # -1: a part to be merged alone
+        self.letters, self.plain, self.asked = Ragged(np.int32), Ragged(np.int32), Ragged(np.int32)
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         """Ids of the whole text; empty for the empty text."""
+        return self.encode_batch([text], [key])[0].tolist()
+
+    def encode_batch(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
+        """Ids of each text under its key."""
+        parts = [self._parts(t) for t in texts]
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        if not count.sum():
+            return [np.empty(0, np.int32)] * len(texts)
+        if len(self.rows) > PARTS:
+            self._clear()
+        flat = [p for own in parts for p in own]
+        self._learn(list(set(flat).difference(self.rows)))
+        row = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
+        key = np.array([self._key(str(k)) for k in keys], np.uint64)
+        start = np.cumsum(count) - count
+        number = (np.arange(1, len(flat) + 1) - np.repeat(start, count)).astype(np.uint64)
+        own = common.mix(number * common.ODD + np.repeat(key, count))
+        ids, size = self._encoded(row, own, flat)
+        end = np.concatenate([[0], np.cumsum(size)])
+        return np.split(ids, end[start[1:]])
+
+    def _encoded(self, row: np.ndarray, own: np.ndarray, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all occurrences one after the other, and how many each has."""
+        short = np.flatnonzero(row >= 0)
+        drawn = short[self._any_skip(row[short], own[short])] if self.dropout else short[:0]
+        same = np.ones(len(row), bool)
+        same[drawn] = same[row < 0] = False
+        groups = [(np.flatnonzero(same), *self.plain.take(row[same]))]
+        groups += [(drawn[at], ids, size) for at, ids, size, _, _ in self._side_by_side(row[drawn], own[drawn])]
+        alone = np.flatnonzero(row < 0)
+        if len(alone):
+            mark = [self.byte[b] for b in SPACE.encode()]
+            made = [np.array(self._ids(self._merge(flat[i], self._skipped(flat[i], own[i]))) if flat[i] else mark, np.int32) for i in alone.tolist()]
+            groups.append((alone, np.concatenate(made), np.fromiter(map(len, made), np.int64, len(made))))
+        size = np.zeros(len(row), np.int64)
+        for at, _, n in groups:
+            size[at] = n
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int32)
+        for at, ids, n in groups:
+            end = np.cumsum(n)
+            out[np.repeat(first[at] - (end - n), n) + np.arange(len(ids))] = ids
+        return out, size
+
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        """Runs of space marks with what follows them; an empty part stands for a space mark of the text itself."""
         if not text:
             return []
         literal = text.split(SPACE)
@@ -76,125 +197,148 @@ class MergeCodec:
         for piece in literal[1:]:
             parts.append("")
             parts.extend(PART.findall(piece.replace(" ", SPACE)))
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        masks = self._draw(parts, self._key(str(key))) if self.dropout else [0] * len(parts)
-        young, old, out = self.young, self.old, []
-        for both in zip(parts, masks, strict=True):
-            ids = young.get(both)
-            if ids is None:
-                part, mask = both
-                if isinstance(mask, frozenset):
-                    ids = self._merge(part, mask)
-                else:
-                    ids = old.get(both)
-                    if ids is None:
-                        codes = self.codes[self.rows[part]] if mask else ()
-                        ids = self._merge(part, frozenset(c for i, c in enumerate(codes) if mask >> i & 1))
-                    young[both] = ids
-            out.extend(ids)
-        return out
-
-    def _draw(self, parts: list[str], key: int) -> list:
-        """For each occurrence the skipped candidates: bits of a mask, or a set of codes where they do not fit one."""
-        if self.held > CANDIDATES:
-            self.rows, self.codes, self.held = {}, [], 0
-        rows = self.rows
-        for part in set(parts).difference(rows):
-            at = rows[part] = len(self.codes)
-            self.codes.append(self._candidates(part))
-            if at >= len(self.counts):
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.counts[at] = len(self.codes[at])
-            self.held += 1 + len(self.codes[at])
-        row = np.fromiter(map(rows.__getitem__, parts), np.int64, len(parts))
-        count, step = self.counts[row], np.uint64(common.ODD)
-        own = common.mix(np.arange(1, len(parts) + 1, dtype=np.uint64) * step + np.uint64(key))
-        masks = np.zeros(len(parts), np.int64)
-        fits = np.flatnonzero((count > 0) & (count <= MASKED))
-        if len(fits):
-            n = count[fits]
-            start = np.cumsum(n) - n
-            i = np.arange(n.sum()) - np.repeat(start, n)
-            skip = common.mix(np.repeat(own[fits], n) + (i + 1).astype(np.uint64) * step) < self.floor
-            masks[fits] = np.add.reduceat(skip.astype(np.int64) << i, start)
-        found: list = masks.tolist()
-        for at in np.flatnonzero(count > MASKED).tolist():
-            codes = self.codes[row[at]]
-            skip = common.mix(own[at] + np.arange(1, len(codes) + 1, dtype=np.uint64) * step) < self.floor
-            found[at] = frozenset(codes[i] for i in np.flatnonzero(skip).tolist())
-        return found
-
-    def _candidates(self, part: str) -> list[int]:
-        """Codes of all pieces within the part that a merge can make."""
-        known, width, n = self.score, self.widest + 1, len(part)
-        return [i * width + k for i in range(n - 1) for k in range(2, min(self.widest, n - i) + 1) if part[i : i + k] in known]
+        return parts
 
     def _key(self, text: str) -> int:
         return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
 
-    def _merge(self, part: str, skip: frozenset[int]) -> list[int]:
-        if not part:  # a literal space mark of the text, kept apart from a space
-            return [self.byte[b] for b in SPACE.encode()]
-        return self._ids(self._merge_short(part, skip) if len(part) <= SHORT else self._merge_long(part, skip))
-
-    def _merge_short(self, part: str, skip: frozenset[int]) -> list[str]:
-        """The agenda as a plain list, one cost for each pair of neighbours: fastest for words."""
-        get, width = self.cost.get, self.widest + 1
-        symbols, at = list(part), list(range(len(part)))
-        agenda = [get(part[i : i + 2], NEVER) for i in at[:-1]]
-        for i in at[:-1] if skip else ():
-            if i * width + 2 in skip:
-                agenda[i] = NEVER
-        while agenda:
-            best = min(agenda)
-            if best is NEVER:
-                break
-            i = agenda.index(best)
-            merged = symbols[i] + symbols[i + 1]
-            symbols[i] = merged
-            del symbols[i + 1], at[i + 1], agenda[i]
-            if i < len(agenda):
-                wider = merged + symbols[i + 1]
-                c = get(wider, NEVER)
-                agenda[i] = NEVER if skip and at[i] * width + len(wider) in skip else c
-            if i:
-                wider = symbols[i - 1] + merged
-                c = get(wider, NEVER)
-                agenda[i - 1] = NEVER if skip and at[i - 1] * width + len(wider) in skip else c
-        return symbols
-
-    def _merge_long(self, part: str, skip: frozenset[int]) -> list[str]:
-        """The agenda as a heap, for parts of any length; the same merges as the short way."""
+    def _skips(self, own, code: np.ndarray) -> np.ndarray:
+        return common.mix(own + (code + 1).astype(np.uint64) * common.ODD) < self.floor
+
+    def _any_skip(self, row: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Whether a candidate is skipped that comes to the top when none is."""
+        code, size = self.asked.take(row)
+        skip = np.concatenate([[0], np.cumsum(self._skips(np.repeat(own, size), code))])
+        end = np.cumsum(size)
+        return skip[end] > skip[end - size]
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember these parts with their letters, and what they give without skips."""
+        if not new:
+            return
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        letter = self.letter[np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4")]
+        end = np.cumsum(size)
+        unknown = np.concatenate([[0], np.cumsum(letter < 0)])
+        alone = (size > SHORT) | (size == 0) | (unknown[end] > unknown[end - size])
+        first = self.letters.rows
+        rows = np.where(alone, -1, first + np.cumsum(~alone) - 1)
+        self.rows.update(zip(new, rows.tolist(), strict=True))
+        self.letters.add(letter[np.repeat(~alone, size)], size[~alone])
+        # rows of plain and asked must come in the order of letters
+        n = self.letters.rows - first
+        found = list(self._side_by_side(np.arange(first, first + n), None))
+        for store, values, sizes in ((self.plain, 1, 2), (self.asked, 3, 4)):
+            length, starts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            flat, used = [np.empty(0, np.int32)], 0
+            for group in found:
+                length[group[0]] = group[sizes]
+                starts[group[0]] = used + np.cumsum(group[sizes]) - group[sizes]
+                flat.append(group[values])
+                used += len(group[values])
+            end = np.cumsum(length)
+            store.add(np.concatenate(flat)[np.repeat(starts - (end - length), length) + np.arange(used)], length)
+
+    def _side_by_side(self, row: np.ndarray, own: np.ndarray | None):
+        """Work off the agendas of remembered parts; own None: without skips.  Yields (positions in row, ids, how many
+        each has, candidates that came to the top, how many)."""
+        size = self.letters.size[row]
+        for low, high in ((0, 4), (4, 8), (8, 12), (12, 20), (20, SHORT)):
+            among = np.flatnonzero((size > low) & (size <= high))
+            for lo in range(0, len(among), SIDE_BY_SIDE):
+                at = among[lo : lo + SIDE_BY_SIDE]
+                yield at, *self._agendas(row[at], None if own is None else own[at], high)
+
+    def _agendas(self, row: np.ndarray, own: np.ndarray | None, length: int):
+        letters, size = self.letters.take(row)
+        n, width = len(row), length + 1
+        cell = np.arange(length + 1) < size[:, None]  # the last column is empty, so every symbol has a next cell
+        symbol = np.full((n, width), -1, np.int32)
+        symbol[cell] = letters
+        pair = cell[:, 1:] & cell[:, :-1]
+        merged = np.full((n, width), -1, np.int32)
+        merged[:, :-1][pair] = self.merged(symbol[:, :-1][pair], symbol[:, 1:][pair])
+        agenda = self.rank[merged]
+        after = np.tile(np.arange(1, width + 1, dtype=np.int64), (n, 1))  # where the next symbol starts
+        before = after - 2
+        asked = np.empty((n, 4 * length), np.int32)
+        times = np.zeros(n, np.int64)
+        symbol, merged, agenda, after, before = (a.ravel() for a in (symbol, merged, agenda, after, before))
+        live = np.flatnonzero(size > 1)
+        while len(live):
+            top = agenda.reshape(n, width)[live].argmin(axis=1)
+            base = live * width
+            here = base + top
+            going = agenda[here] != NEVER
+            live, base, here, top = live[going], base[going], here[going], top[going]
+            right = after[here]
+            beyond = after[base + right]
+            code = top * self.stride + (beyond - top)
+            if own is None:
+                asked[live, times[live]] = code
+                times[live] += 1
+            else:
+                skip = self._skips(own[live], code)
+                agenda[here[skip]] = NEVER
+                go = ~skip
+                base, here, right, beyond = base[go], here[go], right[go], beyond[go]
+            symbol[here] = merged[here]
+            symbol[base + right] = -1
+            agenda[base + right] = NEVER
+            after[here] = beyond
+            before[base + np.minimum(beyond, length)] = here - base
+            ahead = before[here]
+            # the new symbol with the next one, and the one before with the new symbol
+            wide = symbol[base + np.minimum(beyond, length)]
+            left = np.flatnonzero(ahead >= 0)
+            lead = base[left] + ahead[left]
+            one = np.concatenate([symbol[here], symbol[lead]])
+            two = np.concatenate([wide, symbol[here[left]]])
+            spot = np.concatenate([here, lead])
+            known = two >= 0
+            m = np.full(len(spot), -1, np.int32)
+            m[known] = self.merged(one[known], two[known])
+            merged[spot] = m
+            agenda[spot] = self.rank[m]
+        symbol = symbol.reshape(n, width)
+        kept = symbol >= 0
+        tops = asked[np.arange(4 * length) < times[:, None]] if own is None else None
+        return symbol[kept], kept.sum(axis=1), tops, times
+
+    def _skipped(self, part: str, own: np.uint64) -> frozenset[int]:
+        """The skipped ones of all pieces within a part."""
+        if not self.dropout:
+            return frozenset()
+        known, n = self.cost, len(part)
+        code = np.array([i * self.stride + k for i in range(n - 1) for k in range(2, min(self.stride - 1, n - i) + 1) if part[i : i + k] in known], np.int64)
+        return frozenset(code[self._skips(own, code)].tolist())
+
+    def _merge(self, part: str, skip: frozenset[int]) -> list[str]:
+        """The agenda of one part as a heap, for parts of any length and characters."""
         symbols: list[str | None] = list(part)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        score, agenda = self.score, []
-        get, push, width = score.get, heapq.heappush, self.widest + 1
-        for i in range(n - 1):
-            merged = part[i : i + 2]
-            s = get(merged)
-            if s is not None and i * width + 2 not in skip:
-                agenda.append((-s, i, i + 1, merged))
+        get, push, width = self.cost.get, heapq.heappush, self.stride
+        agenda = [(c, i, i + 1, part[i : i + 2]) for i in range(n - 1) if (c := get(part[i : i + 2])) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, left, right, merged = heapq.heappop(agenda)
             if symbols[right] is None or symbols[left] is None or after[left] != right or len(symbols[left]) + len(symbols[right]) != len(merged):
                 continue
+            if left * width + len(merged) in skip:
+                continue
             symbols[left], symbols[right] = merged, None
             beyond = after[left] = after[right]
             if beyond >= 0:
                 before[beyond] = left
                 wider = merged + symbols[beyond]
-                s = get(wider)
-                if s is not None and left * width + len(wider) not in skip:
-                    push(agenda, (-s, left, beyond, wider))
+                if (c := get(wider)) is not None:
+                    push(agenda, (c, left, beyond, wider))
             ahead = before[left]
             if ahead >= 0:
                 wider = symbols[ahead] + merged
-                s = get(wider)
-                if s is not None and ahead * width + len(wider) not in skip:
-                    push(agenda, (-s, ahead, left, wider))
+                if (c := get(wider)) is not None:
+                    push(agenda, (c, ahead, left, wider))
         return [s for s in symbols if s is not None]
 
     def _ids(self, symbols: list[str]) -> list[int]:
@@ -209,12 +353,22 @@ class MergeCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The text: space marks of pieces become spaces, bytes are joined, and the space put in front is taken off."""
-        at = np.asarray(ids, np.int64)
-        if not self.is_byte[at].any():
-            return "".join(map(self.shown.__getitem__, at.tolist())).removeprefix(" ")
-        byte_of, shown = self.byte_of, self.shown
-        raw = b"".join(bytes([byte_of[i]]) if i in byte_of else shown[i].encode() for i in at.tolist())
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+        return self.decode_batch([np.asarray(ids, np.int64)])[0]
+
+    def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.concatenate([np.empty(0, np.int64), *ids])
+        end = np.cumsum(size)
+        pieces = self.shown.take(pa.array(flat))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pieces)
+        out = pc.binary_join(lists, "").to_pylist()
+        with_bytes = np.flatnonzero(np.add.reduceat(np.append(self.is_byte[flat], False), end - size) * (size > 0)) if len(flat) else []
+        for i in with_bytes:
+            byte_of, shown = self.byte_of, self.pieces
+            raw = b"".join(
+                bytes([byte_of[p]]) if p in byte_of else b"" if p in self.special else shown[p].replace(SPACE, " ").encode() for p in ids[i].tolist())
+            out[i] = raw.decode("utf-8", "replace")
+        return [t.removeprefix(" ") for t in out]
 
 
 @lru_cache(maxsize=2)
@@ -238,7 +392,7 @@ def encode_documents(
         codec = codec_of(path, dropout, seed)
         for b in batches:
             keys = [-1 if pd.isna(k) else int(k) for k in b.doc_id]
-            yield pd.DataFrame({"doc_id": b.doc_id, "ids": [np.array(codec.encode(common.as_text(t), k), np.int32) for t, k in zip(b.text, keys, strict=True)]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "ids": codec.encode_batch([common.as_text(t) for t in b.text], keys)})
 
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
 
@@ -251,7 +405,10 @@ def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataF
     def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = codec_of(path)
         for ids in parts:
-            yield pd.Series([None if x is None else codec.decode(x) for x in ids])
+            there = ids.notna().to_numpy()
+            text = np.full(len(ids), None, object)
+            text[there] = codec.decode_batch(ids[there].tolist())
+            yield pd.Series(text)
 
     return encoded.withColumn("text", decoded("ids"))
 

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.llm import html_extraction, license_scan, neighbours, sentencepiece_codec, url_filters
+from loomgraph.llm import common, html_extraction, license_scan, neighbours, sentencepiece_codec, url_filters
 
 
 def page(body):
@@ -158,31 +158,73 @@ def test_dropout_varies_by_key_and_not_by_run(codecs):
     assert len(dropping.encode(text, 1)) > len(plain.encode(text))
 
 
+def brute_ids(codec, part, number, key, floor):
+    """Merge by rescanning all neighbours each time; the draw of a candidate in plain integers."""
+    bits = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & bits
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & bits
+        return x ^ x >> 31
+
+    odd = 0x9E3779B97F4A7C15
+    own = mix(number * odd + key & bits)
+
+    def skipped(left, length):
+        return mix(own + (left * codec.stride + length + 1) * odd & bits) < floor
+
+    symbols = list(part)
+    while True:
+        found, at = [], 0
+        for i, (x, y) in enumerate(zip(symbols, symbols[1:])):
+            if x + y in codec.cost and not skipped(at, len(x + y)):
+                found.append((codec.cost[x + y], i))
+            at += len(x)
+        if not found:
+            return codec._ids(symbols)
+        i = min(found)[1]
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+
+
+def test_dropout_matches_brute_force(codecs):
+    rng = random.Random(3)
+    path = public_tokenizers.path(sentencepiece_codec.MODEL)
+    words = ["extraordinary", "organisation", "measurements", "the", "aaaaaaaa", "papapapapa", "日本", "🎉x", "x" * 70, "Über", "a"]
+    for dropout in (0.1, 0.5):
+        codec = sentencepiece_codec.MergeCodec(path, dropout, 13)
+        for key in range(4):
+            text = " ".join(rng.choices(words, k=120))
+            parts = [sentencepiece_codec.SPACE + w for w in text.split(" ")]
+            want = [i for k, part in enumerate(parts) for i in brute_ids(codec, part, k + 1, codec._key(str(key)), int(dropout * 2**64))]
+            assert codec.encode(text, key) == want
+            assert codec.encode_batch([text, "", "a b", text], [key, 9, 9, key + 1])[0].tolist() == want
+
+
 def test_every_occurrence_draws_its_own_dropout(codecs):
     codec = sentencepiece_codec.MergeCodec(public_tokenizers.path(sentencepiece_codec.MODEL), 0.1, 13)
-    for part in ("▁measurements", "x" * 200):
-        masks = codec._draw([part] * 4000, codec._key("1"))
-        assert len(set(masks)) > 20 and masks[:16] != masks[16:32]
     ids = codec.encode("measurements " * 4000, 1)
-    ways, now = set(), []
+    ways, now = [], []
     for i in ids:
         if codec.pieces[i].startswith(sentencepiece_codec.SPACE) and now:
-            ways.add(tuple(now))
+            ways.append(tuple(now))
             now = []
         now.append(i)
-    assert len(ways) > 8
-    skips = codec._draw(["▁measurements"] * 20_000, 5)
-    n = len(codec.codes[codec.rows["▁measurements"]])
-    assert abs(sum(m.bit_count() for m in skips) / (n * 20_000) - 0.1) < 0.01
-
-
-def test_short_and_long_merges_agree_under_skips(codecs):
-    rng = random.Random(3)
-    for word in ("▁extraordinary", "▁organisation", "▁measurements"):
-        codes = codecs[1]._candidates(word)
-        for _ in range(50):
-            skip = frozenset(c for c in codes if rng.random() < 0.2)
-            assert codecs[1]._merge_short(word, skip) == codecs[1]._merge_long(word, skip)
+    assert len(set(ways)) > 8 and ways[:16] != ways[16:32]
+    skips = codec._skips(common.mix(np.arange(200_000, dtype=np.uint64)), np.full(200_000, 77))
+    assert abs(skips.mean() - 0.1) < 0.005
+
+
+def test_the_pair_table_knows_every_split(codecs):
+    ids = codecs[1].id
+    rng = random.Random(1)
+    for piece in rng.sample(sorted(ids), 2000):
+        for i in range(1, len(piece)):
+            left, right = ids.get(piece[:i]), ids.get(piece[i:])
+            if left is not None and right is not None:
+                assert codecs[1].merged(np.array([left]), np.array([right])).tolist() == [ids[piece]]
+    pairs = np.random.default_rng(2).choice(list(ids.values()), (20_000, 2))
+    want = [ids.get(codecs[1].pieces[a] + codecs[1].pieces[b], -1) for a, b in pairs]
+    assert codecs[1].merged(pairs[:, 0], pairs[:, 1]).tolist() == want
 
 
 def test_codec_edge_rows(spark):
