@@ -32,7 +32,7 @@ SMALL_LIST = 4096
 #: least bits of a set's parity bitmap; it has as many bits as the set has shingles, rounded up to a power of two
 LEAST_BITS = 256
 #: members that are verified against one copy of their hub's text; rows of one side in a group of the pair join
-HUB_GROUP, PAIR_GROUP = 500, 1000
+HUB_GROUP, PAIR_GROUP = 100, 1000
 #: cost of one verification in scanned postings
 VERIFY_COST = 50.0
 
