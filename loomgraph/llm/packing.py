@@ -10,6 +10,8 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,14 +22,17 @@ CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: chunks a task keeps (about 200 bytes each)
 CACHED = 1_000_000
-#: closing marks and the end of the Latin blocks, for words put together from cached parts
-MARKS, LATIN = ".,;:!?", "\u0250"
+#: closing marks, and the letters of the Latin blocks but U+0130, for words put together from cached parts
+MARKS, LATIN = ".,;:!?", "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"
+#: texts that are tokenised at once, and tasks up to which their counts are broadcast (32 kB each)
+TEXTS_AT_ONCE, BROADCAST_TASKS = 500, 2_000
 
 
 class ChunkTokenizer:
     """Token ids of texts, with the ids of each chunk between ASCII white space cached.
 
-    Valid for tokenizers whose pre-tokenizer never lets a token cross white space, and drops it.
+    Valid for tokenizers whose pre-tokenizer never lets a token cross white space, and drops it.  Texts are split and
+    their chunks numbered in Arrow, so Python sees each distinct chunk of a batch once.
     """
 
     def __init__(self, path: str) -> None:
@@ -38,42 +43,32 @@ class ChunkTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.start, self.size, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.index: dict[str, int] = {"": 0}
+        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
 
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Put the ids of these chunks into the cache.
 
         A Latin word with capitals or closing marks is put together from the lower-case word and the marks, which
         the pre-tokenizer parts as well; everything else goes through the tokenizer as it is.
         """
-        parted, plain = [], set()
-        for w in new:
-            text = w.decode("utf-8", "surrogatepass")
-            low = text.lower()
-            core = low.rstrip(MARKS)
-            if core != text and core.isalpha() and max(text) < LATIN and "\u0130" not in text:
-                parted.append((w, core.encode(), low[len(core) :].encode()))
-            else:
-                plain.add(w)
-        need = plain.union(c for _, c, _ in parted).union(m for *_, m in parted if m).difference(self.index)
-        if need:
-            words = list(need)
-            texts = [w.decode("utf-8", "surrogatepass").encode("utf-8", "replace").decode() for w in words]
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        words = pa.array(new, pa.large_string())
+        parted = pc.extract_regex(words, f"^(?P<core>[{LATIN}]+)(?P<marks>[{MARKS}]*)$")
+        core = pc.utf8_lower(pc.struct_field(parted, "core"))
+        whole = pc.fill_null(pc.equal(core, words), True).to_numpy(zero_copy_only=False)
+        cores, marks = core.filter(pa.array(~whole)).to_pylist(), pc.struct_field(parted, "marks").filter(pa.array(~whole)).to_pylist()
+        self._encode(list({w for w, own in zip(new, whole.tolist(), strict=True) if own}.union(cores, marks).difference(self.index)))
+        built = [w for w, own in zip(new, whole.tolist(), strict=True) if not own]
+        at = np.array([[self.index[c], self.index[m]] for c, m in zip(cores, marks, strict=True)], np.int64).reshape(-1, 2)
+        self._add(built, self.size[at].sum(axis=1), self._gather(at.ravel()))
+
+    def _encode(self, words: list[str]) -> None:
+        if words:
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             size = np.fromiter(map(len, made), np.int64, len(made))
             self._add(words, size, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum())))
-        parted = [p for p in parted if p[0] not in self.index]
-        if parted:
-            empty = len(self.index)
-            self.start, self.size = np.append(self.start, 0), np.append(self.size, 0)  # for words without marks
-            core = np.fromiter((self.index[c] for _, c, _ in parted), np.int64, len(parted))
-            mark = np.fromiter((self.index[m] if m else empty for *_, m in parted), np.int64, len(parted))
-            at = np.stack([core, mark], axis=1).ravel()
-            self.start, self.size, flat, size = self.start[:-1], self.size[:-1], self._gather(at), self.size[core] + self.size[mark]
-            self._add([w for w, *_ in parted], size, flat)
-
-    def _add(self, words: list[bytes], size: np.ndarray, flat: np.ndarray) -> None:
+
+    def _add(self, words: list[str], size: np.ndarray, flat: np.ndarray) -> None:
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
@@ -85,12 +80,22 @@ class ChunkTokenizer:
         before = np.cumsum(size) - size
         return self.flat[np.repeat(self.start[at] - before, size) + np.arange(int(size.sum()))]
 
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [common.words_of(t) for t in texts]
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        chunks = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        count = pc.list_value_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        numbered = chunks.flatten().dictionary_encode()
+        words = numbered.dictionary.to_pylist()
         if len(self.index) > CACHED:
             self.clear()
-        self._learn(set().union(*map(set, chunks)).difference(self.index))
-        return [self._gather(np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))) for words in chunks]
+        new = [w for w in words if w not in self.index]
+        if new:
+            self._learn(new)
+        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = known[numbered.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(self.size[at])])
+        end = np.cumsum(count)
+        return self._gather(at), before[end] - before[end - count]
 
 
 @lru_cache(maxsize=1)
@@ -99,28 +104,47 @@ def tokenizer_of(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+PIECES = pa.schema([
+    ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary()),
+    ("task", pa.int32()), ("rank", pa.int64())])
+
+
+def numbered_within(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How often each value stood before, here or in what `seen` has counted; `seen` is brought up to date."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    nth = np.arange(len(values)) - np.searchsorted(ordered, ordered)
+    out = np.empty(len(values), np.int64)
+    out[order] = nth
+    out += seen[values]
+    seen += np.bincount(values, minlength=len(seen))
+    return out
+
+
 def cut(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most `capacity` tokens: doc_id, piece, start, length, token_ids (little-endian uint32), and
-    where they were made: task, row in the task, rank among the task's earlier pieces of the same length."""
+    """Pieces of at most `capacity` tokens: doc_id, piece, start, length, token_ids (little-endian uint32), the task
+    that made them, and their rank among the task's earlier pieces of the same length."""
 
     def make(batches):
-        tokenizer, task = tokenizer_of(tokenizer_path), TaskContext.get().partitionId()
-        row, seen = 0, np.zeros(capacity + 1, np.int64)
-        for b in batches:
-            for lo in range(0, len(b), 200):
-                part = b.iloc[lo : lo + 200]
-                out = []
-                for doc_id, ids in zip(part.doc_id, tokenizer.batch([common.as_text(t) for t in part.text]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
-                        out.append((doc_id, piece, start, len(own), own.tobytes(), task, row, int(seen[len(own)])))
-                        seen[len(own)] += 1
-                        row += 1
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "token_ids", "task", "row", "rank"])
-
-    return documents.select("doc_id", "text").mapInPandas(
-        make, "doc_id long, piece int, start long, length long, token_ids binary, task int, row long, rank long"
+        tokenizer, task, seen = tokenizer_of(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for whole in batches:
+            for lo in range(0, len(whole), TEXTS_AT_ONCE):
+                b = whole.slice(lo, TEXTS_AT_ONCE)
+                ids, size = tokenizer.batch(b.column("text").fill_null(""))
+                ids = np.insert(ids, np.cumsum(size), end_id).astype("<u4")
+                size = size + 1
+                pieces = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                length = np.minimum(size[doc] - piece * capacity, capacity)
+                offsets = pa.array(np.concatenate([[0], 4 * np.cumsum(length)]), pa.int32())
+                token_ids = pa.Array.from_buffers(pa.binary(), len(doc), [None, offsets.buffers()[1], pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length), token_ids,
+                    pa.array(np.full(len(doc), task, np.int32)), pa.array(numbered_within(length, seen))], schema=PIECES)
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        make, "doc_id long, piece int, start long, length long, token_ids binary, task int, rank long"
     )
 
 
@@ -202,7 +226,8 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
     A null text counts as empty, which is the end token alone; repeated rows and null ids are packed like any
     other; other columns are not read.  The driver sees only the number of pieces of each length (at most
     `capacity` numbers) and sends back a plan of at most a few rows a length.  Ranks within a length come from
-    per-task counts, so no length is gathered in one task.
+    per-task counts, so no length is gathered in one task.  A task's counts are one row of `capacity` numbers; these
+    rows are broadcast up to BROADCAST_TASKS, beyond that pieces meet them by a shuffle on the task.
     """
     spark = documents.sparkSession
     common.small_batches(spark)
@@ -216,19 +241,24 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = made.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
-    def assign(batches):
-        def one(b):
-            seq, off = place(b.length.to_numpy(), (b["rank"] + b.base).to_numpy(), plan)
-            return pd.DataFrame({"task": b.task, "row": b.row, "sequence_id": seq, "offset": off})
+    def in_a_row(own: pd.DataFrame) -> pd.DataFrame:
+        base = np.zeros(capacity + 1, np.int64)
+        base[own.length] = own.base
+        return pd.DataFrame({"task": own.task.iloc[:1], "bases": [base]})
 
-        return common.frames(batches, one)
+    # one row a task, of at most `capacity` numbers
+    bases = common.materialize(offsets.groupBy("task").applyInPandas(in_a_row, "task int, bases array<long>"), "bases")
+    ranked = pieces.join(common.broadcast_if_small(bases, BROADCAST_TASKS), "task")
+    ranked = ranked.select(*pieces.columns, (F.col("rank") + F.element_at("bases", F.col("length").cast("int") + 1)).alias("nth"))
+    kept = ["doc_id", "piece", "start", "length", "token_ids"]
 
-    placed = pieces.select("task", "row", "length", "rank").join(offsets, ["task", "length"]).mapInPandas(
-        assign, "task int, row long, sequence_id long, offset long"
-    )
-    return pieces.join(placed, ["task", "row"]).select(
-        "doc_id", "piece", "start", "length", "token_ids", "sequence_id", "offset"
-    )
+    def assign(batches):
+        for b in batches:
+            seq, off = place(b.column("length").to_numpy(), b.column("nth").to_numpy(), plan)
+            yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(seq), pa.array(off)], names=[*kept, "sequence_id", "offset"])
+
+    return ranked.select(*kept, "nth").mapInArrow(
+        assign, "doc_id long, piece int, start long, length long, token_ids binary, sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -123,10 +124,23 @@ TEXTS = ["", "Hello, world's  BEST\tday 123!", "<|endoftext|> x", "ÉÉ é ß 
 
 def test_chunked_ids_equal_whole_texts():
     path = public_tokenizers.path(packing.TOKENIZER)
-    texts = [t or "" for t in TEXTS]
-    own = packing.ChunkTokenizer(path).batch(texts)
-    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
-    assert [x.tolist() for x in own] == [e.ids for e in whole]
+    texts = [t or "" for t in TEXTS] + [" \x0b\x0c\x1c\x85\u2003Wide spaces\u00a0here "]
+    # every letter of the Latin blocks, in capitals and with marks
+    texts += [f"{chr(c)}{chr(c)}a, x{chr(c)}!? {chr(c)}" for c in range(0x41, 0x250)]
+    tokenizer = packing.ChunkTokenizer(path)
+    whole = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        ids, size = tokenizer.batch(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == whole
+    assert [len(x) for x in tokenizer.batch(pa.array([], pa.string()))] == [0, 0]
+
+
+def test_counts_by_shuffle_give_the_same_places(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('some words here ', cast(id % 70 AS int) * 40) AS text").repartition(7)
+    docs = common.materialize(docs, "docs")
+    one = {(r.doc_id, r.piece): r for r in packing.pack(docs).collect()}
+    monkeypatch.setattr(packing, "BROADCAST_TASKS", 0)
+    assert {(r.doc_id, r.piece): r for r in packing.pack(docs).collect()} == one
 
 
 def test_packing_is_lossless_and_gapless(spark):
