@@ -28,14 +28,20 @@ NEVER_TEXT = frozenset(
     "audio video math".split()
 )
 CONTAINERS = frozenset("div section aside nav header footer form ul ol dl table figure details".split())
+BLOCKS, LISTS = CLOSES_P - {"p"}, frozenset({"ul", "ol", "dl", "table", "select"})
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-# fixed values: words of class, id and role that mark what is not the article
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|"
-    r"newsletter|subscri\w*|sidebar|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|contentinfo|complementary|comments?|"
-    r"disqus|respond|replies|share|sharing|social|related|recommended|widgets?|login|signup|search|pagination|pager|toolbar)(?:$|[\s_-])",
-    re.IGNORECASE,
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
+# fixed values: words of class, id and role that mark what is not the article, words of layout among them, words that
+# vouch for a heading, and words that make of a name a state of the element itself
+NOT_ARTICLE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices "
+    "notification notifications alert popup modal overlay newsletter subscribe subscription comment comments disqus respond replies share sharing "
+    "social related recommended recommendations widget widgets login signup search pagination pager toolbar".split()
 )
+LAYOUT = frozenset("sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead banner contentinfo complementary".split())
+HEADING, VOUCHING = frozenset("header masthead banner".split()), frozenset("article post entry content story page title headline section".split())
+STATE = frozenset("has with no without is js".split())
+NAME_PARTS = re.compile(r"[a-z0-9]+")
 #: a subtree is template if it stands on so many pages of its host with different main text, and on such a share of them
 MIN_PAGES, MIN_SHARE = 5, 0.01
 #: so many pages with different main text are enough whatever their share, so that a large host loses its templates too
@@ -52,47 +58,76 @@ class Node:
         self.hash = key
 
 
+def marks(tag: str, names: str) -> bool:
+    """Whether class, id and role names say that an element is not the article.
+
+    Page roots and main hold the article whatever they are called; an article is another one only by words that are
+    not of layout.  `has-sidebar` and the like speak of a state; `article-header` is the article's own.
+    """
+    if tag in ("html", "body", "main"):
+        return False
+    for name in names.lower().split():
+        parts = NAME_PARTS.findall(name)
+        if not parts or parts[0] in STATE:
+            continue
+        said = set(parts)
+        if said & NOT_ARTICLE:
+            return True
+        if tag != "article" and said & LAYOUT and not (said & LAYOUT <= HEADING and said & VOUCHING):
+            return True
+    return False
+
+
 class TreeBuilder(HTMLParser):
-    """A forgiving tree: unclosed p, li, td and so on end where the next one starts; stray end tags do nothing."""
+    """A forgiving tree: unclosed p, li, td and so on end where the next one starts, head where the body starts; stray
+    end tags do nothing.  The places of open tags are kept by tag, so the work is linear however deep a page nests."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.stack = [self.root]
+        self.open: dict[str, list[int]] = {}
 
     def handle_starttag(self, tag, attrs):
         stack = self.stack
+        if tag not in HEAD_TAGS:
+            self._close(("head",), ())
         if tag in CLOSES_P:
-            self._close({"p"}, CLOSES_P - {"p"})
+            self._close(("p",), BLOCKS)
         elif tag in SAME_CLOSES:
-            self._close(SAME_CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
+            self._close(SAME_CLOSES[tag], LISTS)
         own = [f"{k}={v}" for k, v in attrs if k in ("class", "id", "role") and v]
         said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        node = Node(tag, hidden or bool(said and NOT_ARTICLE.search(said)), " ".join(own))
+        node = Node(tag, hidden or bool(said and marks(tag, said)), " ".join(own))
         stack[-1].children.append(node)
         if tag in ("article", "main"):
-            for up in stack:
+            for up in reversed(stack):
+                if up.has_main:
+                    break
                 up.has_main = True
         if tag not in VOID:
+            self.open.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        self._close({tag}, CLOSES_P if tag in INLINE else frozenset())
+        self._close((tag,), CLOSES_P if tag in INLINE else ())
 
     def handle_data(self, data):
+        if self.stack[-1].tag == "head" and data.strip():
+            self._close(("head",), ())
         self.stack[-1].children.append(data)
 
     def _close(self, tags, until):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in until:
-                return
+        """Close the innermost open element of these tags, with all in it, unless one of `until` is open inside it."""
+        at = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        if at and all(self.open[t][-1] <= at for t in until if self.open.get(t)):
+            for node in self.stack[at:]:
+                self.open[node.tag].pop()
+            del self.stack[at:]
 
 
 def parse(html: str) -> Node:

@@ -59,6 +59,68 @@ def test_copies_and_size_of_a_host_hide_no_template(spark):
         assert all(got[1000 + i] == f"Own text {i}" for i in range(850))
 
 
+def test_articles_in_marked_or_unclosed_places():
+    def text(html):
+        root = html_extraction.parse(html)
+        html_extraction.hash_subtrees(root)
+        return html_extraction.text_of(root)
+
+    assert text('<body class="home has-sidebar"><article><p>Hello</p></article></body>') == "Hello"
+    assert text("<html><head><title>T</title><body><p>Hello</p></body></html>") == "Hello"
+    assert text("<html><head><title>T</title><p>Hello") == "Hello"
+    assert text("<head><meta x>Hello") == "Hello"
+    assert text('<article><div class="article-header"><h1>Title</h1></div><p>Text</p><div class="site-footer">no</div></article>') == "Title Text"
+    assert text('<article class="post with-banner">Text<article class="comment">no</article></article>') == "Text"
+    assert text('<main class="page-sidebar"><p>Text</main><div class="sidebar">no</div>') == "Text"
+    assert text('<p>Text<div class="no-ads">more</div><div class="ad-slot">no</div>') == "Text more"
+
+
+def test_deep_and_long_pages_take_linear_work():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        root = html_extraction.parse("<p>" + "<b>x" * n + "<div>y</div>" * n + "</b>" * n + "</i>" * n)
+        html_extraction.hash_subtrees(root)
+        assert html_extraction.text_of(root).count("y") == n
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 20 * max(seconds(2_000), 0.01)
+
+
+def brute_templates(rows, least):
+    """(host, subtree) counted with dictionaries: different main texts under which an element stands."""
+    seen = {}
+    for _, url, html in rows:
+        root = html_extraction.parse(html or "")
+        own = {h for h, _ in html_extraction.hash_subtrees(root)}
+        for h in own:
+            seen.setdefault((url.split("/")[2], h), set()).add(html_extraction.main_hash(root))
+    return {k for k, v in seen.items() if len(v) >= least}
+
+
+def test_counting_matches_brute_force(spark):
+    rng = random.Random(9)
+    blocks = [f"<div class=b{i}><p>Block {i}</p></div>" for i in range(12)]
+    rows = []
+    for i in range(120):
+        parts = rng.sample(blocks, 3)
+        body = f"<div>Own words {i % 90}</div>"
+        whole = parts[0] + (f"<article>{body}{parts[1]}</article>" if i % 2 else body + parts[1]) + parts[2]
+        rows.append((i, f"http://h{i % 4}.x/{i}", page(whole)))
+    template = brute_templates(rows, html_extraction.MIN_PAGES)
+    got = texts(spark, rows)
+    changed = 0
+    for i, url, html in rows:
+        root = html_extraction.parse(html)
+        html_extraction.hash_subtrees(root)
+        own = frozenset(h for host, h in template if host == url.split("/")[2])
+        assert got[i] == html_extraction.text_of(root, own)
+        changed += got[i] != html_extraction.text_of(root)
+    assert changed > 60
+
+
 def test_no_pages(spark):
     assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
