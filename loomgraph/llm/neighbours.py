@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import common
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 FIT_ROWS = 6_000
 ROTATIONS = 4  # each gives one bit a dimension
 SUBSTRING_BITS = 16
 RECALL = 0.97
 BLOCK, QUERY_BLOCK = 16_384, 512
+#: (query, row) pairs that are checked or scored at once
+PAIRS_AT_ONCE = 100_000
 
 
 @dataclass(frozen=True)
@@ -65,50 +68,83 @@ def fit_codes(x: np.ndarray, near: int, rotations: int = ROTATIONS, recall: floa
     return Codes(mean, codes.rotation, int(np.quantile(distance, recall, method="higher")))
 
 
+def flips(most: int) -> np.ndarray:
+    """All 16-bit masks of at most `most` bits."""
+    every = np.arange(1 << SUBSTRING_BITS, dtype=np.uint16)
+    return every[np.bitwise_count(every) <= most]
+
+
 class Index:
-    """One block of vectors: a table of distinct values and their rows for every 16-bit substring."""
+    """One block of vectors: for every 16-bit substring a table of distinct values and the rows that hold them."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray) -> None:
         self.ids, self.x, self.code = ids, x, code
-        self.tables = [np.unique(code[:, i], return_inverse=True) for i in range(code.shape[1])]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Mask (queries by rows) of codes within the Hamming radius.
+        self.tables = []
+        for i in range(code.shape[1]):
+            rows = np.argsort(code[:, i], kind="stable")
+            values, start = np.unique(code[rows, i], return_index=True)
+            self.tables.append((values, rows, np.append(start, len(rows))))
+
+    def probe(self, i: int, own: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of rows whose i-th substring lies within `near` bits of the query's: every such value is looked
+        up where there are fewer of them than the table holds, else the table's values are compared."""
+        values, rows, start = self.tables[i]
+        masks = flips(near)
+        if len(masks) < len(values):
+            wanted = own[:, None] ^ masks[None, :]
+            at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+            query, which = np.nonzero(values[at] == wanted)
+            slot = at[query, which]
+        else:
+            query, slot = np.nonzero(np.bitwise_count(own[:, None] ^ values[None, :]) <= near)
+        size = start[slot + 1] - start[slot]
+        end = np.cumsum(size)
+        total = int(end[-1]) if len(end) else 0
+        return np.repeat(query, size), rows[np.repeat(start[slot] - (end - size), size) + np.arange(total)]
+
+    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all codes within the Hamming radius, by query.
 
         Pigeonhole: m substrings and radius = m a + r; a code that near lies within a of the query in one of the
-        first r + 1 substrings, or within a - 1 in one of the others.  Each table is probed with every value it
-        holds that near; the union is then checked on whole codes.
+        first r + 1 substrings, or within a - 1 in one of the others.  What a table gives is checked on whole codes.
         """
         m = code.shape[1]
         a, r = divmod(radius, m)
-        hit = np.zeros((len(code), len(self.ids)), bool)
-        for i, (values, rows) in enumerate(self.tables):
-            own = a if i <= r else a - 1
-            if own >= 0:
-                probe = np.bitwise_count(code[:, i : i + 1] ^ values[None, :]) <= own
-                hit |= probe[:, rows]
-        return hit & (_hamming(code, self.code) <= radius)
+        seen = np.zeros((len(code), len(self.ids)), bool)
+        for i in range(m):
+            near = a if i <= r else a - 1
+            if near >= 0 and not seen.all():
+                seen[self.probe(i, code[:, i], min(near, SUBSTRING_BITS))] = True
+        query, row = np.nonzero(seen)
+        near = np.zeros(len(query), bool)
+        for lo in range(0, len(query), PAIRS_AT_ONCE):
+            part = slice(lo, lo + PAIRS_AT_ONCE)
+            near[part] = np.bitwise_count(code[query[part]] ^ self.code[row[part]]).sum(axis=1) <= radius
+        return query[near], row[near]
 
     def search(self, qid: np.ndarray, q: np.ndarray, code: np.ndarray, radius: int, k: int) -> list[tuple[int, int, float]]:
         """(query, id, inner product) of the k best rows within the radius, ties to the smaller id; where fewer
-        than k lie within it, the radius grows until k are found or the block is used up."""
-        found = self.within(code, radius)
+        than k lie within it, the radius grows until k are found or the block is used up.  Inner products are taken
+        of the rows within the radius alone."""
         width = code.shape[1] * SUBSTRING_BITS
-        short = found.sum(axis=1) <= k
-        wider = radius
-        while short.any() and wider < width:
-            wider = min(width, wider + max(1, width // 16))
-            found[short] = self.within(code[short], wider)
-            short[short] = found[short].sum(axis=1) <= k
-        scores = np.where(found, q @ self.x.T, -np.inf)
-        scores[qid[:, None] == self.ids[None, :]] = -np.inf
-        kth = np.partition(scores, max(scores.shape[1] - k, 0), axis=1)[:, max(scores.shape[1] - k, 0)]
-        at, row = np.nonzero((scores >= np.where(np.isfinite(kth), kth - 1e-9, -1e300)[:, None]) & np.isfinite(scores))
-        exact = (q[at] * self.x[row]).sum(axis=1)
+        asked, found = np.arange(len(qid)), []
+        while len(asked):
+            query, row = self.within(code[asked], radius)
+            other = qid[asked[query]] != self.ids[row]
+            query, row = query[other], row[other]
+            enough = (np.bincount(query, minlength=len(asked)) >= k) | (radius >= width)
+            done = enough[query]
+            found.append((asked[query[done]], row[done]))
+            asked = asked[~enough]
+            radius = min(width, radius + max(1, width // 16))
+        at, row = (np.concatenate(c) for c in zip(*found, strict=True))
+        exact = np.empty(len(at))
+        for lo in range(0, len(at), PAIRS_AT_ONCE):
+            part = slice(lo, lo + PAIRS_AT_ONCE)
+            exact[part] = (q[at[part]] * self.x[row[part]]).sum(axis=1)
         order = np.lexsort((self.ids[row], -exact, at))
         at, row, exact = at[order], row[order], exact[order]
-        rank = np.arange(len(at)) - np.searchsorted(at, at)
-        best = rank < k
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
         return list(zip(qid[at[best]].tolist(), self.ids[row[best]].tolist(), exact[best].tolist(), strict=True))
 
 
@@ -180,9 +216,10 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, fit_rows: int =
                     if found:
                         yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, "4")  # a row is a pair of blocks
     near = common.materialize(met.mapInPandas(probe, "query_id long, vec_id long, score double"), "near")
-    common.small_batches(spark)
+    spark.conf.set(ARROW_ROWS, before)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -21,12 +21,12 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 DROPOUT, SEED = 0.1, 13
 NEVER = np.iinfo(np.int32).max
-#: parts up to this length are merged side by side; longer ones, and such with characters that have no piece, alone
+#: parts up to this length are merged side by side; longer ones alone
 SHORT = 48
 #: parts a worker remembers (about 400 bytes each) before it starts anew
-PARTS = 250_000
+PARTS = 150_000
 #: parts that are merged side by side at once
-SIDE_BY_SIDE = 20_000
+SIDE_BY_SIDE = 10_000
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -125,7 +125,9 @@ class MergeCodec:
         for p, i in self.id.items():
             self.rank[i] = self.cost[p]
         self.merged = PairTable(self.id)
-        self.letter = np.full(0x110000, -1, np.int32)  # id of a single character
+        # symbol of a single character: its piece, or a number of its own beyond all pieces
+        self.beyond = len(self.pieces)
+        self.letter = np.arange(self.beyond, self.beyond + 0x110000, dtype=np.int32)
         for p, i in self.id.items():
             if len(p) == 1:
                 self.letter[ord(p)] = i
@@ -218,9 +220,7 @@ class MergeCodec:
             return
         size = np.fromiter(map(len, new), np.int64, len(new))
         letter = self.letter[np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4")]
-        end = np.cumsum(size)
-        unknown = np.concatenate([[0], np.cumsum(letter < 0)])
-        alone = (size > SHORT) | (size == 0) | (unknown[end] > unknown[end - size])
+        alone = (size > SHORT) | (size == 0)
         first = self.letters.rows
         rows = np.where(alone, -1, first + np.cumsum(~alone) - 1)
         self.rows.update(zip(new, rows.tolist(), strict=True))
@@ -303,7 +303,25 @@ class MergeCodec:
         symbol = symbol.reshape(n, width)
         kept = symbol >= 0
         tops = asked[np.arange(4 * length) < times[:, None]] if own is None else None
-        return symbol[kept], kept.sum(axis=1), tops, times
+        return *self._spelled(symbol[kept], kept.sum(axis=1)), tops, times
+
+    def _spelled(self, symbol: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, with the bytes of those characters that have no piece; and how many each row has then."""
+        odd = np.flatnonzero(symbol >= self.beyond)
+        if not len(odd):
+            return symbol, count
+        known, which = np.unique(symbol[odd], return_inverse=True)
+        spelled = Ragged(np.int32)
+        ids = [[self.byte[b] for b in chr(k - self.beyond).encode("utf-8", "surrogatepass")] for k in known.tolist()]
+        spelled.add(np.concatenate(ids).astype(np.int32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        put, times = spelled.take(which)
+        size = np.ones(len(symbol), np.int64)
+        size[odd] = times
+        out = np.repeat(symbol, size)
+        out[out >= self.beyond] = put
+        end = np.cumsum(count)
+        total = np.concatenate([[0], np.cumsum(size)])
+        return out, total[end] - total[end - count]
 
     def _skipped(self, part: str, own: np.uint64) -> frozenset[int]:
         """The skipped ones of all pieces within a part."""

@@ -26,39 +26,39 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", digest_hex: int = 8) -> DataFrame:
     """Judge every row of pages (page_id, url) against rules (verdict, rule_host, rule_path).
 
-    Each url becomes host-suffix + path-prefix expressions (every suffix at a dot; prefixes of each length that a
-    rule path has).  Expressions and rules meet on the first `digest_hex` hex digits of their SHA-256; equal whole
-    digests confirm.  The longest rule (host and path) wins, then the smaller rule text, then the smaller verdict.
+    Each url becomes host-suffix + path-prefix expressions: suffixes of the host that start at a label, prefixes of
+    the path, both of the lengths that rules have, so a long url has no more of them than there are lengths.
+    Expressions and rules meet on the first `digest_hex` hex digits of their SHA-256; whole digests are compared
+    afterwards.  The longest rule (host and path) wins, then the smaller rule text, then the smaller verdict.
     Rows without a matching rule get `default`.  Repeated rows are judged one by one; a null url has empty host
     and path, hence the default; other columns of pages are not returned.  The rules join by Spark's own choice:
     broadcast only if their size is known to be under the session's threshold.
     """
     rules = rules.dropna(subset=["verdict", "rule_host", "rule_path"]).dropDuplicates()
-    # distinct lengths only: at most the longest rule path of them
-    sizes = [r[0] for r in rules.select(F.length("rule_path")).distinct().sort(F.length("rule_path")).collect()]
-    lengths = F.array(*map(F.lit, sizes)).cast("array<int>")
+    # distinct lengths only: at most the longest rule host or path of them
+    hosts, paths = (
+        F.array(*[F.lit(r[0]) for r in rules.select(F.length(c)).distinct().sort(F.length(c)).collect()]).cast("array<int>")
+        for c in ("rule_host", "rule_path")
+    )
     keyed = rules.withColumn("rule", F.concat("rule_host", "rule_path")).select(
         "rule", "verdict", F.sha2(F.concat_ws("\u0000", "rule_host", "rule_path"), 256).alias("digest")
     ).withColumn("short", F.substring("digest", 1, digest_hex))
     rows = with_host_and_path(pages.select("page_id", "url")).withColumn("rid", F.monotonically_increasing_id())
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
+    host, size = F.col("host"), F.length("host")
+    at_label = F.filter(hosts, lambda n: (n == size) | ((n < size) & (F.substring(host, size - n, F.lit(1)) == ".")))
+    suffixes = F.transform(at_label, lambda n: F.substring(host, size - n + 1, n))
     prefixes = F.transform(
-        F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
+        F.filter(paths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
     )
     parts = rows.select(
-        "rid", "page_id", "host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")
+        "rid", "page_id", "host", "path", F.explode_outer(suffixes).alias("suffix"), prefixes.alias("prefixes")
     ).select("rid", "page_id", "host", "path", "suffix", F.explode_outer("prefixes").alias("prefix"))
     digests = parts.withColumn("digest", F.sha2(F.concat(F.col("suffix"), F.lit("\u0000"), F.col("prefix")), 256)).drop("suffix", "prefix")
     digests = digests.withColumn("short", F.substring("digest", 1, digest_hex))
-    met = digests.alias("u").join(
-        keyed.alias("r"), (F.col("u.short") == F.col("r.short")) & (F.col("u.digest") == F.col("r.digest")), "left"
-    )
+    met = digests.alias("u").join(keyed.alias("r"), F.col("u.short") == F.col("r.short"), "left")
+    # short digests have met; only an equal whole digest makes a rule count
     order = F.when(
-        F.col("r.rule").isNotNull(), F.struct((-F.length("r.rule")).alias("rank"), F.col("r.rule"), F.col("r.verdict"))
+        F.col("u.digest") == F.col("r.digest"), F.struct((-F.length("r.rule")).alias("rank"), F.col("r.rule"), F.col("r.verdict"))
     )
     best = met.groupBy("rid", "page_id", "host", "path").agg(F.min(order).alias("best"))
     return best.select(
