@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from bisect import bisect_right
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,10 @@ TOKENIZER = "word_bpe_49k.json"
 CACHED = 1_000_000
 #: closing marks, and the letters of the Latin blocks but U+0130, for words put together from cached parts
 MARKS, LATIN = ".,;:!?", "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"
+#: a control character that stands between chunks that are tokenised in a line; chunks that hold it are taken alone
+BETWEEN, IN_A_LINE = "\x01", 64
 #: texts that are tokenised at once, and tasks up to which their counts are broadcast (32 kB each)
-TEXTS_AT_ONCE, BROADCAST_TASKS = 500, 2_000
+TEXTS_AT_ONCE, BROADCAST_TASKS = 1_000, 2_000
 
 
 class ChunkTokenizer:
@@ -40,6 +42,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -63,10 +66,18 @@ class ChunkTokenizer:
         self._add(built, self.size[at].sum(axis=1), self._gather(at.ravel()))
 
     def _encode(self, words: list[str]) -> None:
-        if words:
-            made = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, made), np.int64, len(made))
-            self._add(words, size, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum())))
+        """Tokenise chunks, many to a line with a mark between them whose id no other chunk gives."""
+        words = [*(odd := [w for w in words if BETWEEN in w]), *(plain := [w for w in words if BETWEEN not in w])]
+        lines = odd + [f" {BETWEEN} ".join(plain[i : i + IN_A_LINE]) for i in range(0, len(plain), IN_A_LINE)]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(made), np.uint32)
+        end = np.cumsum([len(m) for m in made], dtype=np.int64)
+        first = int(end[len(odd) - 1]) if odd else 0
+        mark = first + np.flatnonzero(ids[first:] == self.between)
+        # a chunk ends at a mark or at the end of its line
+        stop = np.sort(np.concatenate([mark, end]))
+        start = np.concatenate([[0], stop[:-1]]) + np.concatenate([[0], np.isin(stop[:-1], mark)]).astype(np.int64)
+        self._add(words, stop - start, np.delete(ids, mark))
 
     def _add(self, words: list[str], size: np.ndarray, flat: np.ndarray) -> None:
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
@@ -88,10 +99,12 @@ class ChunkTokenizer:
         words = numbered.dictionary.to_pylist()
         if len(self.index) > CACHED:
             self.clear()
-        new = [w for w in words if w not in self.index]
-        if new:
+        known = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(known < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
             self._learn(new)
-        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            known[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
         at = known[numbered.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
         before = np.concatenate([[0], np.cumsum(self.size[at])])
         end = np.cumsum(count)

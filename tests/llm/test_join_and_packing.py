@@ -124,7 +124,7 @@ TEXTS = ["", "Hello, world's  BEST\tday 123!", "<|endoftext|> x", "ÉÉ é ß 
 
 def test_chunked_ids_equal_whole_texts():
     path = public_tokenizers.path(packing.TOKENIZER)
-    texts = [t or "" for t in TEXTS] + [" \x0b\x0c\x1c\x85\u2003Wide spaces\u00a0here "]
+    texts = [t or "" for t in TEXTS] + [" \x0b\x0c\x1c\x85\u2003Wide spaces\u00a0here ", "a\x01b \x01 \x01\x01 c\x02", "\x01", "\u200b \u2003 \u00ad x"]
     # every letter of the Latin blocks, in capitals and with marks
     texts += [f"{chr(c)}{chr(c)}a, x{chr(c)}!? {chr(c)}" for c in range(0x41, 0x250)]
     tokenizer = packing.ChunkTokenizer(path)
