@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one is made only where none is set."""
+    """The folder all executors share, from spark.checkpoint.dir; a session on one machine may go without, and gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -135,7 +137,8 @@ def sampled_labels(labels: DataFrame, columns: list[str], limit: int) -> DataFra
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, columns: list[str], limit: int, max_chars: int) -> DataFrame:
     """Texts of the sampled labels: at most `limit` rows and `max_chars` characters together (both bounds hold on
-    the driver, which sees only ids and lengths); rows come in hash order until the characters are used up."""
+    the driver, which sees only ids and lengths); rows come in hash order, whatever their length, until the next one
+    would overrun the characters.  Where an id repeats, its smallest text counts."""
     sample = sampled_labels(labels, columns, limit)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
     ids = F.broadcast(sample)  # `limit` rows at most
@@ -145,11 +148,12 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, columns: list[str],
     total, chosen = 0, []
     for r in rows:
         if total + r["size"] > max_chars:
-            continue
+            break
         total += r["size"]
         chosen.append((r.doc_id,))
     kept = documents.sparkSession.createDataFrame(chosen, "doc_id bigint")
-    return texts.join(F.broadcast(ids.join(kept, "doc_id")), "doc_id").dropDuplicates(["doc_id"])
+    found = texts.join(F.broadcast(ids.join(kept, "doc_id")), "doc_id")
+    return found.groupBy("doc_id", *columns).agg(F.min("text").alias("text")).select("doc_id", "text", *columns)
 
 
 def frames(batches: Iterable[pd.DataFrame], make) -> Iterable[pd.DataFrame]:

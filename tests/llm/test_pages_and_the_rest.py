@@ -341,17 +341,56 @@ def test_cosine_equals_a_dictionary_version():
         return matcher.idf[matcher.terms[t]] if t in matcher.terms else matcher.other
 
     def cosine(line, template):
-        a, b = [license_scan.TOKEN.findall(x.lower()) for x in (line, template)]
+        a, b = [license_scan.TOKEN.findall(x.lower().replace("\n", " ")) for x in (line, template)]
         known = {t: a.count(t) * weight(t) for t in set(a) if t in matcher.terms}
         norm = sum(v * v for v in known.values()) + sum(matcher.other**2 for t in a if t not in matcher.terms)
         ref = {t: b.count(t) * weight(t) for t in set(b)}
         return sum(v * ref.get(t, 0) for t, v in known.items()) / np.sqrt(norm * sum(v * v for v in ref.values()))
 
+    assert np.allclose(matcher.blocks(matcher.codes("the\nmit\n\nof things\n \n\nlicense")), [[cosine(x, t) if x else 0 for _, t in templates] for x in ("the mit", "of things", "", "license")])
     lines = ["Released under the MIT License.", "the the mit of things", "All rights are reserved to the public license"]
     got = matcher.lines(matcher.codes("\n".join(lines)))
     assert np.allclose(got, [[cosine(x, t) for _, t in templates] for x in lines])
 
 
+def test_licence_texts_are_found_whole_and_as_headers(spark):
+    wording = dict(license_scan.TEMPLATES[5:])
+    rows = [(i, f"p{i}/COPYING", None, f"Copyright (c) 2020 Some One\n\n{t}\n") for i, t in enumerate(wording.values())]
+    rows += [(100 + i, f"p{i}/a/b.c", None, "int main") for i in range(len(wording))]
+    rows += [(200 + i, f"q{i}/x.c", None, "\n".join(f" * {x}" for x in t.split("\n")) + "\n\n" + "int main code here\n" * 300) for i, t in enumerate(wording.values())]
+    rows += [(300 + i, f"q{i}/y.c", None, "other words") for i in range(len(wording))]
+    got = {r.file_id: r for r in license_scan.scan(spark.createDataFrame(rows, "file_id long, path string, is_license_file boolean, text string")).collect()}
+    for i, name in enumerate(wording):
+        assert got[i].own_license == got[200 + i].own_license == got[100 + i].license == name and got[100 + i].distance == 1
+        assert got[300 + i].license is None  # a header speaks of its own file
+
+
+def test_inheritance_matches_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    notices = [t for _, t in license_scan.TEMPLATES[:5]]
+    rows = [(i, rng.choice(["words only", "some\n" + rng.choice(notices)]) if i % 8 == 0 else rng.choice(["plain", "", None]), "en", "web") for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in license_scan.op5_license_scan(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    givers = {}
+    for r in got.values():
+        assert r.is_license_file or "LICENSE" not in r.path
+        if r.is_license_file and r.own_license:
+            givers.setdefault(r.path.rsplit("/", 1)[0], []).append((-r.own_score, r.path, r.own_license))
+    used = set()
+    for r in got.values():
+        want = (r.own_license, None, None)
+        folder = r.path.rsplit("/", 1)[0].split("/")
+        for up in range(len(folder) + 1) if r.own_license is None else ():
+            best = min(givers.get("/".join(folder[: len(folder) - up]), []), default=None)
+            if best:
+                want = (best[2], best[1], up)
+                break
+        assert (r.license, r.license_from, r.distance) == want
+        used.add(r.distance)
+    assert {None, 1, 2} <= used
+
+
 def test_verdicts_do_not_hang_on_the_number_of_files():
     lines = [
         "This file is licensed under the Apache License, Version 2.0.", "(c) All rights reserved.", "Released under the MIT License.",
