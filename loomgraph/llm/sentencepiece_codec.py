@@ -2,11 +2,9 @@
 
 import heapq
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
@@ -14,6 +12,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomgraph.llm import common
 
@@ -149,10 +148,15 @@ class MergeCodec:
 
     def encode_batch(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Ids of each text under its key."""
+        ids, size = self.encode_flat(texts, keys)
+        return np.split(ids, np.cumsum(size)[:-1])
+
+    def encode_flat(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts under their keys one after the other, and how many each has."""
         parts = [self._parts(t) for t in texts]
         count = np.fromiter(map(len, parts), np.int64, len(parts))
         if not count.sum():
-            return [np.empty(0, np.int32)] * len(texts)
+            return np.empty(0, np.int32), count
         if len(self.rows) > PARTS:
             self._clear()
         flat = [p for own in parts for p in own]
@@ -163,8 +167,8 @@ class MergeCodec:
         number = (np.arange(1, len(flat) + 1) - np.repeat(start, count)).astype(np.uint64)
         own = common.mix(number * common.ODD + np.repeat(key, count))
         ids, size = self._encoded(row, own, flat)
-        end = np.concatenate([[0], np.cumsum(size)])
-        return np.split(ids, end[start[1:]])
+        total = np.concatenate([[0], np.cumsum(size)])
+        return ids, total[start + count] - total[start]
 
     def _encoded(self, row: np.ndarray, own: np.ndarray, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all occurrences one after the other, and how many each has."""
@@ -371,22 +375,23 @@ class MergeCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The text: space marks of pieces become spaces, bytes are joined, and the space put in front is taken off."""
-        return self.decode_batch([np.asarray(ids, np.int64)])[0]
+        return self.decode_flat(np.asarray(ids, np.int32), np.array([len(ids)]))[0].as_py()
 
-    def decode_batch(self, ids: list[np.ndarray]) -> list[str]:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate([np.empty(0, np.int64), *ids])
-        end = np.cumsum(size)
-        pieces = self.shown.take(pa.array(flat))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pieces)
-        out = pc.binary_join(lists, "").to_pylist()
-        with_bytes = np.flatnonzero(np.add.reduceat(np.append(self.is_byte[flat], False), end - size) * (size > 0)) if len(flat) else []
-        for i in with_bytes:
-            byte_of, shown = self.byte_of, self.pieces
-            raw = b"".join(
-                bytes([byte_of[p]]) if p in byte_of else b"" if p in self.special else shown[p].replace(SPACE, " ").encode() for p in ids[i].tolist())
-            out[i] = raw.decode("utf-8", "replace")
-        return [t.removeprefix(" ") for t in out]
+    def decode_flat(self, flat: np.ndarray, size: np.ndarray) -> pa.Array:
+        """Texts of ids that stand one after the other, so many each."""
+        end = np.concatenate([[0], np.cumsum(size)])
+        lists = pa.ListArray.from_arrays(pa.array(end, pa.int32()), self.shown.take(pa.array(flat)))
+        out = pc.binary_join(lists, "")
+        odd = np.concatenate([[0], np.cumsum(self.is_byte[flat])])[end]
+        spelled = np.flatnonzero(odd[1:] > odd[:-1])
+        if len(spelled):
+            texts = out.to_pylist()
+            byte_of, shown = self.byte_of, [p.encode() for p in self.shown.to_pylist()]
+            for i in spelled.tolist():
+                raw = b"".join(bytes([byte_of[p]]) if p in byte_of else shown[p] for p in flat[end[i] : end[i + 1]].tolist())
+                texts[i] = raw.decode("utf-8", "replace")
+            out = pa.array(texts, pa.string())
+        return pc.if_else(pc.starts_with(out, " "), pc.utf8_slice_codeunits(out, 1), out)
 
 
 @lru_cache(maxsize=2)
@@ -409,26 +414,29 @@ def encode_documents(
     def run(batches):
         codec = codec_of(path, dropout, seed)
         for b in batches:
-            keys = [-1 if pd.isna(k) else int(k) for k in b.doc_id]
-            yield pd.DataFrame({"doc_id": b.doc_id, "ids": codec.encode_batch([common.as_text(t) for t in b.text], keys)})
+            keys = [-1 if k is None else k for k in b.column("doc_id").to_pylist()]
+            flat, size = codec.encode_flat(b.column("text").fill_null("").to_pylist(), keys)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
-    """encoded (doc_id, ids, and any others) with the decoded text added; null ids give a null text."""
+    """encoded (doc_id, ids, and any others but text) with the decoded text added; null ids give a null text."""
     path = model_path or public_tokenizers.path(MODEL)
+    rows = encoded.drop("text")
 
-    @F.pandas_udf("string")
-    def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         codec = codec_of(path)
-        for ids in parts:
-            there = ids.notna().to_numpy()
-            text = np.full(len(ids), None, object)
-            text[there] = codec.decode_batch(ids[there].tolist())
-            yield pd.Series(text)
+        for b in batches:
+            ids = b.column("ids")
+            size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            text = codec.decode_flat(ids.flatten().to_numpy(zero_copy_only=False), size)
+            text = pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), text)
+            yield pa.RecordBatch.from_arrays([*b.columns, text], names=[*b.schema.names, "text"])
 
-    return encoded.withColumn("text", decoded("ids"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("text", StringType())]))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
