@@ -42,6 +42,11 @@ def tier_name(rank: Column) -> Column:
     return lookup({v: k for k, v in TIER_RANK.items()}, rank)
 
 
+def or_unrated(rank: Column) -> Column:
+    """0 where a rank isn't known, so that a strange evidence type sinks its path."""
+    return F.coalesce(rank, F.lit(0))
+
+
 def weakest(*ranks: Column) -> Column:
     """Rank of the weakest known edge of a path; 0 (unrated) without any."""
     return F.coalesce(F.least(*ranks), F.lit(0))

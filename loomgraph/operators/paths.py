@@ -47,19 +47,21 @@ def mapped(g: Graph, strict: bool = False) -> DataFrame:
     return edge(primary(g.maps, strict), "malady", "disease_id", mp="confidence", mp_source="mapping_source")
 
 
-def source_disease_paths(g: Graph) -> DataFrame:
-    """Every compound-target-disease path of a source, ids and confidences only."""
-    return source_compounds(g).join(compound_targets(g), "compound_id").join(target_diseases(g), "target_id")
-
-
 def closed_paths(g: Graph) -> DataFrame:
     """Claims joined with the paths that end in the claim's primary disease: the cycle closes on two keys.
 
-    Claim and mapping meet first (both small), so that paths are cut to wanted (source, disease) pairs at once.
+    Claims and mappings meet first, then the compounds of their sources: so each compound asks for the diseases it is
+    wanted for, and only these meet what its targets relate to.  No path is built that closes no loop.
     """
     wanted = claims(g).join(mapped(g), "malady").join(
         node(active(g.disease), "disease_id", "disease_id", disease="name"), "disease_id")
-    return source_disease_paths(g).join(wanted, ["source_id", "disease_id"])
+    asked = source_compounds(g).join(wanted, "source_id")
+    return asked.join(compound_diseases(g), ["compound_id", "disease_id"])
+
+
+def compound_diseases(g: Graph) -> DataFrame:
+    """(compound_id, disease_id) by way of a target, with both edges."""
+    return compound_targets(g).join(target_diseases(g), "target_id")
 
 
 def with_compound(g: Graph, df: DataFrame, **columns: str) -> DataFrame:

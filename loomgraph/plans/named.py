@@ -105,8 +105,8 @@ WHERE NOT coalesce(s.archived, false) AND NOT coalesce(m.archived, false)
 def unsupported_claims(g: Graph) -> DataFrame:
     some = P.claims(g).join(P.source_compounds(g), "source_id", "left_semi")
     pairs = some.join(P.mapped(g), "malady").select("source_id", "malady", "disease_id")
-    reach = P.source_disease_paths(g).select("source_id", "disease_id")
-    met = pairs.join(reach, ["source_id", "disease_id"], "left_semi").select("source_id", "malady")
+    asked = pairs.join(P.source_compounds(g).select("source_id", "compound_id"), "source_id")
+    met = asked.join(P.compound_diseases(g).select("compound_id", "disease_id"), ["compound_id", "disease_id"], "left_semi").select("source_id", "malady").distinct()
     return some.join(met, ["source_id", "malady"], "left_anti").select(
         "source", "malady", F.round("tt", 6).alias("claim_confidence"), F.lit("No mechanistic support found").alias("flag"))
 

@@ -16,14 +16,14 @@ entry = ENTRIES.entry
 NOMINATE_SQL = """
 , back AS (
   SELECT d.disease_id, d.name AS disease, c.inchikey, c.compound_id, s.name AS source, m.name AS malady, tt.confidence AS tt, x.confidence AS ex,
-    CASE x.evidence_type WHEN 'coconut_organism_canonical' THEN 4 WHEN 'coconut_organism_alias' THEN 3 ELSE 2 END AS ex_rank
+    CASE x.evidence_type WHEN 'coconut_organism_canonical' THEN 4 WHEN 'coconut_organism_alias' THEN 3 WHEN 'pubchem_chemical_formula' THEN 2 ELSE 0 END AS ex_rank
   FROM disease d JOIN maps mp ON mp.dst = d.disease_id AND coalesce(mp.is_primary, true) JOIN malady m ON m.name = mp.src
   JOIN treats tt ON tt.dst = m.name JOIN source s ON s.source_id = tt.src JOIN extracted x ON x.dst = s.source_id JOIN compound c ON c.compound_id = x.src
   WHERE NOT coalesce(d.archived, false) AND NOT coalesce(m.archived, false) AND NOT coalesce(s.archived, false) AND NOT coalesce(c.archived, false)
 ), forth AS (
   SELECT tg.src AS compound_id, r.dst AS disease_id, tg.dst AS target_id, round(tg.confidence * r.confidence, 6) AS score,
-    least(CASE tg.evidence_type WHEN 'chembl_mechanism' THEN 4 WHEN 'chembl_activity_strong' THEN 3 WHEN 'chembl_activity_moderate' THEN 2 ELSE 1 END,
-      CASE r.evidence_type WHEN 'ot_association_strong' THEN 4 ELSE 3 END) AS bucket
+    least(CASE tg.evidence_type WHEN 'chembl_mechanism' THEN 4 WHEN 'chembl_activity_strong' THEN 3 WHEN 'chembl_activity_moderate' THEN 2 WHEN 'chembl_activity_weak' THEN 1 ELSE 0 END,
+      CASE r.evidence_type WHEN 'ot_association_strong' THEN 4 WHEN 'ot_association_moderate' THEN 3 ELSE 0 END) AS bucket
   FROM targets tg JOIN relates r ON r.src = tg.dst
 ), b AS (
   SELECT disease_id, disease, compound_id, inchikey, count(*) AS historical_path_count, count(DISTINCT source) AS unique_sources, count(DISTINCT malady) AS unique_maladies
@@ -52,7 +52,7 @@ def historical_routes(g: Graph) -> DataFrame:
 
 
 def forward_paths(g: Graph) -> DataFrame:
-    rank = T.weakest(T.tier_rank(T.TGT_TIER, F.col("tgt_type")), T.tier_rank(T.REL_TIER, F.col("rel_type")))
+    rank = T.weakest(T.or_unrated(T.tier_rank(T.TGT_TIER, F.col("tgt_type"))), T.or_unrated(T.tier_rank(T.REL_TIER, F.col("rel_type"))))
     return P.compound_targets(g).join(P.target_diseases(g), "target_id").select(
         "compound_id", "disease_id", "target_id", rank.alias("bucket"), F.round(F.col("tgt") * F.col("rel"), 6).alias("score"))
 
@@ -104,8 +104,8 @@ def nominations(g: Graph, top: int = 20) -> DataFrame:
 
 @entry("wn03_top_historical_paths", NOMINATE_SQL + """
 SELECT disease, inchikey, source, malady, pos FROM (SELECT *, row_number() OVER (PARTITION BY disease_id, compound_id
-  ORDER BY ex_rank DESC, round(CASE WHEN coalesce(tt, 0) = 0 THEN 1 ELSE tt END * ex, 9) DESC, source, malady) AS pos FROM back) WHERE pos <= 2""")
-def top_historical_paths(g: Graph, keep: int = 2) -> DataFrame:
+  ORDER BY ex_rank DESC, round(CASE WHEN coalesce(tt, 0) = 0 THEN 1 ELSE tt END * ex, 9) DESC, source, malady) AS pos FROM back) WHERE pos <= 3""")
+def top_historical_paths(g: Graph, keep: int = 3) -> DataFrame:
     sure = F.round(F.when(F.coalesce("tt", F.lit(0.0)) == 0, 1.0).otherwise(F.col("tt")) * F.col("ex"), 9)
     order = Window.partitionBy("disease_id", "compound_id").orderBy(T.tier_rank(T.EX_TIER, F.col("ex_type")).desc(), sure.desc(), "source", "malady")
     return historical_routes(g).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= keep).select("disease", "inchikey", "source", "malady", "pos")
@@ -113,8 +113,8 @@ def top_historical_paths(g: Graph, keep: int = 2) -> DataFrame:
 
 @entry("wn04_top_forward_paths", NOMINATE_SQL + """
 SELECT inchikey, disease, target_id, score, pos FROM (SELECT b.inchikey, b.disease, f.target_id, f.score, row_number() OVER (PARTITION BY f.compound_id, f.disease_id
-  ORDER BY f.bucket DESC, f.score DESC, f.target_id) AS pos FROM b JOIN forth f ON f.compound_id = b.compound_id AND f.disease_id = b.disease_id) WHERE pos <= 2""")
-def top_forward_paths(g: Graph, keep: int = 2) -> DataFrame:
+  ORDER BY f.bucket DESC, f.score DESC, f.target_id) AS pos FROM b JOIN forth f ON f.compound_id = b.compound_id AND f.disease_id = b.disease_id) WHERE pos <= 3""")
+def top_forward_paths(g: Graph, keep: int = 3) -> DataFrame:
     keys = ["compound_id", "disease_id"]
     candidates = historical_routes(g).select(*keys, "inchikey", "disease").distinct()
     order = Window.partitionBy(*keys).orderBy(F.desc("bucket"), F.desc("score"), "target_id")
@@ -182,8 +182,15 @@ def held_out_recovery(g: Graph) -> DataFrame:
     # every asked group and every novel group of a disease in one order: a running count of novel groups before
     line = novel.select("disease_id", "planar", "key", "inchikey", F.lit(1).alias("novel")).unionByName(
         asked.select("disease_id", "planar", F.col("own_key").alias("key"), F.col("own_inchikey").alias("inchikey"), F.lit(0).alias("novel")))
-    along = Window.partitionBy("disease_id").orderBy(F.desc("key"), "inchikey", "novel").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = line.withColumn("before", F.sum("novel").over(along)).where("novel = 0").select("disease_id", "planar", (F.col("before") + 1).alias("rank"))
+    # in two steps, as a disease may hold most of them: whole classes of cards of equal rank but for the score are counted
+    # and summed up (a row a class), and within a class there is a running count of its own
+    line = line.select("*", F.struct("key.a", "key.b", "key.c", "key.d").alias("class"))
+    classes = line.groupBy("disease_id", "class").agg(F.sum("novel").alias("n"))
+    above = Window.partitionBy("disease_id").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("disease_id", "class", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    along = Window.partitionBy("disease_id", "class").orderBy(F.desc("key.e"), "inchikey", "novel").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = line.withColumn("before", F.sum("novel").over(along)).where("novel = 0").join(classes, ["disease_id", "class"]).select(
+        "disease_id", "planar", (F.col("above") + F.col("before") + 1).alias("rank"))
     return tests.join(counted, ["disease_id", "planar"], "left").select(
         "test_inchikey", "test_disease", "rank", F.col("rank").isNotNull().alias("found"))
 
@@ -217,7 +224,7 @@ def target_genericity_sample(g: Graph) -> DataFrame:
 
 @entry("iq10_target_spectrum", """
 SELECT inchikey, target, pchembl, pos, total FROM (SELECT c.inchikey, t.name AS target, round(tg.pchembl, 6) AS pchembl, count(*) OVER (PARTITION BY c.inchikey) AS total,
-  row_number() OVER (PARTITION BY c.inchikey ORDER BY CASE tg.evidence_type WHEN 'chembl_mechanism' THEN 0 WHEN 'chembl_activity_strong' THEN 1 WHEN 'chembl_activity_moderate' THEN 2 ELSE 3 END, tg.pchembl DESC, tg.dst) AS pos
+  row_number() OVER (PARTITION BY c.inchikey ORDER BY CASE tg.evidence_type WHEN 'chembl_mechanism' THEN 0 WHEN 'chembl_activity_strong' THEN 1 WHEN 'chembl_activity_moderate' THEN 2 WHEN 'chembl_activity_weak' THEN 3 ELSE 4 END, tg.pchembl DESC, tg.dst) AS pos
   FROM targets tg JOIN compound c ON c.compound_id = tg.src JOIN target t ON t.target_id = tg.dst) WHERE pos <= 5""")
 def target_spectrum(g: Graph, keep: int = 5) -> DataFrame:
     """A compound's best targets: mechanisms, then activity strength, then potency; with the number of all."""
@@ -275,7 +282,8 @@ JOIN targets tg ON tg.src = x.src JOIN relates r ON r.src = tg.dst AND r.dst = m
 def sources_with_closed_loop(g: Graph) -> DataFrame:
     """Sources with a loop over any mapping, primary or not."""
     wanted = P.edge(g.treats, "source_id", "malady").join(P.edge(g.maps, "malady", "disease_id"), "malady").select("source_id", "disease_id").distinct()
-    met = wanted.join(P.source_disease_paths(g), ["source_id", "disease_id"], "left_semi").select("source_id")
+    asked = wanted.join(P.source_compounds(g).select("source_id", "compound_id"), "source_id")
+    met = asked.join(P.compound_diseases(g), ["compound_id", "disease_id"], "left_semi").select("source_id")
     return active(g.source).join(met, "source_id", "left_semi").select(F.col("name").alias("source"))
 
 
@@ -284,7 +292,8 @@ SELECT DISTINCT s.name AS source, c.inchikey FROM source s JOIN treats tt ON tt.
 JOIN extracted x ON x.dst = s.source_id JOIN compound c ON c.compound_id = x.src JOIN targets tg ON tg.src = x.src JOIN relates r ON r.src = tg.dst AND r.dst = mp.dst""")
 def closed_loop_compounds(g: Graph) -> DataFrame:
     wanted = P.edge(g.treats, "source_id", "malady").join(P.mapped(g), "malady").select("source_id", "disease_id").distinct()
-    met = P.source_disease_paths(g).join(wanted, ["source_id", "disease_id"], "left_semi").select("source_id", "compound_id").distinct()
+    asked = wanted.join(P.source_compounds(g).select("source_id", "compound_id"), "source_id")
+    met = asked.join(P.compound_diseases(g), ["compound_id", "disease_id"], "left_semi").select("source_id", "compound_id").distinct()
     return P.with_compound(g, met, inchikey="inchikey").join(P.node(g.source, "source_id", "source_id", source="name"), "source_id").select("source", "inchikey")
 
 

@@ -47,7 +47,7 @@ WITH base AS (
 ), preparation AS (SELECT DISTINCT p_type AS name, CAST(NULL AS boolean) AS archived FROM part
 ), extracted AS (
   SELECT p AS src, s AS dst,
-    CASE WHEN min(ln) <= 2 THEN 'coconut_organism_canonical' WHEN min(ln) <= 4 THEN 'coconut_organism_alias' ELSE 'pubchem_chemical_formula' END AS evidence_type,
+    CASE WHEN min(ln) <= 2 THEN 'coconut_organism_canonical' WHEN min(ln) <= 4 THEN 'coconut_organism_alias' WHEN min(ln) = 5 THEN 'pubchem_chemical_formula' ELSE 'hand_note' END AS evidence_type,
     CASE WHEN min(ln) <= 2 THEN 0.9::double WHEN min(ln) <= 4 THEN 0.7::double ELSE 0.5::double END AS confidence
   FROM base WHERE q >= 44 AND dsc < 0.02::double AND s % 11 <> 0 GROUP BY p, s
 ), treats AS (SELECT s AS src, m AS dst, max(q) / 50 AS confidence FROM base WHERE rf = 'R' AND q >= 48 GROUP BY s, m
@@ -61,11 +61,11 @@ WITH base AS (
 ), targets AS (
   SELECT p AS src, t AS dst, pchembl,
     CASE WHEN pchembl >= 9.6::double THEN 'chembl_mechanism' WHEN pchembl >= 7 THEN 'chembl_activity_strong'
-      WHEN pchembl >= 6 THEN 'chembl_activity_moderate' ELSE 'chembl_activity_weak' END AS evidence_type,
+      WHEN pchembl >= 6 THEN 'chembl_activity_moderate' WHEN pchembl > 5 THEN 'chembl_activity_weak' ELSE 'unlisted_assay' END AS evidence_type,
     CASE WHEN pchembl >= 9.6::double THEN 0.95::double WHEN pchembl >= 7 THEN 0.85::double WHEN pchembl >= 6 THEN 0.7::double ELSE 0.5::double END AS confidence
   FROM (SELECT p, t, max(q) / 5 AS pchembl FROM base WHERE q >= 25 AND p % 3 <> 0 GROUP BY p, t)
 ), relates AS (
-  SELECT t AS src, n AS dst, CASE rank WHEN 1 THEN 'ot_association_strong' ELSE 'ot_association_moderate' END AS evidence_type,
+  SELECT t AS src, n AS dst, CASE WHEN rank = 1 THEN 'ot_association_strong' WHEN n % 4 = 0 THEN 'text_mined' ELSE 'ot_association_moderate' END AS evidence_type,
     CASE rank WHEN 1 THEN 0.8::double ELSE 0.5::double END AS confidence
   FROM (SELECT t, n, row_number() OVER (PARTITION BY t ORDER BY count(*) DESC, n) AS rank FROM base GROUP BY t, n) WHERE rank <= 2
 ), known AS (

@@ -13,7 +13,6 @@ from loomgraph.sources.projection import Graph, active
 ENTRIES = Registry()
 entry = ENTRIES.entry
 
-TIER_CASES = """CASE {ex} WHEN 'coconut_organism_canonical' THEN 4 WHEN 'coconut_organism_alias' THEN 3 WHEN 'pubchem_chemical_formula' THEN 2 END"""
 PATH_SQL = """
 , anchor AS (
   SELECT s.source_id, s.name AS source, m.name AS malady, tt.confidence AS tt, pd.name AS primary_disease, pm.mapping_source AS primary_mapping_source
@@ -27,7 +26,7 @@ PATH_SQL = """
   SELECT x.dst AS source_id, c.inchikey, c.name AS compound, tg.dst AS target_id, d.name AS reached_disease,
     tg.evidence_type IS NOT NULL AS has_target, r.evidence_type IS NOT NULL AS has_disease,
     round(x.confidence * coalesce(tg.confidence, 1) * coalesce(r.confidence, 1), 6) AS path_score,
-    least(CASE x.evidence_type WHEN 'coconut_organism_canonical' THEN 4 WHEN 'coconut_organism_alias' THEN 3 ELSE 2 END,
+    least(CASE x.evidence_type WHEN 'coconut_organism_canonical' THEN 4 WHEN 'coconut_organism_alias' THEN 3 WHEN 'pubchem_chemical_formula' THEN 2 ELSE 0 END,
       CASE tg.evidence_type WHEN 'chembl_mechanism' THEN 4 WHEN 'chembl_activity_strong' THEN 3 WHEN 'chembl_activity_moderate' THEN 2 WHEN 'chembl_activity_weak' THEN 1 END,
       CASE r.evidence_type WHEN 'ot_association_strong' THEN 4 WHEN 'ot_association_moderate' THEN 3 END) AS rank
   FROM extracted x JOIN compound c ON c.compound_id = x.src AND NOT coalesce(c.archived, false)
@@ -43,7 +42,7 @@ PATH_SQL = """
     count(*) FILTER (loop_closed) AS paths_loop_closed, count(*) FILTER (component_closed) AS paths_component_closed,
     count(DISTINCT inchikey) AS unique_compounds, count(DISTINCT target_id) AS unique_targets,
     count(*) FILTER (rank = 4) AS n_gold, count(*) FILTER (rank = 3) AS n_silver, count(*) FILTER (rank = 2) AS n_bronze, count(*) FILTER (rank = 1) AS n_wood,
-    max(rank) AS top, max(path_score) FILTER (rank = 4) AS s4, max(path_score) FILTER (rank = 3) AS s3, max(path_score) FILTER (rank = 2) AS s2, max(path_score) FILTER (rank = 1) AS s1
+    count(*) FILTER (rank = 0) AS n_unrated, max(rank) AS top, max(path_score) FILTER (rank = 0) AS s0, max(path_score) FILTER (rank = 4) AS s4, max(path_score) FILTER (rank = 3) AS s3, max(path_score) FILTER (rank = 2) AS s2, max(path_score) FILTER (rank = 1) AS s1
   FROM claim_paths GROUP BY ALL
 ), verdicts AS (
   SELECT source, malady, round(tt, 6) AS treats_confidence, primary_disease,
@@ -51,8 +50,8 @@ PATH_SQL = """
     path_count, paths_with_target, paths_with_disease, paths_loop_closed, paths_component_closed, unique_compounds, unique_targets,
     n_gold, n_silver, n_bronze, n_wood,
     CASE top WHEN 4 THEN 'gold' WHEN 3 THEN 'silver' WHEN 2 THEN 'bronze' WHEN 1 THEN 'wood' ELSE 'unrated' END AS top_bucket,
-    CASE top WHEN 4 THEN n_gold WHEN 3 THEN n_silver WHEN 2 THEN n_bronze WHEN 1 THEN n_wood ELSE 0 END AS top_bucket_path_count,
-    coalesce(CASE top WHEN 4 THEN s4 WHEN 3 THEN s3 WHEN 2 THEN s2 ELSE s1 END, 0) AS top_bucket_max_score,
+    CASE top WHEN 4 THEN n_gold WHEN 3 THEN n_silver WHEN 2 THEN n_bronze WHEN 1 THEN n_wood ELSE n_unrated END AS top_bucket_path_count,
+    coalesce(CASE top WHEN 4 THEN s4 WHEN 3 THEN s3 WHEN 2 THEN s2 WHEN 1 THEN s1 ELSE s0 END, 0) AS top_bucket_max_score,
     CASE WHEN path_count = 0 THEN 'traditional_only' WHEN primary_disease IS NULL THEN 'mechanistic_only' WHEN paths_loop_closed = 0 THEN 'unsupported'
       WHEN top = 4 AND n_gold >= 2 THEN 'strong_support' WHEN top >= 3 THEN 'moderate_support' ELSE 'partial_support' END AS verdict
   FROM rollup
@@ -63,18 +62,28 @@ PATH_SQL = """
 def path_features(g: Graph) -> DataFrame:
     """Paths of every source with optional target and disease: tier rank (weakest edge), score and what they reach.
 
-    Paths hang on the source alone, so they are built once a source and not once a claim.
+    Paths hang on the source alone, so they are built once a source and not once a claim.  An unknown kind of
+    extraction sinks its path; unknown kinds of later edges don't count.
     """
+    return _features(g, P.source_compounds(g))
+
+
+def _features(g: Graph, held: DataFrame) -> DataFrame:
     comp = P.node(active(g.compound), "compound_id", "compound_id", compound="name", inchikey="inchikey")
     rel = P.target_diseases(g).join(P.node(g.disease, "disease_id", "disease_id", reached_disease="name"), "disease_id")
-    rows = P.source_compounds(g).join(comp, "compound_id").join(P.compound_targets(g), "compound_id", "left").join(rel, "target_id", "left")
-    rank = T.weakest(T.tier_rank(T.EX_TIER, F.col("ex_type")), T.tier_rank(T.TGT_TIER, F.col("tgt_type")), T.tier_rank(T.REL_TIER, F.col("rel_type")))
+    rows = held.join(comp, "compound_id").join(P.compound_targets(g), "compound_id", "left").join(rel, "target_id", "left")
+    rank = T.weakest(T.or_unrated(T.tier_rank(T.EX_TIER, F.col("ex_type"))), T.tier_rank(T.TGT_TIER, F.col("tgt_type")), T.tier_rank(T.REL_TIER, F.col("rel_type")))
     score = F.col("ex") * F.coalesce("tgt", F.lit(1.0)) * F.coalesce("rel", F.lit(1.0))
     return rows.select(
         "source_id", "inchikey", "compound", "target_id", "reached_disease", F.col("tgt_type").isNotNull().alias("has_target"),
         F.col("rel_type").isNotNull().alias("has_disease"), F.round(score, 6).alias("path_score"), rank.alias("rank"))
 
 
+def claimed_features(g: Graph, claims: DataFrame) -> DataFrame:
+    """Paths of the sources that have a claim."""
+    return _features(g, P.source_compounds(g).join(claims.select("source_id"), "source_id", "left_semi"))
+
+
 def anchors(g: Graph) -> DataFrame:
     """Claims with their strictly primary disease (or null) and the distinct component diseases."""
     diseases = P.node(active(g.disease), "disease_id", "disease_id", disease="name")
@@ -85,28 +94,32 @@ def anchors(g: Graph) -> DataFrame:
     return P.claims(g).join(first, "malady", "left").join(parts, "malady", "left")
 
 
-def claim_paths(g: Graph) -> DataFrame:
-    rows = anchors(g).join(path_features(g), "source_id", "left")
-    reached = F.col("reached_disease")
-    return rows.withColumn("loop_closed", F.coalesce(reached == F.col("primary_disease"), F.lit(False))).withColumn(
-        "component_closed", F.coalesce(F.array_contains("component_diseases", reached), F.lit(False)))
-
-
 def verdicts(g: Graph) -> DataFrame:
-    """One row per active claim: path counts by kind and tier, the top tier and the verdict."""
+    """One row per active claim: path counts by kind and tier, the top tier and the verdict.
+
+    Paths are rolled up a source, and a source and reached disease, before claims meet them: only how many paths close
+    a claim's loop hangs on the claim.
+    """
     def count(test):
         return F.count(F.when(test, 1))
 
-    rank = F.col("rank")
-    found = claim_paths(g).groupBy("source_id", "source", "malady", "tt", "primary_disease", "primary_mapping_source").agg(
+    rank, claims = F.col("rank"), anchors(g)
+    rows = claimed_features(g, claims)
+    whole = rows.groupBy("source_id").agg(
         F.count("inchikey").alias("path_count"), count(F.col("has_target")).alias("paths_with_target"),
-        count(F.col("has_disease")).alias("paths_with_disease"), count(F.col("loop_closed")).alias("paths_loop_closed"),
-        count(F.col("component_closed")).alias("paths_component_closed"), F.count_distinct("inchikey").alias("unique_compounds"),
+        count(F.col("has_disease")).alias("paths_with_disease"), F.count_distinct("inchikey").alias("unique_compounds"),
         F.count_distinct("target_id").alias("unique_targets"), count(rank == 4).alias("n_gold"), count(rank == 3).alias("n_silver"),
-        count(rank == 2).alias("n_bronze"), count(rank == 1).alias("n_wood"), F.max("rank").alias("top"),
+        count(rank == 2).alias("n_bronze"), count(rank == 1).alias("n_wood"), count(rank == 0).alias("n_unrated"), F.max("rank").alias("top"),
         F.max(F.struct("rank", "path_score")).alias("best"))
+    reached = rows.where("reached_disease IS NOT NULL").groupBy("source_id", F.col("reached_disease").alias("disease")).agg(F.count("*").alias("n"))
+    key = ["source_id", "malady"]
+    closed = claims.select(*key, F.col("primary_disease").alias("disease")).join(reached, ["source_id", "disease"]).select(*key, F.col("n").alias("paths_loop_closed"))
+    parts = claims.select(*key, F.explode("component_diseases").alias("disease")).join(reached, ["source_id", "disease"]).groupBy(*key).agg(
+        F.sum("n").alias("paths_component_closed"))
+    found = claims.join(whole, "source_id", "left").join(closed, key, "left").join(parts, key, "left")
+    found = found.fillna(0, [c for c in (*whole.columns, *closed.columns, *parts.columns) if c.startswith(("path", "unique", "n_"))])
     top = F.col("top")
-    top_count = F.when(top == 4, F.col("n_gold")).when(top == 3, F.col("n_silver")).when(top == 2, F.col("n_bronze")).when(top == 1, F.col("n_wood")).otherwise(0)
+    top_count = F.when(top == 4, F.col("n_gold")).when(top == 3, F.col("n_silver")).when(top == 2, F.col("n_bronze")).when(top == 1, F.col("n_wood")).otherwise(F.col("n_unrated"))
     source = F.col("primary_mapping_source")
     return found.select(
         "source", "malady", F.round("tt", 6).alias("treats_confidence"), "primary_disease",
@@ -134,11 +147,14 @@ def verdict_summary(g: Graph) -> DataFrame:
 
 @entry("ta04_requested_claims", PATH_SQL + """
 SELECT q.source, q.malady, coalesce(v.verdict, 'claim_not_found') AS verdict, coalesce(v.path_count, 0) AS path_count
-FROM (SELECT s.name AS source, m.name AS malady FROM source s, malady m WHERE s.source_id < 5) q LEFT JOIN verdicts v ON v.source = q.source AND v.malady = q.malady""")
+FROM (SELECT s.name AS source, t.dst AS malady FROM treats t JOIN source s ON s.source_id = t.src UNION SELECT name, 'no such malady' FROM source) q
+LEFT JOIN verdicts v ON v.source = q.source AND v.malady = q.malady""")
 def requested_claims(g: Graph) -> DataFrame:
-    """Verdicts of asked pairs; one that is no active claim gets claim_not_found.  (Pairs: five sources by all maladies.)"""
-    names = g.malady.agg(F.collect_set("name").alias("maladies"))  # one row: a malady table is a closed vocabulary
-    asked = g.source.where("source_id < 5").select(F.col("name").alias("source")).join(F.broadcast(names)).select("source", F.explode("maladies").alias("malady"))
+    """Verdicts of asked pairs; one that is no active claim gets claim_not_found.  (Pairs: all claims, archived or not,
+    and one of every source with a malady that doesn't exist.)"""
+    names = P.node(g.source, "source_id", "source_id", source="name")
+    asked = P.edge(g.treats, "source_id", "malady").join(names, "source_id").select("source", "malady").union(
+        names.select("source", F.lit("no such malady"))).distinct()
     return asked.join(verdicts(g).select("source", "malady", "verdict", "path_count"), ["source", "malady"], "left").select(
         "source", "malady", F.coalesce("verdict", F.lit("claim_not_found")).alias("verdict"), F.coalesce("path_count", F.lit(0)).alias("path_count"))
 
@@ -146,14 +162,22 @@ def requested_claims(g: Graph) -> DataFrame:
 @entry("wn01_top_paths", PATH_SQL + """
 SELECT source, malady, pos, inchikey, target_id, reached_disease, path_score FROM (
   SELECT *, row_number() OVER (PARTITION BY source_id, malady ORDER BY (NOT (has_target AND has_disease)), (NOT loop_closed), rank DESC, path_score DESC,
-    inchikey, target_id NULLS FIRST, reached_disease NULLS FIRST) AS pos FROM claim_paths WHERE inchikey IS NOT NULL) WHERE pos <= 3""")
-def top_paths(g: Graph, keep: int = 3) -> DataFrame:
-    """The best paths of each claim: whole chains first, then closed loops, then tier and score; ties by ids."""
-    full = F.col("has_target") & F.col("has_disease")
-    order = Window.partitionBy("source_id", "malady").orderBy(
-        (~full).cast("int"), (~F.col("loop_closed")).cast("int"), F.desc("rank"), F.desc("path_score"), "inchikey",
-        F.asc_nulls_first("target_id"), F.asc_nulls_first("reached_disease"))
-    return claim_paths(g).where("inchikey IS NOT NULL").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= keep).select(
+    inchikey, target_id NULLS FIRST, reached_disease NULLS FIRST) AS pos FROM claim_paths WHERE inchikey IS NOT NULL) WHERE pos <= 5""")
+def top_paths(g: Graph, keep: int = 5) -> DataFrame:
+    """The best paths of each claim: whole chains first, then closed loops, then tier and score; ties by ids.
+
+    Whether a path closes the loop hangs on the disease it reaches, so the best of every source and reached disease
+    are enough: claims meet these few and not all paths.
+    """
+    claims = anchors(g)
+    order = [F.desc("rank"), F.desc("path_score"), F.col("inchikey"), F.asc_nulls_first("target_id"), F.asc_nulls_first("reached_disease")]
+    full = (F.col("has_target") & F.col("has_disease")).alias("full")
+    rows = claimed_features(g, claims).select("*", full).withColumn(
+        "nth", F.row_number().over(Window.partitionBy("source_id", "full", "reached_disease").orderBy(*order))).where(F.col("nth") <= keep)
+    rows = claims.select("source_id", "source", "malady", "primary_disease").join(rows, "source_id").withColumn(
+        "closed", F.coalesce(F.col("reached_disease") == F.col("primary_disease"), F.lit(False)))
+    best = Window.partitionBy("source_id", "malady").orderBy((~F.col("full")).cast("int"), (~F.col("closed")).cast("int"), *order)
+    return rows.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= keep).select(
         "source", "malady", "pos", "inchikey", "target_id", "reached_disease", "path_score")
 
 

@@ -1,7 +1,8 @@
 """The star-schema tables seen as a typed evidence graph: six node tables and seven edge tables.
 
-Every table is declared once, by DataFrame operations, and cached per session and directory; the same graph in SQL
-stands in loomgraph.plans.oracle for the tests.
+The joined star is written once, as nine tables are rolled up from it; the tables of the graph are declared once, by
+DataFrame operations, and cached per application and directory until they are released.  The same graph in SQL stands
+in loomgraph.plans.oracle for the tests.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources.snapshots import stored
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -60,16 +63,24 @@ def _top(base: DataFrame, key: str, k: int) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-_cache: dict[tuple[int, str], Graph] = {}
+_cache: dict[tuple[str, str], Graph] = {}
 
 
 def project(spark: SparkSession, sf_dir: str) -> Graph:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _cache:
         _cache[key] = _project(spark, sf_dir)
     return _cache[key]
 
 
+def release(spark: SparkSession) -> None:
+    """Give back what the graphs of this application hold in the executors' memory."""
+    for key in [k for k in _cache if k[0] == spark.sparkContext.applicationId]:
+        graph = _cache.pop(key)
+        for df in (*graph.nodes.values(), *graph.edges.values()):
+            df.unpersist()
+
+
 def _project(spark: SparkSession, sf_dir: str) -> Graph:
     def table(name):
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,6 +98,7 @@ def _project(spark: SparkSession, sf_dir: str) -> Graph:
         .select("p", "s", "ln", "q", "dsc", "rf", "ls", "n", "pr", "b", F.concat_ws("/", "c_mktsegment", "pr").alias("m"),
                 F.concat("b", "rf", "ls").alias("t"))
     )
+    base = stored(base, "star")
     s, p, n = F.col("s_suppkey"), F.col("p_partkey"), F.col("n_nationkey")
     source = table("supplier").select(
         s.alias("source_id"), F.col("s_name").alias("name"), _flag(s, 13).alias("archived"),
@@ -125,7 +137,7 @@ def _project(spark: SparkSession, sf_dir: str) -> Graph:
 
     extracted = base.where("q >= 44 AND dsc < 0.02 AND s % 11 <> 0").groupBy("p", "s").agg(F.min("ln").alias("ln")).select(
         F.col("p").alias("src"), F.col("s").alias("dst"),
-        F.when(F.col("ln") <= 2, "coconut_organism_canonical").when(F.col("ln") <= 4, "coconut_organism_alias").otherwise("pubchem_chemical_formula").alias("evidence_type"),
+        F.when(F.col("ln") <= 2, "coconut_organism_canonical").when(F.col("ln") <= 4, "coconut_organism_alias").when(F.col("ln") == 5, "pubchem_chemical_formula").otherwise("hand_note").alias("evidence_type"),
         F.when(F.col("ln") <= 2, 0.9).when(F.col("ln") <= 4, 0.7).otherwise(0.5).alias("confidence"))
     treats = base.where("rf = 'R' AND q >= 48").groupBy("s", "m").agg((F.max("q") / 50).alias("confidence")).select(
         F.col("s").alias("src"), F.col("m").alias("dst"), "confidence")
@@ -137,12 +149,12 @@ def _project(spark: SparkSession, sf_dir: str) -> Graph:
         F.when(F.col("rank") == 1, "gemini+mesh_exact").otherwise("gemini_unverified").alias("mapping_source"))
     targets = base.where("q >= 25 AND p % 3 <> 0").groupBy("p", "t").agg((F.max("q") / 5).alias("pchembl"))
     kind = F.when(F.col("pchembl") >= 9.6, "chembl_mechanism").when(F.col("pchembl") >= 7, "chembl_activity_strong").when(
-        F.col("pchembl") >= 6, "chembl_activity_moderate").otherwise("chembl_activity_weak")
+        F.col("pchembl") >= 6, "chembl_activity_moderate").when(F.col("pchembl") > 5, "chembl_activity_weak").otherwise("unlisted_assay")
     sure = F.when(F.col("pchembl") >= 9.6, 0.95).when(F.col("pchembl") >= 7, 0.85).when(F.col("pchembl") >= 6, 0.7).otherwise(0.5)
     targets = targets.select(F.col("p").alias("src"), F.col("t").alias("dst"), "pchembl", kind.alias("evidence_type"), sure.alias("confidence"))
     relates = _top(base, "t", 2).select(
         F.col("t").alias("src"), F.col("n").alias("dst"),
-        F.when(F.col("rank") == 1, "ot_association_strong").otherwise("ot_association_moderate").alias("evidence_type"),
+        F.when(F.col("rank") == 1, "ot_association_strong").when(F.col("n") % 4 == 0, "text_mined").otherwise("ot_association_moderate").alias("evidence_type"),
         F.when(F.col("rank") == 1, 0.8).otherwise(0.5).alias("confidence"))
     known = base.where("q >= 45").groupBy("p", "n").agg(F.count("*").alias("c")).where("c >= 2").select(
         F.col("p").alias("src"), F.col("n").alias("dst"), (1 + F.col("c") % 4).cast("int").alias("clinical_phase"))
