@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,6 +171,22 @@ def classify(documents: DataFrame, model: OrdinalModel, keep_grade: int = 1, kee
     )
 
 
+def tail_probability(text: Column, model: OrdinalModel, keep_grade: int = 1) -> Column:
+    """P(grade >= keep_grade) of a text column, row by row, for filters that keep all other columns where they are."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        make = Featurizer()
+        for texts in parts:
+            s = np.zeros(len(texts))
+            for i, t in enumerate(texts):
+                ids, vals = make(common.as_text(t))
+                s[i] = float(model.weights[ids] @ vals)
+            yield pd.Series(model.tails(s)[:, keep_grade - 1])
+
+    return score(text)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
     return classify(documents, fit_grades(documents, common.table(spark, sf_dir, "labels")))

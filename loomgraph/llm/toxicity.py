@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common
@@ -179,6 +180,18 @@ def score_toxicity(documents: DataFrame, model: SentenceModel, at: float = 0.5)
     )
 
 
+def toxicity_score(text: Column, model: SentenceModel) -> Column:
+    """The score of a text column, row by row, for filters that keep all other columns where they are."""
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for texts in parts:
+            yield pd.Series([float(-np.expm1(-softplus(scorer(common.as_text(t))).sum())) for t in texts], dtype=float)
+
+    return score(text)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = common.table(spark, sf_dir, "documents")
     model = fit_toxicity(documents, common.table(spark, sf_dir, "labels"))

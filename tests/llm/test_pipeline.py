@@ -61,3 +61,14 @@ def test_a_repeated_id_keeps_its_different_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
     assert got == [(1, "a b c d e f g"), (1, "h i j k l m n")]
+
+
+def test_nothing_in_and_nothing_out(spark, tmp_path):
+    """Every stage on an empty table; rows with nulls pass the filters unharmed."""
+    for name in ("documents", "labels"):
+        common.table(spark, SF, name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = common.table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
+    odd = spark.createDataFrame([(1, None, "x"), (None, "", "y"), (None, "fine words here", None)], "doc_id long, text string, lang string")
+    assert corpus_pipeline.toxicity_stage(spark, odd, SF).count() == 3
