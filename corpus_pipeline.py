@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, ngram_join, packing, quality_classifier, toxicity
@@ -11,38 +11,42 @@ from loomgraph.llm import common, ngram_join, packing, quality_classifier, toxic
 ORACLE_SQL = None
 
 
-def keep_rows(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """Rows of docs whose doc_id the verdicts keep.  Verdicts come one a row, equal ids decided together."""
-    kept = verdicts.groupBy("doc_id").agg(F.max(keep).alias("keep")).where("keep").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the classifier rejects; it is fitted on labelled rows of the stage's own input."""
+    """Drop rows that the classifier rejects; it is fitted on labelled rows of the stage's own input.
+
+    Each row is judged by its own text, also where ids repeat or are null; a null text counts as empty, which gets the
+    class shares.  All columns stay as they are; an empty table stays empty.
+    """
+    common.small_batches(spark)
     model = quality_classifier.fit_grades(docs, common.table(spark, sf_dir, "labels"))
-    return keep_rows(docs, quality_classifier.classify(docs, model), "kept")
+    return docs.where(quality_classifier.tail_probability(F.col("text"), model) >= 0.5)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are predicted toxic."""
+    """Drop rows that are predicted toxic.  Each row is judged by its own text; null and empty texts score 0 and stay."""
+    common.small_batches(spark)
     model = toxicity.fit_toxicity(docs, common.table(spark, sf_dir, "labels"))
-    verdicts = toxicity.score_toxicity(docs, model).select("doc_id", (F.col("predicted") == 0).alias("clean"))
-    return keep_rows(docs, verdicts, "clean")
+    return docs.where(toxicity.toxicity_score(F.col("text"), model) < 0.5)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id: once, if its row
-    repeats, and with each of its texts, if they differ."""
-    found = ngram_join.near_duplicates(docs, ngram_join.Rule(5, 80))
-    first = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
-    stay = keep_rows(docs, found.select("doc_id", first.alias("first")), "first")
-    twice = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = stay.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return stay.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again)
+    repeats, and with each of its texts, if they differ.  Rows without an id or without words stay."""
+    found = common.materialize(ngram_join.near_duplicates(docs, ngram_join.Rule(5, 80)), "classes")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    stay = docs.join(common.broadcast_if_small(gone), "doc_id", "left_anti")
+    twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if twice.isEmpty():
+        return stay.select(*docs.columns)
+    twice = common.broadcast_if_small(twice)
+    first = Window.partitionBy("doc_id", "text").orderBy(*[F.col(c) for c in docs.columns])
+    again = stay.join(twice, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    return stay.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again.select(*docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left; one row per piece."""
+    """Pack what is left; one row per piece.  Null texts count as empty (the end token alone); repeated rows and null ids
+    are packed like any other."""
     packed = packing.pack(docs)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "sequence_id", "offset")
 
