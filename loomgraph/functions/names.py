@@ -85,6 +85,18 @@ def looks_like_formula(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^(?:[A-Z][a-z]?\d*){2,}$"), F.lit(False))
 
 
+def without_fence(answer: Column) -> Column:
+    """The JSON of an answer that may stand in a code fence."""
+    return F.trim(F.regexp_replace(F.regexp_replace(answer, r"^\s*```[a-zA-Z]*\s*", ""), r"\s*```\s*$", ""))
+
+
+def binomials(aliases: Column) -> Column:
+    """Latin binomials in an array of aliases: the first of each alias, once whatever its case, in order."""
+    found = F.filter(F.transform(aliases, lambda a: F.regexp_extract(a, r"\b([A-Z][a-z]+)\s+([a-z]+)\b", 0)), lambda x: x != "")
+    plain = F.transform(found, lambda x: F.regexp_replace(x, r"\s+", " "))
+    return F.filter(plain, lambda x, i: F.array_position(F.transform(plain, F.lower), F.lower(x)) == i + 1)
+
+
 def nearest_rank(values: Column, percent: int) -> Column:
     """Percentile by nearest rank of an array: position p/100 * (n - 1), halves to even; null for an empty array."""
     ordered = F.array_sort(values)

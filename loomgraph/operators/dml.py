@@ -28,6 +28,35 @@ def with_endpoints(edges: DataFrame, sources: DataFrame, source_key: str, target
         targets.select(F.col(target_key).alias("dst")), "dst", "left_semi")
 
 
+def merge_edges(edges: DataFrame, new: DataFrame, sources: DataFrame, source_key: str, targets: DataFrame, target_key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Upsert edges (src, dst, ...) and both their ends: the edges, and the two node tables with the ends that were missing
+    (their other columns null)."""
+    def grown(nodes, key, end):
+        fresh = new.select(F.col(end).alias(key)).where(F.col(key).isNotNull()).distinct().join(nodes.select(key), key, "left_anti")
+        return nodes.unionByName(fresh, allowMissingColumns=True)
+
+    return upsert(edges, new, ["src", "dst"]), grown(sources, source_key, "src"), grown(targets, target_key, "dst")
+
+
+def set_edge_properties(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """Update existing edges only, by both ends."""
+    fresh = new.select("src", "dst", *[F.col(c).alias(f"_{c}") for c in columns])
+    out = old.join(fresh, ["src", "dst"], "left")
+    return out.select("src", "dst", *[
+        (F.coalesce(f"_{c}", c) if c in columns else F.col(c)).alias(c) for c in old.columns if c not in ("src", "dst")])
+
+
+def in_batches(rows: DataFrame, key: str, size: int = 500) -> DataFrame:
+    """Rows with the batch they are sent in: hashed by key into as many batches as hold about `size` rows each."""
+    return rows.withColumn("batch", F.pmod(F.xxhash64(key), F.lit(max(1, -(-rows.count() // size)))))
+
+
+def detach_delete(nodes: DataFrame, key: str, gone: DataFrame, edges: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Delete nodes with all their edges; edges are named (table, the end that points to the node)."""
+    left = delete(nodes, gone, [key])
+    return left, {name: df.join(gone.select(F.col(key).alias(end)).distinct(), end, "left_anti") for name, (df, end) in edges.items()}
+
+
 def backfill(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Fill only null or empty values of old from new (one row a key)."""
     fresh = new.select(key, *[F.col(c).alias(f"_{c}") for c in columns])

@@ -2,72 +2,51 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.names import PART_WORDS
-
-
-def _plain(name: str) -> list[str]:
-    return [t for t in re.sub(r"[^a-zA-Z0-9\s]", " ", name).lower().split() if t not in PART_WORDS]
-
-
-def _one_edit(a: str, b: str) -> bool:
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
-    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+from loomgraph.functions.names import name_match
+from loomgraph.sources.snapshots import stored
 
 
-def same_name(a: str, b: str) -> bool:
-    """The loose match of loomgraph.functions.names.name_match, for sequential matching."""
-    ta, tb = _plain(a), _plain(b)
-    if not ta or not tb:
-        return False
-    na, nb = " ".join(ta), " ".join(tb)
-    if na in nb or nb in na:
-        return True
-    sa, sb = set(ta), set(tb)
-    if len(sa & sb) >= 2:
-        return True
-    xa, xb = sa - sb, sb - sa
-    return len(sa & sb) >= 1 and len(xa) == len(xb) == 1 and min(map(len, xa | xb)) >= 4 and _one_edit(*xa, *xb)
+def matched(predicted: DataFrame, gold: DataFrame, group: str) -> DataFrame:
+    """(group, p, g): one-to-one matches of predicted names to gold names, both given as (group, pos, name).
 
-
-def greedy_matches(predicted: Iterable[str], gold: Iterable[str]) -> int:
-    """One-to-one matches, each prediction in order taking the first free gold name that it matches."""
-    free, hits = list(gold), 0
-    for p in predicted:
-        at = next((i for i, g in enumerate(free) if same_name(p, g)), None)
-        if at is not None:
-            free.pop(at)
-            hits += 1
-    return hits
+    Predictions choose in their order, each the first gold name that it matches and no earlier one took.  That is a
+    stable pairing in which both sides prefer what comes first, so it is found in rounds: every free prediction asks for
+    its first free match, every gold name takes the first that asks, and the rest go on.  The rounds end when none asks.
+    """
+    pairs = predicted.select(group, F.col("pos").alias("p"), F.col("name").alias("a")).join(
+        gold.select(group, F.col("pos").alias("g"), F.col("name").alias("b")), group).where(name_match(F.col("a"), F.col("b"))).select(group, "p", "g")
+    pairs = stored(pairs, "matches")
+    taken = None
+    while True:
+        free = pairs
+        if taken is not None:
+            free = free.join(taken.select(group, "p"), [group, "p"], "left_anti").join(taken.select(group, "g"), [group, "g"], "left_anti")
+        # a prediction settles once no earlier one can still want its first free match
+        asks = free.groupBy(group, "p").agg(F.min("g").alias("g"))
+        wanted = free.groupBy(group, "g").agg(F.min("p").alias("first"))
+        now = stored(asks.join(wanted, [group, "g"]).where("p = first").select(group, "p", "g"), "taken")
+        if now.isEmpty():
+            return taken if taken is not None else now
+        taken = now if taken is None else stored(taken.union(now), "taken")
 
 
 def precision_recall(predicted: DataFrame, gold: DataFrame, group: str) -> DataFrame:
-    """Per group: predicted and gold names, true positives, precision, recall and F1 of greedy matching.
+    """Per group: predicted and gold names, true positives, precision, recall and F1 of one-to-one matching in order.
 
-    predicted and gold hold (group, name); names are taken once and in order.  A group is one region's names, which
-    are few.  Without predictions precision is 0; without gold recall is 0.
+    predicted and gold hold (group, pos, name).  Without predictions precision is 0; without gold recall is 0.
     """
-    both = predicted.select(group, "name", F.lit(0).alias("kind")).unionByName(gold.select(group, "name", F.lit(1).alias("kind"))).distinct()
-
-    def measure(rows: pd.DataFrame) -> pd.DataFrame:
-        p, g = (sorted(rows.name[rows.kind == k].dropna()) for k in (0, 1))
-        tp = greedy_matches(p, g)
-        precision, recall = tp / len(p) if p else 0.0, tp / len(g) if g else 0.0
-        f1 = 2 * precision * recall / (precision + recall) if tp else 0.0
-        return pd.DataFrame([(rows[group].iloc[0], len(p), len(g), tp, precision, recall, f1)], columns=[group, "predicted", "gold", "tp", "precision", "recall", "f1"])
+    def size(df, name):
+        return df.where("name IS NOT NULL").groupBy(group).agg(F.count("*").alias(name))
 
-    kind = both.schema[group].dataType.simpleString()
-    return both.groupBy(group).applyInPandas(measure, f"{group} {kind}, predicted long, gold long, tp long, precision double, recall double, f1 double")
+    tp = matched(predicted, gold, group).groupBy(group).agg(F.count("*").alias("tp"))
+    rows = size(predicted, "predicted").join(size(gold, "gold"), group, "full").join(tp, group, "left").fillna(0, ["predicted", "gold", "tp"])
+    precision, recall = (F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0) for n in ("predicted", "gold"))
+    return rows.select(
+        group, "predicted", "gold", "tp", precision.alias("precision"), recall.alias("recall"),
+        F.when(F.col("tp") > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0).alias("f1"))
 
 
 def spearman(rows: DataFrame, group: str, a: str, b: str, tie: str) -> DataFrame:
@@ -79,15 +58,26 @@ def spearman(rows: DataFrame, group: str, a: str, b: str, tie: str) -> DataFrame
         F.count("*").alias("n"), F.when(n < 2, 0.0).otherwise(F.round(1 - 6 * F.sum(d * d) / F.nullif(n * (n * n - 1), F.lit(0.0)), 6)).alias("rho"))
 
 
-def perturb(edges: DataFrame, percent: int, seed: str) -> DataFrame:
-    """Edges (src, dst) with the dst of about percent of them dealt anew among themselves: both degree multisets stay.
+def perturb(edges: DataFrame, percent: int, seed: str, buckets: int = 64) -> DataFrame:
+    """Edges (src, dst) with the dst of exactly round(percent * n / 100) of them dealt anew among themselves: both degree
+    multisets stay.
 
-    Which edges move, and in what order their ends turn by one, hangs on a hash of seed and edge alone.  The turn
-    happens in hash buckets, so no task sees all edges.
+    The edges with the least hashes of seed and edge move, and their ends turn by one along the order of hashes.  The
+    order is cut into `buckets` ranges of the hash, which grow with the data if the caller says so: counts of ranges give
+    each its first place, and a range's last edge takes its end from the first of the next.
     """
-    floor = f"{min(256, round(256 * percent / 100)):02x}" if percent < 100 else "g"
+    n = edges.count()
+    k = round(percent * n / 100)
     keyed = edges.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.col("src").cast("string"), F.col("dst").cast("string")).cast("binary")))
-    moves = F.substring("h", 1, 2) < floor
-    turn = Window.partitionBy(F.substring("h", 3, 1)).orderBy("h")
-    moved = keyed.where(moves).select("src", F.coalesce(F.lead("dst").over(turn), F.first("dst").over(turn.rowsBetween(Window.unboundedPreceding, 0))).alias("dst"), F.lit(True).alias("moved"))
-    return keyed.where(~moves).select("src", "dst", F.lit(False).alias("moved")).unionByName(moved)
+    part = F.floor(F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * buckets / 16**6).cast("int")
+    keyed = keyed.withColumn("part", part)
+    sizes = keyed.groupBy("part").agg(F.count("*").alias("size"))  # `buckets` rows
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = keyed.join(F.broadcast(sizes.select("part", before.alias("before"))), "part")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("h", "src", "dst"))
+    placed = placed.select("src", "dst", place.alias("place"))
+    ends = placed.where(F.col("place") <= k).select((F.pmod(F.col("place") - 2, F.lit(max(k, 1))) + 1).alias("place"), F.col("dst").alias("new"))
+    out = placed.join(ends, "place", "left")
+    return out.select("src", F.coalesce("new", "dst").alias("dst"), (F.col("place") <= k).alias("moved"))
+
+

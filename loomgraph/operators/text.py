@@ -2,43 +2,51 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.names import collapse
 
-#: spans up to this many rows may be broadcast (a span is a sentence or so)
-BROADCAST_SPANS = 20_000
+#: marks after which a chunk may end, best first
 BREAKS = ("\n\n", "\n", ". ", ", ")
+#: words, and characters of spans under three words, by which spans and texts meet
+ANCHOR_WORDS, ANCHOR_CHARS = 5, 8
+
+
+def break_ends(text: str) -> list[np.ndarray]:
+    """For each kind of mark the places right after one, ascending."""
+    return [np.array([m.start() + len(k) for m in re.finditer(f"(?={re.escape(k)})", text)], np.int64) for k in BREAKS]
 
 
 def chunk_bounds(text: str, size: int = 8000, overlap: int = 200) -> list[tuple[int, int]]:
-    """(start, end) of overlapping chunks; a chunk ends after the last break of the best kind it holds.
+    """(start, end) of overlapping chunks.
 
-    Every chunk starts after the one before, also where the only break lies within the overlap of its start.
+    Of the places right after a mark that begins within the chunk's span but not at its start, a chunk ends at the last
+    one of the best kind that has any; without one it takes the whole span.  The next chunk starts `overlap` before that
+    end, and at least one character on, so that a break near the start doesn't hold it up.
     """
-    bounds, start = [], 0
-    while start < len(text):
-        end = start + size
-        if end < len(text):
-            for mark in BREAKS:
-                at = text.rfind(mark, start, end)
-                if at > start:
-                    end = at + len(mark)
-                    break
-        end = min(end, len(text))
-        bounds.append((start, end))
-        if end >= len(text):
-            break
-        start = max(end - overlap, start + 1)
+    ends, bounds = break_ends(text), []
+    nexts = 0
+    while nexts < len(text) and (not bounds or bounds[-1][1] < len(text)):
+        span = (nexts, min(nexts + size, len(text)))
+        if span[1] < len(text):
+            # a mark must lie in the span as a whole
+            last = [int(e[np.searchsorted(e, span[1], "right") - 1]) if len(e) and e[0] <= span[1] else 0 for e in ends]
+            fit = [e for e, k in zip(last, BREAKS, strict=True) if e - len(k) > span[0]]
+            span = (span[0], fit[0] if fit else span[1])
+        bounds.append(span)
+        nexts = max(span[1] - overlap, span[0] + 1)
     return bounds
 
 
 def chunks(documents: DataFrame, size: int = 8000, overlap: int = 200) -> DataFrame:
-    """(doc_id, chunk, start, end, text) of whole texts; an empty or null text has no chunk."""
+    """(doc_id, chunk, chunk_id, start, end, text) of whole texts, each chunk trimmed; chunk_id is `<doc_id>_chunk_<n>`.
+    An empty or null text has no chunk."""
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def bounds(texts: pd.Series) -> pd.Series:
@@ -46,38 +54,48 @@ def chunks(documents: DataFrame, size: int = 8000, overlap: int = 200) -> DataFr
 
     cut = documents.select("doc_id", "text", F.posexplode(bounds("text")).alias("chunk", "b"))
     return cut.select(
-        "doc_id", "chunk", F.col("b.start").alias("start"), F.col("b.end").alias("end"),
-        F.expr("substring(text, b.start + 1, b.end - b.start)").alias("text"))
+        "doc_id", "chunk", F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("chunk_id"),
+        F.col("b.start").alias("start"), F.col("b.end").alias("end"),
+        F.regexp_replace(F.expr("substring(text, b.start + 1, b.end - b.start)"), r"(?U)^\s+|\s+$", "").alias("text"))
 
 
-def contained_spans(documents: DataFrame, spans: DataFrame, broadcast_rows: int = BROADCAST_SPANS) -> DataFrame:
-    """(item_id, doc_id) where the normalised span stands in the normalised text.
+def contained_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """(item_id, doc_id) where the normalised span stands in the normalised text; an empty span stands nowhere.
 
-    A span of seven words or more is found by its second to sixth word, which are whole words wherever it stands:
-    an equi-join on hashed five-word windows, then the exact test.  Shorter spans need a scan, so they are compared
-    with every text after their number was checked.
+    A span of three words or more is found by words within it, which are whole words wherever it stands: its second and
+    up to four more; a shorter one by its first characters.  Ids and hashed anchors meet in an equi-join, a row for each
+    distinct window of a text, and only texts that were hit are fetched and tested.  No text meets a span by scanning.
     """
     texts = documents.select("doc_id", collapse(F.col("text")).alias("norm"))
     asked = spans.select("item_id", collapse(F.col("text")).alias("span")).where("span <> ''")
     words = F.split("span", " ")
-    asked = asked.withColumn("anchor", F.when(F.size(words) >= 7, F.xxhash64(F.slice(words, 2, 5))))
-    # the words are a column of their own, so that they are split once and not once a window
-    parted = texts.withColumn("parts", F.split("norm", " "))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.size("parts") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("parts", i, 5)))
-    long = asked.where("anchor IS NOT NULL")
-    met = parted.select("doc_id", "norm", F.explode(F.array_distinct(windows)).alias("anchor")).join(long, "anchor")
-    found = met.where(F.contains("norm", "span")).select("item_id", "doc_id")
-    short = asked.where("anchor IS NULL").drop("anchor")
-    n = short.count()
-    if n:
-        if n > broadcast_rows:
-            raise ValueError(f"{n} spans under seven words: more than {broadcast_rows} cannot be compared with every text")
-        found = found.union(texts.join(F.broadcast(short), F.contains("norm", "span")).select("item_id", "doc_id"))
-    return found.distinct()
-
-
-def paragraphs(documents: DataFrame, mark: str = "\n", least: int = 50) -> DataFrame:
-    """(doc_id, paragraph, text) of pieces longer than `least` characters; numbers count kept ones from 0."""
+    by_words = F.size(words) >= 3
+    width = F.when(by_words, F.least(F.size(words) - 2, F.lit(ANCHOR_WORDS))).otherwise(F.least(F.length("span"), F.lit(ANCHOR_CHARS)))
+    anchor = F.when(by_words, F.array_join(F.slice(words, F.lit(2), width), " ")).otherwise(F.substring(F.col("span"), F.lit(1), width))
+    asked = asked.select("item_id", "span", by_words.alias("by_words"), width.alias("width"), F.xxhash64(anchor).alias("anchor"))
+    hits = None
+    # at most one pass of the texts for each of the few widths that spans have
+    for kind in asked.select("by_words", "width").distinct().collect():
+        if kind.by_words:
+            rows = texts.select("doc_id", F.split("norm", " ").alias("parts"))
+            last = F.size("parts") - (kind.width - 1)
+            windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("parts", i, F.lit(kind.width)), " ")))
+        else:
+            rows, last = texts, F.length("norm") - (kind.width - 1)
+            windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col("norm"), i, F.lit(kind.width))))
+        found = rows.where(last >= 1).select("doc_id", F.explode(F.array_distinct(windows)).alias("anchor"))
+        wanted = asked.where((F.col("by_words") == kind.by_words) & (F.col("width") == kind.width)).select("item_id", "anchor")
+        met = found.join(wanted, "anchor").select("item_id", "doc_id")
+        hits = met if hits is None else hits.union(met)
+    if hits is None:
+        return asked.select("item_id").join(documents.select("doc_id"), F.lit(False))
+    pairs = hits.distinct().join(asked.select("item_id", "span").distinct(), "item_id")
+    return texts.join(pairs, "doc_id").where(F.contains("norm", "span")).select("item_id", "doc_id").distinct()
+
+
+def paragraphs(documents: DataFrame, mark: str = r"\n\s*\n", least: int = 50) -> DataFrame:
+    """(doc_id, paragraph, text) of pieces between blank lines longer than `least` characters; numbers count kept ones
+    from 0."""
     parts = F.filter(F.transform(F.split("text", mark), F.trim), lambda p: F.length(p) > least)
     return documents.select("doc_id", F.posexplode(parts).alias("paragraph", "text"))
 
@@ -102,12 +120,19 @@ def mention_windows(documents: DataFrame, needle: Column, around: int = 15) -> D
     return folded.select("doc_id", F.col("w.start").alias("start"), F.least("w.end", "n").alias("end"))
 
 
-def within_budget(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows of each group in order while their sizes add up to the budget at most."""
-    from pyspark.sql import Window
+def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: int, block: int = 1000) -> DataFrame:
+    """Rows of each group in the order of an integer column while their sizes, none negative, add up to the budget at most.
 
-    run = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("running", run).where(F.col("running") <= budget)
+    A group may hold a large share of all rows, so blocks of `block` values of the order are summed first; a block that
+    starts beyond the budget is dropped before any row is sorted, and the others are added up side by side.
+    """
+    place = F.floor(F.col(order) / block)
+    sums = rows.groupBy(group, place.alias("block")).agg(F.sum(size).alias("total"))
+    before = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(group, "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before")).where(F.col("before") <= budget)
+    run = Window.partitionBy(group, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.withColumn("block", place).join(sums, [group, "block"])
+    return near.withColumn("running", F.col("before") + F.sum(size).over(run)).where(F.col("running") <= budget).drop("block", "before")
 
 
 def batches_of(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from loomgraph.plans.registry import Registry
 from loomgraph.plans.tables import read
 from loomgraph.plans.validate import PATH_SQL
 from loomgraph.sources.projection import Graph, active
+from loomgraph.sources.snapshots import stored
 
 ENTRIES = Registry()
 entry = ENTRIES.entry
@@ -41,9 +42,9 @@ def target_assembly(g: Graph) -> DataFrame:
 
 
 @entry("wn05_target_cap", """
-SELECT src, count(*) FILTER (nth <= 3) AS kept, count(*) FILTER (nth > 3) AS dropped, string_agg(dst, ';' ORDER BY nth) FILTER (nth <= 3) AS targets FROM (SELECT src, dst,
+SELECT src, count(*) FILTER (nth <= 20) AS kept, count(*) FILTER (nth > 20) AS dropped, string_agg(dst, ';' ORDER BY nth) FILTER (nth <= 20) AS targets FROM (SELECT src, dst,
   row_number() OVER (PARTITION BY src ORDER BY CASE WHEN evidence_type = 'chembl_mechanism' THEN 0 ELSE 1 END, pchembl DESC, dst) AS nth FROM targets) GROUP BY src""")
-def target_cap(g: Graph, most: int = 3) -> DataFrame:
+def target_cap(g: Graph, most: int = 20) -> DataFrame:
     """The first targets of a compound, mechanisms before potency, and how many fall off."""
     order = Window.partitionBy("compound_id").orderBy(F.when(F.col("tgt_type") == "chembl_mechanism", 0).otherwise(1), F.desc("pchembl"), "target_id")
     rows = P.compound_targets(g).withColumn("nth", F.row_number().over(order))
@@ -82,11 +83,12 @@ def mapping_selection(g: Graph, components: int = 2) -> DataFrame:
 @entry("rev01_orphan_plan", """
 , pd AS (SELECT mp.src AS malady, mp.dst AS disease_id FROM maps mp WHERE coalesce(mp.is_primary, true))
 , deg AS (SELECT name, (SELECT count(*) FROM treats WHERE dst = name) AS treats_in FROM malady)
-, orphan AS (SELECT m.name, pd.disease_id FROM malady m LEFT JOIN pd ON pd.malady = m.name WHERE m.name NOT IN (SELECT tt.dst FROM treats tt JOIN source s ON s.source_id = tt.src WHERE s.source_id % 4 = 0))
+, orphan AS (SELECT m.name, pd.disease_id FROM malady m LEFT JOIN pd ON pd.malady = m.name WHERE m.name NOT IN (SELECT tt.dst FROM treats tt JOIN source s ON s.source_id = tt.src WHERE s.linker_status = 'linked'))
 SELECT o.name AS orphan, (SELECT arg_min(p2.malady, (-g.treats_in, p2.malady)) FROM pd p2 JOIN deg g ON g.name = p2.malady WHERE p2.disease_id = o.disease_id AND p2.malady <> o.name) AS keeper FROM orphan o""")
 def orphan_plan(g: Graph) -> DataFrame:
-    """Maladies without claims of the sources under review, and the sibling of the same disease with most claims."""
-    claimed = g.treats.where("src % 4 = 0").select(F.col("dst").alias("name"))
+    """Maladies without claims of linked sources, and the sibling of the same disease with most claims."""
+    linked = g.source.where("linker_status = 'linked'").select(F.col("source_id").alias("src"))
+    claimed = g.treats.join(linked, "src", "left_semi").select(F.col("dst").alias("name"))
     orphans = g.malady.join(claimed, "name", "left_anti").select(F.col("name").alias("malady"))
     pairs = P.mapped(g).select("malady", "disease_id")
     counts = g.treats.groupBy(F.col("dst").alias("sibling")).agg(F.count("*").alias("n"))
@@ -105,13 +107,32 @@ def status_counts(g: Graph) -> DataFrame:
     return g.source.sparkSession.range(1).select(F.explode(known).alias("status")).join(seen, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@entry("wn13_stratified_claims", PATH_SQL + """
-SELECT verdict, source, malady FROM (SELECT *, row_number() OVER (PARTITION BY verdict ORDER BY md5('11|' || source || '|' || malady)) AS nth FROM verdicts) WHERE nth <= 5""")
-def stratified_claims(g: Graph, each: int = 5, seed: str = "11") -> DataFrame:
-    """A seeded sample of claims of each verdict."""
-    order = F.md5(F.concat_ws("|", F.lit(seed), "source", "malady").cast("binary"))
-    rows = validate.verdicts(g).select("verdict", "source", "malady", order.alias("h"))
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("verdict").orderBy("h"))).where(F.col("nth") <= each).select("verdict", "source", "malady")
+# fixed values: strata of the sample in their order, what puts a claim into one, and how many are drawn
+STRATA = [
+    ("unsupported_actionable", "verdict = 'unsupported' AND path_count > 0", 8), ("strong_support", "verdict = 'strong_support'", 8),
+    ("gold_no_loop_closure", "top_bucket = 'gold' AND paths_loop_closed = 0", 8), ("mechanistic_only", "verdict = 'mechanistic_only'", 4),
+    ("traditional_only", "verdict = 'traditional_only'", 2),
+]
+STRATA_SQL = ", keyed AS (SELECT *, md5('11|' || source || '|' || malady) AS h FROM verdicts)" + "".join(
+    f"\n, s{i} AS (SELECT '{name}' AS stratum, source, malady FROM (SELECT *, row_number() OVER (ORDER BY h) AS nth FROM keyed WHERE ({test})"
+    + "".join(f" AND (source, malady) NOT IN (SELECT (source, malady) FROM s{j})" for j in range(i)) + f") WHERE nth <= {n})"
+    for i, (name, test, n) in enumerate(STRATA)) + "\n, sampled AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(STRATA))) + ")\n"
+
+
+@entry("wn13_stratified_claims", PATH_SQL + STRATA_SQL + "SELECT stratum, source, malady FROM sampled")
+def stratified_claims(g: Graph, seed: str = "11") -> DataFrame:
+    """A seeded sample of claims, stratum after stratum: who was drawn for one is out, who was not stays for the next.
+
+    Each stratum is a top-n of what the earlier ones left; the few keys that were drawn are all that is kept of them.
+    """
+    spark, order = g.source.sparkSession, F.md5(F.concat_ws("|", F.lit(seed), "source", "malady").cast("binary"))
+    rows = stored(validate.verdicts(g).select("source", "malady", "verdict", "path_count", "top_bucket", "paths_loop_closed", order.alias("h")), "verdicts")
+    schema, drawn = "stratum string, source string, malady string", []
+    for name, test, n in STRATA:
+        taken = spark.createDataFrame(drawn, schema)
+        left = rows.where(test).join(F.broadcast(taken), ["source", "malady"], "left_anti")
+        drawn += [(name, r.source, r.malady) for r in left.orderBy("h").limit(n).collect()]
+    return spark.createDataFrame(drawn, schema)
 
 
 @entry("tb02_known_treats_split", NOMINATE_SQL + """
@@ -162,7 +183,7 @@ def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, count(*) AS kept, sum(n_chars) AS chars FROM (SELECT source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS running FROM documents) WHERE running <= 20000 GROUP BY source""")
 def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return text.within_budget(rows, "source", ["doc_id"], "n_chars", 20_000).groupBy("source").agg(F.count("*").alias("kept"), F.sum("n_chars").alias("chars"))
+    return text.within_budget(rows, "source", "doc_id", "n_chars", 20_000).groupBy("source").agg(F.count("*").alias("kept"), F.sum("n_chars").alias("chars"))
 
 
 @on_tables("ev21_resume_residue", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -180,7 +201,7 @@ def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name", N.plain_name(name).alias("plain"), N.genus_species(name).alias("two"), N.unstructured_key(name).alias("key"))
 
 
-@on_tables("fn36_signal_counts", r"""
+@on_tables("fn36_text_signals", r"""
 SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+')) AS binomials, len(regexp_extract_all(text, '[.!?]')) AS ends, regexp_matches(text, 'icen[cs]e') AS licence FROM documents""")
 def signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -188,7 +209,7 @@ def signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.regexp_count(t, F.lit("[A-Z][a-z]+ [a-z]+")).cast("long").alias("binomials"), F.regexp_count(t, F.lit("[.!?]")).cast("long").alias("ends"), t.rlike("icen[cs]e").alias("licence"))
 
 
-@on_tables("fn32_payload_hash", """
+@on_tables("fn32_message_digest", """
 SELECT conv_id, turn, left(sha256(role || '|' || text), 16) AS payload_hash FROM conversations""")
 def payload_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.left(F.sha2(F.concat_ws("|", "role", "text"), 256), F.lit(16)).alias("payload_hash"))

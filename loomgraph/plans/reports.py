@@ -125,9 +125,9 @@ def planar_dedup(g: Graph) -> DataFrame:
 
 
 @entry("ev13_perturbed_edges", """
-, keyed AS (SELECT src, dst, md5('7' || '|' || src || '|' || dst) AS h FROM treats), picked AS (SELECT *, substr(h, 3, 1) AS bucket FROM keyed WHERE substr(h, 1, 2) < '66')
-SELECT src, dst, false AS moved FROM keyed WHERE NOT substr(h, 1, 2) < '66'
-UNION ALL SELECT src, coalesce(lead(dst) OVER (PARTITION BY bucket ORDER BY h), first_value(dst) OVER (PARTITION BY bucket ORDER BY h)) AS dst, true FROM picked""")
+, keyed AS (SELECT src, dst, row_number() OVER (ORDER BY md5('7' || '|' || src || '|' || dst), src, dst) AS place, round_even(40 * (SELECT count(*) FROM treats) / 100, 0) AS k FROM treats)
+SELECT src, dst, false AS moved FROM keyed WHERE place > k
+UNION ALL SELECT src, coalesce(lead(dst) OVER (ORDER BY place), first_value(dst) OVER (ORDER BY place)) AS dst, true FROM keyed WHERE place <= k""")
 def perturbed_edges(g: Graph) -> DataFrame:
     return metrics.perturb(g.treats.select("src", "dst"), 40, "7")
 

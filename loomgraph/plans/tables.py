@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import names as N
 from loomgraph.functions import tiers as T
-from loomgraph.operators import dml, text
+from loomgraph.operators import dml, matching, text
 from loomgraph.operators import paths as P
 from loomgraph.plans.registry import Registry
 from loomgraph.sources.projection import Graph, active
@@ -35,20 +35,93 @@ INCOMING_SQL = """
 , incoming AS (SELECT src, dst, max(confidence) AS confidence FROM (
     SELECT src, dst, confidence / 2 AS confidence FROM treats WHERE src % 3 = 0 UNION ALL SELECT src + 1, dst, 0.25::double FROM treats WHERE src % 5 = 0) GROUP BY src, dst
 ), kept AS (SELECT * FROM incoming WHERE src IN (SELECT source_id FROM source) AND dst IN (SELECT name FROM malady))
-SELECT coalesce(o.src, n.src) AS src, coalesce(o.dst, n.dst) AS dst, round(coalesce(n.confidence, o.confidence), 6) AS confidence, o.src IS NULL AS created
-FROM treats o FULL OUTER JOIN kept n ON o.src = n.src AND o.dst = n.dst"""
+"""
+MERGED_SQL = """SELECT coalesce(o.src, n.src) AS src, coalesce(o.dst, n.dst) AS dst, round(coalesce(n.confidence, o.confidence), 6) AS confidence, o.src IS NULL AS created
+FROM treats o FULL OUTER JOIN {new} n ON o.src = n.src AND o.dst = n.dst"""
 
 
-@entry("dml02_upsert_edges", INCOMING_SQL)
-def upsert_edges(g: Graph) -> DataFrame:
-    """Claims delivered again and anew: known edges are updated, new ones created, strangers' edges dropped."""
+def delivered(g: Graph) -> DataFrame:
+    """Claims that come again, and new ones, some of sources that nobody knows."""
     again = g.treats.where("src % 3 = 0").withColumn("confidence", F.col("confidence") / 2)
     fresh = g.treats.where("src % 5 = 0").select((F.col("src") + 1).alias("src"), "dst", F.lit(0.25).alias("confidence"))
-    rows = again.select("src", "dst", "confidence").union(fresh).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
-    rows = dml.with_endpoints(rows, g.source, "source_id", g.malady, "name")
+    return again.select("src", "dst", "confidence").union(fresh).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+
+
+@entry("dml02_upsert_edges", INCOMING_SQL + MERGED_SQL.format(new="incoming"))
+def upsert_edges(g: Graph) -> DataFrame:
+    """Known edges are updated, new ones created, with their ends where these are missing."""
+    edges, _, _ = dml.merge_edges(g.treats, delivered(g), g.source, "source_id", g.malady, "name")
+    return edges.withColumn("confidence", F.round("confidence", 6))
+
+
+@entry("dml02_created_ends", INCOMING_SQL + "SELECT source_id, name FROM source UNION ALL SELECT DISTINCT src, NULL FROM incoming WHERE src NOT IN (SELECT source_id FROM source)")
+def created_ends(g: Graph) -> DataFrame:
+    _, sources, _ = dml.merge_edges(g.treats, delivered(g), g.source, "source_id", g.malady, "name")
+    return sources.select("source_id", "name")
+
+
+@entry("dml08_merge_known_ends", INCOMING_SQL + MERGED_SQL.format(new="kept"))
+def merge_known_ends(g: Graph) -> DataFrame:
+    """Only edges whose two ends exist are merged."""
+    rows = dml.with_endpoints(delivered(g), g.source, "source_id", g.malady, "name")
     return dml.upsert(g.treats, rows, ["src", "dst"]).withColumn("confidence", F.round("confidence", 6))
 
 
+@entry("dml01_upsert_nodes", """
+, fresh AS (SELECT source_id * 2 AS source_id, 'new ' || name AS name FROM source WHERE source_id % 3 = 0)
+SELECT coalesce(o.source_id, f.source_id) AS source_id, coalesce(f.name, o.name) AS name, o.canonical_name, o.source_id IS NULL AS created
+FROM source o FULL OUTER JOIN fresh f ON f.source_id = o.source_id""")
+def upsert_nodes(g: Graph) -> DataFrame:
+    fresh = g.source.where("source_id % 3 = 0").select((F.col("source_id") * 2).alias("source_id"), F.concat(F.lit("new "), "name").alias("name"))
+    return dml.upsert(g.source, fresh, ["source_id"]).select("source_id", "name", "canonical_name", "created")
+
+
+@entry("dml03_set_properties", """
+SELECT name, CASE WHEN source_id % 4 = 0 THEN 'linked' ELSE linker_status END AS linker_status FROM source""")
+def set_node_properties(g: Graph) -> DataFrame:
+    """A status stamp on known nodes; what it names besides is not created."""
+    done = g.source.where("source_id % 4 = 0").select("source_id", F.lit("linked").alias("linker_status"))
+    strangers = g.source.select((-1 - F.col("source_id")).alias("source_id"), F.lit("linked").alias("linker_status"))
+    return dml.set_properties(g.source, done.union(strangers), "source_id", ["linker_status"]).select("name", "linker_status")
+
+
+@entry("dml04_set_edge_properties", "SELECT src, dst, round(CASE WHEN dst LIKE 'B%' THEN confidence / 4 ELSE confidence END, 6) AS confidence FROM treats")
+def set_edge_properties(g: Graph) -> DataFrame:
+    new = g.treats.where("dst LIKE 'B%'").select("src", "dst", (F.col("confidence") / 4).alias("confidence"))
+    strangers = g.treats.select("src", F.lit("nowhere").alias("dst"), F.lit(0.5).alias("confidence")).distinct()
+    return dml.set_edge_properties(g.treats, new.union(strangers), ["confidence"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@entry("dml05_batches", "SELECT count(*) AS rows_sent FROM treats")
+def batches_sent(g: Graph) -> DataFrame:
+    """Rows sent in batches of about 500, counted batch by batch."""
+    return dml.in_batches(g.treats, "src").groupBy("batch").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows_sent"))
+
+
+@entry("dml11_detach_delete", """
+, gone AS (SELECT source_id FROM source WHERE coalesce(archived, false))
+SELECT 'source' AS part, count(*) AS n FROM source WHERE source_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'treats', count(*) FROM treats WHERE src NOT IN (SELECT * FROM gone)
+UNION ALL SELECT 'extracted', count(*) FROM extracted WHERE dst NOT IN (SELECT * FROM gone)""")
+def detach_archived(g: Graph) -> DataFrame:
+    gone = g.source.where("archived").select("source_id")
+    left, edges = dml.detach_delete(g.source, "source_id", gone, {"treats": (g.treats, "src"), "extracted": (g.extracted, "dst")})
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in (("source", left), *edges.items())]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@entry("dml20_extraction_records", """
+, mentioned AS (SELECT source_id, name, (SELECT list(dst ORDER BY dst) FROM treats WHERE src = source_id) AS found FROM source)
+SELECT name AS source, unnest(found) AS malady FROM mentioned WHERE found IS NOT NULL UNION ALL SELECT name, NULL FROM mentioned WHERE found IS NULL""")
+def extraction_records(g: Graph) -> DataFrame:
+    """Extraction records as JSON text, a source and the maladies it is said to treat, parsed and laid out as edges; a
+    record without maladies gives its source alone."""
+    found = g.treats.groupBy(F.col("src").alias("source_id")).agg(F.array_sort(F.collect_list("dst")).alias("maladies"))
+    records = g.source.join(found, "source_id", "left").select(F.to_json(F.struct("name", "maladies")).alias("json"))
+    fenced = records.select(F.concat(F.lit("```json\n"), "json", F.lit("\n```")).alias("answer"))
+    parsed = fenced.select(F.from_json(N.without_fence(F.col("answer")), "name string, maladies array<string>").alias("r"))
+    return parsed.select(F.col("r.name").alias("source"), F.explode_outer("r.maladies").alias("malady"))
+
+
 @entry("dml06_backfill_ids", """
 SELECT name, coalesce(nullif(mesh_id, ''), 'X' || disease_id) AS mesh_id, coalesce(nullif(icd10_code, ''), CASE WHEN disease_id % 2 = 0 THEN 'Y' || disease_id END) AS icd10_code FROM disease""")
 def backfill_ids(g: Graph) -> DataFrame:
@@ -129,7 +202,7 @@ def indications(g: Graph) -> DataFrame:
     return rows.select("compound_id", key.alias("key"), phase.alias("phase")).where("phase > 1").groupBy("compound_id", "key").agg(F.max("phase").alias("phase"))
 
 
-@entry("lk13_tiered_match", """
+@entry("jn13_tiered_match", """
 , asked AS (SELECT n_nationkey AS q, CASE WHEN n_nationkey % 2 = 0 THEN 'D' || n_nationkey END AS mesh, lower(n_name) || ' xs' AS form FROM nation)
 , norm AS (SELECT min(name) AS name, lower(name) || ' xs' AS form FROM disease WHERE NOT coalesce(archived, false) GROUP BY 2)
 , ids AS (SELECT mesh_id, min(name) AS name FROM disease WHERE NOT coalesce(archived, false) AND mesh_id <> '' GROUP BY 1)
@@ -161,10 +234,12 @@ def phase_tiers(g: Graph) -> DataFrame:
 , counts AS (SELECT dst, count(*) AS n FROM extracted GROUP BY dst), o AS (SELECT list(n ORDER BY n) AS l, count(*) AS c FROM counts)
 SELECT p, l[CAST(round_even(p / 100.0::double * (c - 1), 0) AS integer) + 1] AS value FROM o, (VALUES (0), (25), (50), (90), (100)) v(p)""")
 def nearest_rank(g: Graph) -> DataFrame:
-    """Percentiles of compounds a source by nearest rank: counts of counts first, so the array stays short."""
-    sizes = g.extracted.groupBy("dst").agg(F.count("*").alias("n")).agg(F.collect_list("n").alias("values"))
-    both = F.array(*[F.struct(F.lit(p).alias("p"), N.nearest_rank(F.col("values"), p).alias("value")) for p in (0, 25, 50, 90, 100)])
-    return sizes.select(F.explode(both).alias("b")).select("b.p", "b.value")
+    """Percentiles of compounds a source by nearest rank, over counts of counts: as many rows as there are different counts."""
+    sizes = g.extracted.groupBy("dst").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("times"))
+    upto = sizes.select("n", F.sum("times").over(Window.orderBy("n")).alias("upto"), F.sum("times").over(Window.partitionBy()).alias("all"))
+    asked = F.explode(F.array(*map(F.lit, (0, 25, 50, 90, 100)))).alias("p")
+    place = F.bround(F.col("p") / 100 * (F.col("all") - 1))
+    return upto.select("n", "upto", "all", asked).where(F.col("upto") > place).groupBy("p").agg(F.min("n").alias("value"))
 
 
 @entry("ag18_degree", """
@@ -183,13 +258,17 @@ def span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @on_tables("tx05_paragraphs", r"""
-SELECT doc_id, count(*) AS n, sum(length(p)) AS chars FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x))) AS p FROM documents) WHERE length(p) > 50 GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n, sum(length(p)) AS chars FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x))) AS p FROM documents) WHERE length(p) > 50 GROUP BY doc_id""")
 def paragraph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.paragraphs(read(spark, sf_dir, "documents"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-@on_tables("tx03_mention_windows", None)
+@on_tables("tx03_mention_windows", """
+WITH l AS (SELECT doc_id, string_split(lower(text), chr(10)) AS lines FROM documents), h AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM l),
+ w AS (SELECT doc_id, n, greatest(i - 15, 0) AS s, i + 16 AS e, i FROM h WHERE contains(line, 'license')),
+ f AS (SELECT *, CASE WHEN s <= lag(e) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS fresh FROM w), g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f)
+SELECT doc_id, CAST(min(s) AS integer) AS start, CAST(least(max(e), any_value(n)) AS integer) AS end FROM g GROUP BY doc_id, island""")
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.mention_windows(read(spark, sf_dir, "documents"), F.lit("license"), 15)
 
@@ -212,13 +291,9 @@ WHERE contains(lower(a.name), lower(b.name)) OR contains(lower(b.name), lower(a.
   OR (len(list_intersect(a.w, b.w)) >= 1 AND len(a.w) = 2 AND len(b.w) = 2 AND EXISTS (SELECT 1 FROM unnest(a.w) x(x), unnest(b.w) y(y)
       WHERE NOT list_contains(b.w, x) AND NOT list_contains(a.w, y) AND least(length(x), length(y)) >= 4 AND levenshtein(x, y) <= 1))""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of distinct names that match loosely; candidates share a character trigram of their plain forms."""
+    """Pairs of distinct names that match loosely."""
     names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
-    plain = N.plain_name(F.col("name"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("plain") - 2, F.lit(1))), lambda i: F.substring(F.col("plain"), i, F.lit(3)))
-    keyed = names.withColumn("plain", plain).where("plain <> ''").select("name", F.explode(F.array_distinct(grams)).alias("gram"))
-    pairs = keyed.select(F.col("name").alias("a"), "gram").join(keyed.select(F.col("name").alias("b"), "gram"), "gram").where("a < b").select("a", "b").distinct()
-    return pairs.where(N.name_match(F.col("a"), F.col("b")))
+    return matching.loose_pairs(names)
 
 
 @on_tables("ev05_brier", """
@@ -238,7 +313,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.window_counts(E.unique_events(read(spark, sf_dir, "events")))
 
 
-@on_tables("sm01_resume", """
+@on_tables("sm01_unfinished_users", """
 SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS n FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) <> 'purchase'""")
 def resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys whose last status is not the terminal one."""
@@ -261,10 +336,11 @@ def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "island").agg(F.min("s").alias("start_s"), F.max("e").alias("end_s"), F.count("*").alias("n")).drop("island")
 
 
-@on_tables("ta07_payload_order", """
-SELECT conv_id, string_agg(role || ':' || left(text, 40), ' / ' ORDER BY turn, role, text) AS payload, count(*) AS turns FROM conversations GROUP BY conv_id""")
+@on_tables("fn32_conversation_digest", """
+SELECT conv_id, sha256(string_agg(role || ':' || text, ' / ' ORDER BY turn, role, text)) AS payload_hash, sum(length(text)) AS chars, count(*) AS turns FROM conversations GROUP BY conv_id""")
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of a conversation in order, each cut to forty characters."""
+    """The whole messages of a conversation in order, as one text of which the digest and size are given."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("m"))
-    text_of = F.transform(F.array_sort(F.collect_list("m")), lambda m: F.concat_ws(":", m["role"], F.left(m["text"], F.lit(40))))
-    return rows.groupBy("conv_id").agg(F.array_join(text_of, " / ").alias("payload"), F.count("*").alias("turns"))
+    text_of = F.transform(F.array_sort(F.collect_list("m")), lambda m: F.concat_ws(":", m["role"], m["text"]))
+    return rows.groupBy("conv_id").agg(
+        F.sha2(F.array_join(text_of, " / "), 256).alias("payload_hash"), F.sum(F.length("m.text")).alias("chars"), F.count("*").alias("turns"))
