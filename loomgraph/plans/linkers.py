@@ -201,7 +201,7 @@ def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name", N.plain_name(name).alias("plain"), N.genus_species(name).alias("two"), N.unstructured_key(name).alias("key"))
 
 
-@on_tables("fn36_text_signals", r"""
+@on_tables("fn36_text_shapes", r"""
 SELECT doc_id, len(regexp_extract_all(text, '[A-Z][a-z]+ [a-z]+')) AS binomials, len(regexp_extract_all(text, '[.!?]')) AS ends, regexp_matches(text, 'icen[cs]e') AS licence FROM documents""")
 def signal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
