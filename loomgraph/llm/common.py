@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: entries a task keeps in a word cache before it starts a new one
-CACHE_LIMIT = 400_000
+CACHE_LIMIT = 100_000
 #: rows up to which a table of a few numbers a row is broadcast after it was counted; beyond, it is shuffled
 BROADCAST_ROWS = 200_000
 #: keys that a skewed join may treat alone, and rows under which a key is never skewed
@@ -74,7 +74,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, h
     return left.join(hot, keys).unionByName(cold)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

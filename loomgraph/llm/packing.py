@@ -21,13 +21,13 @@ from loomgraph.llm import common
 CAPACITY, END_ID = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
 #: chunks a task keeps (about 200 bytes each)
-CACHED = 1_000_000
+CACHED = 500_000
 #: closing marks, and the letters of the Latin blocks but U+0130, for words put together from cached parts
 MARKS, LATIN = ".,;:!?", "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"
 #: a control character that stands between chunks that are tokenised in a line; chunks that hold it are taken alone
 BETWEEN, IN_A_LINE = "\x01", 64
 #: texts that are tokenised at once, and tasks up to which their counts are broadcast (32 kB each)
-TEXTS_AT_ONCE, BROADCAST_TASKS = 1_000, 2_000
+TEXTS_AT_ONCE, BROADCAST_TASKS = 500, 2_000
 
 
 class ChunkTokenizer:
