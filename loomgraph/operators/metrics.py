@@ -10,7 +10,8 @@ from loomgraph.sources.snapshots import stored
 
 
 def matched(predicted: DataFrame, gold: DataFrame, group: str) -> DataFrame:
-    """(group, p, g): one-to-one matches of predicted names to gold names, both given as (group, pos, name).
+    """(group, p, g): one-to-one matches of predicted names to gold names, both given as (group, pos, name); the group's
+    column is called neither p nor g.
 
     Predictions choose in their order, each the first gold name that it matches and no earlier one took.  That is a
     stable pairing in which both sides prefer what comes first, so it is found in rounds: every free prediction asks for

@@ -1,14 +1,15 @@
 import json
 import random
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names as N
 from loomgraph.functions import tiers as T
-from loomgraph.operators import dml, metrics, text
+from loomgraph.functions import signals as S
+from loomgraph.operators import dml, matching, metrics, text
+from loomgraph.plans import regions
 from loomgraph.sources import files
 from loomgraph.streaming import events as E
 
@@ -24,14 +25,31 @@ def test_match_form(spark):
     assert all(r.got == r.same for r in rows.withColumn("got", N.match_form(F.col("a")) == N.match_form(F.col("b"))).collect())
 
 
-def test_name_match_as_column_and_in_sequence(spark):
-    rng = random.Random(1)
+def some_names(seed, n):
+    rng = random.Random(seed)
     words = ["acori", "acoti", "graminei", "radix", "fructus", "an", "ginseng", "panax", "gin", "rubra", "rubrum"]
-    pairs = [(" ".join(rng.choices(words, k=rng.randint(0, 3))), " ".join(rng.choices(words, k=rng.randint(0, 3)))) for _ in range(300)]
-    pairs += [("Acori graminei", "acoti graminei"), ("Radix", "Radix"), ("Panax ginseng radix", "ginseng")]
-    got = spark.createDataFrame(pairs, "a string, b string").withColumn("same", N.name_match(F.col("a"), F.col("b"))).collect()
-    assert all(r.same == metrics.same_name(r.a, r.b) for r in got)
-    assert metrics.same_name("Acori graminei", "acoti graminei") and not metrics.same_name("Radix", "Radix")
+    return [" ".join(rng.choices(words, k=rng.randint(0, 3))) for _ in range(n)]
+
+
+def match_table(spark, left, right):
+    """{(i, k)}: positions of the names that name_match joins."""
+    a = spark.createDataFrame(list(enumerate(left)), "i int, a string")
+    b = spark.createDataFrame(list(enumerate(right)), "k int, b string")
+    return {(r.i, r.k) for r in a.crossJoin(b).where(N.name_match(F.col("a"), F.col("b"))).collect()}
+
+
+def test_name_match(spark):
+    yes = [("Acori graminei", "acoti graminei"), ("Panax ginseng radix", "ginseng"), ("Radix Acori", "acori"), ("a rubra panax", "panax x rubra"), ("cold anvil", "old anvil")]
+    no = [("Radix", "Radix"), ("acori graminei", "acoxx graminei"), ("gin an", "gan an"), ("", "x"), ("acori", "acoti"), ("Radix panax", "Radix acori")]
+    for pairs, want in ((yes, True), (no, False)):
+        got = spark.createDataFrame(pairs, "a string, b string").withColumn("same", N.name_match(F.col("a"), F.col("b"))).collect()
+        assert all(r.same == want for r in got)
+
+
+def test_loose_pairs_lose_none(spark):
+    names = sorted({*some_names(1, 60), "ab", "ab cd", "b", "Ginseng", "acoris graminei", "acor graminei", "long ginsengoside name"})
+    got = {(r.a, r.b) for r in matching.loose_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert got == {(names[i], names[k]) for i, k in match_table(spark, names, names) if names[i] < names[k]} and ("ab", "ab cd") in got
 
 
 def test_small_functions(spark):
@@ -70,27 +88,44 @@ def test_archive_keeps_earlier_reasons(spark):
     assert got == {"a": (True, "old"), "b": (True, "new"), "c": (False, None)}
 
 
+def brute_end(value, start, size):
+    """The end of a chunk by looking at every place in its span."""
+    stop = start + size
+    if stop >= len(value):
+        return len(value)
+    for mark in text.BREAKS:
+        ends = [i + len(mark) for i in range(start + 1, stop - len(mark) + 1) if value.startswith(mark, i)]
+        if ends:
+            return max(ends)
+    return stop
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab .,\n", max_size=300), st.integers(5, 40), st.integers(0, 20))
 def test_chunks_cover_the_text_and_advance(value, size, overlap):
     bounds = text.chunk_bounds(value, size, overlap)
     starts = [a for a, _ in bounds]
     assert starts == sorted(set(starts)) and all(0 < b - a <= size for a, b in bounds)
+    assert all(b == brute_end(value, a, size) for a, b in bounds)
     assert "".join(value[max(a, bounds[i - 1][1] if i else 0) : b] for i, (a, b) in enumerate(bounds)) == value
 
 
 def test_chunk_table(spark):
     docs = spark.createDataFrame([(1, "One. Two. Three."), (2, ""), (3, None)], "doc_id long, text string")
     got = [(r.doc_id, r.chunk, r.text) for r in text.chunks(docs, 10, 2).orderBy("doc_id", "chunk").collect()]
-    assert got[0] == (1, 0, "One. Two. ") and got[-1][2].endswith("Three.") and {g[0] for g in got} == {1}
+    assert got[0] == (1, 0, "One. Two.") and got[-1][2].endswith("Three.") and {g[0] for g in got} == {1}
 
 
 def test_spans_short_and_long(spark):
     docs = spark.createDataFrame([(1, "xaa bb cc  dd ee ff gg hh tail"), (2, "nothing"), (3, None)], "doc_id long, text string")
     spans = spark.createDataFrame([(1, "AA bb cc dd ee ff gg"), (2, "cc dd"), (3, "zz"), (4, ""), (5, "nothing")], "item_id long, text string")
     assert sorted((r.item_id, r.doc_id) for r in text.contained_spans(docs, spans).collect()) == [(1, 1), (2, 1), (5, 2)]
-    with pytest.raises(ValueError, match="spans under seven words"):
-        text.contained_spans(docs, spans, broadcast_rows=1)
+    assert text.contained_spans(docs, spans.limit(0)).count() == 0
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choices(["a", "bb", "ab", "b", "cab"], k=rng.randint(0, 40)))) for i in range(40)]
+    spans = [(i, t) for i, t in enumerate({" ".join(rng.choices(["a", "bb", "ab", "b"], k=rng.randint(1, 8))) for _ in range(60)})]
+    got = {(r.item_id, r.doc_id) for r in text.contained_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(spans, "item_id long, text string")).collect()}
+    assert got == {(i, d) for i, t in spans for d, whole in docs if t in whole}
 
 
 def test_windows_merge_where_they_touch(spark):
@@ -103,12 +138,28 @@ def test_windows_merge_where_they_touch(spark):
 
 
 def test_precision_and_recall(spark):
-    p = spark.createDataFrame([("r", "Panax ginseng"), ("r", "Acoti graminei"), ("r", "nothing"), ("q", "alone")], "g string, name string")
-    g = spark.createDataFrame([("r", "ginseng"), ("r", "acori graminei"), ("s", "only gold")], "g string, name string")
-    got = {r.g: (r.tp, round(r.precision, 3), round(r.recall, 3), round(r.f1, 3)) for r in metrics.precision_recall(p, g, "g").collect()}
+    p = spark.createDataFrame([("r", 0, "Panax ginseng"), ("r", 1, "Acoti graminei"), ("r", 2, "nothing"), ("q", 0, "alone")], "region string, pos int, name string")
+    g = spark.createDataFrame([("r", 0, "ginseng"), ("r", 1, "acori graminei"), ("s", 0, "only gold")], "region string, pos int, name string")
+    got = {r.region: (r.tp, round(r.precision, 3), round(r.recall, 3), round(r.f1, 3)) for r in metrics.precision_recall(p, g, "region").collect()}
     assert got == {"r": (2, 0.667, 1.0, 0.8), "q": (0, 0.0, 0.0, 0.0), "s": (0, 0.0, 0.0, 0.0)}
 
 
+def test_matching_in_rounds_equals_one_after_the_other(spark):
+    want, rows = set(), {"p": [], "g": []}
+    for region in range(4):
+        predicted, gold = some_names(region, 12), some_names(region + 50, 9)
+        rows["p"] += [(region, i, n) for i, n in enumerate(predicted)]
+        rows["g"] += [(region, i, n) for i, n in enumerate(gold)]
+        table, free = match_table(spark, predicted, gold), set(range(len(gold)))
+        for i in range(len(predicted)):
+            hit = min((k for k in free if (i, k) in table), default=None)
+            if hit is not None:
+                free.remove(hit)
+                want.add((region, i, hit))
+    p, g = (spark.createDataFrame(rows[k], "region int, pos int, name string") for k in "pg")
+    assert {tuple(r) for r in metrics.matched(p, g, "region").collect()} == want and want
+
+
 def test_perturbation_keeps_degrees(spark):
     edges = spark.createDataFrame([(i % 17, i % 23) for i in range(300)], "src long, dst long").distinct()
     assert sorted(map(tuple, metrics.perturb(edges, 0, "s").drop("moved").collect())) == sorted(map(tuple, edges.collect()))
@@ -116,7 +167,9 @@ def test_perturbation_keeps_degrees(spark):
         out = metrics.perturb(edges, p, "s")
         for end in ("src", "dst"):
             assert sorted(r[end] for r in out.collect()) == sorted(r[end] for r in edges.collect())
-    assert metrics.perturb(edges, 100, "s").where("moved").count() == edges.count()
+        assert out.where("moved").count() == round(p * edges.count() / 100)
+    few = [sorted(map(tuple, metrics.perturb(edges, 40, "s", buckets=b).collect())) for b in (1, 7, 64)]
+    assert few[0] == few[1] == few[2]
 
 
 def test_files_round_trip(spark, tmp_path):
@@ -155,3 +208,59 @@ def test_event_stream_equals_batch(spark, tmp_path):
     assert run(E.unique_events(E.read_events(spark, path), "4000 days"), "once", "append").count() == spark.read.parquet(path).count()
     batch = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     assert mine == sorted(map(tuple, E.window_counts(E.unique_events(batch)).collect()))
+
+
+def test_budget_by_blocks_equals_a_running_sum(spark):
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice([0, 1, 5, 30])) for g in "ab" for i in range(200)]
+    got = {(r.g, r.i, r.running) for r in text.within_budget(spark.createDataFrame(rows, "g string, i long, n int"), "g", "i", "n", 300, block=7).collect()}
+    want = set()
+    for g in "ab":
+        total = 0
+        for _, i, n in (r for r in rows if r[0] == g):
+            total += n
+            if total <= 300:
+                want.add((g, i, total))
+    assert got == want
+
+
+def test_regions_with_news_equal_going_through_them(spark):
+    rng = random.Random(4)
+    found = {i: set(rng.sample(range(12), rng.randint(1, 4))) for i in range(60)}
+    covered, want = set(), set()
+    for i, sources in found.items():
+        if sources - covered:
+            want.add(i)
+            covered |= sources
+    rows = spark.createDataFrame([(i, s) for i, x in found.items() for s in x], "region int, source int")
+    assert {r.region for r in regions.first_of_each(rows).collect()} == want
+
+
+def test_signals_keywords_and_answers(spark):
+    row = spark.range(1).select(
+        S.count_of(F.lit("It treats and CURES; mistreats. Radix is acrid, the envoy of all"), S.THERAPY).alias("t"), S.is_entry(F.lit("Radix is warm")).alias("e"),
+        S.is_compatibility_only(F.lit("the envoy of x, fears y")).alias("c"), S.is_compatibility_only(F.lit("fears y but treats z")).alias("nc"),
+        S.search_keywords(F.lit(" Radix  Glycyrrhizae Citri oil")).alias("k"),
+        N.binomials(F.array(F.lit("see Panax  ginseng Mey"), F.lit("panax x"), F.lit(None).cast("string"), F.lit("Coptis chinensis"), F.lit("Panax ginseng"))).alias("b"),
+        N.without_fence(F.lit("```json\n{\"a\": 1}\n```")).alias("j"), N.without_fence(F.lit("{}")).alias("j2")).first()
+    assert tuple(row) == (3, True, True, False, ["citr", "citri", "citrus", "glycyrrhiz", "glycyrrhiza", "glycyrrhizae"], ["Panax ginseng", "Coptis chinensis"], '{"a": 1}', "{}")
+
+
+def test_paragraphs_end_at_blank_lines(spark):
+    long = "x" * 60
+    docs = spark.createDataFrame([(1, f"{long}\n{long}\n \n short \n\n{long}"), (2, None)], "doc_id long, text string")
+    assert [(r.paragraph, len(r.text)) for r in text.paragraphs(docs).orderBy("paragraph").collect()] == [(0, 121), (1, 60)]
+
+
+def test_edges_bring_their_ends(spark):
+    edges = spark.createDataFrame([(1, "a", 0.5)], "src long, dst string, confidence double")
+    new = spark.createDataFrame([(1, "a", 0.9), (2, "b", 0.1), (2, "a", 0.2)], "src long, dst string, confidence double")
+    sources, targets = spark.createDataFrame([(1, "one")], "k long, name string"), spark.createDataFrame([("a",)], "name string")
+    for _ in range(2):
+        merged, sources, targets = dml.merge_edges(edges, new, sources, "k", targets, "name")
+        edges = merged.drop("created")
+        assert {(r.src, r.dst): r.confidence for r in edges.collect()} == {(1, "a"): 0.9, (2, "b"): 0.1, (2, "a"): 0.2}
+        assert {r.k: r.name for r in sources.collect()} == {1: "one", 2: None} and {r.name for r in targets.collect()} == {"a", "b"}
+    left, found = dml.detach_delete(sources, "k", sources.where("k = 2"), {"e": (edges, "src")})
+    assert [r.k for r in left.collect()] == [1] and [(r.src, r.dst) for r in found["e"].collect()] == [(1, "a")]
+    assert dml.in_batches(spark.range(1700).withColumnRenamed("id", "k"), "k").select("batch").distinct().count() == 4
