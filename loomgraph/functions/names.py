@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: words that name a part of a plant or its product
@@ -101,3 +101,14 @@ def nearest_rank(values: Column, percent: int) -> Column:
     """Percentile by nearest rank of an array: position p/100 * (n - 1), halves to even; null for an empty array."""
     ordered = F.array_sort(values)
     return F.try_element_at(ordered, (F.bround(F.lit(percent) / 100 * (F.size(ordered) - 1)) + 1).cast("int"))
+
+
+# fixed values: assays that count, and relations that make of a value one
+SOUND_ASSAYS, SOUND_RELATIONS = ("B", "F"), ("", "=", "==", "~", "~=")
+
+
+def sound_activity(rows: DataFrame) -> DataFrame:
+    """Rows (assay, relation, remark, ...) of a sound assay, with no bound for a value and without a remark on validity."""
+    blank = F.lit("")
+    return rows.where(
+        F.col("assay").isin(*SOUND_ASSAYS) & F.coalesce("relation", blank).isin(*SOUND_RELATIONS) & (F.coalesce("remark", blank) == ""))

@@ -83,12 +83,13 @@ def mapping_selection(g: Graph, components: int = 2) -> DataFrame:
 @entry("rev01_orphan_plan", """
 , pd AS (SELECT mp.src AS malady, mp.dst AS disease_id FROM maps mp WHERE coalesce(mp.is_primary, true))
 , deg AS (SELECT name, (SELECT count(*) FROM treats WHERE dst = name) AS treats_in FROM malady)
-, orphan AS (SELECT m.name, pd.disease_id FROM malady m LEFT JOIN pd ON pd.malady = m.name WHERE m.name NOT IN (SELECT tt.dst FROM treats tt JOIN source s ON s.source_id = tt.src WHERE s.linker_status = 'linked'))
+, orphan AS (SELECT m.name, pd.disease_id FROM malady m LEFT JOIN pd ON pd.malady = m.name WHERE m.name NOT IN (SELECT tt.dst FROM treats tt JOIN source s ON s.source_id = tt.src WHERE s.archive_reason = 'orphan'))
 SELECT o.name AS orphan, (SELECT arg_min(p2.malady, (-g.treats_in, p2.malady)) FROM pd p2 JOIN deg g ON g.name = p2.malady WHERE p2.disease_id = o.disease_id AND p2.malady <> o.name) AS keeper FROM orphan o""")
 def orphan_plan(g: Graph) -> DataFrame:
-    """Maladies without claims of linked sources, and the sibling of the same disease with most claims."""
-    linked = g.source.where("linker_status = 'linked'").select(F.col("source_id").alias("src"))
-    claimed = g.treats.join(linked, "src", "left_semi").select(F.col("dst").alias("name"))
+    """Maladies without claims of the sources that were set aside as orphans, and the sibling of the same disease with
+    most claims."""
+    aside = g.source.where("archive_reason = 'orphan'").select(F.col("source_id").alias("src"))
+    claimed = g.treats.join(aside, "src", "left_semi").select(F.col("dst").alias("name"))
     orphans = g.malady.join(claimed, "name", "left_anti").select(F.col("name").alias("malady"))
     pairs = P.mapped(g).select("malady", "disease_id")
     counts = g.treats.groupBy(F.col("dst").alias("sibling")).agg(F.count("*").alias("n"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import metrics
+from loomgraph.functions import names
+from loomgraph.operators import dml, metrics
 from loomgraph.operators import paths as P
-from loomgraph.plans import nominate
+from loomgraph.plans import nominate, validate
 from loomgraph.plans.nominate import NOMINATE_SQL
 from loomgraph.plans.registry import Registry
+from loomgraph.plans.validate import PATH_SQL
 from loomgraph.sources.projection import Graph, active
 
 ENTRIES = Registry()
@@ -137,3 +139,101 @@ def perturbed_edges(g: Graph) -> DataFrame:
 SELECT disease, count(*) AS n, CASE WHEN count(*) < 2 THEN 0 ELSE round(1 - 6 * sum((ra - rb) * (ra - rb))::double / (count(*)::double * (count(*)::double * count(*) - 1)), 6) END AS rho FROM r GROUP BY disease""")
 def spearman(g: Graph) -> DataFrame:
     return metrics.spearman(nominate.cards(g), "disease", "unique_sources", "forward_max_score", "inchikey")
+
+
+@entry("iq05_disease_anchor", """
+SELECT disease_id, name, nullif(mesh_id, '') AS mesh_id, icd10_code, (SELECT count(*) FROM maps WHERE dst = disease_id AND coalesce(is_primary, true)) AS mapped_maladies FROM disease WHERE name = 'NATION_3' AND NOT coalesce(archived, false)""")
+def disease_anchor(g: Graph, name: str = "NATION_3") -> DataFrame:
+    """One disease by name with its ids and the number of maladies that map to it first."""
+    counts = P.mapped(g).groupBy("disease_id").agg(F.count("*").alias("mapped_maladies"))
+    rows = active(g.disease).where(F.col("name") == name).join(counts, "disease_id", "left")
+    return rows.select("disease_id", "name", F.nullif("mesh_id", F.lit("")).alias("mesh_id"), "icd10_code", F.coalesce("mapped_maladies", F.lit(0)).alias("mapped_maladies"))
+
+
+for _name, _test in (("iq15_uncanonicalised_sources", "canonical_name IS NULL"), ("iq15_uncanonicalised_sources_force", "true")):
+    ENTRIES[_name] = (
+        lambda g, test=_test: active(g.source).where(test).select("name", "source_document"),
+        f"SELECT name, source_document FROM source WHERE NOT coalesce(archived, false) AND {_test}")
+
+
+@entry("iq16_canonicalised_sources", """
+SELECT name, canonical_name, canonical_part, (SELECT count(*) FROM extracted WHERE dst = source_id) + (SELECT count(*) FROM treats WHERE src = source_id) + (SELECT count(*) FROM prepared WHERE src = source_id) AS degree
+FROM source WHERE NOT coalesce(archived, false) AND canonical_name IS NOT NULL""")
+def canonicalised_sources(g: Graph) -> DataFrame:
+    rows = active(g.source).where("canonical_name IS NOT NULL").join(P.degree(g, "source").withColumnRenamed("id", "source_id"), "source_id", "left")
+    return rows.select("name", "canonical_name", "canonical_part", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+@entry("iq25_names_for_ids", "SELECT DISTINCT c.inchikey, c.name FROM compound c JOIN known k ON k.src = c.compound_id")
+def names_for_ids(g: Graph) -> DataFrame:
+    """Names of the compounds that a list of ids asks for (here: those with a known treatment)."""
+    asked = g.known.select(F.col("src").alias("compound_id"))
+    return g.compound.join(asked, "compound_id", "left_semi").select("inchikey", "name").distinct()
+
+
+@entry("iq26_maladies_by_live_edges", """
+SELECT s.name AS source, t.dst AS malady FROM treats t JOIN source s ON s.source_id = t.src JOIN malady m ON m.name = t.dst
+WHERE NOT coalesce(s.archived, false) AND NOT coalesce(m.archived, false) AND t.dst IN (SELECT src FROM maps)""")
+def maladies_by_live_edges(g: Graph) -> DataFrame:
+    """Maladies of a source where neither end nor the edge is archived (an edge to an unmapped malady counts as archived)."""
+    gone = g.malady.join(g.maps.select(F.col("src").alias("name")), "name", "left_anti")
+    live = active(dml.cascade(g.treats, gone, "name", "dst"))
+    rows = P.edge(live, "source_id", "malady").join(P.node(active(g.source), "source_id", "source_id", source="name"), "source_id")
+    return rows.join(P.node(active(g.malady), "name", "malady"), "malady").select("source", "malady")
+
+
+@entry("iq35_resolve_names", """
+, asked AS (SELECT DISTINCT upper(name) AS said FROM compound WHERE smiles LIKE 'C1%')
+SELECT a.said, min(c.compound_id) AS compound_id FROM asked a LEFT JOIN compound c ON lower(trim(c.name)) = lower(trim(a.said)) AND NOT coalesce(c.archived, false) GROUP BY a.said""")
+def resolve_names(g: Graph) -> DataFrame:
+    """Names as they were said, resolved to the first active compound of that name whatever its case; null where none is."""
+    asked = g.compound.where("smiles LIKE 'C1%'").select(F.upper("name").alias("said")).distinct()
+    mine = active(g.compound).groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("compound_id").alias("compound_id"))
+    return asked.join(mine, F.lower(F.trim("said")) == F.col("key"), "left").select("said", "compound_id")
+
+
+@entry("flt14_sound_activities", """
+, measured AS (SELECT src, dst, pchembl, CASE WHEN src % 5 = 0 THEN '>' WHEN src % 5 = 1 THEN '' WHEN src % 5 = 2 THEN '~' WHEN src % 5 = 3 THEN NULL ELSE '=' END AS relation,
+  CASE WHEN dst LIKE '%AF' THEN 'A' WHEN dst LIKE '%RF' THEN 'B' ELSE 'F' END AS assay, CASE WHEN src % 11 = 0 THEN 'outside range' WHEN src % 11 = 1 THEN '' END AS remark FROM targets)
+SELECT src, dst, round(pchembl, 6) AS pchembl FROM measured WHERE assay IN ('B', 'F') AND coalesce(relation, '') IN ('', '=', '==', '~', '~=') AND coalesce(remark, '') = ''""")
+def sound_activities(g: Graph) -> DataFrame:
+    """Activities of the right kind of assay whose value is one and that nobody doubts."""
+    i, t = F.col("src"), F.col("dst")
+    relation = F.when(i % 5 == 0, ">").when(i % 5 == 1, "").when(i % 5 == 2, "~").when(i % 5 == 4, "=")
+    assay = F.when(t.endswith("AF"), "A").when(t.endswith("RF"), "B").otherwise("F")
+    remark = F.when(i % 11 == 0, "outside range").when(i % 11 == 1, "")
+    rows = g.targets.select("src", "dst", "pchembl", relation.alias("relation"), assay.alias("assay"), remark.alias("remark"))
+    return names.sound_activity(rows).select("src", "dst", F.round("pchembl", 6).alias("pchembl"))
+
+
+@entry("dml16_verdict_writeback", PATH_SQL + """
+SELECT t.src, t.dst, v.verdict, v.path_count FROM treats t LEFT JOIN (SELECT s.source_id, v.* FROM verdicts v JOIN source s ON s.name = v.source) v ON v.source_id = t.src AND v.malady = t.dst""")
+def verdict_writeback(g: Graph) -> DataFrame:
+    """Claim edges with the verdict stamped on them; edges without one keep nothing."""
+    found = validate.verdicts(g).join(P.node(g.source, "name", "source", source_id="source_id"), "source").select(
+        F.col("source_id").alias("src"), F.col("malady").alias("dst"), "verdict", "path_count")
+    empty = g.treats.withColumn("verdict", F.lit(None).cast("string")).withColumn("path_count", F.lit(None).cast("long"))
+    return dml.set_edge_properties(empty, found, ["verdict", "path_count"]).select("src", "dst", "verdict", "path_count")
+
+
+@entry("dml17_nomination_audit", NOMINATE_SQL + """
+SELECT d.name, coalesce(n.candidates, 0) AS candidates, coalesce(n.closed, 0) AS closed FROM disease d LEFT JOIN (SELECT disease_id, count(*) AS candidates, count(*) FILTER (has_loop_closure) AS closed FROM ranked GROUP BY disease_id) n USING (disease_id)""")
+def nomination_audit(g: Graph) -> DataFrame:
+    """Diseases with the size of their last nomination stamped on them."""
+    counts = nominate.cards(g).where("NOT is_known").groupBy("disease_id").agg(F.count("*").alias("candidates"), F.count_if("has_loop_closure").alias("closed"))
+    return g.disease.join(counts, "disease_id", "left").select("name", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("closed", F.lit(0)).alias("closed"))
+
+
+@entry("au03_merged_sources", """
+, grouped AS (SELECT canonical_name, canonical_part, min(source_id) AS keeper FROM source WHERE NOT coalesce(archived, false) AND canonical_name IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+, merged AS (SELECT s.source_id AS old, g.keeper FROM source s JOIN grouped g USING (canonical_name, canonical_part) WHERE NOT coalesce(s.archived, false) AND s.source_id <> g.keeper)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT coalesce(m.keeper, t.src), t.dst FROM treats t LEFT JOIN merged m ON m.old = t.src)) AS edges, (SELECT count(*) FROM source WHERE coalesce(archived, false) OR source_id IN (SELECT old FROM merged)) AS archived,
+  (SELECT count(*) FROM merged) AS merged""")
+def merged_sources(g: Graph) -> DataFrame:
+    """A merge carried out: edges move to the keeper of each group and fold, what was merged is archived."""
+    live = active(g.source).where("canonical_name IS NOT NULL")
+    keepers = live.groupBy("canonical_name", "canonical_part").agg(F.min("source_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    merged = live.join(keepers, ["canonical_name", "canonical_part"]).where("source_id <> keeper").select(F.col("source_id").alias("old"), "keeper")
+    edges = dml.retarget(g.treats, merged).agg(F.count("*").alias("edges"))
+    nodes = dml.archive(g.source, merged.select(F.col("old").alias("source_id")), "source_id", "merged").agg(F.count_if(F.coalesce("archived", F.lit(False))).alias("archived"))
+    return edges.crossJoin(nodes).crossJoin(merged.agg(F.count("*").alias("merged")))  # three single rows
