@@ -71,15 +71,15 @@ def contained_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     words = F.split("span", " ")
     by_words = F.size(words) >= 3
     width = F.when(by_words, F.least(F.size(words) - 2, F.lit(ANCHOR_WORDS))).otherwise(F.least(F.length("span"), F.lit(ANCHOR_CHARS)))
-    anchor = F.when(by_words, F.array_join(F.slice(words, F.lit(2), width), " ")).otherwise(F.substring(F.col("span"), F.lit(1), width))
-    asked = asked.select("item_id", "span", by_words.alias("by_words"), width.alias("width"), F.xxhash64(anchor).alias("anchor"))
+    anchor = F.when(by_words, F.xxhash64(F.slice(words, F.lit(2), width))).otherwise(F.xxhash64(F.substring(F.col("span"), F.lit(1), width)))
+    asked = asked.select("item_id", "span", by_words.alias("by_words"), width.alias("width"), anchor.alias("anchor"))
     hits = None
     # at most one pass of the texts for each of the few widths that spans have
     for kind in asked.select("by_words", "width").distinct().collect():
         if kind.by_words:
             rows = texts.select("doc_id", F.split("norm", " ").alias("parts"))
             last = F.size("parts") - (kind.width - 1)
-            windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice("parts", i, F.lit(kind.width)), " ")))
+            windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("parts", i, F.lit(kind.width))))
         else:
             rows, last = texts, F.length("norm") - (kind.width - 1)
             windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col("norm"), i, F.lit(kind.width))))
