@@ -87,6 +87,7 @@ class TreeBuilder(HTMLParser):
         self.root = Node("#root")
         self.stack = [self.root]
         self.open: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of open blocks but p
 
     def handle_starttag(self, tag, attrs):
         stack = self.stack
@@ -108,6 +109,8 @@ class TreeBuilder(HTMLParser):
                 up.has_main = True
         if tag not in VOID:
             self.open.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                self.blocks.append(len(stack))
             stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -123,10 +126,19 @@ class TreeBuilder(HTMLParser):
 
     def _close(self, tags, until):
         """Close the innermost open element of these tags, with all in it, unless one of `until` is open inside it."""
-        at = max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
-        if at and all(self.open[t][-1] <= at for t in until if self.open.get(t)):
+        places = [self.open[t][-1] for t in tags if self.open.get(t)]
+        if not places:
+            return
+        at = max(places)
+        if until is BLOCKS or until is CLOSES_P:
+            if self.blocks[-1] > at:
+                return
+            until = ("p",) if until is CLOSES_P else ()
+        if all(self.open[t][-1] <= at for t in until if self.open.get(t)):
             for node in self.stack[at:]:
                 self.open[node.tag].pop()
+            while self.blocks[-1] >= at:
+                self.blocks.pop()
             del self.stack[at:]
 
 
