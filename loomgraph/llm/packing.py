@@ -58,12 +58,13 @@ class ChunkTokenizer:
         words = pa.array(new, pa.large_string())
         parted = pc.extract_regex(words, f"^(?P<core>[{LATIN}]+)(?P<marks>[{MARKS}]*)$")
         core = pc.utf8_lower(pc.struct_field(parted, "core"))
-        whole = pc.fill_null(pc.equal(core, words), True).to_numpy(zero_copy_only=False)
-        cores, marks = core.filter(pa.array(~whole)).to_pylist(), pc.struct_field(parted, "marks").filter(pa.array(~whole)).to_pylist()
-        self._encode(list({w for w, own in zip(new, whole.tolist(), strict=True) if own}.union(cores, marks).difference(self.index)))
-        built = [w for w, own in zip(new, whole.tolist(), strict=True) if not own]
-        at = np.array([[self.index[c], self.index[m]] for c, m in zip(cores, marks, strict=True)], np.int64).reshape(-1, 2)
-        self._add(built, self.size[at].sum(axis=1), self._gather(at.ravel()))
+        whole = pc.fill_null(pc.equal(core, words), True)
+        built = pc.invert(whole)
+        cores, marks = core.filter(built).to_pylist(), pc.struct_field(parted, "marks").filter(built).to_pylist()
+        self._encode(list(set(words.filter(whole).to_pylist()).union(cores, marks).difference(self.index)))
+        known = self.index.__getitem__
+        at = np.stack([np.fromiter(map(known, part), np.int64, len(part)) for part in (cores, marks)], axis=1)
+        self._add(words.filter(built).to_pylist(), self.size[at].sum(axis=1), self._gather(at.ravel()))
 
     def _encode(self, words: list[str]) -> None:
         """Tokenise chunks, many to a line with a mark between them whose id no other chunk gives."""
