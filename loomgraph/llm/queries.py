@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import (
+    divergence_audit,
+    hard_negatives,
     html_extraction,
     license_scan,
     neighbours,
@@ -15,6 +17,7 @@ from loomgraph.llm import (
     quality_classifier,
     quality_rules,
     sentencepiece_codec,
+    substring_dedup,
     toxicity,
     url_filters,
 )
@@ -30,6 +33,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_divergence_audit": divergence_audit.op12_divergence_audit,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filters": url_filters.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_filters": url_filters.ORACLE_SQL,
+    "op12_divergence_audit": divergence_audit.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
+}
