@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import common, ngram_join, packing, quality_classifier, toxicity
@@ -31,7 +31,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id: once, if its row
-    repeats, and with each of its texts, if they differ.  Rows without an id or without words stay."""
+    repeats (the one that is first as JSON), and with each of its texts, if they differ.  Rows without an id or without
+    words stay; columns of any name and type are carried."""
     found = common.materialize(ngram_join.near_duplicates(docs, ngram_join.Rule(5, 80)), "classes")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     stay = docs.join(common.broadcast_if_small(gone), "doc_id", "left_anti")
@@ -39,8 +40,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if twice.isEmpty():
         return stay.select(*docs.columns)
     twice = common.broadcast_if_small(twice)
-    first = Window.partitionBy("doc_id", "text").orderBy(*[F.col(c) for c in docs.columns])
-    again = stay.join(twice, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1")
+    every = F.struct(*docs.columns)
+    first = F.min_by(every, F.to_json(every)).alias("row")  # as text, so that columns of any type have an order
+    again = stay.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(first).select("row.*")
     return stay.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again.select(*docs.columns))
 
 
@@ -60,7 +62,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each on what the one before it kept; a stage's input is deleted once its result is
+    written.  One row per piece of the documents that stay: an empty table gives none, null texts are packed as empty."""
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, common.materialize(stage(spark, docs, sf_dir), name)
+        if at:
+            common.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -136,21 +136,20 @@ def sampled_labels(labels: DataFrame, columns: list[str], limit: int) -> DataFra
 
 
 def labelled_texts(documents: DataFrame, labels: DataFrame, columns: list[str], limit: int, max_chars: int) -> DataFrame:
-    """Texts of the sampled labels: at most `limit` rows and `max_chars` characters together (both bounds hold on
-    the driver, which sees only ids and lengths); rows come in hash order, whatever their length, until the next one
-    would overrun the characters.  Where an id repeats, its smallest text counts."""
+    """Texts of the sampled labels, the documented bound for fitting: at most `limit` rows and `max_chars` characters
+    together (both hold on the driver, which sees only ids and lengths).  Of a text longer than a hundredth of max_chars
+    only that much from its start is fitted on, so no text, wherever it stands in hash order, keeps others out; rows come
+    in hash order until the next one would overrun the characters, so at least 99 do if there are so many.  Where an id
+    repeats, its smallest text counts."""
     sample = sampled_labels(labels, columns, limit)
-    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    window = max(1, max_chars // 100)
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, window).alias("text"))
     ids = F.broadcast(sample)  # `limit` rows at most
     sizes = texts.select("doc_id", F.length("text").alias("size")).join(ids, "doc_id").select("doc_id", "size")
     sizes = sizes.groupBy("doc_id").agg(F.max("size").alias("size"))
     rows = sorted(sizes.withColumn("h", hash_order(F.col("doc_id"))).collect(), key=lambda r: (r.h, r.doc_id))
-    total, chosen = 0, []
-    for r in rows:
-        if total + r["size"] > max_chars:
-            break
-        total += r["size"]
-        chosen.append((r.doc_id,))
+    upto = np.cumsum([r["size"] for r in rows], dtype=np.int64)
+    chosen = [(r.doc_id,) for r in rows[: int(np.searchsorted(upto, max_chars, side="right"))]]
     kept = documents.sparkSession.createDataFrame(chosen, "doc_id bigint")
     found = texts.join(F.broadcast(ids.join(kept, "doc_id")), "doc_id")
     return found.groupBy("doc_id", *columns).agg(F.min("text").alias("text")).select("doc_id", "text", *columns)

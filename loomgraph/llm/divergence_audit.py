@@ -32,7 +32,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, source), found in counts.items():
             terms = list(found)
             yield pa.record_batch({
-                "lang": pa.array([lang] * (len(terms) + 1)), "source": pa.array([source] * (len(terms) + 1)),
+                "lang": pa.array([lang] * (len(terms) + 1), pa.string()), "source": pa.array([source] * (len(terms) + 1), pa.string()),
                 "term": pa.array([None, *terms], pa.binary()).cast(pa.string()), "n": pa.array([0, *found.values()], pa.int64()),
                 "docs": pa.array([0, *map(docs[lang, source].__getitem__, terms)], pa.int64())})
 
@@ -109,7 +109,7 @@ def _tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done():
         pairs = list(sums)
         yield pa.record_batch({
-            "lang": pa.array([tile[0]] * len(pairs)), "a": pa.array([p[0] for p in pairs], pa.string()),
+            "lang": pa.array([tile[0]] * len(pairs), pa.string()), "a": pa.array([p[0] for p in pairs], pa.string()),
             "b": pa.array([p[1] for p in pairs], pa.string()), "value": pa.array(list(sums.values()), pa.int64())})
 
     for batch in batches:

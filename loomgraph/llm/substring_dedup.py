@@ -21,6 +21,8 @@ WIDTH = 35
 GRAM = 16
 #: bytes of text a block holds before the next document starts a new one
 BLOCK_BYTES = 2_000_000
+#: of their compression: a block is written once and sent twice
+LEVEL = 6
 #: rows of the sketch, its cells for each gram that may be counted, and the cells of one segment
 DEPTH, SPREAD, SEGMENT = 2, 8, 1 << 20
 #: windows that one group of the exact pass holds at most, on average
@@ -120,32 +122,32 @@ def _runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, np.arange(len(order)) - np.repeat(start, size), np.repeat(size, size)
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of about BLOCK_BYTES of text each: number, words, and the documents as a compressed Arrow stream."""
-    made = 0
+def _blocks(block_bytes: int):
+    """Rows of about block_bytes of text each: number, words, and the documents as a compressed Arrow stream."""
 
-    def block(ids, texts):
-        nonlocal made
+    def block(number, ids, texts):
         rows = pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.binary())})
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
             out.write_batch(rows)
-        number = (TaskContext.get().partitionId() << 32) + made
-        made += 1
         words = sum(len(t.split()) for t in texts)
         return pa.record_batch({"block": pa.array([number]), "words": pa.array([words]), "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids.append(doc_id)
-            texts.append(text or b"")
-            size += len(texts[-1])
-            if size >= BLOCK_BYTES:
-                yield block(ids, texts)
-                ids, texts, size = [], [], 0
-    if ids:
-        yield block(ids, texts)
+    def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(doc_id)
+                texts.append(text or b"")
+                size += len(texts[-1])
+                if size >= block_bytes:
+                    yield block(number, ids, texts)
+                    ids, texts, size, number = [], [], 0, number + 1
+        if ids:
+            yield block(number, ids, texts)
+
+    return make
 
 
 def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes], list[bytes]]]:
@@ -181,16 +183,18 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": rows["block"][some].to_numpy(), "keys": list(compress(back, some))})
 
 
-def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+def _merged(segment: int):
     """Adds the sketches that blocks sent for one segment, and tells each block which of its cells count two or more."""
-    lists = [np.frombuffer(k, "<u8") for k in rows["keys"]]
-    local = np.uint64(SEGMENT - 1)
-    cells = np.zeros(SEGMENT, np.uint32)
-    for x in lists:
-        cells += np.bincount((x & local).astype(np.int64), minlength=SEGMENT).astype(np.uint32)
-    back = [np.unique(x[cells[(x & local).astype(np.int64)] > 1]).tobytes() for x in lists]
-    some = [bool(b) for b in back]
-    return pd.DataFrame({"block": rows["block"][some].to_numpy(), "keys": list(compress(back, some))})
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.frombuffer(k, "<u8") for k in rows["keys"]]
+        local = [(x & np.uint64(segment - 1)).astype(np.int64) for x in lists]
+        cells = np.bincount(np.concatenate(local), minlength=segment)
+        back = [np.unique(x[cells[at] > 1]).tobytes() for x, at in zip(lists, local, strict=True)]
+        some = [bool(b) for b in back]
+        return pd.DataFrame({"block": rows["block"][some].to_numpy(), "keys": list(compress(back, some))})
+
+    return merge
 
 
 def _held(back: list[bytes]) -> np.ndarray:
@@ -203,7 +207,8 @@ def _in(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
 
 
-def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, spread: int = SPREAD,
+                   segment: int = SEGMENT, group_windows: int = GROUP) -> DataFrame:
     """(doc_id, n_words, n_removed, text, spans) for every row of documents (doc_id, text): words of windows of `width`
     words that also start elsewhere, in the same text or another, are removed; spans are the runs of words removed
     [first, end); what is left is joined by one space.
@@ -212,8 +217,8 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -
     count-min sketch: for every window its least gram (`gram` words, by hash) is counted; equal windows have equal least
     grams at equal distances, so no window occurs more often than its gram.  Blocks send their sketches by segment; the
     segments add them up and tell each block its cells that count two or more.  Then the blocks send the windows all of
-    whose cells do, by 128-bit hash, and are told those that occur twice.  A group holds a segment, or about GROUP
-    windows, however large the table; a window that stands in many documents is sent once or twice a block.
+    whose cells do, by 128-bit hash, and are told those that occur twice.  A group holds a segment, or about
+    group_windows windows, however large the table; a window that stands in many documents is sent once or twice a block.
 
     A null text has no words; repeated rows are documents of their own (and repeat each other), null ids too; other
     columns take no part; an empty table gives no rows; a text of any length is one document and whole.
@@ -222,13 +227,13 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -
         raise ValueError("a gram has at least one word and at most a window's")
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    blocks = common.materialize(rows.mapInArrow(_blocks, "block long, words long, body binary"), "blocks")
+    blocks = common.materialize(rows.mapInArrow(_blocks(block_bytes), "block long, words long, body binary"), "blocks")
     words = blocks.agg(F.sum("words")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a window has a new least gram about every (width - gram + 2) / 2 words
-    cells = SPREAD * words * 2 // (width - gram + 2)
-    bits = max(SEGMENT.bit_length() - 1, int(cells).bit_length())
-    groups = max(least, words // GROUP)
+    cells = spread * words * 2 // (width - gram + 2)
+    bits = max(segment.bit_length() - 1, int(cells).bit_length())
+    groups = max(least, words // group_windows)
 
     def sketch(batches):
         for block, _, texts, _ in _opened(batches):
@@ -236,7 +241,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -
             chosen = hashes[np.unique(at)]
             for row in range(DEPTH if len(chosen) else 0):
                 keys = _twice_at_most(_cells(chosen, row, bits))
-                yield _sent(block, (keys // np.uint64(SEGMENT)).astype(np.int64), keys)
+                yield _sent(block, (keys // np.uint64(segment)).astype(np.int64), keys)
 
     def ask(batches):
         for block, _, texts, back in _opened(batches):
@@ -269,7 +274,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, gram: int = GRAM) -
     def told(answers):
         return blocks.join(answers.groupBy("block").agg(F.collect_list("keys").alias("keys")), "block", "left")
 
-    common_cells = common.materialize(blocks.mapInArrow(sketch, SENT).groupBy("group_no").applyInPandas(_merged, BACK), "cells")
+    common_cells = common.materialize(blocks.mapInArrow(sketch, SENT).groupBy("group_no").applyInPandas(_merged(segment), BACK), "cells")
     asked = told(common_cells).mapInArrow(ask, SENT)
     common_windows = common.materialize(asked.groupBy("group_no").applyInPandas(_answered, BACK), "windows")
     common.discard(common_cells)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -72,3 +73,23 @@ def test_nothing_in_and_nothing_out(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0
     odd = spark.createDataFrame([(1, None, "x"), (None, "", "y"), (None, "fine words here", None)], "doc_id long, text string, lang string")
     assert corpus_pipeline.toxicity_stage(spark, odd, SF).count() == 3
+
+
+def test_columns_of_any_name_and_type_pass_the_duplicate_stage(spark):
+    rows = [(1, "a b c d e f g", 7, {"k": 1}), (1, "a b c d e f g", 8, {"k": 2}), (1, "h i j k l m n", 9, None), (2, "h i j k l m n", 5, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _nth int, row map<string,int>")
+    got = sorted((r.doc_id, r.text, r._nth) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect())
+    assert got == [(1, "a b c d e f g", 7), (1, "h i j k l m n", 9)]
+
+
+def test_stages_fit_although_the_first_labelled_text_is_very_long(spark, tmp_path):
+    """Longer than all the characters that a stage may fit on together: the stages still learn."""
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    known = toxicity.learnable(labels).join(docs, "doc_id").orderBy(common.hash_order(F.col("doc_id")), "doc_id").first().doc_id
+    long = F.when(F.col("doc_id") == known, F.concat("text", F.repeat(F.lit(" plain words of no note"), 1_400_000))).otherwise(F.col("text"))
+    docs.withColumn("text", long).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = common.table(spark, str(tmp_path), "documents")
+    n = docs.count()
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.toxicity_stage):
+        assert 0 < n - stage(spark, odd, str(tmp_path)).count() < n

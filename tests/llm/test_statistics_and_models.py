@@ -114,7 +114,25 @@ def test_fit_bounds_hold(spark):
     docs = spark.createDataFrame([(i, "x" * 10) for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
     assert common.labelled_texts(docs, labels, ["quality"], 20, 10_000).count() == 20
-    assert common.labelled_texts(docs, labels, ["quality"], 20, 55).count() == 5
+    assert common.labelled_texts(docs, labels, ["quality"], 20, 55).count() == 20  # of each text one character
+    assert common.labelled_texts(docs, labels, ["quality"], 50, 40).count() == 40
+
+
+def test_a_very_long_text_keeps_no_other_out_of_the_fit(spark):
+    """The first text in hash order is longer than all that may be fitted on: the others are fitted on all the same."""
+    rng = random.Random(4)
+    good, bad = [f"good{i}" for i in range(40)], [f"vile{i}" for i in range(5)]
+    rows = [(i, " ".join(rng.choices(good, k=60)) + (". " + rng.choice(bad)) * (i % 2)) for i in range(60)]
+    first = spark.range(60).orderBy(common.hash_order(F.col("id")), "id").first().id
+    rows[first] = (first, rows[first][1] + " " + " ".join(rng.choices(good, k=3_000)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    bound = 15_000
+    assert len(rows[first][1]) > bound
+    assert common.labelled_texts(docs, labels, ["toxic"], 100, bound).count() >= 50
+    assert (toxicity.fit_toxicity(docs, labels, fit_chars=bound).weights > 0).any()
+    assert (quality_classifier.fit_grades(docs, labels, fit_chars=bound).weights != 0).any()
+    assert len(quality_rules.fit_rules(docs, labels, fit_chars=bound).roots) > 0
 
 
 def test_noisy_or_finds_the_offending_sentence():
