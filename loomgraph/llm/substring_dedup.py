@@ -22,7 +22,7 @@ GRAM = 16
 #: bytes of text a block holds before the next document starts a new one
 BLOCK_BYTES = 2_000_000
 #: of their compression: a block is written once and sent twice
-LEVEL = 6
+LEVEL = 5
 #: rows of the sketch, its cells for each gram that may be counted, and the cells of one segment
 DEPTH, SPREAD, SEGMENT = 2, 8, 1 << 20
 #: windows that one group of the exact pass holds at most, on average
