@@ -114,3 +114,17 @@ def alias_union(nodes: DataFrame, group: list[str], name: str) -> DataFrame:
     names = F.array_sort(F.collect_set(name))
     return nodes.groupBy(*group).agg(names.alias("names")).select(
         *group, F.col("names")[0].alias("keeper"), F.array_except("names", F.array(F.col("names")[0])).alias("aliases"))
+
+
+def united_aliases(nodes: DataFrame, merged: DataFrame) -> DataFrame:
+    """(source_id, name, aliases, merged) of each keeper of merged (old, keeper) among nodes (source_id, name, aliases): its
+    own aliases with the names and aliases of all that were merged into it, without its own name, sorted; and their number."""
+    old = merged.join(nodes.withColumnRenamed("source_id", "old"), "old")
+    brought = old.select("keeper", F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name")).alias("some"), F.lit(1).alias("one"))
+    own = nodes.join(merged.select("keeper").distinct(), F.col("source_id") == F.col("keeper")).select("keeper", F.col("aliases").alias("some"), F.lit(0).alias("one"))
+    every = brought.unionByName(own)
+    names = every.select("keeper", F.explode("some").alias("alias")).where("alias IS NOT NULL").distinct()
+    sizes = every.groupBy("keeper").agg(F.sum("one").alias("merged"))
+    keepers = nodes.select(F.col("source_id").alias("keeper"), "name").join(sizes, "keeper")
+    found = names.join(keepers.select("keeper", "name"), "keeper").where("alias <> name").groupBy("keeper").agg(F.array_sort(F.collect_list("alias")).alias("aliases"))
+    return keepers.join(found, "keeper", "left").select(F.col("keeper").alias("source_id"), "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "merged")

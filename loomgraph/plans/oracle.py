@@ -1,7 +1,7 @@
 """SQL of the graph that loomgraph.sources.projection declares, for checking queries by a second engine."""
 
 GRAPH = """
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT l_partkey AS p, l_suppkey AS s, l_linenumber AS ln, l_quantity AS q, l_discount AS dsc, l_returnflag AS rf,
     l_linestatus AS ls, c_nationkey AS n, o_orderpriority AS pr, p_brand AS b, p_type,
     c_mktsegment || '/' || o_orderpriority AS m, p_brand || l_returnflag || l_linestatus AS t
