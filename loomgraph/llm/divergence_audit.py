@@ -159,7 +159,8 @@ def audit(documents: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int
     counts = common.materialize(counts, "term_counts")
     kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
     kept = common.materialize(kept.where(F.col("docs") >= least_documents).drop("docs"), "kept_terms")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    langs = common.materialize(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total")), "langs")
+    langs = common.broadcast_if_small(langs)  # so that terms are dealt by their chunks, not by their language alone
     chunks = F.ceil(F.col("terms") / chunk)
     place = Window.partitionBy("lang", "chunk").orderBy("term")  # about `chunk` terms
     vocabulary = kept.join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), chunks)).withColumn("at", F.row_number().over(place) - 1)
