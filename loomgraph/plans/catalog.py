@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import assembly, hierarchies, linkers, named, nominate, regions, reports, review, tables, validate
+from loomgraph.plans import assembly, hierarchies, linkers, named, nominate, regions, reports, review, states, tables, validate
 from loomgraph.plans.oracle import on_graph
 from loomgraph.sources.projection import project
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-GROUPS = (named, validate, nominate, reports, tables, linkers, assembly, review, regions, hierarchies)
+GROUPS = (named, validate, nominate, reports, tables, linkers, assembly, review, regions, hierarchies, states)
 
 
 def entries() -> dict:
@@ -21,7 +21,7 @@ def entries() -> dict:
 
 
 def single_tables() -> dict:
-    return tables.TABLES | linkers.TABLES | regions.TABLES | hierarchies.TABLES
+    return tables.TABLES | linkers.TABLES | regions.TABLES | hierarchies.TABLES | states.TABLES
 
 
 def _graph_query(plan) -> Query:
