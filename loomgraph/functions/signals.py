@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,18 +34,31 @@ NOMINATIVES = {
 ENDINGS, LEAST_LETTERS = ("i", "ae", "is"), 4
 
 
+@dataclass(frozen=True)
+class Signals:
+    """Alternatives of words that speak of an entry, of a treatment, and of compatibility."""
+
+    entry: str = ENTRY
+    therapy: str = THERAPY
+    compatibility: str = COMPATIBILITY
+
+
 def count_of(text: Column, alternatives: str) -> Column:
-    return F.regexp_count(text, F.lit(rf"(?i)\b(?:{alternatives})\b"))
+    return F.regexp_count(text, F.lit(rf"(?iU)\b(?:{alternatives})\b"))
+
+
+def is_entry(text: Column, signals: Signals = Signals()) -> Column:
+    return count_of(text, signals.entry) >= 2
 
 
-def is_entry(text: Column) -> Column:
-    return count_of(text, ENTRY) >= 2
+def is_treatment(text: Column, signals: Signals = Signals()) -> Column:
+    return count_of(text, signals.therapy) >= 1
 
 
-def is_compatibility_only(text: Column) -> Column:
+def is_compatibility_only(text: Column, signals: Signals = Signals()) -> Column:
     """Remarks on compatibility with fewer than half as many on treatment (none, for one or two remarks)."""
-    n = count_of(text, COMPATIBILITY)
-    return (n >= 1) & (count_of(text, THERAPY) < F.greatest(F.lit(1), F.floor(n / 2)))
+    n = count_of(text, signals.compatibility)
+    return (n >= 1) & (count_of(text, signals.therapy) < F.greatest(F.lit(1), F.floor(n / 2)))
 
 
 def search_keywords(name: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,7 +63,7 @@ def contained_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
     A span of three words or more is found by words within it, which are whole words wherever it stands: its second and
     up to four more; a shorter one by its first characters.  Ids and hashed anchors meet in an equi-join, a row for each
-    distinct window of a text, and only texts that were hit are fetched and tested.  No text meets a span by scanning.
+    distinct window of a text (of all widths, from one pass), and only texts that were hit are fetched and tested.  No text meets a span by scanning.
     """
     texts = documents.select("doc_id", collapse(F.col("text")).alias("norm"))
     asked = spans.select("item_id", collapse(F.col("text")).alias("span")).where("span <> ''")
@@ -73,22 +72,20 @@ def contained_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     width = F.when(by_words, F.least(F.size(words) - 2, F.lit(ANCHOR_WORDS))).otherwise(F.least(F.length("span"), F.lit(ANCHOR_CHARS)))
     anchor = F.when(by_words, F.xxhash64(F.slice(words, F.lit(2), width))).otherwise(F.xxhash64(F.substring(F.col("span"), F.lit(1), width)))
     asked = asked.select("item_id", "span", by_words.alias("by_words"), width.alias("width"), anchor.alias("anchor"))
-    hits = None
-    # at most one pass of the texts for each of the few widths that spans have
-    for kind in asked.select("by_words", "width").distinct().collect():
-        if kind.by_words:
-            rows = texts.select("doc_id", F.split("norm", " ").alias("parts"))
-            last = F.size("parts") - (kind.width - 1)
-            windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("parts", i, F.lit(kind.width))))
-        else:
-            rows, last = texts, F.length("norm") - (kind.width - 1)
-            windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(F.col("norm"), i, F.lit(kind.width))))
-        found = rows.where(last >= 1).select("doc_id", F.explode(F.array_distinct(windows)).alias("anchor"))
-        wanted = asked.where((F.col("by_words") == kind.by_words) & (F.col("width") == kind.width)).select("item_id", "anchor")
-        met = found.join(wanted, "anchor").select("item_id", "doc_id")
-        hits = met if hits is None else hits.union(met)
-    if hits is None:
+    # the few widths that spans have: at most ANCHOR_WORDS of words and ANCHOR_CHARS of characters
+    kinds = asked.select("by_words", "width").distinct().collect()
+    parts = F.col("parts")
+
+    def windows(kind):
+        size = F.size(parts) if kind.by_words else F.length("norm")
+        cut = (lambda i: F.slice(parts, i, F.lit(kind.width))) if kind.by_words else (lambda i: F.substring(F.col("norm"), i, F.lit(kind.width)))
+        return F.when(size >= kind.width, F.transform(F.sequence(F.lit(1), F.greatest(size - (kind.width - 1), F.lit(1))), lambda i: F.xxhash64(cut(i)))).otherwise(F.array().cast("array<bigint>"))
+
+    if not kinds:
         return asked.select("item_id").join(documents.select("doc_id"), F.lit(False))
+    rows = texts.where("norm IS NOT NULL").withColumn("parts", F.split("norm", " "))
+    found = rows.select("doc_id", F.explode(F.array_distinct(F.concat(*map(windows, kinds)))).alias("anchor"))
+    hits = found.join(asked.select("item_id", "anchor"), "anchor").select("item_id", "doc_id")
     pairs = hits.distinct().join(asked.select("item_id", "span").distinct(), "item_id")
     return texts.join(pairs, "doc_id").where(F.contains("norm", "span")).select("item_id", "doc_id").distinct()
 
@@ -100,6 +97,18 @@ def paragraphs(documents: DataFrame, mark: str = r"\n\s*\n", least: int = 50) ->
     return documents.select("doc_id", F.posexplode(parts).alias("paragraph", "text"))
 
 
+def _merged(hits: str, around: int) -> Column:
+    """An array of line numbers, ascending, folded into windows about them (end exclusive), none of which touch."""
+
+    def merge(done, i):
+        start, end = F.greatest(i - around, F.lit(0)), i + around + 1
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
+        return F.when((F.size(done) > 0) & (last["end"] >= start), joined).otherwise(F.concat(done, F.array(F.struct(start.alias("start"), end.alias("end")))))
+
+    return F.aggregate(hits, F.array().cast("array<struct<start:int,end:int>>"), merge)
+
+
 def mention_windows(documents: DataFrame, needle: Column, around: int = 15) -> DataFrame:
     """(doc_id, start, end) line windows about lines that hold the needle; touching windows merge (end exclusive).
 
@@ -108,15 +117,7 @@ def mention_windows(documents: DataFrame, needle: Column, around: int = 15) -> D
     lines = F.split("text", "\n")
     rows = documents.select("doc_id", F.transform(lines, lambda x, i: F.when(F.contains(F.lower(x), needle), i)).alias("hits"), F.size(lines).alias("n"))
     hits = rows.select("doc_id", "n", F.filter("hits", lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
-    zero = F.array().cast("array<struct<start:int,end:int>>")
-
-    def merge(done, i):
-        start, end = F.greatest(i - around, F.lit(0)), i + around + 1
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
-        return F.when((F.size(done) > 0) & (last["end"] >= start), joined).otherwise(F.concat(done, F.array(F.struct(start.alias("start"), end.alias("end")))))
-
-    folded = hits.select("doc_id", "n", F.explode(F.aggregate("hits", zero, merge)).alias("w"))
+    folded = hits.select("doc_id", "n", F.explode(_merged("hits", around)).alias("w"))
     return folded.select("doc_id", F.col("w.start").alias("start"), F.least("w.end", "n").alias("end"))
 
 
@@ -135,8 +136,64 @@ def within_budget(rows: DataFrame, group: str, order: str, size: str, budget: in
     return near.withColumn("running", F.col("before") + F.sum(size).over(run)).where(F.col("running") <= budget).drop("block", "before")
 
 
-def batches_of(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
-    """Frames cut to at most `rows` rows, for providers that take small batches."""
-    for f in frames:
-        for lo in range(0, len(f), rows):
-            yield f.iloc[lo : lo + rows]
+# fixed values: where a line ends, and what stands around the pieces of a passage
+LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+WINDOW_HEAD, WINDOW_HEAD_END, CUT = "\n--- corpus lines ", " ---\n", "\n... [truncated] ..."
+SEED_HEAD, SPAN_HEAD, CLAIM_HEAD = "--- source.evidence_span (Phase 1 anchor) ---\n", "--- source.evidence_span ---\n", "\n--- treats edge evidence_span ---\n"
+NO_SPAN, NO_CLAIM = "<no anchor>", "<no treats span>"
+
+
+def paragraph_windows(documents: DataFrame, size: int = 1, stride: int = 1, mark: str = r"\n\s*\n", least: int = 50) -> DataFrame:
+    """(doc_id, first, text) of every `size` paragraphs of a document that follow each other, a window every `stride`
+    paragraphs, joined by blank lines.  Within a document's own row; a document with fewer paragraphs has no window."""
+    parts = F.filter(F.transform(F.split("text", mark), F.trim), lambda p: F.length(p) > least)
+    rows = documents.select("doc_id", parts.alias("parts")).where(F.size("parts") >= size)
+    starts = F.sequence(F.lit(0), F.size("parts") - size, F.lit(stride))
+    cut = rows.select("doc_id", "parts", F.explode(starts).alias("first"))
+    return cut.select("doc_id", "first", F.array_join(F.slice("parts", F.col("first") + 1, F.lit(size)), "\n\n").alias("text"))
+
+
+def passages(documents: DataFrame, needles: DataFrame, around: int = 15, budget: int = 60_000, least_tail: int = 200) -> DataFrame:
+    """(item_id, doc_id, windows, passage): of each document the lines about those that hold a needle of an item, case and
+    outer space apart, each window under a heading with its line numbers, `budget` characters at most.
+
+    needles has (item_id, needle), several an item; those under three characters are none.  Documents are found by
+    contained_spans, so no document is held against needles that it can't have.  Windows merge where they touch.  The window
+    that passes the budget is cut, with a mark, if more than `least_tail` characters are left for it, and ends the passage;
+    `windows` counts all.
+    """
+    asked = needles.select("item_id", F.lower(F.trim("needle")).alias("needle")).where(F.length("needle") >= 3).distinct()
+    keyed = asked.select("needle").distinct()
+    pairs = contained_spans(documents.select("doc_id", "text"), keyed.select(F.col("needle").alias("item_id"), F.col("needle").alias("text")))
+    wanted = pairs.withColumnRenamed("item_id", "needle").join(asked, "needle").groupBy("item_id", "doc_id").agg(F.collect_set("needle").alias("needles"))
+    split = F.split("text", LINE_ENDS)
+    lines = F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
+    rows = documents.select("doc_id", lines.alias("lines")).join(wanted, "doc_id").withColumn("n", F.size("lines"))
+    hits = F.transform("lines", lambda x, i: F.when(F.exists("needles", lambda s: F.contains(F.lower(x), s)), i))
+    rows = rows.withColumn("hits", F.filter(hits, lambda x: x.isNotNull())).where(F.size("hits") > 0)
+    rows = rows.withColumn("merged", F.transform(_merged("hits", around), lambda w: F.struct(w["start"].alias("start"), F.least(w["end"], "n").alias("end"))))
+
+    def block(w):
+        body = F.array_join(F.slice("lines", w["start"] + 1, w["end"] - w["start"]), "\n")
+        return F.concat(F.lit(WINDOW_HEAD), (w["start"] + 1).cast("string"), F.lit("-"), w["end"].cast("string"), F.lit(WINDOW_HEAD_END), body)
+
+    begin = F.struct(F.lit(0).alias("total"), F.array().cast("array<string>").alias("parts"), F.lit(False).alias("full"))
+
+    def add(done, text):
+        left = F.lit(budget) - done["total"]
+        over = F.length(text) > left
+        tail = F.when(left > least_tail, F.array(F.concat(F.substring(text, F.lit(1), left), F.lit(CUT)))).otherwise(F.array().cast("array<string>"))
+        return F.when(done["full"], done).otherwise(F.struct(
+            (done["total"] + F.length(text)).alias("total"), F.concat(done["parts"], F.when(over, tail).otherwise(F.array(text))).alias("parts"), over.alias("full")))
+
+    found = F.aggregate(F.transform("merged", block), begin, add)["parts"]
+    return rows.select("item_id", "doc_id", F.size("merged").alias("windows"), F.regexp_replace(F.array_join(found, "\n"), r"(?U)^\s+|\s+$", "").alias("passage"))
+
+
+def with_seed(passage: Column, seed: Column, other: Column) -> Column:
+    """A passage behind the span that a source was known by; where there is neither, what is known of the claim besides."""
+    trimmed = F.trim(F.coalesce(seed, F.lit("")))
+    whole = F.concat(F.when(trimmed != "", F.concat(F.lit(SEED_HEAD), trimmed, F.lit("\n\n"))).otherwise(""), F.coalesce(passage, F.lit("")))
+    bare = F.concat(F.lit(SPAN_HEAD), F.coalesce(F.nullif(seed, F.lit("")), F.lit(NO_SPAN)),
+                    F.lit(CLAIM_HEAD), F.coalesce(F.nullif(other, F.lit("")), F.lit(NO_CLAIM)))
+    return F.when(F.trim(whole) == "", bare).otherwise(whole)
