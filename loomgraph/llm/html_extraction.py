@@ -40,7 +40,15 @@ NOT_ARTICLE = frozenset(
 )
 LAYOUT = frozenset("sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead banner contentinfo complementary".split())
 HEADING, VOUCHING = frozenset("header masthead banner".split()), frozenset("article post entry content story page title headline section".split())
-STATE = frozenset("has with no without is js".split())
+STATE, STATE_ENDS = frozenset("has with no without is js".split()), frozenset("free less".split())
+# fixed values: words that speak of reader comments, and words that say only where or how a block stands
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+NEUTRAL = frozenset(
+    "site page main block box wrap wrapper container inner outer area list item bar slot section unit top bottom left right panel content holder module "
+    "group row col column primary secondary global fixed sticky small large wide text link links button buttons icon icons form".split()
+)
+#: a block whose name is in part of other things goes only if fewer words than these stand outside its links, or half its words in them
+FEW_WORDS = 25
 NAME_PARTS = re.compile(r"[a-z0-9]+")
 #: a subtree is template if it stands on so many pages of its host with different main text, and on such a share of them
 MIN_PAGES, MIN_SHARE = 5, 0.01
@@ -51,31 +59,40 @@ BROADCAST_SUBTREES = 1_000_000
 
 
 class Node:
-    __slots__ = ("children", "hash", "has_main", "marked", "tag")
+    __slots__ = ("children", "hash", "has_main", "linked", "marked", "tag", "words")
 
-    def __init__(self, tag: str, marked: bool = False, key: str = "") -> None:
+    def __init__(self, tag: str, marked: int = 0, key: str = "") -> None:
         self.tag, self.marked, self.children, self.has_main = tag, marked, [], False
-        self.hash = key
+        self.hash, self.words, self.linked = key, 0, 0
 
 
-def marks(tag: str, names: str) -> bool:
-    """Whether class, id and role names say that an element is not the article.
+def marks(tag: str, names: str) -> int:
+    """How far class, id and role names say that an element is not the article: 2 for sure, 1 if it is little prose, 0 not.
 
-    Page roots and main hold the article whatever they are called; an article is another one only by words that are
-    not of layout.  `has-sidebar` and the like speak of a state; `article-header` is the article's own.
+    Page roots and main hold the article whatever they are called; an article is another one only by words that are not of
+    layout, and for sure.  `has-sidebar` and `ad-free` speak of a state; `article-header` is the article's own.  A name all
+    of whose words say so, beside those of place and form, is sure, and so is one of reader comments; `related-work` and
+    `social-history` may be the names of sections.
     """
     if tag in ("html", "body", "main"):
-        return False
+        return 0
+    most = 0
     for name in names.lower().split():
         parts = NAME_PARTS.findall(name)
-        if not parts or parts[0] in STATE:
+        if not parts or parts[0] in STATE or parts[-1] in STATE_ENDS:
             continue
         said = set(parts)
-        if said & NOT_ARTICLE:
-            return True
-        if tag != "article" and said & LAYOUT and not (said & LAYOUT <= HEADING and said & VOUCHING):
-            return True
-    return False
+        layout = bool(tag != "article" and said & LAYOUT and not (said & LAYOUT <= HEADING and said & VOUCHING))
+        if said & NOT_ARTICLE or layout:
+            sure = bool(said & COMMENTS) or said <= NOT_ARTICLE | LAYOUT | NEUTRAL
+            most = max(most, 2 if sure else 1 if tag != "article" else 0)
+    return most
+
+
+def little_prose(node: Node) -> bool:
+    """Whether fewer than FEW_WORDS words of an element stand outside its links, or half of all within them; hash_subtrees
+    must have run."""
+    return node.words - node.linked < FEW_WORDS or 2 * node.linked >= node.words
 
 
 class TreeBuilder(HTMLParser):
@@ -100,7 +117,7 @@ class TreeBuilder(HTMLParser):
         own = [f"{k}={v}" for k, v in attrs if k in ("class", "id", "role") and v]
         said = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        node = Node(tag, hidden or bool(said and marks(tag, said)), " ".join(own))
+        node = Node(tag, 2 if hidden else marks(tag, said) if said else 0, " ".join(own))
         stack[-1].children.append(node)
         if tag in ("article", "main"):
             for up in reversed(stack):
@@ -150,7 +167,7 @@ def parse(html: str) -> Node:
 
 
 def hash_subtrees(root: Node) -> list[tuple[int, Node]]:
-    """(hash, element) of the elements that may be template; sets node.hash on every element.
+    """(hash, element) of the elements that may be template; sets hash and numbers of words on every element.
 
     An element that holds the article (article or main), and prose inside it, is never a candidate: sites quote
     the same passage in many articles.
@@ -165,7 +182,17 @@ def hash_subtrees(root: Node) -> list[tuple[int, Node]]:
             todo.extend((c, below, False) for c in node.children if isinstance(c, Node))
             continue
         parts = [node.tag, str(node.hash)]
-        parts.extend(str(c.hash) if isinstance(c, Node) else "t" + " ".join(c.split()) for c in node.children)
+        for c in node.children:
+            if isinstance(c, Node):
+                parts.append(str(c.hash))
+                if c.tag not in NEVER_TEXT:
+                    node.words, node.linked = node.words + c.words, node.linked + c.linked
+            else:
+                words = c.split()
+                parts.append("t" + " ".join(words))
+                node.words += len(words)
+        if node.tag == "a":
+            node.linked = node.words
         node.hash = xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
         main = node.has_main or node.tag in ("article", "main", "html", "body", "#root")
         if not main and (not inside or node.tag in CONTAINERS):
@@ -186,17 +213,18 @@ def main_hash(root: Node) -> int:
 
 
 def text_of(root: Node, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """Text of the outermost articles (else of main, else of the whole page) without template and marked parts."""
-    todo: list[tuple[Node, bool]] = [(root, False)]
-    mains: dict[str, list[Node]] = {"article": [], "main": []}
+    """Text of the outermost articles and mains (else of the whole page) without template and marked parts."""
+    todo: list[Node] = [root]
+    starts: list[Node] = []
     while todo:
-        node, inside = todo.pop()
+        node = todo.pop()
         if _dropped(node, template):
             continue
-        if node.tag in mains and not inside:
-            mains[node.tag].append(node)
-        todo.extend((c, inside or node.tag == "article") for c in reversed(node.children) if isinstance(c, Node))
-    starts = mains["article"] or mains["main"][:1] or [root]
+        if node.tag in ("article", "main"):
+            starts.append(node)
+        elif node.has_main:
+            todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    starts = starts or [root]
     known = set(map(id, starts))
     out: list[str] = []
     work: list[Node | str] = []
@@ -217,7 +245,7 @@ def text_of(root: Node, template: set[int] | frozenset[int] = frozenset()) -> st
 
 
 def _dropped(node: Node, template) -> bool:
-    return node.marked or node.tag in NEVER_TEXT or node.hash in template
+    return node.marked == 2 or node.tag in NEVER_TEXT or node.hash in template or (node.marked == 1 and little_prose(node))
 
 
 def extract(

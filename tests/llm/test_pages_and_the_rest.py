@@ -76,6 +76,22 @@ def test_articles_in_marked_or_unclosed_places():
     assert text('<p>Text<div class="no-ads">more</div><div class="ad-slot">no</div>') == "Text more"
 
 
+def test_names_alone_drop_no_prose_and_no_main_is_lost():
+    def text(html):
+        root = html_extraction.parse(html)
+        html_extraction.hash_subtrees(root)
+        return html_extraction.text_of(root)
+
+    prose = " ".join(f"word{i}" for i in range(30))
+    assert text(f'<article class="post ad-free"><p>{prose}</p></article>') == prose
+    assert text(f'<article><div class="related-work">{prose}</div><section id="social-history">{prose}</section></article>') == f"{prose} {prose}"
+    assert text(f'<article><p>{prose}</p><div class="related-posts"><a href=x>{prose}</a></div><div class="related-stories">few words</div></article>') == prose
+    assert text(f'<article><p>{prose}</p><div class="user-comments"><p>{prose}</p></div><div class="ad-slot">{prose}</div></article>') == prose
+    assert text("<main><p>one</p></main><nav>no</nav><main><p>two</p></main>") == "one two"
+    assert text("<main><h1>Title</h1><p>Lead</p><article>Body</article><aside>no</aside></main>") == "Title Lead Body"
+    assert text("<article>a<main>b</main></article><article>c</article>") == "a b c"
+
+
 def test_deep_and_long_pages_take_linear_work():
     import time
 
