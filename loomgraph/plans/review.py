@@ -16,6 +16,7 @@ from loomgraph.plans.linkers import STRATA_SQL, stratified_claims
 from loomgraph.plans.registry import Registry
 from loomgraph.plans.validate import PATH_SQL
 from loomgraph.sources.projection import Graph, active
+from loomgraph.sources.snapshots import stored
 
 ENTRIES = Registry()
 entry = ENTRIES.entry
@@ -157,15 +158,18 @@ def leads(g: Graph) -> DataFrame:
     closed = F.coalesce(F.col("reached_disease") == F.col("primary_disease"), F.lit(False))
     first = validate.anchors(g).select("source", "malady", "primary_disease")
     tops = tops.join(first, ["source", "malady"]).select("source", "malady", F.col("inchikey").alias("lead"), closed.alias("closed"), "path_score", "target_id", "reached_disease")
-    opinions = reviewed(g).select("source", "malady", "skipped", "plausibility")
+    opinions = stored(reviewed(g).select("source", "malady", "skipped", "plausibility"), "opinions")  # read for two kinds of offers
     critic = tops.where("target_id IS NOT NULL AND reached_disease IS NOT NULL").join(opinions.where("NOT skipped"), ["source", "malady"]).select(
         "malady", "lead", "source", F.lit(0).alias("way"), (0.5 + 0.5 * F.col("plausibility")).alias("score"))
     bonus = F.when(F.col("closed"), 0.05).otherwise(0.0)
     path = tops.select("malady", "lead", "source", F.lit(1).alias("way"), F.least(F.lit(0.5), 0.25 + 0.2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("path_score") / 5)) + bonus).alias("score"))
-    counts = P.compound_targets(g).groupBy("compound_id").agg(F.count_distinct("target_id").alias("n"))
+    # what a compound is worth by its breadth hangs on the compound alone, so of the sources that offer it for a malady the
+    # first counts; that is settled before the pairs are shuffled, and names and numbers are joined to what is left
     held = P.source_compounds(g).join(P.node(active(g.source), "source_id", "source_id", source="name"), "source_id").select("source", "compound_id").distinct()
-    wide = P.with_compound(g, held.join(counts, "compound_id", "left"), lead="inchikey").select("source", "lead", F.coalesce("n", F.lit(0)).alias("n"))
-    breadth = opinions.join(wide, "source").select("malady", "lead", "source", F.lit(2).alias("way"), F.least(F.lit(0.25), 0.05 + 0.01 * F.col("n")).alias("score"))
+    first = opinions.select("malady", "source").join(held, "source").groupBy("malady", "compound_id").agg(F.min("source").alias("source"))
+    counts = P.compound_targets(g).groupBy("compound_id").agg(F.count_distinct("target_id").alias("n"))
+    wide = P.with_compound(g, first.join(counts, "compound_id", "left"), lead="inchikey").select("malady", "source", "lead", F.coalesce("n", F.lit(0)).alias("n"))
+    breadth = wide.select("malady", "lead", "source", F.lit(2).alias("way"), F.least(F.lit(0.25), 0.05 + 0.01 * F.col("n")).alias("score"))
     order = F.struct((F.col("way") == 2).alias("a"), (-F.round("score", 9)).alias("b"), F.col("way").alias("c"), F.col("source").alias("d"), "score")
     offers = critic.unionByName(path).unionByName(breadth)
     return offers.groupBy("malady", "lead").agg(F.min(order).alias("o")).select(
