@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.text import contained_spans
+
 
 def resolved_in_turn(asked: DataFrame, records: DataFrame, steps: Sequence[tuple[str, Column, Column]], failed: DataFrame, record_id: str = "record_id") -> DataFrame:
     """asked with (record, method, ok): the first record by id that the first step with a hit gives.
@@ -52,6 +54,9 @@ def column_means(rows: DataFrame, columns: Sequence[str] | None = None, digits:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["mean"].alias("mean"), F.col(c)["n"].alias("n")) for c in names])).alias("c")).select("c.*")
 
 
+# fixed values: where a canonical name comes from
+ORGANISM_SURE, ORGANISM_SAID = "gemini+coconut", "gemini_unverified_organism"
+CHEMICAL_SURE, CHEMICAL_SAID = "gemini+pubchem", "gemini_unverified_chemical"
 # fixed values: what is said of each verdict, and of what stands beside it
 SUFFIXES = ("corroborated by {} sibling source(s)", "{} path(s) reach a syndrome component", "malady mapping is unverified")
 SENTENCES = {
@@ -89,3 +94,30 @@ def rationale(siblings: Column) -> Column:
     for verdict, text in BARE.items():
         out = F.when(F.col("verdict") == verdict, text).otherwise(out)
     return out
+
+
+def canonical_records(answers: DataFrame, organisms: DataFrame, chemicals: DataFrame) -> DataFrame:
+    """The record of each answer (name, canonical, kind, part, failed): name, canonical_raw, canonical_type, canonical_name,
+    canonical_part, canonical_source.
+
+    An organism is sure if some name of organisms (name) contains it, a chemical if chemicals (name) has it, case apart.
+    Containment goes by contained_spans, so no answer is held against names that can't contain it.  An organism without a part is whole; an answer without a canonical name, or of another kind,
+    is uncanonicalized; one that failed is an error.
+    """
+    canonical, part, kind = F.trim(F.coalesce("canonical", F.lit(""))), F.lower(F.trim(F.coalesce("part", F.lit("")))), F.col("kind")
+    key = F.lower(canonical)
+    asked = answers.where(kind == "organism").select(key.alias("text")).where("text <> ''").distinct()
+    names = organisms.select(F.col("name").alias("doc_id"), F.col("name").alias("text")).dropna().distinct()
+    inside = contained_spans(names, asked.select(F.col("text").alias("item_id"), "text")).select(F.col("item_id").alias("_inside"), F.lit(True).alias("_is")).distinct()
+    known = chemicals.select(F.lower(F.trim("name")).alias("_known"), F.lit(True).alias("_chemical")).dropna().distinct()
+    rows = answers.join(inside, key == F.col("_inside"), "left").join(known, key == F.col("_known"), "left")
+    organism, chemical = (kind == "organism") & (canonical != ""), (kind == "chemical") & (canonical != "")
+    failed = F.coalesce("failed", F.lit(False))
+
+    def said(error, of_organism, of_chemical, other):
+        return F.when(failed, error).when(organism, of_organism).when(chemical, of_chemical).otherwise(other)
+
+    return rows.select(
+        "name", F.when(failed, "").otherwise(canonical).alias("canonical_raw"), said("error", "organism", "chemical", "uncanonicalized").alias("canonical_type"),
+        said(F.lit(None), canonical, canonical, F.lit(None)).alias("canonical_name"), said("", F.when(part != "", part).otherwise("whole"), "", "").alias("canonical_part"),
+        said("error", F.when(F.col("_is"), ORGANISM_SURE).otherwise(ORGANISM_SAID), F.when(F.col("_chemical"), CHEMICAL_SURE).otherwise(CHEMICAL_SAID), "uncanonicalized").alias("canonical_source"))

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import tiers as T
 from loomgraph.operators import dml, metrics
+from loomgraph.operators import paths as P
 from loomgraph.operators import resolve as R
 from loomgraph.plans import linkers, nominate, validate
 from loomgraph.plans.registry import Registry
@@ -204,3 +206,69 @@ def orphan_summary(g: Graph) -> DataFrame:
     applied = gone.agg(F.count("*").alias("applied"))
     edges = g.maps.join(gone.select(F.col("name").alias("src")), "src", "left_semi").agg(F.count("*").alias("edges_cascaded"))
     return reduce(lambda a, b: a.crossJoin(b), [plan, applied, edges])  # single rows
+
+
+@entry("au01_canonical_records", """
+, a AS (SELECT name, CASE WHEN source_id % 8 = 0 THEN ' ' WHEN source_id % 3 = 0 THEN ' ' || (SELECT substr(min(p_name), 1 + source_id % 4) FROM part WHERE p_partkey = source_id) || ' ' ELSE (SELECT upper(min(p_name)) FROM part WHERE p_partkey = source_id * 2) || ' x' END AS canonical,
+    CASE source_id % 5 WHEN 0 THEN 'chemical' WHEN 4 THEN 'mineral' ELSE 'organism' END AS kind, CASE WHEN source_id % 2 = 0 THEN ' Root ' END AS part, source_id % 17 = 0 AS failed FROM source)
+, t AS (SELECT name, trim(canonical) AS canonical, kind, part, failed, lower(trim(canonical)) AS key FROM a)
+, organisms AS (SELECT DISTINCT lower(name) AS n FROM compound WHERE compound_id % 3 = 0), chemicals AS (SELECT DISTINCT lower(name) AS n FROM compound WHERE compound_id % 2 = 0)
+, r AS (SELECT *, CASE WHEN failed THEN 'error' WHEN kind IN ('organism', 'chemical') AND canonical <> '' THEN kind ELSE 'uncanonicalized' END AS type FROM t)
+SELECT name, CASE WHEN failed THEN '' ELSE canonical END AS canonical_raw, type AS canonical_type, CASE WHEN type IN ('organism', 'chemical') THEN canonical END AS canonical_name,
+  CASE WHEN type = 'organism' THEN coalesce(nullif(lower(trim(part)), ''), 'whole') ELSE '' END AS canonical_part,
+  CASE type WHEN 'organism' THEN CASE WHEN EXISTS (SELECT 1 FROM organisms WHERE contains(n, key)) THEN 'gemini+coconut' ELSE 'gemini_unverified_organism' END
+    WHEN 'chemical' THEN CASE WHEN key IN (SELECT n FROM chemicals) THEN 'gemini+pubchem' ELSE 'gemini_unverified_chemical' END ELSE type END AS canonical_source FROM r""")
+def canonical_sources(g: Graph) -> DataFrame:
+    """Sources as an answer names them, confirmed by an index of organisms or of chemicals; answers come as a table."""
+    s = F.col("source_id")
+    own = g.compound.select(F.col("compound_id").alias("own_id"), F.col("name").alias("own"))
+    other = g.compound.select(F.col("compound_id").alias("other_id"), F.col("name").alias("other"))
+    rows = g.source.join(own, s == F.col("own_id"), "left").join(other, s * 2 == F.col("other_id"), "left")
+    canonical = F.when(s % 8 == 0, " ").when(s % 3 == 0, F.concat(F.lit(" "), F.substring(F.col("own"), (1 + s % 4).cast("int"), F.lit(1000)), F.lit(" "))).otherwise(F.concat(F.upper("other"), F.lit(" x")))
+    kind = F.when(s % 5 == 0, "chemical").when(s % 5 == 4, "mineral").otherwise("organism")
+    answers = rows.select("name", canonical.alias("canonical"), kind.alias("kind"), F.when(s % 2 == 0, " Root ").alias("part"), (s % 17 == 0).alias("failed"))
+    p = F.col("compound_id")
+    return R.canonical_records(answers, g.compound.where(p % 3 == 0).select("name"), g.compound.where(p % 2 == 0).select("name"))
+
+
+def payloads(g: Graph, keep: int = 5) -> DataFrame:
+    """(source, malady, paths_top, context): what is known of each claim as nested structs, whole, for consumers that read it
+    as JSON: its best paths with what they rest on, and the nodes and edges that it hangs on."""
+    disease = F.col("reached_disease")
+    rows = validate.best_paths(g, keep).join(validate.anchors(g).select("source_id", "malady", "component_diseases"), ["source_id", "malady"])
+    part = F.coalesce(F.array_contains("component_diseases", disease), F.lit(False))
+    bucket = F.coalesce(T.tier_name(F.col("rank")), F.lit("unrated"))
+    path = F.struct(
+        F.col("pos"), F.col("inchikey"), F.col("compound"), F.col("target_id").alias("target"), disease,
+        F.struct(bucket.alias("bucket"), F.col("path_score").alias("score"), F.col("closed").alias("loop_closed"), part.alias("component_closed"), "has_target", "has_disease").alias("path"))
+    paths = rows.groupBy("source", "malady").agg(F.array_sort(F.collect_list(F.when(F.col("inchikey").isNotNull(), path))).alias("paths_top"))
+    source = g.source.select("source_id", F.struct("name", "source_document", "canonical_name", "canonical_part", "canonical_type", "canonical_source").alias("source_node"))
+    malady = g.malady.select(F.col("name").alias("malady"), F.struct("name", "description", "source_document").alias("malady_node"))
+    first = g.disease.select(F.col("name").alias("primary_disease"), F.struct("name", "icd10_code", "mesh_id").alias("disease_node"))
+    claims = validate.anchors(g).join(source, "source_id").join(malady, "malady").join(first, "primary_disease", "left")
+    context = F.struct(
+        F.col("source_node").alias("source"), F.col("malady_node").alias("malady"), F.struct(F.col("tt").alias("confidence_score")).alias("treats_edge"),
+        F.col("disease_node").alias("primary_disease"), F.struct(F.col("primary_mapping_source").alias("mapping_source")).alias("primary_mapping"))
+    return claims.select("source", "malady", context.alias("context")).join(paths, ["source", "malady"], "left").select(
+        "source", "malady", F.coalesce("paths_top", F.array().cast(paths.schema["paths_top"].dataType)).alias("paths_top"), "context")
+
+
+@entry("ta05_claim_payloads", PATH_SQL + """
+, tops AS (SELECT *, row_number() OVER (PARTITION BY source_id, malady ORDER BY (NOT (has_target AND has_disease)), (NOT loop_closed), rank DESC, path_score DESC, inchikey, target_id NULLS FIRST, reached_disease NULLS FIRST) AS pos FROM claim_paths WHERE inchikey IS NOT NULL)
+, p AS (SELECT source, malady, count(*) AS n, string_agg(concat_ws('|', inchikey, compound, coalesce(target_id, '-'), coalesce(reached_disease, '-'), CASE rank WHEN 4 THEN 'gold' WHEN 3 THEN 'silver' WHEN 2 THEN 'bronze' WHEN 1 THEN 'wood' ELSE 'unrated' END,
+    CAST(round(path_score * 1000000) AS bigint), loop_closed, component_closed, has_target, has_disease), ';' ORDER BY pos) AS paths FROM tops WHERE pos <= 5 GROUP BY source, malady)
+SELECT a.source, a.malady, coalesce(p.n, 0) AS paths, md5(coalesce(p.paths, '')) AS path_digest, concat_ws('|', s.source_document, s.canonical_name, s.canonical_part, s.canonical_type, s.canonical_source, m.description, m.source_document,
+  CAST(round(a.tt * 1000000) AS bigint), coalesce(a.primary_disease, '-'), coalesce(d.icd10_code, '-'), coalesce(d.mesh_id, '-'), coalesce(a.primary_mapping_source, '-')) AS context
+FROM anchor a JOIN source s ON s.source_id = a.source_id JOIN malady m ON m.name = a.malady LEFT JOIN disease d ON d.name = a.primary_disease LEFT JOIN p ON p.source = a.source AND p.malady = a.malady""")
+def claim_payloads(g: Graph) -> DataFrame:
+    """The payload of each claim, whole: its paths by their digest, its context as one text."""
+    text = lambda c: c.cast("string")
+    known = lambda c: F.coalesce(F.col(c), F.lit("-"))
+    line = lambda x: F.concat_ws(
+        "|", x["inchikey"], x["compound"], F.coalesce(x["target"], F.lit("-")), F.coalesce(x["reached_disease"], F.lit("-")), x["path"]["bucket"], text(P.micro(x["path"]["score"])),
+        *(text(x["path"][c]) for c in ("loop_closed", "component_closed", "has_target", "has_disease")))
+    context = F.concat_ws(
+        "|", *(f"context.source.{c}" for c in ("source_document", "canonical_name", "canonical_part", "canonical_type", "canonical_source")), "context.malady.description", "context.malady.source_document",
+        text(P.micro(F.col("context.treats_edge.confidence_score"))), known("context.primary_disease.name"), known("context.primary_disease.icd10_code"), known("context.primary_disease.mesh_id"), known("context.primary_mapping.mapping_source"))
+    return payloads(g).select(
+        "source", "malady", F.size("paths_top").cast("long").alias("paths"), F.md5(F.array_join(F.transform("paths_top", line), ";").cast("binary")).alias("path_digest"), context.alias("context"))

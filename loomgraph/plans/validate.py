@@ -164,6 +164,10 @@ SELECT source, malady, pos, inchikey, target_id, reached_disease, path_score FRO
   SELECT *, row_number() OVER (PARTITION BY source_id, malady ORDER BY (NOT (has_target AND has_disease)), (NOT loop_closed), rank DESC, path_score DESC,
     inchikey, target_id NULLS FIRST, reached_disease NULLS FIRST) AS pos FROM claim_paths WHERE inchikey IS NOT NULL) WHERE pos <= 5""")
 def top_paths(g: Graph, keep: int = 5) -> DataFrame:
+    return best_paths(g, keep).select("source", "malady", "pos", "inchikey", "target_id", "reached_disease", "path_score")
+
+
+def best_paths(g: Graph, keep: int = 5) -> DataFrame:
     """The best paths of each claim: whole chains first, then closed loops, then tier and score; ties by ids.
 
     Whether a path closes the loop hangs on the disease it reaches, so the best of every source and reached disease
@@ -177,8 +181,7 @@ def top_paths(g: Graph, keep: int = 5) -> DataFrame:
     rows = claims.select("source_id", "source", "malady", "primary_disease").join(rows, "source_id").withColumn(
         "closed", F.coalesce(F.col("reached_disease") == F.col("primary_disease"), F.lit(False)))
     best = Window.partitionBy("source_id", "malady").orderBy((~F.col("full")).cast("int"), (~F.col("closed")).cast("int"), *order)
-    return rows.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= keep).select(
-        "source", "malady", "pos", "inchikey", "target_id", "reached_disease", "path_score")
+    return rows.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= keep)
 
 
 @entry("ta09_graph_only_projection", PATH_SQL + """

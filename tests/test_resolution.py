@@ -45,3 +45,16 @@ def test_rationales(spark):
         "9 mechanistic path(s) exist but none reach 'flu'.",
         "9 mechanistic path(s) exist but the malady has no Modern_Disease mapping to check against.",
         "No compounds linked to this source — claim is purely traditional.", ""]
+
+
+def test_canonical_records(spark):
+    answers = [("a", " Salvia ", "organism", " Root", False), ("b", "salvia m", "organism", None, None), ("c", "Cinnabar", "organism", "", False), ("d", "MERCURY", "chemical", "x", False), ("e", "tin", "chemical", None, False),
+               ("f", "odd", "mineral", "x", False), ("g", " ", "organism", "x", False), ("h", None, "chemical", None, False), ("i", "Salvia", "organism", "x", True)]
+    got = R.canonical_records(
+        spark.createDataFrame(answers, "name string, canonical string, kind string, part string, failed boolean"), spark.createDataFrame([("Salvia miltiorrhiza",), (None,)], "name string"),
+        spark.createDataFrame([("Mercury",), ("mercury",), (None,)], "name string"))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("a", "Salvia", "organism", "Salvia", "root", "gemini+coconut"), ("b", "salvia m", "organism", "salvia m", "whole", "gemini+coconut"),
+        ("c", "Cinnabar", "organism", "Cinnabar", "whole", "gemini_unverified_organism"), ("d", "MERCURY", "chemical", "MERCURY", "", "gemini+pubchem"),
+        ("e", "tin", "chemical", "tin", "", "gemini_unverified_chemical"), ("f", "odd", "uncanonicalized", None, "", "uncanonicalized"), ("g", "", "uncanonicalized", None, "", "uncanonicalized"),
+        ("h", "", "uncanonicalized", None, "", "uncanonicalized"), ("i", "", "error", None, "", "error")]
