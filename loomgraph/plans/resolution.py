@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import names as N
+from loomgraph.functions import provider as V
 from loomgraph.functions import tiers as T
 from loomgraph.operators import dml, metrics
 from loomgraph.operators import paths as P
@@ -272,3 +274,50 @@ def claim_payloads(g: Graph) -> DataFrame:
         text(P.micro(F.col("context.treats_edge.confidence_score"))), known("context.primary_disease.name"), known("context.primary_disease.icd10_code"), known("context.primary_disease.mesh_id"), known("context.primary_mapping.mapping_source"))
     return payloads(g).select(
         "source", "malady", F.size("paths_top").cast("long").alias("paths"), F.md5(F.array_join(F.transform("paths_top", line), ";").cast("binary")).alias("path_digest"), context.alias("context"))
+
+
+@entry("lk05_target_identities", """
+SELECT target_id, target_type, 'n ' || coalesce(name, '') AS target_name, CASE WHEN target_type = 'SINGLE PROTEIN' THEN coalesce(uniprot_id, '') ELSE '' END AS uniprot_id,
+  CASE WHEN target_type = 'SINGLE PROTEIN' AND length(target_id) % 2 = 1 THEN 'G' || substr(target_id, 7) ELSE '' END AS gene_symbol, CASE WHEN target_type = 'ORGANISM' THEN (9000 + length(target_id))::varchar ELSE '' END AS ncbi_tax_id,
+  uniprot_id || ';' || 'P' || substr(target_id, 7) AS accessions FROM target""")
+def target_identities(g: Graph) -> DataFrame:
+    """Who each target is, from its record as the provider's JSON has it."""
+    syn = lambda kind, value: F.struct(F.lit(kind).alias("syn_type"), value.alias("component_synonym"))
+    own = F.substring("target_id", 7, 100)
+    symbol = F.when(F.length("target_id") % 2 == 1, F.concat(F.lit("G"), own))
+    named = F.array_compact(F.array(syn("UNIPROT", F.col("name")), F.when(symbol.isNotNull(), syn("GENE_SYMBOL", symbol)), syn("EC_NUMBER", F.lit("1.1")), F.when(symbol.isNotNull(), syn("GENE_SYMBOL", F.lit("later")))))
+    component = lambda accession: F.struct(accession.alias("accession"), named.alias("target_component_synonyms"))
+    other = F.concat(F.lit("P"), own)
+    record = F.to_json(F.struct(
+        F.col("target_id").alias("target_chembl_id"), "target_type", F.concat(F.lit("n "), F.coalesce("name", F.lit(""))).alias("pref_name"), (9000 + F.length("target_id")).alias("tax_id"),
+        F.array(component(F.col("uniprot_id")), component(other), component(F.col("uniprot_id")), component(F.lit(""))).alias("target_components")))
+    parsed = g.target.select("target_id", F.from_json(record, V.TARGET_RECORD).alias("r"))
+    return parsed.select("target_id", V.target_identity(F.col("r")).alias("i"), F.array_join(V.accessions(F.col("r")), ";").alias("accessions")).select(
+        "target_id", "i.target_type", "i.target_name", "i.uniprot_id", "i.gene_symbol", "i.ncbi_tax_id", "accessions")
+
+
+@entry("jn13_synonym_tier", """
+, asked AS (SELECT n_nationkey AS q, CASE WHEN n_nationkey % 4 = 0 THEN 'D' || n_nationkey END AS mesh, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'old ' || n_name END AS name,
+    CASE n_nationkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['nowhere'] ELSE ['', 'nothing', 'NOTHING', lower(n_name), (SELECT min(n_name) FROM nation b WHERE b.n_nationkey = a.n_nationkey + 1), upper(n_name)] END AS synonyms FROM nation a)
+, live AS (SELECT * FROM disease WHERE NOT coalesce(archived, false)), ids AS (SELECT mesh_id, min(name) AS name FROM live WHERE mesh_id <> '' GROUP BY 1), forms AS (SELECT lower(name) AS form, min(name) AS name FROM live GROUP BY 1)
+, s AS (SELECT q, unnest(synonyms) AS term, generate_subscripts(synonyms, 1) AS pos FROM asked), syn AS (SELECT q, arg_min(f.name, pos) AS name FROM s JOIN forms f ON f.form = lower(term) GROUP BY q)
+SELECT a.q, coalesce(i.name, f.name, y.name) AS disease, CASE WHEN i.name IS NOT NULL THEN 'mesh_id' WHEN f.name IS NOT NULL THEN 'norm_name' WHEN y.name IS NOT NULL THEN 'mesh_synonym' ELSE 'no_match' END AS tier
+FROM asked a LEFT JOIN ids i ON i.mesh_id = a.mesh LEFT JOIN forms f ON f.form = lower(a.name) LEFT JOIN syn y ON y.q = a.q""")
+def synonym_tier(g: Graph) -> DataFrame:
+    """Outside records matched to diseases by id, then by tolerant name, then by the first of their synonyms that names one."""
+    n = F.col("disease_id")
+    after = g.disease.select((n - 1).alias("disease_id"), F.col("name").alias("after"))
+    rows = g.disease.select("disease_id", "name").join(after, "disease_id", "left")
+    terms = F.when(n % 5 == 0, F.array().cast("array<string>")).when(n % 5 == 1, F.array(F.lit("nowhere"))).otherwise(
+        F.array(F.lit(""), F.lit("nothing"), F.lit("NOTHING"), F.lower("name"), F.col("after"), F.upper("name")))
+    asked = rows.select(
+        n.alias("q"), F.when(n % 4 == 0, F.concat(F.lit("D"), n.cast("string"))).alias("mesh"), F.when(n % 3 == 0, F.col("name")).otherwise(F.concat(F.lit("old "), "name")).alias("asked"),
+        V.distinct_terms(terms).alias("synonyms"))
+    live = g.disease.where("NOT coalesce(archived, false)")
+    ids = live.where("mesh_id <> ''").groupBy(F.col("mesh_id").alias("mesh")).agg(F.min("name").alias("by_id"))
+    forms = live.groupBy(N.match_form(F.col("name")).alias("form")).agg(F.min("name").alias("found"))
+    by_term = asked.select("q", F.posexplode("synonyms").alias("pos", "term")).select("q", "pos", N.match_form(F.col("term")).alias("form")).where("form <> ''").join(forms, "form")
+    first = by_term.groupBy("q").agg(F.min_by("found", "pos").alias("by_synonym"))
+    met = asked.withColumn("form", N.match_form(F.col("asked"))).join(ids, "mesh", "left").join(forms.withColumnRenamed("found", "by_name"), "form", "left").join(first, "q", "left")
+    tier = F.when(F.col("by_id").isNotNull(), "mesh_id").when(F.col("by_name").isNotNull(), "norm_name").when(F.col("by_synonym").isNotNull(), "mesh_synonym").otherwise("no_match")
+    return met.select("q", F.coalesce("by_id", "by_name", "by_synonym").alias("disease"), tier.alias("tier"))

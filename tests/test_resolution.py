@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions import provider as V
 from loomgraph.operators import resolve as R
 
 
@@ -58,3 +59,13 @@ def test_canonical_records(spark):
         ("c", "Cinnabar", "organism", "Cinnabar", "whole", "gemini_unverified_organism"), ("d", "MERCURY", "chemical", "MERCURY", "", "gemini+pubchem"),
         ("e", "tin", "chemical", "tin", "", "gemini_unverified_chemical"), ("f", "odd", "uncanonicalized", None, "", "uncanonicalized"), ("g", "", "uncanonicalized", None, "", "uncanonicalized"),
         ("h", "", "uncanonicalized", None, "", "uncanonicalized"), ("i", "", "error", None, "", "error")]
+
+
+def test_provider_records(spark):
+    rows = [('{"target_type":"SINGLE PROTEIN","target_components":[{"accession":"P1","target_component_synonyms":[{"syn_type":"UNIPROT","component_synonym":"u"},{"syn_type":"GENE_SYMBOL","component_synonym":"G1"},{"syn_type":"GENE_SYMBOL","component_synonym":"G2"}]},{"accession":"P2"},{"accession":"P1"},{"accession":""},{}]}',),
+            ('{"target_type":"ORGANISM","tax_id":9606,"target_components":[]}',), ('{"target_type":"PROTEIN COMPLEX","target_chembl_id":"C1","tax_id":1,"target_components":[{"accession":"P3"}]}',), ('{"target_type":"SINGLE PROTEIN"}',), ("{}",)]
+    got = [(r.i.uniprot_id, r.i.gene_symbol, r.i.ncbi_tax_id, r.a) for r in spark.createDataFrame(rows, "j string").coalesce(1).select(
+        F.from_json("j", V.TARGET_RECORD).alias("r")).select(V.target_identity(F.col("r")).alias("i"), V.accessions(F.col("r")).alias("a")).collect()]
+    assert got == [("P1", "G1", "", ["P1", "P2"]), ("", "", "9606", []), ("", "", "", ["P3"]), ("", "", "", None), ("", "", "", None)]
+    terms = spark.createDataFrame([(["A", "a", "", None, "b", "B ", "A"],), ([],), (None,)], "t array<string>").coalesce(1).select(V.distinct_terms(F.col("t")).alias("t")).collect()
+    assert [r.t for r in terms] == [["A", "b", "B "], [], []]
