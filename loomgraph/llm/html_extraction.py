@@ -335,4 +335,5 @@ def extract(
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, as a table of pages gives it."""
     return extract(common.table(spark, sf_dir, "pages"))

@@ -225,4 +225,5 @@ def search(embeddings: DataFrame, every: int = 20, k: int = 20, fit_rows: int =
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every 20th vector; no rows for an empty table."""
     return search(common.table(spark, sf_dir, "embeddings"))

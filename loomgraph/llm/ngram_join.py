@@ -311,4 +311,5 @@ def hub_links(reps: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by 85 % of their shingles of four words, with the class that each is in."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), Rule(4, 85))

@@ -276,6 +276,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, capacity: int
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 4,096 tokens; null texts are packed as empty ones."""
     packed = pack(common.table(spark, sf_dir, "documents"))
     return packed.select(
         "doc_id", "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "sequence_id", "offset"

@@ -188,5 +188,6 @@ def tail_probability(text: Column, model: OrdinalModel, keep_grade: int = 1) ->
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected grade of every document and whether it stays; fitted on the graded rows of the same table."""
     documents = common.table(spark, sf_dir, "documents")
     return classify(documents, fit_grades(documents, common.table(spark, sf_dir, "labels")))

@@ -111,5 +111,6 @@ def apply_rules(documents: DataFrame, forest: Forest, keep_at: float = 0.5) -> D
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the trees' verdict on every document; fitted on the labelled rows of the same table."""
     documents = common.table(spark, sf_dir, "documents")
     return apply_rules(documents, fit_rules(documents, common.table(spark, sf_dir, "labels")))

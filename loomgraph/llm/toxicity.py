@@ -193,6 +193,7 @@ def toxicity_score(text: Column, model: SentenceModel) -> Column:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, learnt from labels that are not held out; a null id is never held out."""
     documents = common.table(spark, sf_dir, "documents")
     model = fit_toxicity(documents, common.table(spark, sf_dir, "labels"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

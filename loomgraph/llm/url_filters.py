@@ -68,6 +68,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", dige
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of RULES on every page's url."""
     return filter_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
 
 

@@ -187,3 +187,53 @@ def test_ordinal_thresholds_rise():
     tails = model.tails(model.weights[3] * x)
     assert (np.diff(tails, axis=1) <= 0).all()
     assert ((tails >= 0.5).sum(axis=1) == grade).mean() > 0.8
+
+
+def plain_toxicity(text, model):
+    """Noisy-or over sentences, from the weights alone: no caches, no arrays, no token pattern."""
+    miss = 1.0
+    for sentence in re.split(r"[.!?\n]", (text or "").lower()):
+        words = [w for w in re.split(r"[\W_]+", sentence) if w]
+        if not words:
+            continue
+        z = model.bias
+        for w in words:
+            parts = {f"w{w}", f"s{w[-4:]}"} | {f"p{w[:n]}" for n in (3, 4, 5, 6) if len(w) >= n}
+            z += sum(model.weights[zlib.crc32(p.encode()) % 2**toxicity.BITS] for p in parts)
+        miss *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - miss
+
+
+def test_registered_toxicity_matches_a_plain_scorer(spark):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    model = toxicity.fit_toxicity(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = toxicity.op2_toxicity(spark, SF).collect()
+    assert len(rows) == len(texts) and any(r.predicted for r in rows)
+    for r in rows:
+        assert abs(r.score - plain_toxicity(texts[r.doc_id], model)) < 1e-6
+        assert r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def plain_tail(text, model):
+    """P(grade >= 1) from the weights alone."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    size, score = 2**quality_classifier.BITS, 0.0
+    for w in words:
+        form = w.decode("utf-8", "replace")
+        for pattern, to in ((r"[A-ZÀ-ÖØ-Þ]+", "X"), (r"[^\W\d_X]+", "x"), (r"\d+", "9")):
+            form = re.sub(pattern, to, form)
+        score += (model.weights[zlib.crc32(b"w" + w.lower()) % size] + model.weights[zlib.crc32(b"s" + form[:12].encode()) % size]) / len(words)
+    same = sum(zlib.crc32(b"w" + a.lower()) % size == zlib.crc32(b"w" + b.lower()) % size for a, b in zip(words, words[1:], strict=False))
+    score += model.weights[zlib.crc32(b"doubled") % size] * same / max(len(words), 1)
+    return 1 / (1 + np.exp(-(score - model.theta[0])))
+
+
+def test_registered_classifier_matches_a_plain_scorer(spark):
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    model = quality_classifier.fit_grades(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = quality_classifier.op10_quality_classifier(spark, SF).collect()
+    assert len(rows) == len(texts) and {r.kept for r in rows} == {True, False}
+    for r in rows:
+        assert abs(r.tail_probability - plain_tail(texts[r.doc_id], model)) < 1e-6 and r.kept == (r.tail_probability >= 0.5)
