@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +81,14 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back(spark: SparkSession) -> None:
+    """Before a fit on the driver, which has little room beside the JVM: return what Arrow and the JVM hold of tables that
+    are gone, with the shuffles and broadcasts of finished queries."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def as_text(value) -> str:
     return value if isinstance(value, str) else ""
 

@@ -139,7 +139,10 @@ def fit_grades(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
         return fit_ordinal(np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, int), 3)
     ids, vals = got["ids"].combine_chunks(), got["vals"].combine_chunks()
     row = np.repeat(np.arange(len(got), dtype=np.int32), ids.value_lengths().to_numpy(zero_copy_only=False))
-    return fit_ordinal(row, ids.flatten().to_numpy(), vals.flatten().to_numpy(), got["grade"].to_numpy().astype(np.int64), 3)
+    parts = row, ids.flatten().to_numpy().copy(), vals.flatten().to_numpy().copy(), got["grade"].to_numpy().astype(np.int64)
+    del got, ids, vals
+    common.give_back(documents.sparkSession)
+    return fit_ordinal(*parts, 3)
 
 
 def classify(documents: DataFrame, model: OrdinalModel, keep_grade: int = 1, keep_at: float = 0.5) -> DataFrame:

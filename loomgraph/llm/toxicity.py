@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 import zlib
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,10 +77,13 @@ def fit_noisy_or(
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return SentenceModel(w, -8.0)
-    made = [word_features(t, bits) for t in vocabulary]
-    of_word = np.repeat(np.arange(len(made), dtype=np.int32), [len(f) for f in made])
-    feature = np.fromiter((f for fs in made for f in fs), np.int32, len(of_word))
-    del made
+    # into flat arrays word by word: lists of all words' features would take most of the driver's memory
+    flat, sizes = array("i"), np.empty(len(vocabulary), np.int32)
+    for i, t in enumerate(vocabulary):
+        found = word_features(t, bits)
+        flat.extend(found)
+        sizes[i] = len(found)
+    of_word, feature = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes), np.frombuffer(flat, np.int32)
     both, sent = np.unique(document.astype(np.int64) << 32 | sentence, return_inverse=True)
     sent = sent.astype(np.int32)
     doc_of = (both >> 32).astype(np.int32)
@@ -135,9 +139,12 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_RO
     words, sents = got["words"].combine_chunks(), got["sents"].combine_chunks()
     coded = words.flatten().dictionary_encode()
     size = words.value_lengths().to_numpy(zero_copy_only=False)
-    return fit_noisy_or(
-        coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False),
-        np.repeat(np.arange(len(got), dtype=np.int32), size), sents.flatten().to_numpy(zero_copy_only=False), got["y"].to_numpy())
+    parts = (
+        coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).copy(), np.repeat(np.arange(len(got), dtype=np.int32), size),
+        sents.flatten().to_numpy(zero_copy_only=False).copy(), got["y"].to_numpy())
+    del got, words, sents, coded
+    common.give_back(documents.sparkSession)
+    return fit_noisy_or(*parts)
 
 
 def offending(text: str, scorer: Scorer, at_least: float) -> list[tuple[int, int, float]]:
