@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.names import name_match
+from loomgraph.operators.ranking import placed
 from loomgraph.sources.snapshots import stored
 
 
@@ -52,8 +53,9 @@ def precision_recall(predicted: DataFrame, gold: DataFrame, group: str) -> DataF
 
 def spearman(rows: DataFrame, group: str, a: str, b: str, tie: str) -> DataFrame:
     """Rank correlation a group by the difference formula on ordinal ranks, ties broken by a key; 0 under two rows."""
-    ranked = rows.select(
-        group, F.row_number().over(Window.partitionBy(group).orderBy(a, tie)).alias("ra"), F.row_number().over(Window.partitionBy(group).orderBy(b, tie)).alias("rb"))
+    points = rows.select(group, a, b, tie)
+    first = placed(points, [group], [F.col(a), F.col(tie)], "ra")
+    ranked = placed(first, [group], [F.col(b), F.col(tie)], "rb")
     d, n = (F.col("ra") - F.col("rb")).cast("long"), F.count("*").cast("double")
     return ranked.groupBy(group).agg(
         F.count("*").alias("n"), F.when(n < 2, 0.0).otherwise(F.round(1 - 6 * F.sum(d * d) / F.nullif(n * (n * n - 1), F.lit(0.0)), 6)).alias("rho"))

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import assembly, hierarchies, linkers, named, nominate, regions, reports, resolution, review, states, tables, validate
+from loomgraph.plans import assembly, hierarchies, linkers, named, nominate, recovery, regions, reports, resolution, review, states, tables, validate
 from loomgraph.plans.oracle import on_graph
 from loomgraph.sources.projection import project
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-GROUPS = (named, validate, nominate, reports, tables, linkers, assembly, review, regions, hierarchies, states, resolution)
+GROUPS = (named, validate, nominate, reports, tables, linkers, assembly, review, regions, hierarchies, states, resolution, recovery)
 
 
 def entries() -> dict:

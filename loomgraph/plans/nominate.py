@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import tiers as T
 from loomgraph.operators import paths as P
+from loomgraph.operators.ranking import placed
 from loomgraph.plans.registry import Registry
 from loomgraph.sources.projection import Graph, active
 
@@ -91,6 +92,11 @@ def ranked(g: Graph, novel_only: bool = True, masked: DataFrame | None = None, r
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("disease_id").orderBy(*nomination_order())))
 
 
+def ranked_whole(g: Graph) -> DataFrame:
+    """All cards with their ranks, known treatments among them: for what looks past the first few of a disease."""
+    return placed(cards(g), ["disease_id"], nomination_order(), "rank")
+
+
 @entry("tb01_nominations", NOMINATE_SQL + """
 SELECT disease, rank, inchikey, historical_path_count, unique_sources, unique_maladies, forward_path_count, unique_targets, has_loop_closure,
   forward_bucket_rank, forward_max_score, round(CASE WHEN has_loop_closure THEN 1000 ELSE 0 END + 100 * forward_bucket_rank + 10 * unique_sources + forward_max_score, 6) AS composite_score

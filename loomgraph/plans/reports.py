@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import names
 from loomgraph.operators import dml, metrics
 from loomgraph.operators import paths as P
+from loomgraph.operators.ranking import placed
 from loomgraph.plans import nominate, validate
 from loomgraph.plans.nominate import NOMINATE_SQL
 from loomgraph.plans.registry import Registry
@@ -112,7 +113,7 @@ SELECT gold.disease, count(*) AS gold, count(*) FILTER (o.rank <= 20) AS hits, r
 FROM gold JOIN open o ON o.compound_id = gold.src AND o.disease_id = gold.dst GROUP BY gold.disease""")
 def recall_at_k(g: Graph, k: int = 20) -> DataFrame:
     """Known treatments among the first k cards of each disease when nothing is masked."""
-    hits = nominate.ranked(g, novel_only=False).where("is_known")
+    hits = nominate.ranked_whole(g).where("is_known")
     return hits.groupBy("disease").agg(
         F.count("*").alias("gold"), F.count_if(F.col("rank") <= k).alias("hits"), F.round(F.count_if(F.col("rank") <= k) / F.count("*"), 6).alias("recall"), F.min("rank").alias("first_rank"))
 
@@ -121,9 +122,9 @@ def recall_at_k(g: Graph, k: int = 20) -> DataFrame:
 SELECT disease, inchikey, row_number() OVER (PARTITION BY disease ORDER BY rank) AS new_rank FROM (SELECT *, row_number() OVER (PARTITION BY disease_id, substr(inchikey, 1, 14) ORDER BY rank) AS nth FROM open) WHERE nth = 1""")
 def planar_dedup(g: Graph) -> DataFrame:
     """The best card of each planar key, ranked anew."""
-    rows = nominate.ranked(g, novel_only=False).withColumn("planar", F.substring("inchikey", 1, 14))
+    rows = nominate.ranked_whole(g).withColumn("planar", F.substring("inchikey", 1, 14))
     best = rows.groupBy("disease", "planar").agg(F.min(F.struct("rank", "inchikey")).alias("b")).select("disease", "b.rank", "b.inchikey")
-    return best.withColumn("new_rank", F.row_number().over(Window.partitionBy("disease").orderBy("rank"))).select("disease", "inchikey", "new_rank")
+    return placed(best, ["disease"], [F.col("rank")], "new_rank").select("disease", "inchikey", "new_rank")
 
 
 @entry("ev13_perturbed_edges", """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import tiers as T
 from loomgraph.operators import metrics
 from loomgraph.operators import paths as P
+from loomgraph.operators.ranking import placed
 from loomgraph.plans import validate
 from loomgraph.plans.linkers import STRATA_SQL, stratified_claims
 from loomgraph.plans.registry import Registry
@@ -151,14 +152,19 @@ LEAD_SQL = OPINION_SQL + """
 """
 
 
-def leads(g: Graph) -> DataFrame:
+def opinions_of(g: Graph) -> DataFrame:
+    """Opinions on claims, written once for plans that read them for several ends."""
+    return stored(reviewed(g).select("source", "malady", "skipped", "plausibility"), "opinions")
+
+
+def leads(g: Graph, opinions: DataFrame | None = None) -> DataFrame:
     """The best offer of each compound for a malady: by a reviewer (0.5 to 1), by a path (0.25 to 0.5), and only where
     neither names it by its number of targets (0.25 at most)."""
     tops = validate.top_paths(g)
     closed = F.coalesce(F.col("reached_disease") == F.col("primary_disease"), F.lit(False))
     first = validate.anchors(g).select("source", "malady", "primary_disease")
     tops = tops.join(first, ["source", "malady"]).select("source", "malady", F.col("inchikey").alias("lead"), closed.alias("closed"), "path_score", "target_id", "reached_disease")
-    opinions = stored(reviewed(g).select("source", "malady", "skipped", "plausibility"), "opinions")  # read for two kinds of offers
+    opinions = opinions_of(g) if opinions is None else opinions  # read for two kinds of offers
     critic = tops.where("target_id IS NOT NULL AND reached_disease IS NOT NULL").join(opinions.where("NOT skipped"), ["source", "malady"]).select(
         "malady", "lead", "source", F.lit(0).alias("way"), (0.5 + 0.5 * F.col("plausibility")).alias("score"))
     bonus = F.when(F.col("closed"), 0.05).otherwise(0.0)
@@ -184,7 +190,7 @@ SELECT malady, source, best, row_number() OVER (PARTITION BY malady ORDER BY bes
 def ranked_sources(g: Graph) -> DataFrame:
     best = leads(g).groupBy("malady", "source").agg(F.max("score").alias("best"))
     rows = P.claims(g).select("malady", "source").join(best, ["malady", "source"], "left").fillna(0.0, ["best"])
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("malady").orderBy(F.desc("best"), "source")))
+    return placed(rows, ["malady"], [F.desc("best"), F.col("source")])
 
 
 @entry("ev06_08_recovery_rows", LEAD_SQL + """
@@ -200,8 +206,7 @@ def recovery_rows(g: Graph, k: int = 10) -> DataFrame:
     how far scores lie from the truth."""
     found = leads(g)
     gold = P.with_compound(g, P.mapped(g).join(P.edge(g.known, "compound_id", "disease_id"), "disease_id"), lead="inchikey").select("malady", "lead").distinct().withColumn("known", F.lit(1))
-    place = F.row_number().over(Window.partitionBy("malady").orderBy(F.desc("score"), "lead"))
-    rows = found.withColumn("place", place).join(gold, ["malady", "lead"], "left")
+    rows = placed(found, ["malady"], [F.desc("score"), F.col("lead")]).join(gold, ["malady", "lead"], "left")
     total = gold.groupBy("malady").agg(F.count("*").alias("n_gold"))
     miss = F.pow(F.col("score") - F.coalesce("known", F.lit(0)), 2)
     out = rows.groupBy("malady").agg(
