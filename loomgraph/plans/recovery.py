@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators import checks
 from loomgraph.operators import paths as P
 from loomgraph.operators import recovery as R
 from loomgraph.operators.ranking import placed
-from loomgraph.plans import review
+from loomgraph.plans import review, validate
 from loomgraph.plans.registry import Registry
-from loomgraph.plans.review import LEAD_SQL
+from loomgraph.plans.review import CASE_SQL, LADDER_SQL, LEAD_SQL
 from loomgraph.sources.projection import Graph, active
 from loomgraph.sources.snapshots import stored
 
@@ -103,3 +104,40 @@ def region_rows(g: Graph) -> DataFrame:
     rows = R.region_rows(regions, named, predicted, gold, others, [F.desc("score"), F.col("compound"), F.col("source")], ARMS)
     rows = rows.withColumn("plausibility_delta", F.round("kg_plausibility", 6) - F.round("base_mean_score", 6)).drop("score_delta")
     return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+NUMBER_SQL = "CASE substr(h, {i}, 1) WHEN 'a' THEN '1.7' WHEN 'b' THEN 'n/a' ELSE '0.' || (strpos('0123456789cdef', substr(h, {i}, 1)) % 10) END"
+FAIL_SQL = "CASE TRY_CAST({f} AS double) IS NULL WHEN true THEN '{f}=' || {f} || ' not a number' ELSE CASE WHEN TRY_CAST({f} AS double) NOT BETWEEN 0 AND 1 THEN '{f}=' || {f} || ' out of [0,1]' END END"
+
+
+@entry("ev17_all_checks", CASE_SQL + f"""
+, topc AS (SELECT source, malady, inchikey FROM (SELECT *, row_number() OVER (PARTITION BY source_id, malady ORDER BY (NOT (has_target AND has_disease)), (NOT loop_closed), rank DESC, path_score DESC,
+    inchikey, target_id NULLS FIRST, reached_disease NULLS FIRST) AS pos FROM claim_paths WHERE inchikey IS NOT NULL) WHERE pos <= 5)
+, bad AS (SELECT source, malady, count(*) AS n FROM topc WHERE substr(md5(inchikey), 1, 1) < '4' GROUP BY ALL)
+, answers AS (SELECT c.*, {NUMBER_SQL.format(i=5)} AS biological_plausibility, {NUMBER_SQL.format(i=6)} AS evidence_coherence, substr(h, 7, 1) < '2' AS no_concerns, substr(h, 8, 1) = 'f' AS no_review, substr(h, 9, 1) < '4' AS agrees,
+    CASE WHEN condition = 'kg_critic' THEN coalesce(b.n, 0) ELSE 0 END AS unknown, {LADDER_SQL.format('opinion')} - {LADDER_SQL.format('pass1')} AS step FROM cases c LEFT JOIN bad b USING (source, malady))
+, failed AS (SELECT *, concat_ws('; ', {FAIL_SQL.format(f='biological_plausibility')}, {FAIL_SQL.format(f='evidence_coherence')}) AS range_fails FROM answers)
+SELECT case_id, NOT (no_concerns OR no_review) AS schema_ok, concat_ws(',', CASE WHEN no_concerns THEN 'concerns' END, CASE WHEN no_review THEN 'requires_human_review' END) AS missing, range_fails = '' AS ranges_ok, range_fails,
+  unknown = 0 AS citations_ok, unknown, NOT (contains(lower(rationale), 'loop closes') AND paths_loop_closed = 0) AS loop_ok, NOT ((stated <> step AND stated <> 0) OR (agrees AND step <> 0)) AS delta_ok FROM failed""")
+def all_checks(g: Graph) -> DataFrame:
+    """Every check of graded cases' answers; what an answer says that no plan derives comes from the digest of its claim."""
+    def number(i: int):
+        d = review.digit(F.col("h"), i)
+        return F.when(d == "a", "1.7").when(d == "b", "n/a").otherwise(F.concat(F.lit("0."), F.pmod(F.instr(F.lit("0123456789cdef"), d), F.lit(10)).cast("string")))
+
+    cases = stored(review.cases(g), "cases")
+    tops = stored(validate.top_paths(g).join(cases.select("source", "malady").distinct(), ["source", "malady"], "left_semi").select(
+        "source", "malady", "pos", "inchikey", "target_id", "reached_disease"), "shown")
+    wrong = F.substring(F.md5(F.col("inchikey").cast("binary")), 1, 1) < "4"
+    said = F.when(wrong, F.concat("inchikey", F.lit("x"))).otherwise(F.col("inchikey"))
+    evidence = tops.groupBy("source", "malady").agg(F.collect_list(F.struct(said.alias("compound"), F.col("target_id").alias("target"), "reached_disease")).alias("key_evidence"))
+    h = F.col("h")
+    answers = cases.join(evidence, ["source", "malady"], "left").select(
+        "case_id", "pass1", "paths_loop_closed", (F.col("condition") == "kg_critic").alias("has_payload"), F.col("opinion").alias("verdict"),
+        number(5).alias("biological_plausibility"), number(6).alias("evidence_coherence"),
+        F.coalesce("key_evidence", F.array().cast("array<struct<compound:string,target:string,reached_disease:string>>")).alias("key_evidence"),
+        F.when(review.digit(h, 7) >= "2", F.array(F.lit("by rule"))).alias("concerns"), "rationale", F.when(review.digit(h, 8) != "f", review.digit(h, 8) < "8").alias("requires_human_review"),
+        F.col("stated").alias("verdict_delta"), (review.digit(h, 9) < "4").alias("agrees_with_pass1"))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for c, kind in (("inchikey", "compound"), ("target_id", "target"), ("reached_disease", "disease"))])
+    shown = cases.select("case_id", "source", "malady").join(tops, ["source", "malady"]).select("case_id", F.inline(kinds))
+    return checks.checked(answers, shown)

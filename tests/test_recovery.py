@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import checks
 from loomgraph.operators import recovery as R
 from loomgraph.operators.ranking import placed
 
@@ -71,3 +72,29 @@ def test_measures_are_those_of_plain_lists(spark):
     assert (r.n_gold_sources, r.n_gold_compounds, r.n_all_compounds, r.n_distractor_compounds) == (2, 4, 5, 1)
     # a, c and d are named by both; best scores 0.9, 0.5, 0.7 beside 0.95, 0.4, 0.2
     assert (r.n_shared, r.spearman_shared) == (3, 0.5)
+
+
+def test_checks_of_answers(spark):
+    schema = (
+        "case_id string, pass1 string, paths_loop_closed long, has_payload boolean, verdict string, biological_plausibility string, evidence_coherence string, "
+        "key_evidence array<struct<compound:string,target:string,reached_disease:string>>, concerns array<string>, rationale string, requires_human_review boolean, "
+        "verdict_delta int, agrees_with_pass1 boolean")
+    sound = ("sound", "unsupported", 0, True, "unsupported", "0", "1.0", [(" A ", "t", None)], [], "No loop closed here.", False, None, True)
+    rows = [
+        sound, ("fields", *sound[1:8], None, None, *sound[10:]), ("ranges", *sound[1:5], "1.01", "high", *sound[7:]), ("nan", *sound[1:5], "NaN", None, *sound[7:]),
+        ("cites", *sound[1:7], [("a", "u", "d"), ("b", "", "D ")], *sound[8:]), ("no payload", *sound[1:3], False, *sound[4:7], [("b", "u", "d")], *sound[8:]),
+        ("loop", *sound[1:9], "The Loop-Closure holds", *sound[10:]), ("loop kept", "unsupported", 2, *sound[3:9], "the loop closes", *sound[10:]),
+        ("step", *sound[1:11], 1, False), ("silent", "unsupported", 0, True, "strong_support", *sound[5:11], 0, False), ("agrees", "unsupported", 0, True, "strong_support", *sound[5:11], 0, True),
+        ("no first", None, 0, True, "strong_support", *sound[5:11], 3, True), ("null lists", *sound[1:7], None, *sound[8:]),
+    ]
+    shown = [(r[0], kind, name) for r in rows if r[0] != "no payload" for kind, name in (("compound", "a"), ("target", "T"), ("disease", "d"))] * 2
+    answers, given = spark.createDataFrame(rows, schema), spark.createDataFrame(shown, "case_id string, kind string, name string")
+    found = {r.case_id: r for r in checks.checked(answers, given).collect()}
+    names = ("schema_ok", "ranges_ok", "citations_ok", "loop_ok", "delta_ok")
+    bad = {c: [n for n in names if not r[n]] for c, r in found.items()}
+    assert bad == {
+        "sound": [], "fields": ["schema_ok"], "ranges": ["ranges_ok"], "nan": ["schema_ok", "ranges_ok"], "cites": ["citations_ok"], "no payload": [], "loop": ["loop_ok"],
+        "loop kept": [], "step": ["delta_ok"], "silent": [], "agrees": ["delta_ok"], "no first": [], "null lists": ["schema_ok"]}
+    assert found["fields"].missing == "concerns,rationale" and found["cites"].unknown == 2
+    assert found["ranges"].range_fails == "biological_plausibility=1.01 out of [0,1]; evidence_coherence=high not a number"
+    assert checks.checked(answers.limit(0), given.limit(0)).count() == 0
