@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 from bisect import bisect_right
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -26,8 +28,18 @@ CACHED = 500_000
 MARKS, LATIN = ".,;:!?", "A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f"
 #: a control character that stands between chunks that are tokenised in a line; chunks that hold it are taken alone
 BETWEEN, IN_A_LINE = "\x01", 64
-#: texts that are tokenised at once, and tasks up to which their counts are broadcast (32 kB each)
-TEXTS_AT_ONCE, BROADCAST_TASKS = 500, 2_000
+#: what TOKENIZER does before its model; other tokenizers get every chunk as it is
+BEFORE_MODEL = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: texts that are tokenised at once, bytes up to which Arrow batches are put together for it, and tasks up to which their
+#: counts are broadcast (32 kB each)
+TEXTS_AT_ONCE, BYTES_AT_ONCE, BROADCAST_TASKS = 1_000, 1 << 23, 2_000
 
 
 class ChunkTokenizer:
@@ -39,38 +51,65 @@ class ChunkTokenizer:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        #: whether Latin words are lower-cased and parted from marks, and else reach the model as they are
+        self.parts = {k: json.loads(self.tokenizer.to_str())[k] for k in BEFORE_MODEL} == BEFORE_MODEL
+        # the same model for words that need no more than to be parted at white space
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
         self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        #: batches that held a chunk since the cache was last made smaller
+        self.used = np.zeros(1, np.int32)
+
+    def _forget(self) -> None:
+        """Keep what more than one batch held since the last time, at most a quarter of the cache, the commonest first."""
+        often = np.flatnonzero(self.used > 1)
+        often = np.sort(often[np.argsort(-self.used[often], kind="stable")[: CACHED // 4]])
+        often = often[often > 0]
+        words, size, flat = list(self.index), self.size[often], self._gather(often)
+        self.clear()
+        self._add([words[i] for i in often.tolist()], size, flat)
 
-    def _learn(self, new: list[str]) -> None:
-        """Put the ids of these chunks into the cache.
+    def _learn(self, words: pa.Array, new: list[str]) -> np.ndarray:
+        """Put the ids of these chunks, given twice, into the cache, and return their entries.
 
         A Latin word with capitals or closing marks is put together from the lower-case word and the marks, which
-        the pre-tokenizer parts as well; everything else goes through the tokenizer as it is.
+        the pre-tokenizer parts as well; lower-case words go to the model at once, everything else through the
+        tokenizer as it is.
         """
-        words = pa.array(new, pa.large_string())
+        if not self.parts:
+            self._encode(new)
+            return np.arange(len(self.index) - len(new), len(self.index))
         parted = pc.extract_regex(words, f"^(?P<core>[{LATIN}]+)(?P<marks>[{MARKS}]*)$")
         core = pc.utf8_lower(pc.struct_field(parted, "core"))
-        whole = pc.fill_null(pc.equal(core, words), True)
-        built = pc.invert(whole)
-        cores, marks = core.filter(built).to_pylist(), pc.struct_field(parted, "marks").filter(built).to_pylist()
-        self._encode(list(set(words.filter(whole).to_pylist()).union(cores, marks).difference(self.index)))
-        known = self.index.__getitem__
-        at = np.stack([np.fromiter(map(known, part), np.int64, len(part)) for part in (cores, marks)], axis=1)
+        built, odd = pc.fill_null(pc.not_equal(core, words), False), pc.is_null(core)
+        cores, marks = core.filter(built).dictionary_encode(), pc.struct_field(parted, "marks").filter(built).dictionary_encode()
+        core_words, mark_words = cores.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        self._encode([*words.filter(odd).to_pylist(), *(m for m in set(mark_words).difference(self.index))])
+        whole = pc.invert(pc.or_(built, odd))
+        self._encode(list(set(words.filter(whole).to_pylist()).union(core_words).difference(self.index)), self.plain)
+        at = np.stack([self._entries(core_words)[cores.indices.to_numpy()], self._entries(mark_words)[marks.indices.to_numpy()]], axis=1)
+        self.used[at] += 1
+        made = built.to_numpy(zero_copy_only=False)
+        entries = np.empty(len(new), np.int64)
+        entries[made] = np.arange(len(self.index), len(self.index) + len(at))
         self._add(words.filter(built).to_pylist(), self.size[at].sum(axis=1), self._gather(at.ravel()))
+        entries[~made] = self._entries([new[i] for i in np.flatnonzero(~made).tolist()])
+        return entries
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, words: list[str], tokenizer=None) -> None:
         """Tokenise chunks, many to a line with a mark between them whose id no other chunk gives."""
         words = [*(odd := [w for w in words if BETWEEN in w]), *(plain := [w for w in words if BETWEEN not in w])]
         lines = odd + [f" {BETWEEN} ".join(plain[i : i + IN_A_LINE]) for i in range(0, len(plain), IN_A_LINE)]
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        made = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(lines, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(made), np.uint32)
         end = np.cumsum([len(m) for m in made], dtype=np.int64)
         first = int(end[len(odd) - 1]) if odd else 0
@@ -85,6 +124,11 @@ class ChunkTokenizer:
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int32)])
+
+    def _entries(self, words: list[str]) -> np.ndarray:
+        """Cache entries of chunks; -1 for those it lacks."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """Ids of these cache entries, one after the other."""
@@ -99,13 +143,12 @@ class ChunkTokenizer:
         numbered = chunks.flatten().dictionary_encode()
         words = numbered.dictionary.to_pylist()
         if len(self.index) > CACHED:
-            self.clear()
-        known = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+            self._forget()
+        known = self._entries(words)
         missing = np.flatnonzero(known < 0)
         if len(missing):
-            new = [words[i] for i in missing.tolist()]
-            self._learn(new)
-            known[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+            known[missing] = self._learn(numbered.dictionary.take(pa.array(missing)), [words[i] for i in missing.tolist()])
+        self.used[known] += 1
         at = known[numbered.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
         before = np.concatenate([[0], np.cumsum(self.size[at])])
         end = np.cumsum(count)
@@ -135,13 +178,25 @@ def numbered_within(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return out
 
 
+def put_together(batches: Iterable[pa.RecordBatch], rows: int, size: int) -> Iterable[pa.RecordBatch]:
+    """Batches of up to `rows` rows and `size` bytes from smaller ones; larger ones pass as they are."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if held and (sum(map(len, held)) + len(b) > rows or sum(x.nbytes for x in held) + b.nbytes > size):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def cut(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most `capacity` tokens: doc_id, piece, start, length, token_ids (little-endian uint32), the task
     that made them, and their rank among the task's earlier pieces of the same length."""
 
     def make(batches):
         tokenizer, task, seen = tokenizer_of(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for whole in batches:
+        for whole in put_together(batches, TEXTS_AT_ONCE, BYTES_AT_ONCE):
             for lo in range(0, len(whole), TEXTS_AT_ONCE):
                 b = whole.slice(lo, TEXTS_AT_ONCE)
                 ids, size = tokenizer.batch(b.column("text").fill_null(""))

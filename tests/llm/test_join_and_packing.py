@@ -1,6 +1,8 @@
 import itertools
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -135,6 +137,45 @@ def test_chunked_ids_equal_whole_texts():
     assert [len(x) for x in tokenizer.batch(pa.array([], pa.string()))] == [0, 0]
 
 
+def ids_of(tokenizer, texts):
+    ids, size = tokenizer.batch(pa.array(texts))
+    return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+
+
+def test_common_chunks_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 150)
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tokenizer, plain, seen = packing.ChunkTokenizer(path), Tokenizer.from_file(path), []
+    encode = tokenizer._encode
+    monkeypatch.setattr(tokenizer, "_encode", lambda words, *more: seen.extend(words) or encode(words, *more))
+    for i in range(20):
+        rare = "".join(f" {chr(97 + i)}{chr(97 + k // 26)}{chr(97 + k % 26)}q" for k in range(50))
+        texts = [f"common Words, 42 ***{rare}", "Common words! <|endoftext|>"]
+        assert ids_of(tokenizer, texts) == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        assert len(tokenizer.index) < 300
+    # before, a full cache was emptied, and they were tokenised again and again
+    assert [seen.count(w) for w in ("common", "words", "42", "***", ",")] == [1] * 5
+
+
+def test_words_are_put_together_only_for_the_known_tokenizer(tmp_path):
+    config = json.loads(Path(public_tokenizers.path(packing.TOKENIZER)).read_text())
+    config["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(config))
+    texts = ["Cased words, CASED wOrds.", "cased 12 É! é", ""]
+    whole = [e.ids for e in Tokenizer.from_file(f"{tmp_path}/cased.json").encode_batch(texts, add_special_tokens=False)]
+    assert whole != [e.ids for e in Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)).encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(packing.ChunkTokenizer(f"{tmp_path}/cased.json"), texts) == whole
+
+
+def test_batches_are_put_together_within_bounds():
+    sizes = [(3, 1), (0, 1), (4, 2), (5, 1), (1, 900), (2, 1), (20, 1), (1, 1)]
+    batches = [pa.record_batch([pa.array(["x" * size] * rows, pa.string())], ["text"]) for rows, size in sizes]
+    made = list(packing.put_together(iter(batches), 8, 500))
+    assert [len(b) for b in made] == [7, 5, 1, 2, 20, 1]
+    assert [t for b in made for t in b["text"].to_pylist()] == [t for b in batches for t in b["text"].to_pylist()]
+    assert list(packing.put_together(iter([]), 8, 500)) == []
+
+
 def test_counts_by_shuffle_give_the_same_places(spark, monkeypatch):
     docs = spark.range(300).selectExpr("id AS doc_id", "repeat('some words here ', cast(id % 70 AS int) * 40) AS text").repartition(7)
     docs = common.materialize(docs, "docs")
