@@ -1,5 +1,6 @@
 import random
 import re
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -230,6 +231,49 @@ def test_pigeonhole_finds_all_codes_within_the_radius():
         assert list(map(tuple, np.argwhere(distance <= radius))) == list(zip(*index.within(code[:40], radius), strict=True))
 
 
+def test_probes_take_values_in_the_order_of_their_places():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 20))
+    codes = neighbours.fit_codes(x, 5, rotations=2)  # 40 bits: the third substring is filled up
+    assert sorted(codes.flips) == list(range(1 << 16)) and codes.of(x).shape == (300, 3)
+    values, code = replace(codes, probes=1 << 16).values(x[:4]), codes.of(x)
+    for i in range(4):
+        first = [min(int(np.flatnonzero(values[i, t] == code[j, t])[0]) for t in range(3)) for j in range(40)]
+        assert first == codes.place(np.repeat(x[i : i + 1], 40, axis=0), x[:40]).tolist() and first[i] == 0
+
+
+def test_tables_of_the_index_prune_and_keep_true_neighbours():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    codes = neighbours.fit_codes(x[:6000], 20)
+    scores = x[6000:6200] @ x.T
+    scores[np.arange(200), 6000 + np.arange(200)] = -2
+    near = np.argsort(-scores, axis=1)[:, :20]
+    asked = np.repeat(x[6000:6200], 20, axis=0)
+    among_all = codes.tuned(codes.place(asked, x[near.ravel()]), neighbours._distance(codes, asked, x[near.ravel()]), 0.97)
+    assert among_all.probes < codes.probes and among_all.radius < codes.radius  # of more rows the nearest lie nearer
+    index = neighbours.Index(np.arange(20_000), x, codes.of(x))
+    q = np.arange(40)
+    values, word = among_all.values(x[q]), codes.of(x[q]).view("<u8")
+    passed = sum(len(index.near(values[i], word[i], 256)) for i in q)  # a radius of all bits: what the tables alone give
+    scored = sum(len(index.near(values[i], word[i], among_all.radius)) for i in q)
+    assert passed < 0.3 * 40 * 20_000 and scored < 0.08 * 40 * 20_000
+    found = {(a, b) for a, b, _ in index.search(q, x[q], among_all, 20)}
+    best = np.argsort(-(x[q] @ x.T), axis=1)[:, 1:21]
+    assert sum((i, int(j)) in found for i in q for j in best[i]) >= 0.94 * 800
+
+
+def test_search_goes_on_where_probes_give_too_few():
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((60, 32))
+    codes = replace(neighbours.fit_codes(x, 5), probes=1, radius=0)
+    index = neighbours.Index(np.arange(60), x, codes.of(x))
+    assert [a for a, _, _ in index.search(np.arange(3), x[:3], codes, 10)] == [0] * 10 + [1] * 10 + [2] * 10
+    got = index.search(np.arange(1), x[:1], codes, 100)
+    assert [b for _, b, _ in got] == sorted(range(1, 60), key=lambda j: (-(x[j] * x[0]).sum(), j))
+
+
 @pytest.fixture(scope="module")
 def codecs():
     path = public_tokenizers.path(sentencepiece_codec.MODEL)
