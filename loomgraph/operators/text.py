@@ -15,6 +15,9 @@ from loomgraph.functions.names import collapse
 BREAKS = ("\n\n", "\n", ". ", ", ")
 #: words, and characters of spans under three words, by which spans and texts meet
 ANCHOR_WORDS, ANCHOR_CHARS = 5, 8
+#: Unicode's spaces (Zs), which a second engine trims; between paragraphs stand lines of white space as its \s has it
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BLANK_LINE = r"\n[\t\n\f\r ]*\n"
 
 
 def break_ends(text: str) -> list[np.ndarray]:
@@ -90,11 +93,16 @@ def contained_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.join(pairs, "doc_id").where(F.contains("norm", "span")).select("item_id", "doc_id").distinct()
 
 
-def paragraphs(documents: DataFrame, mark: str = r"\n\s*\n", least: int = 50) -> DataFrame:
+def pieces(text: Column, mark: str, least: int) -> Column:
+    """The pieces of a text between marks, without the spaces around them, that are longer than `least` characters."""
+    # F.trim itself would take the place that transform passes for the characters to trim
+    return F.filter(F.transform(F.split(text, mark), lambda p: F.trim(p, F.lit(SPACES))), lambda p: F.length(p) > least)
+
+
+def paragraphs(documents: DataFrame, mark: str = BLANK_LINE, least: int = 50) -> DataFrame:
     """(doc_id, paragraph, text) of pieces between blank lines longer than `least` characters; numbers count kept ones
     from 0."""
-    parts = F.filter(F.transform(F.split("text", mark), F.trim), lambda p: F.length(p) > least)
-    return documents.select("doc_id", F.posexplode(parts).alias("paragraph", "text"))
+    return documents.select("doc_id", F.posexplode(pieces(F.col("text"), mark, least)).alias("paragraph", "text"))
 
 
 def _merged(hits: str, around: int) -> Column:

@@ -141,3 +141,12 @@ def test_paragraph_windows(spark):
     got = [(r.doc_id, r["first"], r.text.count("\n\n")) for r in text.paragraph_windows(docs, 2, 2).orderBy("doc_id", "first").collect()]
     assert got == [(1, 0, 1), (1, 2, 1)]
     assert text.paragraph_windows(docs).count() == 6
+
+
+def test_paragraphs_lose_spaces_alone(spark):
+    """Of every piece, whatever its number, the spaces around it go and its digits stay."""
+    body = "x" * 60
+    pieces = [f"00 {body} 0", f" \u00a0{body}1\u3000", f"1{body}\t", f"3 {body}\x0b", body[:50] + " "]
+    docs = spark.createDataFrame([(1, "\n \t\n".join(pieces)), (2, f"{body}\n\x0b\n{body}"), (3, None)], "doc_id long, text string")
+    got = [tuple(r) for r in text.paragraphs(docs).orderBy("doc_id", "paragraph").collect()]
+    assert got == [(1, i, p.strip(" \u00a0\u3000")) for i, p in enumerate(pieces[:4])] + [(2, 0, f"{body}\n\x0b\n{body}")]
