@@ -151,11 +151,10 @@ SEED_HEAD, SPAN_HEAD, CLAIM_HEAD = "--- source.evidence_span (Phase 1 anchor) --
 NO_SPAN, NO_CLAIM = "<no anchor>", "<no treats span>"
 
 
-def paragraph_windows(documents: DataFrame, size: int = 1, stride: int = 1, mark: str = r"\n\s*\n", least: int = 50) -> DataFrame:
+def paragraph_windows(documents: DataFrame, size: int = 1, stride: int = 1, mark: str = BLANK_LINE, least: int = 50) -> DataFrame:
     """(doc_id, first, text) of every `size` paragraphs of a document that follow each other, a window every `stride`
     paragraphs, joined by blank lines.  Within a document's own row; a document with fewer paragraphs has no window."""
-    parts = F.filter(F.transform(F.split("text", mark), F.trim), lambda p: F.length(p) > least)
-    rows = documents.select("doc_id", parts.alias("parts")).where(F.size("parts") >= size)
+    rows = documents.select("doc_id", pieces(F.col("text"), mark, least).alias("parts")).where(F.size("parts") >= size)
     starts = F.sequence(F.lit(0), F.size("parts") - size, F.lit(stride))
     cut = rows.select("doc_id", "parts", F.explode(starts).alias("first"))
     return cut.select("doc_id", "first", F.array_join(F.slice("parts", F.col("first") + 1, F.lit(size)), "\n\n").alias("text"))

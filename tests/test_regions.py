@@ -150,3 +150,11 @@ def test_paragraphs_lose_spaces_alone(spark):
     docs = spark.createDataFrame([(1, "\n \t\n".join(pieces)), (2, f"{body}\n\x0b\n{body}"), (3, None)], "doc_id long, text string")
     got = [tuple(r) for r in text.paragraphs(docs).orderBy("doc_id", "paragraph").collect()]
     assert got == [(1, i, p.strip(" \u00a0\u3000")) for i, p in enumerate(pieces[:4])] + [(2, 0, f"{body}\n\x0b\n{body}")]
+
+
+def test_windows_are_of_trimmed_paragraphs(spark):
+    pieces = [f"00 {'x' * 60} 0", f" {'y' * 60}1 ", f"2\u00a0{'z' * 60}2\u00a0"]
+    docs = spark.createDataFrame([(1, "\n".join(pieces))], "doc_id long, text string")
+    got = [(r["first"], r.text) for r in text.paragraph_windows(docs, 2, 1, mark=r"\n").orderBy("first").collect()]
+    trimmed = [p.strip(" \u00a0") for p in pieces]
+    assert got == [(i, "\n\n".join(trimmed[i:i + 2])) for i in range(2)]
