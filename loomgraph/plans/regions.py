@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import signals as S
 from loomgraph.operators import paths as P
-from loomgraph.operators import text
+from loomgraph.operators import places, text
 from loomgraph.plans.registry import Registry
 from loomgraph.plans.tables import read
 from loomgraph.sources.projection import Graph
@@ -31,22 +31,11 @@ def tagged(paragraphs: DataFrame, keywords: DataFrame) -> DataFrame:
     """(doc_id, paragraph, source): sources (source, keyword) of which a keyword stands in a paragraph as a whole, that is
     between ends of words, case apart; a keyword may be a phrase.  A keyword without a word in it stands nowhere.
 
-    Paragraphs are read as an inverted index: a row for each place of a word that some keyword has.  A phrase is found where
-    the places of its words, each moved back by its place in the phrase, fall together; then its paragraph's text tells
-    whether the same marks stand between them.  A word that is in no keyword meets nothing, so the joins are as large as
-    their hits.
+    Paragraphs are read once, in Arrow batches, and only places of keywords leave a task; a keyword with marks at its ends
+    is looked for in the texts that have what is between them.  A word is of letters, numbers and _.
     """
-    words = lambda c: F.split(F.lower(c), r"(?U)\W+")
-    known = keywords.select("source", F.lower(F.trim("keyword")).alias("keyword")).where("keyword <> ''").distinct()
-    tokens = known.select("keyword").distinct().select("keyword", F.filter(words(F.col("keyword")), lambda w: w != "").alias("tokens"))
-    tokens = tokens.select("keyword", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "word"))
-    places = paragraphs.select("doc_id", "paragraph", F.posexplode(words(F.col("text"))).alias("at", "word")).where("word <> ''")
-    met = places.join(tokens, "word").select("doc_id", "paragraph", "keyword", "size", (F.col("at") - F.col("place")).alias("start"))
-    whole = met.groupBy("doc_id", "paragraph", "keyword", "size", "start").count().where("count = size").select("doc_id", "paragraph", "keyword").distinct()
-    bare = F.col("keyword").rlike(r"(?U)^\w+$")
-    pattern = F.concat(F.lit(r"(?iU)\b\Q"), "keyword", F.lit(r"\E\b"))
-    sure = whole.where(~bare).join(paragraphs.select("doc_id", "paragraph", "text"), ["doc_id", "paragraph"]).where(F.rlike("text", pattern)).select(*whole.columns)
-    return whole.where(bare).unionByName(sure).join(known, "keyword").select("doc_id", "paragraph", "source").distinct()
+    known = keywords.select("source", places.lower(F.trim("keyword")).alias("keyword")).where("keyword <> ''").distinct()
+    return places.words_found(paragraphs.select("doc_id", "paragraph", "text"), known).select("doc_id", "paragraph", "source").distinct()
 
 
 def regions_of(windows: DataFrame, tags: DataFrame, size: int = 1, signals: S.Signals = S.Signals(), least: int = REGION_CHARS,
