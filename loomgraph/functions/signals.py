@@ -32,6 +32,7 @@ NOMINATIVES = {
     "anemarrhenae": "anemarrhena", "artemisiae": "artemisia",
 }
 ENDINGS, LEAST_LETTERS = ("i", "ae", "is"), 4
+LEAST_ENTRY = 2
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def count_of(text: Column, alternatives: str) -> Column:
 
 
 def is_entry(text: Column, signals: Signals = Signals()) -> Column:
-    return count_of(text, signals.entry) >= 2
+    return count_of(text, signals.entry) >= LEAST_ENTRY
 
 
 def is_treatment(text: Column, signals: Signals = Signals()) -> Column:
@@ -57,8 +58,11 @@ def is_treatment(text: Column, signals: Signals = Signals()) -> Column:
 
 def is_compatibility_only(text: Column, signals: Signals = Signals()) -> Column:
     """Remarks on compatibility with fewer than half as many on treatment (none, for one or two remarks)."""
-    n = count_of(text, signals.compatibility)
-    return (n >= 1) & (count_of(text, signals.therapy) < F.greatest(F.lit(1), F.floor(n / 2)))
+    return outnumbered(count_of(text, signals.compatibility), count_of(text, signals.therapy))
+
+
+def outnumbered(compatibility: Column, therapy: Column) -> Column:
+    return (compatibility >= 1) & (therapy < F.greatest(F.lit(1), F.floor(compatibility / 2)))
 
 
 def search_keywords(name: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 SLOT_BITS = 20
 #: characters that are hashed at once, rows of an Arrow batch, and strings that are sent to all tasks rather than shuffled
-CHARS, ROWS, BROADCAST = 1 << 20, 1000, 1_000_000
+CHARS, ROWS, BROADCAST = 1 << 17, 1000, 1_000_000
 #: widths of windows by which strings without regard to words are found; a string goes by the largest that it fills
 WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 BASE = 0x9E3779B97F4A7C15
@@ -147,6 +147,8 @@ def words_found(texts: DataFrame, phrases: DataFrame) -> DataFrame:
         cores = [re.sub(r"^\W+|\W+$", "", k) for k in keywords]
         return pd.DataFrame({"core": cores, "words": [len(re.findall(r"\w+", c)) for c in cores], "slot": [_slot(hash_of(c)) for c in cores]}).astype({"words": "int32", "slot": "int32"})
 
+    # as one that may differ, or the optimizer would hash each place that is found, too
+    parts = parts.asNondeterministic()
     asked = phrases.select("*", parts("keyword").alias("p")).select(*phrases.columns, "p.*").where("words > 0")
     # small whatever the number of keywords: a few lengths, and 2^20 slots at most
     known = asked.agg(F.collect_set("words").alias("words"), F.collect_set("slot").alias("slots"), F.count("*").alias("n"), F.coalesce(F.max(F.col("core") != F.col("keyword")), F.lit(False)).alias("marks")).head()
@@ -184,7 +186,7 @@ def candidates(texts: DataFrame, spans: DataFrame) -> DataFrame:
         hs = [hash_of(s[:w]) for s, w in zip(asked, widths, strict=True)]
         return pd.DataFrame({"width": widths, "slot": map(_slot, hs), "anchor": map(_signed, hs)}).astype({"width": "int32", "slot": "int32", "anchor": "int64"})
 
-    asked = spans.where("span <> ''").select("item_id", "span", parts("span").alias("p")).select("item_id", "span", "p.*")
+    asked = spans.where("span <> ''").select("item_id", "span", parts.asNondeterministic()("span").alias("p")).select("item_id", "span", "p.*")
     known = asked.agg(F.collect_set("width").alias("widths"), F.collect_set("slot").alias("slots"), F.count("*").alias("n")).head()
 
     def windows(codes):

@@ -43,6 +43,28 @@ def regions_of(windows: DataFrame, tags: DataFrame, size: int = 1, signals: S.Si
     """(doc_id, first, source) of windows (doc_id, first, text) of `size` paragraphs that are long enough, read like entries,
     not like remarks on compatibility alone, and name enough sources, each in enough of their paragraphs."""
     fit = windows.where((F.length("text") >= least) & S.is_entry(F.col("text"), signals) & ~S.is_compatibility_only(F.col("text"), signals)).select("doc_id", "first")
+    return named_enough(fit, tags, size, sources, paragraphs_each)
+
+
+def fit_windows(documents: DataFrame, size: int, mark: str, signals: S.Signals = S.Signals(), least: int = REGION_CHARS) -> DataFrame:
+    """(doc_id, first) of the text.paragraph_windows of `size` paragraphs, one from every paragraph on, that regions_of takes.
+
+    Paragraphs meet at a blank line, which no signal holds, so a window's signals and characters are sums of its
+    paragraphs' and each paragraph is read once, not once a window."""
+    counted = lambda p: F.struct(F.length(p).alias("chars"), *[S.count_of(p, getattr(signals, n)).alias(n) for n in ("entry", "therapy", "compatibility")])
+    rows = documents.select("doc_id", F.transform(text.pieces(F.col("text"), mark, 50), counted).alias("parts"))
+    starts = F.when(F.size("parts") >= size, F.sequence(F.lit(0), F.greatest(F.size("parts") - size, F.lit(0))))
+    # not explode, for which Spark would count all signals a second time to see that there are any
+    rows = rows.select("doc_id", "parts", F.explode_outer(starts).alias("first")).where("first IS NOT NULL")
+    total = lambda n: F.aggregate(F.slice(F.col(f"parts.{n}"), F.col("first") + 1, F.lit(size)), F.lit(0), lambda a, x: a + x).alias(n)
+    sums = rows.select("doc_id", "first", *map(total, ("chars", "entry", "therapy", "compatibility")))
+    only = S.outnumbered(F.col("compatibility"), F.col("therapy"))
+    return sums.where((F.col("chars") + 2 * (size - 1) >= least) & (F.col("entry") >= S.LEAST_ENTRY) & ~only).select("doc_id", "first")
+
+
+def named_enough(fit: DataFrame, tags: DataFrame, size: int, sources: int, paragraphs_each: int = 1) -> DataFrame:
+    """(doc_id, first, source) of windows (doc_id, first) of `size` paragraphs that name enough sources, each in enough of
+    their paragraphs."""
     near = tags.select("doc_id", "source", F.explode(F.sequence(F.col("paragraph") - (size - 1), F.col("paragraph"))).alias("first"))
     named = near.join(fit, ["doc_id", "first"]).groupBy("doc_id", "first", "source").count().where(F.col("count") >= paragraphs_each)
     # one row for each window: as many sources as it names
@@ -188,7 +210,7 @@ def window_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate regions of five lines each, one from every line on."""
     documents = read(spark, sf_dir, "documents")
     tags = tagged(text.paragraphs(documents, r"\n"), keyword_table(spark, sf_dir))
-    found = regions_of(text.paragraph_windows(documents, 5, 1, mark=r"\n"), tags, 5, COMMON)
+    found = named_enough(fit_windows(documents, 5, r"\n", COMMON), tags, 5, REGION_SOURCES)
     return found.groupBy("doc_id", "first").agg(F.count("*").alias("sources"))
 
 

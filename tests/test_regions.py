@@ -158,3 +158,25 @@ def test_windows_are_of_trimmed_paragraphs(spark):
     got = [(r["first"], r.text) for r in text.paragraph_windows(docs, 2, 1, mark=r"\n").orderBy("first").collect()]
     trimmed = [p.strip(" \u00a0") for p in pieces]
     assert got == [(i, "\n\n".join(trimmed[i:i + 2])) for i in range(2)]
+
+
+def test_windows_fit_by_sums_of_their_paragraphs(spark):
+    rng = random.Random(4)
+    words = ["filler", "cough", "averse", "Filler-cough", "prose", "x" * 30]
+    docs = [(i, "\n".join(" ".join(rng.choices(words, k=rng.randint(4, 14))) for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(50, None), (51, "")]
+    own = Signals(entry="filler", therapy="cough", compatibility="averse")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tags = text.paragraphs(df, r"\n").select("doc_id", "paragraph", F.lit("a").alias("source"))
+    expect = regions.regions_of(text.paragraph_windows(df, 3, 1, mark=r"\n"), tags, 3, own, least=300, sources=1)
+    got = regions.fit_windows(df, 3, r"\n", own, 300)
+    assert sorted(map(tuple, got.collect())) == sorted((r.doc_id, r["first"]) for r in expect.collect())
+    assert 10 < got.count() < text.paragraph_windows(df, 3, 1, mark=r"\n").count()
+
+
+def test_keywords_are_hashed_once_and_shuffled_as_hits_only(spark):
+    """Words that are no keyword leave no task: what is shuffled is no larger than the places of keywords."""
+    df = spark.createDataFrame([(i, 0, f"word{i} " * 50 + "alpha") for i in range(20)], "doc_id long, paragraph int, text string")
+    tags = regions.tagged(df, spark.createDataFrame([("a", "alpha"), ("b", "beta gamma")], "source string, keyword string"))
+    assert sorted(tuple(r) for r in tags.collect()) == [(i, 0, "a") for i in range(20)]
+    plan = tags._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "posexplode" not in plan
