@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.names import collapse
+from loomgraph.operators import places
 
 #: marks after which a chunk may end, best first
 BREAKS = ("\n\n", "\n", ". ", ", ")
-#: words, and characters of spans under three words, by which spans and texts meet
-ANCHOR_WORDS, ANCHOR_CHARS = 5, 8
 #: Unicode's spaces (Zs), which a second engine trims; between paragraphs stand lines of white space as its \s has it
 SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 BLANK_LINE = r"\n[\t\n\f\r ]*\n"
@@ -64,33 +63,13 @@ def chunks(documents: DataFrame, size: int = 8000, overlap: int = 200) -> DataFr
 def contained_spans(documents: DataFrame, spans: DataFrame) -> DataFrame:
     """(item_id, doc_id) where the normalised span stands in the normalised text; an empty span stands nowhere.
 
-    A span of three words or more is found by words within it, which are whole words wherever it stands: its second and
-    up to four more; a shorter one by its first characters.  Ids and hashed anchors meet in an equi-join, a row for each
-    distinct window of a text (of all widths, from one pass), and only texts that were hit are fetched and tested.  No text meets a span by scanning.
+    Texts are read in Arrow batches for the first characters of spans, wherever they stand (places.candidates); only texts
+    that have them are fetched and tested.  No text meets a span by scanning.
     """
-    texts = documents.select("doc_id", collapse(F.col("text")).alias("norm"))
-    asked = spans.select("item_id", collapse(F.col("text")).alias("span")).where("span <> ''")
-    words = F.split("span", " ")
-    by_words = F.size(words) >= 3
-    width = F.when(by_words, F.least(F.size(words) - 2, F.lit(ANCHOR_WORDS))).otherwise(F.least(F.length("span"), F.lit(ANCHOR_CHARS)))
-    anchor = F.when(by_words, F.xxhash64(F.slice(words, F.lit(2), width))).otherwise(F.xxhash64(F.substring(F.col("span"), F.lit(1), width)))
-    asked = asked.select("item_id", "span", by_words.alias("by_words"), width.alias("width"), anchor.alias("anchor"))
-    # the few widths that spans have: at most ANCHOR_WORDS of words and ANCHOR_CHARS of characters
-    kinds = asked.select("by_words", "width").distinct().collect()
-    parts = F.col("parts")
-
-    def windows(kind):
-        size = F.size(parts) if kind.by_words else F.length("norm")
-        cut = (lambda i: F.slice(parts, i, F.lit(kind.width))) if kind.by_words else (lambda i: F.substring(F.col("norm"), i, F.lit(kind.width)))
-        return F.when(size >= kind.width, F.transform(F.sequence(F.lit(1), F.greatest(size - (kind.width - 1), F.lit(1))), lambda i: F.xxhash64(cut(i)))).otherwise(F.array().cast("array<bigint>"))
-
-    if not kinds:
-        return asked.select("item_id").join(documents.select("doc_id"), F.lit(False))
-    rows = texts.where("norm IS NOT NULL").withColumn("parts", F.split("norm", " "))
-    found = rows.select("doc_id", F.explode(F.array_distinct(F.concat(*map(windows, kinds)))).alias("anchor"))
-    hits = found.join(asked.select("item_id", "anchor"), "anchor").select("item_id", "doc_id")
-    pairs = hits.distinct().join(asked.select("item_id", "span").distinct(), "item_id")
-    return texts.join(pairs, "doc_id").where(F.contains("norm", "span")).select("item_id", "doc_id").distinct()
+    texts = documents.select("doc_id", collapse(F.col("text")).alias("text"))
+    asked = spans.select("item_id", collapse(F.col("text")).alias("span"))
+    pairs = places.candidates(texts, asked).distinct()
+    return texts.join(pairs, "doc_id").where(F.contains("text", "span")).select("item_id", "doc_id").distinct()
 
 
 def pieces(text: Column, mark: str, least: int) -> Column:
@@ -160,23 +139,22 @@ def paragraph_windows(documents: DataFrame, size: int = 1, stride: int = 1, mark
     return cut.select("doc_id", "first", F.array_join(F.slice("parts", F.col("first") + 1, F.lit(size)), "\n\n").alias("text"))
 
 
-def passages(documents: DataFrame, needles: DataFrame, around: int = 15, budget: int = 60_000, least_tail: int = 200) -> DataFrame:
+def passages(documents: DataFrame, needles: DataFrame, around: int = 15, budget: int | None = 60_000, least_tail: int = 200, mark: str | None = None) -> DataFrame:
     """(item_id, doc_id, windows, passage): of each document the lines about those that hold a needle of an item, case and
-    outer space apart, each window under a heading with its line numbers, `budget` characters at most.
+    outer space apart, each window under a heading with its line numbers, `budget` characters at most (None: all).
 
-    needles has (item_id, needle), several an item; those under three characters are none.  Documents are found by
-    contained_spans, so no document is held against needles that it can't have.  Windows merge where they touch.  The window
-    that passes the budget is cut, with a mark, if more than `least_tail` characters are left for it, and ends the passage;
-    `windows` counts all.
+    needles has (item_id, needle), several an item; those under three characters are none.  Documents are found by the first
+    characters of needles (places.candidates), so few documents are held against needles that they don't have.  Lines end
+    as str.splitlines has it, or stand between marks.  Windows merge where they touch.  The window that passes the budget is
+    cut, with a mark, if more than `least_tail` characters are left for it, and ends the passage; `windows` counts all.
     """
-    asked = needles.select("item_id", F.lower(F.trim("needle")).alias("needle")).where(F.length("needle") >= 3).distinct()
-    keyed = asked.select("needle").distinct()
-    pairs = contained_spans(documents.select("doc_id", "text"), keyed.select(F.col("needle").alias("item_id"), F.col("needle").alias("text")))
-    wanted = pairs.withColumnRenamed("item_id", "needle").join(asked, "needle").groupBy("item_id", "doc_id").agg(F.collect_set("needle").alias("needles"))
-    split = F.split("text", LINE_ENDS)
-    lines = F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
+    asked = needles.select("item_id", F.trim(places.lower(F.col("needle")), F.lit(SPACES)).alias("needle")).where(F.length("needle") >= 3).distinct()
+    pairs = places.candidates(documents.select("doc_id", "text"), asked.withColumnRenamed("needle", "span")).withColumnRenamed("span", "needle")
+    wanted = pairs.groupBy("item_id", "doc_id").agg(F.collect_set("needle").alias("needles"))
+    split = F.split("text", mark or LINE_ENDS)
+    lines = split if mark else F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
     rows = documents.select("doc_id", lines.alias("lines")).join(wanted, "doc_id").withColumn("n", F.size("lines"))
-    hits = F.transform("lines", lambda x, i: F.when(F.exists("needles", lambda s: F.contains(F.lower(x), s)), i))
+    hits = F.transform("lines", lambda x, i: F.when(F.exists("needles", lambda s: F.contains(places.lower(x), s)), i))
     rows = rows.withColumn("hits", F.filter(hits, lambda x: x.isNotNull())).where(F.size("hits") > 0)
     rows = rows.withColumn("merged", F.transform(_merged("hits", around), lambda w: F.struct(w["start"].alias("start"), F.least(w["end"], "n").alias("end"))))
 
@@ -193,13 +171,15 @@ def passages(documents: DataFrame, needles: DataFrame, around: int = 15, budget:
         return F.when(done["full"], done).otherwise(F.struct(
             (done["total"] + F.length(text)).alias("total"), F.concat(done["parts"], F.when(over, tail).otherwise(F.array(text))).alias("parts"), over.alias("full")))
 
-    found = F.aggregate(F.transform("merged", block), begin, add)["parts"]
-    return rows.select("item_id", "doc_id", F.size("merged").alias("windows"), F.regexp_replace(F.array_join(found, "\n"), r"(?U)^\s+|\s+$", "").alias("passage"))
+    blocks = F.transform("merged", block)
+    outer = r"[ \t\n\r]" if mark else r"\s"
+    found = blocks if budget is None else F.aggregate(blocks, begin, add)["parts"]
+    return rows.select("item_id", "doc_id", F.size("merged").alias("windows"), F.regexp_replace(F.array_join(found, "\n"), rf"(?U)^{outer}+|{outer}+\z", "").alias("passage"))
 
 
 def with_seed(passage: Column, seed: Column, other: Column) -> Column:
     """A passage behind the span that a source was known by; where there is neither, what is known of the claim besides."""
-    trimmed = F.trim(F.coalesce(seed, F.lit("")))
+    trimmed = F.trim(F.coalesce(seed, F.lit("")), F.lit(SPACES))
     whole = F.concat(F.when(trimmed != "", F.concat(F.lit(SEED_HEAD), trimmed, F.lit("\n\n"))).otherwise(""), F.coalesce(passage, F.lit("")))
     bare = F.concat(F.lit(SPAN_HEAD), F.coalesce(F.nullif(seed, F.lit("")), F.lit(NO_SPAN)),
                     F.lit(CLAIM_HEAD), F.coalesce(F.nullif(other, F.lit("")), F.lit(NO_CLAIM)))

@@ -262,8 +262,8 @@ SELECT item_id, doc_id, windows, length(whole) AS chars, md5(whole) AS digest FR
 def passages_with_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages about each item in each document that speaks of it, every second behind the span it is known by."""
     items = read(spark, sf_dir, "benchmark")
-    needles = items.select("item_id", F.explode(F.array(F.substring("text", 1, 15), F.substring("text", 30, 25))).alias("needle")).where(F.length(F.trim("needle")) >= 3)
-    found = text.passages(read(spark, sf_dir, "documents"), needles)
+    needles = items.select("item_id", F.explode(F.array(F.substring("text", 1, 15), F.substring("text", 30, 25))).alias("needle"))
+    found = text.passages(read(spark, sf_dir, "documents"), needles, budget=None, mark="\n")
     seeds = items.select("item_id", F.when(F.col("item_id") % 2 == 0, F.left("text", F.lit(40))).alias("seed"))
     whole = text.with_seed(F.col("passage"), F.col("seed"), F.lit(None).cast("string"))
     rows = found.join(seeds, "item_id").select("item_id", "doc_id", "windows", whole.alias("whole"))

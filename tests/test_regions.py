@@ -180,3 +180,23 @@ def test_keywords_are_hashed_once_and_shuffled_as_hits_only(spark):
     assert sorted(tuple(r) for r in tags.collect()) == [(i, 0, "a") for i in range(20)]
     plan = tags._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "posexplode" not in plan
+
+
+def test_passages_between_marks_are_whole(spark):
+    """Without a budget nothing is cut, and with a mark only that ends a line, a last empty one included."""
+    body = "long line " * 8000
+    docs = spark.createDataFrame([(1, f"{body}\na needle\x0bhere\n{body}\n"), (2, "no\n" * 9), (3, None)], "doc_id long, text string")
+    needles = spark.createDataFrame([(1, "\u00a0NEEDLE\u3000"), (2, "absent needle"), (3, "")], "item_id long, needle string")
+    got = text.passages(docs, needles, 15, budget=None, mark="\n").collect()
+    assert [(r.item_id, r.doc_id, r.windows, r.passage) for r in got] == [(1, 1, 1, f"--- corpus lines 1-4 ---\n{body}\na needle\x0bhere\n{body}".strip())]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_candidates_miss_no_span(spark, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choices("abÄ \U0001f600", k=rng.randint(0, 60))) for _ in range(60)] + [None]
+    spans = [(i, "".join(rng.choices("abä \U0001f600", k=k))) for i, k in enumerate([1, 2, 3, 3, 4, 5, 7, 9, 0])] + [(20 + i, texts[i].lower()[3:50]) for i in range(8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.item_id, r.doc_id) for r in text.places.candidates(df, spark.createDataFrame(spans, "item_id long, span string")).collect()}
+    expect = {(i, d) for i, s in spans for d, t in enumerate(texts) if s and t and s in t.lower()}
+    assert expect <= got and len(got) < len(texts) * len(spans)
