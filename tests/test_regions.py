@@ -200,3 +200,10 @@ def test_candidates_miss_no_span(spark, seed):
     got = {(r.item_id, r.doc_id) for r in text.places.candidates(df, spark.createDataFrame(spans, "item_id long, span string")).collect()}
     expect = {(i, d) for i, s in spans for d, t in enumerate(texts) if s and t and s in t.lower()}
     assert expect <= got and len(got) < len(texts) * len(spans)
+
+
+@pytest.mark.parametrize("plan", [regions.single_paragraphs])
+def test_words_of_texts_stay_in_their_task(spark, plan):
+    """Queries that tag go by the places of keywords: no plan gives a row for each word of a text."""
+    found = plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("MapInArrow") == 1 and "AS word#" not in found and "posexplode(split(lower" not in found
