@@ -202,7 +202,7 @@ def test_candidates_miss_no_span(spark, seed):
     assert expect <= got and len(got) < len(texts) * len(spans)
 
 
-@pytest.mark.parametrize("plan", [regions.single_paragraphs, regions.regions])
+@pytest.mark.parametrize("plan", [regions.single_paragraphs, regions.regions, regions.regions_with_news])
 def test_words_of_texts_stay_in_their_task(spark, plan):
     """Queries that tag go by the places of keywords: no plan gives a row for each word of a text."""
     found = plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
